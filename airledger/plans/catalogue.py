@@ -1,4 +1,5 @@
 """Every query of the registry engine by name, with its DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .registry_queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
