@@ -122,11 +122,11 @@ _OP4 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
 ), digits AS (
-  SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS first_id, list_transform(range(0, 8), i -> ('0x' || substr(h, cast(1 + 5 * i AS BIGINT), 5))::BIGINT) AS c FROM p
+  SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS first_id, [('0x' || substr(h, cast(1 + 5 * i AS BIGINT), 5))::BIGINT FOR i IN range(0, 8)] AS c FROM p
 )
 SELECT page_id, cast(strlen(html) AS BIGINT) AS payload_bytes,
-       array_to_string(list_transform(c, n -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> 15) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> 10) & 31), 1)
-         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> 5) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (n & 31), 1)), '') AS payload_digest,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> 15) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> 10) & 31), 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((n >> 5) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (n & 31), 1) FOR n IN c], '') AS payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM digits
