@@ -64,9 +64,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
     records = slim.join(chosen, ["sha256", "bytes"]).withColumn("record_type", F.when((F.col("bytes") < min_bytes) | F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit"))
     records = records.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("first_id")))
     records.select("page_id", "sha256", "record_type", "refers_to", _headers().alias("header")).write.parquet(f"{path}/headers")
-    # Only rows that hold a payload first are grouped; page ids are spread evenly, whatever is equal.
-    kept = rows.withColumn("sha256", F.sha2("payload", 256)).join(chosen.select(F.col("first_id"), F.col("sha256").alias("of")), (F.col("page_id").eqNullSafe(F.col("first_id"))) & (F.col("sha256") == F.col("of")))
-    kept.groupBy("page_id", "sha256").agg(F.first("payload").alias("payload")).select("sha256", "payload").write.parquet(f"{path}/payloads")
+    # Rows are dealt by id and digest, which the grouping that keeps one of repeated rows then finds in place. Null ids
+    # take a value that sorts before all, so that a payload which only such rows have is kept too.
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)).cast("long"))
+    first = chosen.select(key("first_id").alias("key"), "sha256")
+    kept = rows.select(key("page_id").alias("key"), F.sha2("payload", 256).alias("sha256"), "payload").join(first, ["key", "sha256"])
+    kept.groupBy("key", "sha256").agg(F.first("payload").alias("payload")).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
