@@ -80,8 +80,9 @@ def train(texts: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> Model:
         for t in own:  # what short texts leave goes to longer ones
             if left <= 0:
                 break
-            joined.append(more := t[share : share + left])
-            left -= len(more)
+            if more := t[share : share + left]:
+                joined.append(more)
+                left -= len(more)
         samples[name] = " ".join(joined)[: train_chars + len(own)]
     counts: dict[str, int] = {}
     for s in samples.values():

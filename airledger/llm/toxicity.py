@@ -14,6 +14,8 @@ from .decontaminate import words
 #: Bound of the labelled rows that the classifier is fitted on.
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 18
+#: Share of labelled documents beyond which a feature is too common to be evidence.
+MOST_COMMON = 0.3
 #: Identity terms, by groups within which they are swapped. Fixed values.
 IDENTITY = (
     ("women", "men"), ("woman", "man"), ("girl", "boy"), ("female", "male"),
@@ -51,23 +53,23 @@ def swapped(distinct: set[bytes], turn: int) -> set[bytes] | None:
 
 @dataclass
 class Classifier:
-    """score = sigmoid(scale * (sum of the weights of a document's distinct features + bias))."""
+    """score = sigmoid(bias + the sum of a document's distinct words' weights, a word's being that of its features)."""
 
     weights: np.ndarray
     bias: float
 
 
 def _matrix(sets: list[set[bytes]], known: Known) -> tuple[np.ndarray, np.ndarray]:
-    rows, columns = [], []
+    """(document, feature) for each distinct word's features: a feature of n words of a document is there n times."""
+    rows, columns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for i, distinct in enumerate(sets):
-        flat = np.fromiter((b for w in distinct for b in known[w]), np.int64)
-        flat = np.unique(flat)
+        flat = np.fromiter((b for w in distinct for b in known[w]), np.int32)
         rows.append(np.full(len(flat), i, np.int32))
-        columns.append(flat.astype(np.int32))
-    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        columns.append(flat)
+    return np.concatenate(rows), np.concatenate(columns)
 
 
-def fit(texts: list[bytes], toxic: list[int], steps: int = 150, rate: float = 0.3, penalty: float = 3e-4, pairing: float = 1.0) -> Classifier:
+def fit(texts: list[bytes], toxic: list[int], steps: int = 150, rate: float = 0.3, penalty: float = 1.5e-3, pairing: float = 1.0) -> Classifier:
     """Logistic regression with an L1 penalty, plus `pairing` times the mean squared change of the score's logit.
 
     The change is that between each labelled document with identity terms and its counterfactual, in which they are
@@ -82,8 +84,8 @@ def fit(texts: list[bytes], toxic: list[int], steps: int = 150, rate: float = 0.
         model.bias = -3.0 if not len(y) or y.max() < 1 else 3.0
         return model
     rows, columns = _matrix(sets, known)
-    present = np.bincount(columns, minlength=BUCKETS)
-    keep = present[columns] >= 3
+    present = np.bincount(np.unique(rows.astype(np.int64) * BUCKETS + columns) % BUCKETS, minlength=BUCKETS)
+    keep = (present[columns] >= 3) & (present[columns] <= MOST_COMMON * len(y))
     rows, columns = rows[keep], columns[keep]
     used, columns = np.unique(columns, return_inverse=True)
     twins = [(i, s) for i, d in enumerate(sets) if (s := swapped(d, i)) is not None]
@@ -93,7 +95,7 @@ def fit(texts: list[bytes], toxic: list[int], steps: int = 150, rate: float = 0.
     twin_rows, twin_columns = twin_rows[ok], at[ok]
     twin_of = np.array([i for i, _ in twins], np.int64)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, b, moment, b_moment = np.zeros(len(used)), 0.0, np.full(len(used), 1e-8), 1e-8
+    w, b, moment, b_moment = np.zeros(len(used)), -2.0, np.full(len(used), 1e-4), 1e-4  # a text without evidence is clean
     for _ in range(steps):
         z = np.bincount(rows, w[columns], minlength=len(y)) + b
         d = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
@@ -150,16 +152,11 @@ def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] | list[str]
     def make():
         weights, bias = held.value
 
-        def of(word: bytes) -> tuple:
-            return tuple(b for b in word_features(word) if weights[b])
-
-        known = Known(of, 200_000)
+        known = Known(lambda word: float(weights[word_features(word)].sum()), 300_000)
         get = known.__getitem__
 
         def one(text: bytes) -> float:
-            # Features that distinct words share count once, as in training.
-            used = set().union(*map(get, set(words(text))))
-            z = bias + (float(weights[list(used)].sum()) if used else 0.0)
+            z = bias + sum(map(get, set(words(text))))
             return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         def kernel(texts: list[bytes]) -> dict:
