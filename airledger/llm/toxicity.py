@@ -12,7 +12,7 @@ from .common import Known, bounded_sample, map_texts
 from .decontaminate import words
 
 #: Bound of the labelled rows that the classifier is fitted on.
-TRAIN_DOCS = 6_000
+TRAIN_DOCS = 4_000
 BUCKETS = 1 << 18
 #: Share of labelled documents beyond which a feature is too common to be evidence.
 MOST_COMMON = 0.3
@@ -59,41 +59,59 @@ class Classifier:
     bias: float
 
 
-def _matrix(sets: list[set[bytes]], known: Known) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) for each distinct word's features: a feature of n words of a document is there n times."""
-    rows, columns = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for i, distinct in enumerate(sets):
-        flat = np.fromiter((b for w in distinct for b in known[w]), np.int32)
-        rows.append(np.full(len(flat), i, np.int32))
-        columns.append(flat)
-    return np.concatenate(rows), np.concatenate(columns)
+class Examples:
+    """Labelled texts as hashed features, taken one by one: texts themselves aren't kept.
 
+    A feature of n distinct words of a document is there n times; twins hold those of counterfactuals.
+    """
 
-def fit(texts: list[bytes], toxic: list[int], steps: int = 150, rate: float = 0.3, penalty: float = 1.5e-3, pairing: float = 1.0) -> Classifier:
+    def __init__(self) -> None:
+        self.known = Known(lambda w: np.array(word_features(w), np.int32), 50_000)
+        self.features: list[np.ndarray] = []
+        self.toxic: list[int] = []
+        self.twins: list[tuple[int, np.ndarray]] = []
+        self.present = np.zeros(BUCKETS, np.int32)
+
+    def _features(self, distinct: set[bytes]) -> np.ndarray:
+        return np.concatenate([self.known[w] for w in distinct]) if distinct else np.zeros(0, np.int32)
+
+    def add(self, text: bytes, toxic: int) -> None:
+        """Takes one labelled text."""
+        distinct = set(words(text))
+        if (other := swapped(distinct, len(self.toxic))) is not None:
+            self.twins.append((len(self.toxic), self._features(other)))
+        self.features.append(self._features(distinct))
+        self.toxic.append(toxic)
+        self.present[np.unique(self.features[-1])] += 1
+
+    def matrices(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Features that are neither rare nor common, and (row, column) of them for texts and for counterfactuals."""
+        used = np.flatnonzero((self.present >= 3) & (self.present <= MOST_COMMON * len(self.toxic)))
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        out = []
+        for lists in (self.features, [f for _, f in self.twins]):
+            kept = [p[p >= 0] for p in (place[f] for f in lists)]
+            rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(p) for p in kept]) if kept else np.zeros(0, np.int32)
+            out.append([rows, np.concatenate(kept) if kept else np.zeros(0, np.int32)])
+            lists.clear()
+        return used, *out
+
+
+def fit(examples: Examples, steps: int = 150, rate: float = 0.3, penalty: float = 1.5e-3, pairing: float = 1.0) -> Classifier:
     """Logistic regression with an L1 penalty, plus `pairing` times the mean squared change of the score's logit.
 
     The change is that between each labelled document with identity terms and its counterfactual, in which they are
     swapped, so that the terms themselves are no evidence. Weights move by scaled proximal gradient steps; both classes
     weigh the same.
     """
-    known = Known(word_features, 200_000)
-    sets = [set(words(t)) for t in texts]
-    y = np.array(toxic, np.float64)
+    y = np.array(examples.toxic, np.float64)
     model = Classifier(np.zeros(BUCKETS), -3.0)
     if not len(y) or y.min() == y.max():
         model.bias = -3.0 if not len(y) or y.max() < 1 else 3.0
         return model
-    rows, columns = _matrix(sets, known)
-    present = np.bincount(np.unique(rows.astype(np.int64) * BUCKETS + columns) % BUCKETS, minlength=BUCKETS)
-    keep = (present[columns] >= 3) & (present[columns] <= MOST_COMMON * len(y))
-    rows, columns = rows[keep], columns[keep]
-    used, columns = np.unique(columns, return_inverse=True)
-    twins = [(i, s) for i, d in enumerate(sets) if (s := swapped(d, i)) is not None]
-    twin_rows, twin_columns = _matrix([s for _, s in twins], known)
-    at = np.searchsorted(used, twin_columns)
-    ok = (at < len(used)) & (used[np.minimum(at, max(0, len(used) - 1))] == twin_columns) if len(used) else np.zeros(0, bool)
-    twin_rows, twin_columns = twin_rows[ok], at[ok]
-    twin_of = np.array([i for i, _ in twins], np.int64)
+    used, (rows, columns), (twin_rows, twin_columns) = examples.matrices()
+    twin_of = np.array([i for i, _ in examples.twins], np.int64)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, b, moment, b_moment = np.zeros(len(used)), -2.0, np.full(len(used), 1e-4), 1e-4  # a text without evidence is clean
     for _ in range(steps):
@@ -131,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column | None = None, train
         for r in bounded_sample(marked.where(F.col("toxic") == label), share, "id"):
             chosen[r["id"]] = label
     spark = docs.sparkSession
-    texts, toxic = [], []
+    examples = Examples()
     if chosen:
         wanted = spark.createDataFrame([(k, v) for k, v in chosen.items()], "id long, toxic int")
         # The bound of the sample bounds what is broadcast.
@@ -140,9 +158,8 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column | None = None, train
         for r in sample.toLocalIterator():
             if r["id"] not in seen:
                 seen.add(r["id"])
-                texts.append(bytes(r["text"]))
-                toxic.append(r["toxic"])
-    return fit(texts, toxic)
+                examples.add(bytes(r["text"]), r["toxic"])
+    return fit(examples)
 
 
 def score(docs: DataFrame, model: Classifier, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:

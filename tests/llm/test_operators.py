@@ -243,14 +243,20 @@ def test_toxicity(spark):
 
 def test_counterfactuals_lower_the_weight_of_identity_terms():
     r = random.Random(3)
-    texts, toxic = [], []
+    texts = []
     for i in range(300):
         bad = i % 2
-        words = [r.choice(["alpha", "beta", "gamma"]) for _ in range(10)] + (["women"] if bad and r.random() < 0.9 or r.random() < 0.1 else ["men"]) + (["scum"] if bad and r.random() < 0.8 else [])
-        texts.append(" ".join(words).encode())
-        toxic.append(bad)
+        words = [r.choice(["alpha", "beta", "gamma"]) for _ in range(10)] + (["women"] if r.random() < (0.5 if bad else 0.05) else ["men"] if r.random() < 0.2 else []) + (["scum"] if bad and r.random() < 0.8 else [])
+        texts.append((" ".join(words).encode(), bad))
+
+    def fitted(pairing):
+        examples = toxicity.Examples()
+        for text, bad in texts:
+            examples.add(text, bad)
+        return toxicity.fit(examples, pairing=pairing)
+
     gap = lambda m: abs(m.weights[toxicity.word_features(b"women")[0]] - m.weights[toxicity.word_features(b"men")[0]])
-    assert gap(toxicity.fit(texts, toxic, pairing=3.0)) < 0.4 * gap(toxicity.fit(texts, toxic, pairing=0.0))
+    assert gap(fitted(3.0)) < 0.4 * gap(fitted(0.0))
 
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
