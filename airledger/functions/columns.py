@@ -12,16 +12,24 @@ from . import codes
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+#: Every white space character, by Unicode's own property, and the byte order mark.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F and c != 0x85) + "\ufeff"
+
+
 def text(value: Column) -> Column:
     """Trimmed of any Unicode white space; empty is null."""
-    return F.nullif(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(value, F.lit(WHITE)), F.lit(""))
 
 
 def number(value: Column) -> Column:
     """A finite decimal number, else null; hexadecimal and words such as NaN are no numbers."""
-    own = text(value)
+    return number_of(text(value))
+
+
+def number_of(own: Column) -> Column:
+    """The same of a field that has been trimmed."""
     made = F.when(own.rlike(_NUMBER), own.try_cast("double"))
-    return F.when(F.abs(made) < F.lit(float("inf")), made)
+    return F.nullif(F.nullif(made, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def whole(value: Column) -> Column:
@@ -31,13 +39,22 @@ def whole(value: Column) -> Column:
 
 def date(value: Column) -> Column:
     """MM/DD/YYYY as YYYY-MM-DD text by its digits alone; anything else is null."""
-    own = text(value)
+    return date_of(text(value))
+
+
+def date_of(own: Column) -> Column:
+    """The same of a field that has been trimmed."""
     return F.when(own.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), F.concat_ws("-", F.substring(own, 7, 4), F.substring(own, 1, 2), F.substring(own, 4, 2)))
 
 
 def flag(value: Column) -> Column:
     """True for Y, false for N, else null."""
-    own = F.upper(text(value))
+    return flag_of(text(value))
+
+
+def flag_of(own: Column) -> Column:
+    """The same of a field that has been trimmed."""
+    own = F.upper(own)
     return F.when(own == "Y", True).when(own == "N", False)
 
 

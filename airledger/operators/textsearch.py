@@ -19,24 +19,17 @@ def folded(column: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.translate(column, *MARKED), r"\p{M}+", ""))
 
 
-def name_terms(df: DataFrame, key: str, name: str) -> DataFrame:
-    """key, terms (in order) of every name that has a letter or digit."""
-    terms = F.filter(F.split(folded(F.col(name)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return df.select(F.col(key), terms.alias("terms")).where(F.size("terms") > 0)
+def normalised(column: Column | str) -> Column:
+    """Folded terms between single blanks, with one before and after: `" t mobile "`."""
+    words = F.regexp_replace(folded(column), r"[^\p{L}\p{N}]+", " ")
+    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
-def _occurrences(phrase: list[str]) -> Column:
-    """How often a phrase occurs in terms; its last piece is a prefix unless it is one character."""
-    n = len(phrase)
-
-    def matches(i: Column) -> Column:
-        tests = [F.element_at("terms", (i + k + 1).cast("int")) == F.lit(p) for k, p in enumerate(phrase[:-1])]
-        last = F.element_at("terms", (i + n).cast("int"))
-        tests.append(last.startswith(phrase[-1]) if len(phrase[-1]) > 1 else last == F.lit(phrase[-1]))
-        return reduce(lambda a, b: a & b, tests)
-
-    starts = F.when(F.size("terms") >= n, F.sequence(F.lit(0), F.size("terms") - n))
-    return F.coalesce(F.size(F.filter(starts, matches)), F.lit(0))
+def _occurrences(names: Column, phrase: list[str]) -> Column:
+    """How often a phrase occurs in normalised names; its last piece is a prefix unless it is one character."""
+    tail = "" if len(phrase[-1]) > 1 else " "
+    # A look-ahead consumes nothing, so occurrences that overlap are all counted, in one pass over the text.
+    return F.regexp_count(names, F.lit(f"(?<= )(?={' '.join(phrase)}{tail})"))
 
 
 def rank(df: DataFrame, key: str, name: str, phrases: list[list[str]]) -> DataFrame:
@@ -48,8 +41,9 @@ def rank(df: DataFrame, key: str, name: str, phrases: list[list[str]]) -> DataFr
     """
     if not phrases:
         raise ValueError("no word to search")
-    terms = name_terms(df, key, name)
-    hits = terms.select(key, F.size("terms").alias("len"), *[_occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    names = df.select(key, normalised(F.col(name)).alias("names")).where(F.trim("names") != "")
+    terms = F.length("names") - F.length(F.replace(F.col("names"), F.lit(" "))) - 1
+    hits = names.select(key, terms.alias("len"), *[_occurrences(F.col("names"), p).alias(f"tf{i}") for i, p in enumerate(phrases)])
     counts = hits.agg(F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
     total = df.agg(F.count("*").alias("N"), F.count(F.lit(1)).alias("__one"))
     found = hits.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))

@@ -575,15 +575,15 @@ def j5_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "locations",
-    """SELECT usi, location_number, site_seq, CASE WHEN lat BETWEEN 30 AND 40 AND lon BETWEEN -110 AND -100 AND (lat >= 40 - (lon + 110) OR false) AND NOT (lon > -107 AND lon < -105 AND lat > 34 AND lat < 36) THEN 'AA' WHEN lat > 30 AND lat < 45 AND lon > -105 AND lon < -90 THEN 'BB' END AS state_at FROM locations
-WHERE lat * 100 % 100 <> 0 AND abs(lat - 40 + (lon + 110)) > 1e-6""",
+    """SELECT usi, location_number, site_seq, CASE WHEN lat BETWEEN 30 AND 40 AND lon BETWEEN -110 AND -100 AND (lat >= 40 - (lon + 110) OR false) AND NOT (lon > -103 AND lon < -101 AND lat > 36 AND lat < 38) THEN 'AA' WHEN lat > 30 AND lat < 45 AND lon > -105 AND lon < -90 THEN 'BB' END AS state_at FROM locations
+WHERE abs(lat - round(lat)) > 1e-6 AND abs(lon - round(lon)) > 1e-6 AND abs(lat - 40 + (lon + 110)) > 1e-6""",
 )
 def j20_state_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state whose polygon, less its hole, holds a site; points on edges are left out of the comparison."""
     triangle = [(-110.0, 40.0), (-100.0, 30.0), (-100.0, 40.0)]
-    hole = [(-107.0, 34.0), (-105.0, 34.0), (-105.0, 36.0), (-107.0, 36.0)]
+    hole = [(-103.0, 36.0), (-101.0, 36.0), (-101.0, 38.0), (-103.0, 38.0)]
     square = [(-105.0, 30.0), (-90.0, 30.0), (-90.0, 45.0), (-105.0, 45.0)]
-    rows = registry(spark, sf_dir).locations.where("lat * 100 % 100 <> 0 AND abs(lat - 40 + (lon + 110)) > 1e-6")
+    rows = registry(spark, sf_dir).locations.where("abs(lat - round(lat)) > 1e-6 AND abs(lon - round(lon)) > 1e-6 AND abs(lat - 40 + (lon + 110)) > 1e-6")
     return rows.select("usi", "location_number", "site_seq", geo.state_of(F.col("lat"), F.col("lon"), [("AA", [triangle, hole]), ("BB", [square])]).alias("state_at"))
 
 

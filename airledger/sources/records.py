@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -45,7 +45,8 @@ LAYOUTS = {
     )
 }
 
-_KINDS = {"l": C.whole, "o": C.whole, "d": C.number, "t": C.text, "D": C.date, "b": C.flag, "u": lambda f: F.upper(C.text(f))}
+#: What makes a value of a trimmed field.
+_KINDS = {"l": lambda t: C.number_of(t).try_cast("long"), "o": lambda t: C.number_of(t).try_cast("long"), "d": C.number_of, "t": lambda t: t, "D": C.date_of, "b": C.flag_of, "u": F.upper}
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -60,48 +61,51 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def split(lines: DataFrame, type_: str) -> DataFrame:
-    """Adds __f, a record's fields, or null for a line that is no record of the type (wrong type or field count)."""
-    fields = F.split("value", r"\|")
-    return lines.withColumn("__f", F.when((F.size(fields) == LAYOUTS[type_].fields) & (fields[0] == type_), fields))
-
+    """Adds __f, a record's fields, or null for a line that is no record of the type (wrong type or field count).
 
-def _decoded(layout: Layout) -> list[Column]:
-    return [_KINDS[kind](F.col("__f")[position - 1]).alias(name) for position, name, kind in layout.columns()]
+    The fields come out of a generator, which no filter or projection above is pushed through: a line is split once,
+    however many fields are read from it.
+    """
+    fields = F.split("value", r"\|")
+    return lines.select("*", F.explode(F.array(fields)).alias("__s")).withColumn("__f", F.when((F.size("__s") == LAYOUTS[type_].fields) & (F.col("__s")[0] == type_), F.col("__s"))).drop("__s")
 
 
-def _accepted(layout: Layout) -> Column:
-    ok = F.col("__f").isNotNull()
-    for position, name, kind in layout.columns():
-        value = _KINDS[kind](F.col("__f")[position - 1])
+def _typed(lines: DataFrame, type_: str) -> DataFrame:
+    """One struct of trimmed fields by name for each line, then their values; __ok says whether the line is accepted."""
+    layout = LAYOUTS[type_]
+    trimmed = F.struct(*[C.text(F.col("__f")[position - 1]).alias(name) for position, name, _ in layout.columns()])
+    own = split(lines, type_).select("_seq", F.col("__f").isNotNull().alias("__shape"), F.explode(F.array(trimmed)).alias("__t"))
+    values = {name: _KINDS[kind](F.col(f"__t.{name}")) for _, name, kind in layout.columns()}
+    ok = F.col("__shape")
+    for _, name, kind in layout.columns():
         if name in layout.required:
-            ok = ok & value.isNotNull()
+            ok = ok & values[name].isNotNull()
         elif kind == "o":
-            ok = ok & (value.isNotNull() | C.text(F.col("__f")[position - 1]).isNull())
-    return ok
+            ok = ok & (values[name].isNotNull() | F.col(f"__t.{name}").isNull())
+    return own.select("_seq", ok.alias("__ok"), *[v.alias(n) for n, v in values.items()])
 
 
 def decode(lines: DataFrame, type_: str) -> DataFrame:
     """Typed records of one type with _seq; lines with a wrong shape or a missing or malformed key are left out."""
-    layout = LAYOUTS[type_]
-    made = split(lines, type_).where(_accepted(layout)).select(*_decoded(layout), "_seq")
+    made = _typed(lines, type_).where("__ok").drop("__ok")
     if type_ == "HD":
         return made
     if type_ == "EN":
         parts = F.col("part_1").isNotNull() | F.col("part_2").isNotNull() | F.col("part_3").isNotNull() | F.col("part_4").isNotNull()
         return made.withColumn("has_name_parts", parts).drop("part_1", "part_2", "part_3", "part_4")
     if type_ == "LO":
-        sides = {}
-        for side, axis in (("lat", "latitude"), ("lon", "longitude")):
-            filed = [F.col(f"{side}_{p}") for p in "dmsh"]
-            sides[side] = C.dms_decimal(*[C.number(x) for x in filed[:3]], filed[3], axis), C.dms_text(filed)
-        lat, lon = sides["lat"][0], sides["lon"][0]
-        located = lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0))
-        made = made.withColumns({"lat": F.when(located, lat), "lon": F.when(located, lon), "coord_dms": F.nullif(F.concat_ws(" ", sides["lat"][1], sides["lon"][1]), F.lit(""))})
-        return made.drop(*[f"{s}_{p}" for s in ("lat", "lon") for p in "dmsh"])
+        parts = [f"{s}_{p}" for s in ("lat", "lon") for p in "dmsh"]
+        shown = F.concat_ws(" ", *[C.dms_text([F.col(f"{s}_{p}") for p in "dmsh"]) for s in ("lat", "lon")])
+        made = made.withColumns({f"__{p}": C.number_of(F.col(p)) for p in parts if p[-1] != "h"} | {"coord_dms": F.nullif(shown, F.lit(""))})
+        decimals = {s: C.dms_decimal(*[F.col(f"__{s}_{p}") for p in "dms"], F.col(f"{s}_h"), axis) for s, axis in (("lat", "latitude"), ("lon", "longitude"))}
+        made = made.withColumns({f"__{s}": d for s, d in decimals.items()})
+        located = F.col("__lat").isNotNull() & F.col("__lon").isNotNull() & ~((F.col("__lat") == 0) & (F.col("__lon") == 0))
+        made = made.withColumns({s: F.when(located, F.col(f"__{s}")) for s in ("lat", "lon")})
+        return made.drop(*parts, *[f"__{p}" for p in parts if p[-1] != "h"], "__lat", "__lon")
     return made
 
 
 def line_statistics(lines: DataFrame, type_: str) -> DataFrame:
     """record_type, lines_read, lines_kept and lines_rejected of one type, in one pass."""
-    ok = F.coalesce(_accepted(LAYOUTS[type_]), F.lit(False))
-    return split(lines, type_).agg(F.lit(type_).alias("record_type"), F.count("*").alias("lines_read"), F.count_if(ok).alias("lines_kept"), F.count_if(~ok).alias("lines_rejected"))
+    ok = F.coalesce(F.col("__ok"), F.lit(False))
+    return _typed(lines, type_).agg(F.lit(type_).alias("record_type"), F.count("*").alias("lines_read"), F.count_if(ok).alias("lines_kept"), F.count_if(~ok).alias("lines_rejected"))
