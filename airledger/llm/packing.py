@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -216,14 +215,14 @@ def pack_shard(docs: list, idf, mean: float, window: int = WINDOW) -> list[tuple
     return pieces
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long"
+_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, shard long"
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Pieces of all docs (doc_id, text), packed into sequences of `window` token ids.
 
-    Returns doc_id, start, length, ids_crc32 (of the piece's ids as little-endian 32-bit numbers), doc_tokens,
-    sequence_id, offset and shard. Token ids are written once to the shared folder. Document frequencies are counted
+    Returns doc_id, start, length, ids (the piece's, as little-endian 32-bit numbers), doc_tokens, sequence_id, offset and
+    shard; a sequence is its pieces' ids by offset. Token ids are written once to the shared folder. Document frequencies are counted
     over all of them; their table has at most one row for each entry of the vocabulary and is what the tasks get. Runs
     of shard_docs documents of a partition are the index's shards, so nothing is shuffled and a hot source is cut like
     any other. Null texts are packed as the end id alone; null and repeated doc_ids are packed row by row.
@@ -250,16 +249,16 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
             nonlocal shards
             base, sizes = first + (shards << 20), [len(d) for d in waiting]
             made = pack_shard(waiting, idf, mean, window)
-            crc = [zlib.crc32(waiting[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in made]
+            ids = [waiting[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in made]
             columns = [
                 pa.array([names[p[0]] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64()), pa.array([p[2] for p in made], pa.int64()),
-                pa.array(crc, pa.int64()), pa.array([sizes[p[0]] for p in made], pa.int64()), pa.array([base + p[3] for p in made], pa.int64()),
+                pa.array(ids, pa.binary()), pa.array([sizes[p[0]] for p in made], pa.int64()), pa.array([base + p[3] for p in made], pa.int64()),
                 pa.array([p[4] for p in made], pa.int64()), pa.array([(first >> 20) + shards] * len(made), pa.int64()),
             ]
             shards += 1
             names.clear()
             waiting.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "shard"])
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "shard"])
 
         held_ids = 0
         for batch in batches:
