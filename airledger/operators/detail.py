@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codes
+from ..functions import codes, parameters
 from ..functions import columns as C
 from .build import Registry
+from .licences import prefix_candidates, resolve_callsigns
 from .redact import redact
 from .spectrum import block_edges, collapse_blocks
 
@@ -168,3 +169,54 @@ def documents(registry: Registry, targets: DataFrame, redaction: bool = True) ->
     for p in parts:
         head = head.join(p, "usi", "left")
     return head.select("usi", F.to_json(F.struct(*[F.col(c) for c in head.columns]), {"ignoreNullFields": "true"}).alias("document"))
+
+
+def get_licence(registry: Registry, callsign: str | None = None, usi: int | None = None, location_offset: int | None = None, location_number: int | None = None, max_frequencies: int = 100, redaction: bool = True) -> dict[str, DataFrame]:
+    """Parts of one licence's detail by name, each lazy; a miss has only `candidates`.
+
+    Exactly one of callsign and usi is asked by, and at most one of the two starts of the window is given; otherwise
+    identifier_required or location_start_conflict is raised. A callsign stands for its first-ranked record; others of
+    the same callsign are `other_records`. Technical parts are there for live licences only, as the registry holds no others.
+    """
+    if (callsign is None) == (usi is None):
+        raise parameters.QueryError("identifier_required")
+    if location_offset is not None and location_number is not None:
+        raise parameters.QueryError("location_start_conflict")
+    if callsign is not None:
+        ranked = resolve_callsigns(registry.licenses.where(F.col("callsign") == parameters.callsign(callsign)))
+        head, others = ranked.where("callsign_rank = 1").drop("callsign_rank"), ranked.where("callsign_rank > 1")
+    else:
+        head, others = registry.licenses.where(F.col("usi") == usi), registry.licenses.limit(0)
+    found = head.select("usi").first()
+    if found is None:
+        return {"candidates": prefix_candidates(registry.licenses, parameters.callsign(callsign or "")[:3] or "?")}
+    key = F.col("usi") == found["usi"]
+    own = Registry(
+        *[getattr(registry, t).where(key) if t in ("locations", "antennas", "frequencies", "market_blocks", "paths") else getattr(registry, t) for t in Registry.__dataclass_fields__]
+    )
+    summary = location_summary(own)
+    if location_number is not None:
+        start = offset_of(summary, location_number).first()
+        location_offset = start["offset"] if start else 0
+    most = parameters.clamp(max_frequencies, 1000)
+    window = location_windows(summary, location_offset or 0, most)
+    return {
+        "licence": redact(head.withColumn("status_label", C.label(F.col("license_status"), codes.LICENSE_STATUSES)), redaction),
+        "other_records": others.select("usi", "license_status", "radio_service_code"),
+        "locations": window,
+        "sites": sites(own, window, redaction),
+        "antennas": agreed(own.antennas.join(window.select("usi", "location_number"), ["usi", "location_number"], "left_semi"), [c for c in own.antennas.columns if c not in ("usi", "location_number", "antenna_number", "_seq")]),
+        "frequencies": frequencies_capped(own, window, most),
+        "paths": paths(own, window),
+        "market_blocks": market_blocks(own),
+        "leases_held": leases_held(Registry(registry.licenses, registry.lease_links.where(F.col("lease_usi") == found["usi"]), *[None] * 5), redaction),
+        "leases_granted": leases_granted(Registry(registry.licenses, registry.lease_links.where(F.col("parent_usi") == found["usi"]), *[None] * 5), redaction=redaction),
+    }
+
+
+def licence_document(registry: Registry, callsign: str, redaction: bool = True) -> DataFrame:
+    """The nested JSON document of the record that a callsign stands for; raises license_not_found."""
+    ranked = resolve_callsigns(registry.licenses.where(F.col("callsign") == parameters.callsign(callsign))).where("callsign_rank = 1")
+    if ranked.first() is None:
+        raise parameters.QueryError("license_not_found", callsign)
+    return documents(registry, ranked.select("usi"), redaction)

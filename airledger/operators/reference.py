@@ -83,6 +83,14 @@ def classify_service(code: str, indexed: set[str]) -> str:
     return "indexed" if code in indexed else "not_indexed" if code in codes.RADIO_SERVICES else "unknown"
 
 
+def require_service(code: str, indexed: set[str]) -> str:
+    """The code if the registry has records of it; raises unknown_radio_service or service_not_indexed."""
+    found = classify_service(code, indexed)
+    if found != "indexed":
+        raise QueryError({"unknown": "unknown_radio_service"}.get(found, "service_not_indexed"), code)
+    return code
+
+
 def group_statistics(registry: Registry) -> DataFrame:
     """service_group: records, sites and frequency rows. Technical rows are counted by usi before they are joined."""
     per = lambda df, name: df.groupBy("usi").agg(F.count("*").alias(name))

@@ -49,6 +49,21 @@ def check_complete(files: list[Daily], known_codes: set[str], checkpoint: dt.dat
             raise QueryError("stale_checkpoint", code)
 
 
+def refresh_or_rebuild(refresh, rebuild) -> str:
+    """Refreshes; if the feed no longer reaches back to the checkpoint, rebuilds and refreshes once more.
+
+    rebuild returns False if it was not possible, in which case the first failure is raised. Returns what was done.
+    """
+    try:
+        refresh()
+    except QueryError as e:
+        if e.reason != "stale_checkpoint" or not rebuild():
+            raise
+        refresh()
+        return "rebuilt"
+    return "refreshed"
+
+
 def coverage_gaps(covered: DataFrame, key: str, day: str) -> DataFrame:
     """key and missing day: days without rows between each key's first and last, as a frame for many keys."""
     spans = covered.groupBy(key).agg(F.min(day).alias("__a"), F.max(day).alias("__b"))

@@ -161,3 +161,77 @@ def test_generations(spark, tmp_path):
     store.publish(name)
     assert store.current().statistics["licenses"] == 1500 and store.open().locations.count() == 6000
     assert store.new_name(dt.datetime(2026, 9, 27)) != name and store.collect_garbage(set()) == []
+
+
+def test_get_licence(spark):
+    from airledger.operators import reference
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    for bad, reason in (({}, "identifier_required"), ({"callsign": "K1", "usi": 1}, "identifier_required"), ({"usi": 1, "location_offset": 1, "location_number": 1}, "location_start_conflict")):
+        with pytest.raises(QueryError) as e:
+            detail.get_licence(reg, **bad)
+        assert e.value.reason == reason
+    made = detail.get_licence(reg, callsign="k 150", location_offset=1)
+    head = made["licence"].first()
+    assert head.callsign == "K150" and made["other_records"].count() == 2
+    assert [x.position for x in made["locations"].collect()][:1] == [1]
+    assert {x.location_number for x in made["sites"].collect()} <= {x.location_number for x in made["locations"].collect()}
+    assert detail.get_licence(reg, usi=head.usi, location_number=3)["locations"].count() <= made["locations"].count() + 1
+    assert list(detail.get_licence(reg, callsign="K1500")) == ["candidates"]
+    assert '"callsign":"K150"' in detail.licence_document(reg, "K150").first().document
+    with pytest.raises(QueryError, match="K1500"):
+        detail.licence_document(reg, "K1500")
+    assert reference.require_service("MW", {"MW"}) == "MW"
+    for code, reason in (("CL", "service_not_indexed"), ("??", "unknown_radio_service")):
+        with pytest.raises(QueryError) as e:
+            reference.require_service(code, {"MW"})
+        assert e.value.reason == reason
+
+
+def test_refresh_falls_back_once():
+    calls = []
+
+    def stale():
+        calls.append("refresh")
+        if calls.count("refresh") == 1:
+            raise QueryError("stale_checkpoint")
+
+    assert refresh.refresh_or_rebuild(stale, lambda: calls.append("rebuild") or True) == "rebuilt" and calls == ["refresh", "rebuild", "refresh"]
+    calls.clear()
+    with pytest.raises(QueryError):
+        refresh.refresh_or_rebuild(stale, lambda: False)
+
+
+def test_build_from_records(spark):
+    def line(type_, **values):
+        layout = records.LAYOUTS[type_]
+        fields = [type_] + [""] * (layout.fields - 1)
+        for position, name, _ in layout.columns():
+            fields[position - 1] = str(values.get(name, ""))
+        return "|".join(fields)
+
+    filed = {
+        "HD": [line("HD", usi=1, callsign="K1", license_status="a", radio_service_code="MW"), line("HD", usi=1, callsign="K9", license_status="A", radio_service_code="MW"), line("HD", usi=2, callsign="L000000001", license_status="E", radio_service_code="HA"), line("HD", usi=3, license_status="", radio_service_code="MW")],
+        "EN": [line("EN", usi=1, entity_type="L", entity_name="Acme L.L.C.", state="ND"), line("EN", usi=1, entity_type="CL", entity_name="contact"), line("EN", usi=2, entity_type="L", entity_name="A Person", part_1="A")],
+        "AM": [line("AM", usi=2, operator_class="E")],
+        "MK": [line("MK", usi=1, market_code="BTA001", market_name="Fargo, ND-MN")],
+        "LL": [line("LL", lease_usi=2, parent_usi=1)],
+        "LO": [line("LO", usi=1, location_number=1, lat_d=40, lat_m=30, lat_s=0, lat_h="N", lon_d=100, lon_m=0, lon_s=0, lon_h="W"), line("LO", usi=1, location_number=1, lat_d=0, lat_m=0, lat_s=0, lat_h="N", lon_d=0, lon_m=0, lon_s=0, lon_h="E"), line("LO", usi=2, location_number=1)],
+        "AN": [line("AN", usi=1, location_number=1, antenna_number=""), line("AN", usi=1, location_number=1, antenna_number="x")],
+        "FR": [line("FR", usi=1, location_number=1, antenna_number=1, freq_seq_id=1, frequency_mhz=470), line("FR", usi=1, location_number=1, antenna_number=1, freq_seq_id=2, frequency_mhz=100, upper_mhz=101)],
+        "EM": [line("EM", usi=1, location_number=1, antenna_number=1, freq_seq_id=1, emission_code=c) for c in ("11K2F3E", "6M00D1D", "5G75C3F", "11K2F3E")],
+        "MF": [line("MF", usi=1, lower=700, upper=710), line("MF", usi=1, lower=0, upper=5)],
+        "PA": [line("PA", usi=1, path_number=1, location_number=1, antenna_number=1, receive_location_number=2, passive_receiver="y")],
+    }
+    decoded = {t: records.decode(spark.createDataFrame([(x, i) for i, x in enumerate(own)], "value string, _seq long"), t) for t, own in filed.items()}
+    reg = build.build(decoded)
+    got = {x.usi: x for x in reg.licenses.collect()}
+    assert sorted(got) == [1, 2] and got[1].callsign == "K1" and got[1].market_states == ["ND", "MN"] and not got[1].is_individual
+    assert got[2].is_individual and got[2].is_lease and got[2].operator_class == "E"
+    assert [(x.site_seq, x.lat, x.lon) for x in reg.locations.orderBy("site_seq").collect()] == [(1, 40.5, -100.0), (2, None, None)]
+    fr = {x.freq_seq_id: x for x in reg.frequencies.collect()}
+    assert fr[1].emissions == ["11K2F3E", "5G75C3F", "6M00D1D"] and (fr[1].bandwidth_mhz, fr[1].occ_low, fr[1].occ_high, fr[1].band_class) == (6.0, 467.0, 473.0, 3)
+    assert (fr[2].bandwidth_mhz, fr[2].occ_low, fr[2].occ_high, fr[2].band_class) == (None, 100.0, 101.0, 0)
+    assert reg.antennas.count() == 1 and [x.band_class for x in reg.market_blocks.orderBy("lower").collect()] == [None, 4]
+    assert [x.passive_receiver for x in reg.paths.collect()] == [True] and reg.lease_links.count() == 1
