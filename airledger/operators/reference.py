@@ -100,9 +100,9 @@ def group_statistics(registry: Registry) -> DataFrame:
 
 def widest_bands(registry: Registry) -> DataFrame:
     """One row: widest occupied site band and widest market block, in MHz."""
-    site = registry.frequencies.agg(F.max(F.col("occ_high") - F.col("occ_low")).alias("widest_site_mhz"))
-    market = registry.market_blocks.where("lower > 0").agg(F.max(F.coalesce("upper", "lower") - F.col("lower")).alias("widest_market_mhz"))
-    return site.crossJoin(market)  # one row beside one row
+    site = registry.frequencies.agg(F.max(F.col("occ_high") - F.col("occ_low"))).scalar()
+    market = registry.market_blocks.where("lower > 0").agg(F.max(F.coalesce("upper", "lower") - F.col("lower"))).scalar()
+    return registry.frequencies.sparkSession.range(1).select(site.alias("widest_site_mhz"), market.alias("widest_market_mhz"))
 
 
 def verify(upstream: DataFrame, statistics: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ MARKED = marked_letters()
 
 def folded(column: Column | str) -> Column:
     """Lower case without diacritics, in the JVM: letters with marks are mapped to their base, other marks cut."""
-    return F.lower(F.regexp_replace(F.translate(column, *MARKED), r"\p{M}+", ""))
+    own = F.col(column) if isinstance(column, str) else column
+    bare = F.regexp_replace(F.translate(own, *MARKED), r"\p{M}+", "")
+    return F.lower(F.when(own.rlike(r"[^\x00-\x7F]"), bare).otherwise(own))
 
 
 def normalised(column: Column | str) -> Column:
@@ -36,22 +38,21 @@ def rank(df: DataFrame, key: str, name: str, phrases: list[list[str]]) -> DataFr
     """key and score of the rows whose name has every phrase; a lower score is a better match.
 
     score = -sum of idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)), with idf = ln((N - n + 0.5) /
-    (n + 0.5)), at least 1e-6; N, n and the mean are of all rows, not of those that match. One scan counts, one
-    scores; the counts are a single row.
+    (n + 0.5)), at least 1e-6; N, n and the mean are of all rows, not of those that match: they are one scalar
+    subquery, a scan beside the one that scores.
     """
     if not phrases:
         raise ValueError("no word to search")
-    names = df.select(key, normalised(F.col(name)).alias("names")).where(F.trim("names") != "")
-    terms = F.length("names") - F.length(F.replace(F.col("names"), F.lit(" "))) - 1
+    names = df.select(key, normalised(F.coalesce(F.col(name), F.lit(""))).alias("names"))
+    terms = F.when(F.trim("names") == "", 0).otherwise(F.length("names") - F.length(F.replace(F.col("names"), F.lit(" "))) - 1)
     hits = names.select(key, terms.alias("len"), *[_occurrences(F.col("names"), p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    counts = hits.agg(F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    total = df.agg(F.count("*").alias("N"), F.count(F.lit(1)).alias("__one"))
+    having = [F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]
+    counts = hits.agg(F.struct(F.count("*").alias("N"), F.avg(F.nullif("len", F.lit(0))).alias("mean"), *having).alias("counts")).scalar()
     found = hits.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))
-    stats = counts.crossJoin(total)  # one row beside one row
-    scored = found.join(F.broadcast(stats), F.lit(True))
+    counted = found.withColumn("counts", counts).select("*", "counts.*")
     score = F.lit(0.0)
     for i in range(len(phrases)):
         n, tf = F.col(f"n{i}"), F.col(f"tf{i}")
         idf = F.greatest(F.log((F.col("N") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return scored.select(key, (-score).alias("score"))
+    return counted.select(key, (-score).alias("score"))
