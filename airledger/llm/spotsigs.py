@@ -165,7 +165,7 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
         last = None  # the document that waits for its successor
         made: list[tuple] = []
 
-        def finish(text: str, raw: bytes, sigs) -> None:
+        def finish(text: str, sigs) -> None:
             doc, own, own_sigs = last[0], last[1], last[2]
             half = len(own) // 2
             edited = (own[: len(own) - half] + text[:half]).encode()
@@ -185,9 +185,9 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
                 text, number, is_guest = text.as_py(), number.as_py(), is_guest.as_py()
                 if is_guest and (last is None or last[3] != number):
                     continue
-                sigs = _hashes(words(raw := text.encode()), known)
+                sigs = _hashes(words(text.encode()), known)
                 if last is not None and last[3] == number:
-                    finish(text, raw, sigs)
+                    finish(text, sigs)
                 last = None if is_guest else (doc.as_py(), text, sigs, number)
                 held_chars += len(text)
                 if held_chars > 4_000_000:
