@@ -5,18 +5,20 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, map_texts, stored
+from .common import Known, map_texts, shared_dir, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Documents of one shard of the index: bounded work and memory for each, whatever the input's size.
-SHARD_DOCS = 256
+#: Seeds that are scored at once, documents that each gets listed then, and documents that are listed whole at the end.
+#: They bound memory only: a seed whose list is used up is scored again.
+SEEDS_AT_ONCE, LISTED, LAST_DOCS = 16_384, 16, 1024
 K1, B = 1.2, 0.75
 
 
@@ -137,7 +139,7 @@ def token_statistics(tokens: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """A BM25 inverted index of the documents of one shard, with idf and mean length of the whole corpus."""
+    """A BM25 inverted index of documents held in memory, with idf and mean length of the whole corpus."""
 
     def __init__(self, docs: list, idf, mean: float):
         import numpy as np
@@ -168,108 +170,339 @@ class Shard:
                 yield i
 
 
-def pack_shard(docs: list, idf, mean: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of pieces that hold each id of each document once.
+class Seeds:
+    """Seeds as queries: (id, distinct token ids) of each, scored against blocks of documents."""
 
-    The seed is what is left of the last neighbour, or else the first unused document; its neighbours fill the window,
-    and one that doesn't fit is cut there. So only a shard's last window can be short: it becomes sequences whose
-    lengths are powers of two, which need no padding.
+    BLOCK = 512
+
+    def __init__(self, tokens: list, ids, df, rows: int):
+        import numpy as np
+
+        self.tokens, self.ids = tokens, ids
+        #: Tokens of one document in 32 or more are columns of a dense product; a document has few of the others.
+        self.common = np.full(65_536, -1, np.int32)
+        often = np.flatnonzero(df * 32 >= rows)
+        self.common[often] = np.arange(len(often))
+        self.width = len(often)
+
+    def scores(self, docs: list, ids) -> Iterator[tuple[int, object]]:
+        """(first seed, scores of that block's seeds by document) for docs, a list of (token ids, BM25 weights)."""
+        import numpy as np
+
+        n = len(docs)
+        sizes = np.array([len(t) for t, _ in docs])
+        flat, owner, weight = np.concatenate([t for t, _ in docs]).astype(np.int64), np.repeat(np.arange(n), sizes), np.concatenate([w for _, w in docs])
+        column = self.common[flat]
+        dense = np.zeros((self.width, n), np.float32)
+        dense[column[column >= 0], owner[column >= 0]] = weight[column >= 0]
+        rare = np.flatnonzero(column < 0)
+        rare = rare[np.argsort(flat[rare], kind="stable")]
+        bounds = np.searchsorted(flat[rare], np.arange(65_537))
+        owner, weight = owner[rare], weight[rare]
+        # Scores that are equal but for rounding go by a hash of both documents, so that copies of a seed differ in order.
+        mixed = ((ids * 40_503) >> 4).astype(np.uint16)
+        for first in range(0, len(self.tokens), self.BLOCK):
+            part = self.tokens[first : first + self.BLOCK]
+            row, token = np.repeat(np.arange(len(part)), [len(t) for t in part]), np.concatenate(part).astype(np.int64)
+            column = self.common[token]
+            asked = np.zeros((len(part), self.width), np.float32)
+            asked[row[column >= 0], column[column >= 0]] = 1
+            out = asked @ dense
+            row, token = row[column < 0], token[column < 0]
+            a, count = bounds[token], bounds[token + 1] - bounds[token]
+            if total := int(count.sum()):
+                at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(total)
+                out += np.bincount(np.repeat(row * n, count) + owner[at], weight[at], minlength=out.size).reshape(out.shape).astype(np.float32)
+            mine = ((self.ids[first : first + self.BLOCK] * 30_011) >> 4).astype(np.uint16)
+            out *= 1 + (mine[:, None] ^ mixed[None, :]) * np.float32(1e-6 / 65_536)
+            yield first, out
+
+
+class Best:
+    """The best `most` documents of each seed so far, over any number of blocks of documents."""
+
+    def __init__(self, seeds: Seeds, most: int):
+        import numpy as np
+
+        self.seeds, self.most = seeds, most
+        self.score = np.full((len(seeds.tokens), most), -1, np.float32)
+        self.doc = np.full((len(seeds.tokens), most), -1, np.int64)
+
+    def add(self, docs: list, ids) -> None:
+        """Ranks docs (token ids, weights) of these ids too."""
+        import numpy as np
+
+        for first, scores in self.seeds.scores(docs, ids):
+            block = slice(first, first + len(scores))
+            old, m = self.score[block], self.most
+            if scores.shape[1] > m:
+                least = np.maximum(old[:, -1], -np.partition(-scores, m - 1, axis=1)[:, m - 1]) if old[0, -1] < 0 else old[:, -1]
+                row, col = np.nonzero(scores >= least[:, None])
+            else:
+                row, col = np.indices(scores.shape).reshape(2, -1)
+            self.score[block], self.doc[block] = merged(
+                np.concatenate([np.repeat(np.arange(len(scores)), m), row]), np.concatenate([old.ravel(), scores[row, col]]), np.concatenate([self.doc[block].ravel(), ids[col]]), len(scores), m
+            )
+
+
+def merged(row, score, doc, rows: int, most: int):
+    """(scores, documents) of the best `most` entries of each row, best first and then by document."""
+    import numpy as np
+
+    order = np.lexsort((doc, -score, row))
+    row, score, doc = row[order], score[order], doc[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]
+    keep = place < most
+    best, of = np.full((rows, most), -1, np.float32), np.full((rows, most), -1, np.int64)
+    best[row[keep], place[keep]], of[row[keep], place[keep]] = score[keep], doc[keep]
+    return best, of
+
+
+class Packer:
+    """Sequences as they fill: documents, by number, are put to the open sequence of a seed and cut where it is full.
+
+    Only sizes and flags of the documents are held, a few bytes each.
     """
-    shard = Shard(docs, idf, mean)
-    pieces: list[tuple[int, int, int, int, int]] = []
-    sequence = fill = 0
-    seed, order = 0, iter(())
-    at = 0  # first document that may be unused
-    placed = 0
-    while placed < len(docs):
-        doc = next(order, None) if fill else None
-        if doc is None:
-            while not shard.unused[at]:
-                at += 1
-            doc = at
-        shard.unused[doc] = False
-        placed += 1
-        if not fill:
-            seed, order = doc, iter(())
-        start, n = 0, len(docs[doc])
+
+    def __init__(self, sizes, window: int = WINDOW):
+        import numpy as np
+
+        self.sizes, self.window = sizes, window
+        self.unused = np.ones(len(sizes), bool)
+        self.open: dict[int, list] = {}  # seed: [pieces (document, start, length)], filled
+        self.sequence = 0
+        self.pieces: list[tuple[int, int, int, int, int]] = []
+
+    def _close(self, own: list) -> None:
+        offset = 0
+        for doc, start, length in own:
+            self.pieces.append((doc, start, length, self.sequence, offset))
+            offset += length
+        self.sequence += 1
+
+    def put(self, seed: int, doc: int) -> None:
+        """Puts a whole document into the seed's sequence; where that gets full, what is left opens one of its own."""
+        own = self.open.pop(seed, [])
+        self.unused[doc] = False
+        start, n, fill = 0, int(self.sizes[doc]), sum(p[2] for p in own)
         while start < n:
-            length = min(n - start, window - fill)
-            pieces.append((doc, start, length, sequence, fill))
+            length = min(n - start, self.window - fill)
+            own.append((doc, start, length))
             start, fill = start + length, fill + length
-            if fill == window:
-                sequence, fill, seed, order = sequence + 1, 0, doc, iter(())
-        if fill and placed < len(docs) and doc == seed:
-            order = shard.neighbours(seed)
-    if fill:
-        last = [p for p in pieces if p[3] == sequence]
-        pieces = pieces[: len(pieces) - len(last)]
-        room = 1 << (fill.bit_length() - 1)
-        used = 0
-        for doc, start, length, _, _ in last:
-            while length:
-                take = min(length, room - used)
-                pieces.append((doc, start, take, sequence, used))
-                start, length, used, fill = start + take, length - take, used + take, fill - take
-                if used == room and fill:
-                    sequence, used, room = sequence + 1, 0, 1 << (fill.bit_length() - 1)
-    return pieces
-
-
-_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, shard long"
-
-
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
+            if fill == self.window:
+                self._close(own)
+                own, fill, seed = [], 0, doc
+        if own:
+            self.open[seed] = own
+
+    def run(self, seed: int, ranked: Iterator[int]) -> None:
+        """Fills a seed's sequence with its best unused documents; an unused seed comes first, a used one must be open."""
+        if self.unused[seed]:
+            self.put(seed, seed)
+        if seed not in self.open:
+            return
+        for doc in ranked:
+            if self.unused[doc]:
+                self.put(seed, doc)
+                if seed not in self.open:
+                    return
+
+    def finish(self) -> None:
+        """Sequences that no document is left for are joined; the last becomes ones of power-of-two lengths."""
+        rest = [list(p) for own in self.open.values() for p in own]
+        self.open, left = {}, sum(p[2] for p in rest)
+        while left:
+            room, own = min(self.window, 1 << (left.bit_length() - 1)), []
+            left -= room
+            while room:
+                doc, start, length = rest[0]
+                take = min(length, room)
+                own.append((doc, start, take))
+                room -= take
+                rest[0][1:] = start + take, length - take
+                if take == length:
+                    rest.pop(0)
+            self._close(own)
+
+
+_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+_VECTORS = "rid long, n long, terms binary, weights binary"
+
+
+def vectors(tokens: DataFrame, idf, mean: float) -> DataFrame:
+    """rid, n (token ids), terms (distinct ids, 16-bit) and weights (their BM25 weights, 32-bit) of rows (rid, ids)."""
+    held = tokens.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        idf = held.value
+        for batch in batches:
+            made: tuple[list, list, list] = ([], [], [])
+            for raw in batch.column(1):
+                ids = np.frombuffer(raw.as_py(), np.uint16)
+                terms, tf = distinct(ids)
+                made[0].append(len(ids))
+                made[1].append(terms.tobytes())
+                made[2].append((idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[0], pa.int64()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.binary())], names=["rid", "n", "terms", "weights"])
+
+    return tokens.select("rid", "ids").mapInArrow(run, _VECTORS)
+
+
+def _number(rids, firsts):
+    """Places 0, 1, 2... of rows, of ids that have a partition above 33 bits and a row of it below."""
+    return firsts[rids >> 33] + (rids & (1 << 33) - 1)
+
+
+def _chosen(vectors: DataFrame, firsts, want) -> tuple:
+    """(numbers, term ids, weights) of the rows whose number is flagged in want, by number."""
+    import numpy as np
+
+    held = vectors.sparkSession.sparkContext.broadcast((firsts, np.packbits(want)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, bits = held.value
+        for batch in batches:
+            at = _number(batch.column(0).to_numpy(), firsts)
+            yield batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+
+    found = vectors.mapInArrow(run, _VECTORS).toArrow()
+    held.unpersist()
+    numbers = _number(found.column("rid").to_numpy(), firsts)
+    order = np.argsort(numbers)
+    terms, weights = found.column("terms").to_pylist(), found.column("weights").to_pylist()
+    return numbers[order], [np.frombuffer(terms[i], np.uint16) for i in order], [np.frombuffer(weights[i], np.float32) for i in order]
+
+
+def ranked(vectors: DataFrame, seeds: Seeds, unused, firsts, most: int):
+    """The best `most` unused documents of all rows for each seed, best first (-1 where there are no more)."""
+    import numpy as np
+
+    context = vectors.sparkSession.sparkContext
+    held = context.broadcast((seeds, firsts, np.packbits(unused)))
+    block = Seeds.BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, firsts, bits = held.value
+        best, docs, ids = Best(seeds, most), [], []
+
+        def flush() -> None:
+            if docs:
+                best.add(docs, np.array(ids))
+            docs.clear()
+            ids.clear()
+
+        for batch in batches:
+            at = _number(batch.column(0).to_numpy(), firsts)
+            for i in np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)) & 1).tolist():
+                docs.append((np.frombuffer(batch.column(2)[i].as_py(), np.uint16), np.frombuffer(batch.column(3)[i].as_py(), np.float32)))
+                ids.append(at[i])
+                if len(docs) == 2048:
+                    flush()
+        flush()
+        parts = range(0, len(seeds.tokens), block)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(parts), pa.int64()), pa.array([best.score[p : p + block].tobytes() for p in parts], pa.binary()), pa.array([best.doc[p : p + block].tobytes() for p in parts], pa.binary())],
+            names=["part", "score", "doc"],
+        )
+
+    def join(found: pa.Table) -> pa.Table:
+        part = found.column("part")[0].as_py()
+        score, doc = (np.concatenate([np.frombuffer(x.as_py(), t).reshape(-1, most) for x in found.column(c)]) for c, t in (("score", np.float32), ("doc", np.int64)))
+        rows = len(score) // found.num_rows
+        score, doc = merged(np.repeat(np.tile(np.arange(rows), found.num_rows), most), score.ravel(), doc.ravel(), rows, most)
+        return pa.table({"part": [part], "doc": pa.array([doc.tobytes()], pa.binary())})
+
+    rows = vectors.coalesce(2 * context.defaultParallelism).mapInArrow(run, "part long, score binary, doc binary")
+    got = rows.groupBy("part").applyInArrow(join, "part long, doc binary").toArrow().to_pylist()
+    held.unpersist()
+    return np.concatenate([np.frombuffer(r["doc"], np.int64).reshape(-1, most) for r in sorted(got, key=lambda r: r["part"])])
+
+
+def pack(
+    docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, seeds_at_once: int = SEEDS_AT_ONCE, listed: int = LISTED, last_docs: int = LAST_DOCS
+) -> DataFrame:
     """Pieces of all docs (doc_id, text), packed into sequences of `window` token ids.
 
-    Returns doc_id, start, length, ids (the piece's, as little-endian 32-bit numbers), doc_tokens, sequence_id, offset and
-    shard; a sequence is its pieces' ids by offset. Token ids are written once to the shared folder. Document frequencies are counted
-    over all of them; their table has at most one row for each entry of the vocabulary and is what the tasks get. Runs
-    of shard_docs documents of a partition are the index's shards, so nothing is shuffled and a hot source is cut like
-    any other. Null texts are packed as the end id alone; null and repeated doc_ids are packed row by row.
+    Returns doc_id, start, length, ids (the piece's, as little-endian 32-bit numbers), doc_tokens, sequence_id and offset;
+    a sequence is its pieces' ids by offset. Null texts are packed as the end id alone; null and repeated doc_ids are
+    packed row by row.
+
+    A seed is what is left of a document that was cut, or else the first unused one. Its sequence takes the best of all
+    unused documents by the BM25 score for the seed's distinct tokens, over and over; one that doesn't fit is cut there.
+    For up to seeds_at_once seeds at a time, every unused document is scored, and each gets its `listed` best. They take
+    their turns, skipping what was taken since the scoring, so what a seed takes is still the best; one whose list is
+    used up waits for the next scoring. That is seeds times documents in all. The last last_docs documents are listed
+    whole. Only the last sequences can be short: their lengths are powers of two, so there is no padding.
+
+    Token ids and BM25 weights are written once to the shared folder; the driver holds each document's size and a flag.
     """
     import numpy as np
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = stored(tokenize(ids, path, end_id), "tokens")
+    tokens = stored(tokenize(ids, path, end_id).withColumn("rid", F.monotonically_increasing_id()), "tokens")
     spark = docs.sparkSession
     rows, total, df = tokens.count(), 0, np.zeros(65_536, np.float64)
     for r in token_statistics(tokens).collect():
         df[r["token"]] = r["df"]
         total += r["total"]
     idf = np.log(1 + (rows - df + 0.5) / (df + 0.5)).astype(np.float32)
-    held = spark.sparkContext.broadcast((idf, max(1.0, total / max(1, rows))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        idf, mean = held.value
-        first, shards, names, waiting = TaskContext.get().partitionId() << 36, 0, [], []
-
-        def emit() -> pa.RecordBatch:
-            nonlocal shards
-            base, sizes = first + (shards << 20), [len(d) for d in waiting]
-            made = pack_shard(waiting, idf, mean, window)
-            ids = [waiting[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in made]
-            columns = [
-                pa.array([names[p[0]] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64()), pa.array([p[2] for p in made], pa.int64()),
-                pa.array(ids, pa.binary()), pa.array([sizes[p[0]] for p in made], pa.int64()), pa.array([base + p[3] for p in made], pa.int64()),
-                pa.array([p[4] for p in made], pa.int64()), pa.array([(first >> 20) + shards] * len(made), pa.int64()),
-            ]
-            shards += 1
-            names.clear()
-            waiting.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "shard"])
-
-        held_ids = 0
+    if not rows:
+        return spark.createDataFrame([], _PIECES)
+    index = stored(vectors(tokens, idf, max(1.0, total / rows)), "vectors")
+
+    counts = {r["p"]: r["n"] for r in index.groupBy(F.shiftright("rid", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
+    firsts = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts) + 1))])
+    held = index.select("rid", "n").toArrow()
+    sizes = np.zeros(rows, np.int32)
+    sizes[_number(held.column("rid").to_numpy(), firsts)] = held.column("n").to_numpy()
+    del held
+
+    packer, made = Packer(sizes, window), f"{shared_dir(spark)}/airledger-llm/pieces-{uuid.uuid4().hex}"
+
+    def write() -> None:
+        number, start, length, sequence, offset = np.array(packer.pieces, np.int64).reshape(-1, 5).T
+        part = np.searchsorted(firsts, number, side="right") - 1
+        columns = {"rid": part << 33 | number - firsts[part], "start": start, "length": length, "sequence_id": sequence, "offset": offset}
+        spark.createDataFrame(pa.table(columns)).coalesce(4).write.mode("append").parquet(made)
+        packer.pieces.clear()
+
+    while True:
+        left = np.flatnonzero(packer.unused)
+        if not len(left):
+            break
+        last = len(left) <= last_docs and len(packer.open) <= last_docs
+        most = len(left) if last else listed
+        # A quarter of the sequences to come at most, so that lists aren't used up before the next scoring.
+        some = len(left) if last else max(64, min(seeds_at_once, int(sizes[left].sum()) // window // 4))
+        turn = list(packer.open)[: len(packer.open) if last else some]
+        turn += left[: max(0, some - len(turn)) if not last else len(left)].tolist()
+        want = np.zeros(rows, bool)
+        want[turn] = True
+        numbers, terms, _ = _chosen(index, firsts, want)
+        lists = ranked(index, Seeds(terms, numbers, df, rows), packer.unused, firsts, most)
+        at = dict(zip(numbers.tolist(), range(len(numbers)), strict=True))
+        for seed in turn:
+            while packer.unused[seed] or seed in packer.open:
+                before = seed
+                packer.run(seed, (d for d in lists[at[seed]].tolist() if d >= 0))
+                # What was cut off the last document goes on at once if its list is at hand.
+                seed = next(reversed(packer.open), seed)
+                if seed == before or seed not in at:
+                    break
+        if len(packer.pieces) > 100_000:
+            write()
+    packer.finish()
+    write()
+
+    pieces = spark.read.parquet(made).groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("at"))
+    cut = tokens.join(pieces, "rid").select("doc_id", "ids", F.expr("length(ids) div 2").alias("doc_tokens"), F.explode("at").alias("p"))
+    cut = cut.select("doc_id", "p.start", "p.length", F.expr("substring(ids, int(2 * p.start + 1), int(2 * p.length))").alias("ids"), "doc_tokens", "p.sequence_id", "p.offset")
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                waiting.append(np.frombuffer(raw.as_py(), np.uint16))
-                names.append(name)
-                held_ids += len(waiting[-1])
-                if len(waiting) >= shard_docs or held_ids > shard_docs * 16_384:
-                    yield emit()
-                    held_ids = 0
-        if waiting:
-            yield emit()
-
-    return tokens.mapInArrow(run, _PIECES)
+            wide = [np.frombuffer(x.as_py(), np.uint16).astype("<u4").tobytes() for x in batch.column(3)]
+            yield batch.set_column(3, "ids", pa.array(wide, pa.binary()))
+
+    return cut.mapInArrow(widen, _PIECES)

@@ -364,6 +364,40 @@ def test_packing(spark):
     assert packing.pack(frame(spark, EMPTY)).count() == 0
 
 
+def test_packing_reaches_all_documents(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
+    common, far = [word() for _ in range(400)], 400
+    topics = [[word() for _ in range(30)] for _ in range(far)]
+    rows = [(i, " ".join(r.choice(topics[i % far] if r.random() < 0.5 else common) for _ in range(150)), "en") for i in range(2 * far)]
+    pieces = packing.pack(frame(spark, rows).coalesce(1), window=512, seeds_at_once=64, listed=4, last_docs=100).collect()
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+    sequences = {}
+    for p in pieces:
+        sequences.setdefault(p.doc_id, set()).add(p.sequence_id)
+    assert sum(bool(sequences[i] & sequences[i + far]) for i in range(far)) >= 0.6 * far
+
+
+def test_listed_neighbours_are_the_best_of_all_blocks():
+    r = np.random.default_rng(3)
+    docs = [np.append(r.zipf(1.3, r.integers(1, 200)) % 900 + 2, 1).astype(np.uint16) for _ in range(700)]
+    df, mean = np.zeros(65_536), float(np.mean([len(d) for d in docs]))
+    for d in docs:
+        df[np.unique(d)] += 1
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    terms = [packing.distinct(d) for d in docs]
+    weights = [(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean))).astype(np.float32) for (t, n), d in zip(terms, docs, strict=True)]
+    best = packing.Best(packing.Seeds([t for t, _ in terms], np.arange(700), df, 700), 9)
+    for a in range(0, 700, 100):
+        best.add([(terms[i][0], weights[i]) for i in range(a, a + 100)], np.arange(a, a + 100))
+    table = np.zeros((700, 65_536), np.float32)
+    for i in range(700):
+        table[i, terms[i][0]] = weights[i]
+    for i in range(700):
+        scores = table[:, terms[i][0]].sum(axis=1)
+        assert np.allclose(scores[best.doc[i]], np.sort(scores)[::-1][:9], rtol=1e-4)
+
+
 def test_neighbours_are_ranked_by_bm25():
     docs = [np.array(d, np.uint16) for d in ([5, 6, 7, 1], [5, 6, 7, 8, 1], [9, 9, 9, 1], [5, 1])]
     shard = packing.Shard(docs, np.ones(65_536, np.float32), 4.0)
