@@ -32,7 +32,10 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def join_licences(hd: DataFrame, en: DataFrame, am: DataFrame, mk: DataFrame, service_group: Column | None = None) -> DataFrame:
-    """Licences: first HD row of each usi with status and service, with its licensee, amateur and market records."""
+    """Licences: first HD row of each usi with status and service, with its licensee, amateur and market records.
+
+    Their service group is that of the HD row, which decode keeps of read_bulk's lines, unless another is given.
+    """
     head = first_rows(hd.where("license_status IS NOT NULL AND radio_service_code IS NOT NULL"), ["usi"], ["_seq"])
     who = first_rows(en.where("entity_type = 'L'"), ["usi"], ["_seq"]).select("usi", F.col("entity_name").alias("licensee_name"), F.col("city").alias("licensee_city"), F.col("state").alias("licensee_state"), "frn", "applicant_type", "has_name_parts")
     amateur = first_rows(am, ["usi"], ["_seq"]).drop("_seq")
@@ -41,7 +44,7 @@ def join_licences(hd: DataFrame, en: DataFrame, am: DataFrame, mk: DataFrame, se
     return joined.withColumns(
         {
             "market_states": C.market_states(F.col("market_name")),
-            "service_group": F.lit(None).cast("string") if service_group is None else service_group,
+            "service_group": service_group if service_group is not None else F.col("service_group") if "service_group" in hd.columns else F.lit(None).cast("string"),
             "is_individual": C.is_individual(F.col("applicant_type"), F.col("radio_service_code"), F.col("has_name_parts"), F.col("licensee_name")),
             "is_lease": C.is_lease(F.col("callsign")),
         }

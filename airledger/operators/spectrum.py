@@ -122,20 +122,24 @@ def market_assignments(registry: Registry, search: SpectrumSearch, redaction: bo
 ORDER = [paging.Key("frequency_mhz"), paging.Key("kind_order"), paging.Key("usi"), paging.Key("location_key"), paging.Key("upper_key")]
 
 
-def search_frequencies(registry: Registry, search: SpectrumSearch, redaction: bool = True) -> DataFrame:
-    """Both sides as one frame with the ordering columns; at an equal frequency a market block comes first."""
+def search_frequencies(registry: Registry, search: SpectrumSearch, redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> DataFrame:
+    """Both sides as one frame with the ordering columns; at an equal frequency a market block comes first.
+
+    area_states and county_prefix are those of state_rule, for searches with a state.
+    """
     sides = []
     if search.kind in ("site", "both"):
         site = site_assignments(registry, search, redaction).withColumns({"kind": F.lit("site"), "kind_order": F.lit(1)})
         sides.append(site.withColumns({"location_key": F.coalesce("location_number", F.lit(0)).cast("long"), "upper_key": F.coalesce("upper_mhz", F.lit(0.0))}))
     if search.kind in ("market", "both"):
-        market = market_assignments(registry, search, redaction).withColumns({"kind": F.lit("market"), "kind_order": F.lit(0), "location_key": F.lit(0).cast("long"), "upper_key": F.coalesce("upper", F.lit(0.0))})
+        market = market_assignments(registry, search, redaction, area_states, county_prefix).withColumns({"kind": F.lit("market"), "kind_order": F.lit(0), "location_key": F.lit(0).cast("long"), "upper_key": F.coalesce("upper", F.lit(0.0))})
         sides.append(market.withColumnRenamed("lower", "frequency_mhz").withColumnRenamed("upper", "upper_mhz"))
     out = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1], allowMissingColumns=True)
     return redact(out.withColumn("service_label", C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)), redaction)
 
 
-def frequency_page(registry: Registry, search: SpectrumSearch, limit: int = 50, cursor: str | None = None, generation: str = "", redaction: bool = True) -> paging.Page:
+def frequency_page(registry: Registry, search: SpectrumSearch, limit: int = 50, cursor: str | None = None, generation: str = "", redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> paging.Page:
     """A page of search_frequencies with an exact total."""
-    binding = (generation, "f", paging.digest(asdict(search)))
-    return paging.page(search_frequencies(registry, search, redaction), ORDER, parameters.clamp(limit, 200), binding, cursor)
+    asked = asdict(search) if county_prefix is None else asdict(search) | {"county_prefix": county_prefix}
+    binding = (generation, "f", paging.digest(asked))
+    return paging.page(search_frequencies(registry, search, redaction, area_states, county_prefix), ORDER, parameters.clamp(limit, 200), binding, cursor)

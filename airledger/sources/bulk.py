@@ -70,11 +70,17 @@ class BulkZipReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.root, self.type = options["path"], options["type"]
+        self.root = re.sub("^file:/+", "/", self.root)
+        self.named = "groups" in options
         self.groups = options.get("groups", " ".join(codes.DEFAULT_SERVICE_GROUPS)).split()
 
     def partitions(self) -> list[_Entry]:
-        """Zips that exist; a missing group is left out here and reported by the caller's manifest."""
-        return [_Entry(p, g, f"{self.type}.dat") for g in self.groups if Path(p := group_path(self.root, g)).exists()]
+        """The zips of the groups asked for, each of which must exist; by default those that exist, at least one."""
+        paths = {g: group_path(self.root, g) for g in self.groups}
+        missing = [p for p in paths.values() if not Path(p).exists()]
+        if missing and (self.named or len(missing) == len(paths)):
+            raise QueryError("missing_zip", ", ".join(missing))
+        return [_Entry(p, g, f"{self.type}.dat") for g, p in paths.items() if p not in missing]
 
     def read(self, partition: _Entry) -> Iterator[tuple]:
         """Lines split at line feeds, one trailing carriage return cut, empty ones left out."""
@@ -108,10 +114,15 @@ class BulkZip(DataSource):
 
 
 def read_bulk(spark: SparkSession, root: str, type_: str, groups: list[str] | None = None) -> DataFrame:
-    """service_group, _seq and value of every line of a record type in the weekly snapshots of groups."""
+    """service_group, _seq and value of every line of a record type in the weekly snapshots of groups.
+
+    A zip is one task, so its lines are dealt to all tasks before they are decoded. Raises if a group that is named has
+    no zip, or none of the default ones has.
+    """
     spark.dataSource.register(BulkZip)
     reader = spark.read.format("bulk_zip").option("type", type_)
-    return (reader.option("groups", " ".join(groups)) if groups else reader).load(root)
+    lines = (reader.option("groups", " ".join(groups)) if groups is not None else reader).load(root)
+    return lines.repartition(max(1, spark.sparkContext.defaultParallelism), "service_group", "_seq")
 
 
 @dataclass(frozen=True)

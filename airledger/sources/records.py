@@ -74,7 +74,8 @@ def _typed(lines: DataFrame, type_: str) -> DataFrame:
     """One struct of trimmed fields by name for each line, then their values; __ok says whether the line is accepted."""
     layout = LAYOUTS[type_]
     trimmed = F.struct(*[C.text(F.col("__f")[position - 1]).alias(name) for position, name, _ in layout.columns()])
-    own = split(lines, type_).select("_seq", F.col("__f").isNotNull().alias("__shape"), F.explode(F.array(trimmed)).alias("__t"))
+    kept = [c for c in ("_seq", "service_group") if c in lines.columns and (c == "_seq" or type_ == "HD")]
+    own = split(lines, type_).select(*kept, F.col("__f").isNotNull().alias("__shape"), F.explode(F.array(trimmed)).alias("__t"))
     values = {name: _KINDS[kind](F.col(f"__t.{name}")) for _, name, kind in layout.columns()}
     ok = F.col("__shape")
     for _, name, kind in layout.columns():
@@ -82,11 +83,11 @@ def _typed(lines: DataFrame, type_: str) -> DataFrame:
             ok = ok & values[name].isNotNull()
         elif kind == "o":
             ok = ok & (values[name].isNotNull() | F.col(f"__t.{name}").isNull())
-    return own.select("_seq", ok.alias("__ok"), *[v.alias(n) for n, v in values.items()])
+    return own.select(*kept, ok.alias("__ok"), *[v.alias(n) for n, v in values.items()])
 
 
 def decode(lines: DataFrame, type_: str) -> DataFrame:
-    """Typed records of one type with _seq; lines with a wrong shape or a missing or malformed key are left out."""
+    """Typed records of one type with _seq, heads (HD) with service_group if lines have it; lines with a wrong shape or a missing or malformed key are left out."""
     made = _typed(lines, type_).where("__ok").drop("__ok")
     if type_ == "HD":
         return made

@@ -72,6 +72,37 @@ def test_bulk_zip(spark, tmp_path):
     assert [(x.name, x.modified is None) for x in bulk.parse_listing(page)] == [("b.zip", False), ("l_am_sun.zip", True)]
 
 
+def test_bulk_zip_misses_nothing(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "complete").mkdir()
+    head = lambda usi: "|".join(["HD", usi, "", "", "K1", "A", "MW"] + [""] * (records.LAYOUTS["HD"].fields - 7))
+    with zipfile.ZipFile(tmp_path / "complete/l_micro.zip", "w") as z:
+        z.writestr("HD.dat", "\n".join(head(str(i)) for i in range(1, 200)))
+    got = bulk.read_bulk(spark, f"file://{tmp_path}", "HD", ["micro"])
+    assert got.count() == 199 and got.select(F.spark_partition_id()).distinct().count() > 1
+    hd = records.decode(got, "HD")
+    none = {t: records.decode(got.where("false"), t) for t in ("EN", "AM", "MK")}
+    assert {r.service_group for r in build.join_licences(hd, none["EN"], none["AM"], none["MK"]).collect()} == {"micro"}
+    for root, groups in ((tmp_path, ["micro", "cell"]), (tmp_path / "none", None), (tmp_path, ["cell"])):
+        with pytest.raises(Exception, match="missing_zip|l_"):
+            bulk.read_bulk(spark, str(root), "HD", groups).collect()
+
+
+def test_search_with_a_state_takes_areas_and_counties(spark):
+    from airledger.operators import spectrum
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    areas = spark.createDataFrame([("BTA003", "ND"), ("BTA007", "ND"), ("BTA009", "SD")], "market_code string, state string")
+    search = spectrum.SpectrumSearch(900, 1500, "market", state="ND")
+    want = {(r.usi, r.lower, r.upper) for r in spectrum.market_assignments(reg, search, True, areas, "48").collect()}
+    fewer = {(r.usi, r.frequency_mhz, r.upper_mhz) for r in spectrum.search_frequencies(reg, search).collect()}
+    got = {(r.usi, r.frequency_mhz, r.upper_mhz) for r in spectrum.search_frequencies(reg, search, True, areas, "48").collect()}
+    assert got == want and fewer < got
+    assert spectrum.frequency_page(reg, search, area_states=areas, county_prefix="48").all_rows.count() == len(got)
+
+
 def test_overlap_join_equals_nested_loop(spark):
     r = random.Random(5)
     side = lambda n: [(i, a := round(r.uniform(0, 3000), 4), round(a + r.choice([0, 0.01, 2, 90, 900, 2900]), 4)) for i in range(n)]
