@@ -98,21 +98,24 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFram
     sets = fingerprints(docs).select("doc_id", "signatures")
     keyed = sets.select("doc_id", F.xxhash64("signatures").alias("key"), "signatures")
     ids = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    member = keyed.select("doc_id", "key").join(ids, "key").select("doc_id", "class_id")
-    classes = keyed.join(ids, (keyed["doc_id"] == ids["class_id"]) & (keyed["key"] == ids["key"])).select("class_id", "signatures").dropDuplicates(["class_id"])
-    flat = classes.select("class_id", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+    member = keyed.select("doc_id", "key").join(ids, "key").select("doc_id", "class_id", "key")
+    # Classes are told apart by their sets' hash: ids may be null or repeated and only label them.
+    classes = keyed.select("key", "signatures").dropDuplicates(["key"])
+    flat = classes.select("key", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
     counts = flat.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = flat.join(counts, "s").withColumn("r", F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s")))
+    ranked = flat.join(counts, "s").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "s")))
     part = F.floor(F.log("n") / F.lit(-float(np.log(least))) if least < 1 else F.col("n")).cast("long")
-    offered = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("class_id", "n", "s", part.alias("part"))
-    left = offered.select(F.col("class_id").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1) if least < 1 else F.array("part")).alias("part"))
-    right = offered.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), "s", "part")
+    offered = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("key", "n", "s", part.alias("part"))
+    left = offered.select(F.col("key").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1) if least < 1 else F.array("part")).alias("part"))
+    right = offered.select(F.col("key").alias("b"), F.col("n").alias("nb"), "s", "part")
     fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     candidates = left.join(right, ["s", "part"]).where(fits & (F.col("na") >= F.lit(least) * F.col("nb") - 1e-9)).select("a", "b").distinct()
-    one, two = classes.select(F.col("class_id").alias("a"), F.col("signatures").alias("sa")), classes.select(F.col("class_id").alias("b"), F.col("signatures").alias("sb"))
+    one, two = classes.select(F.col("key").alias("a"), F.col("signatures").alias("sa")), classes.select(F.col("key").alias("b"), F.col("signatures").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     likeness = (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")
-    pairs = candidates.join(one, "a").join(two, "b").select("a", "b", likeness).where(F.col("jaccard") >= least)
+    found = candidates.join(one, "a").join(two, "b").select(F.col("a").alias("a_key"), F.col("b").alias("b_key"), likeness).where(F.col("jaccard") >= least)
+    named = lambda c: ids.select(F.col("key").alias(f"{c}_key"), F.col("class_id").alias(c))
+    pairs = found.join(named("a"), "a_key").join(named("b"), "b_key").select("a", "b", "jaccard", "a_key", "b_key")
     return pairs, member
 
 

@@ -452,6 +452,14 @@ def test_spotsigs_pairs_equal_brute_force(spark):
     assert {tuple(sorted((x.a, x.b))) for x in pairs.collect()} == want and want
 
 
+def test_spotsigs_pairs_keep_null_and_repeated_ids(spark):
+    text = lambda x, n: " ".join(f"the {x}{chr(97 + i)} kk" for i in range(n))
+    rows = [(1, text("b", 20), None), (1, text("c", 20), None), (2, text("b", 19), None), (3, text("c", 19), None), (None, text("d", 20), None), (None, text("d", 19), None)]
+    pairs, member = spotsigs.near_pairs(frame(spark, rows), 0.8)
+    assert member.count() == 6 and member.select("key").distinct().count() == 6
+    assert sorted((sorted((x.a or 0, x.b or 0)) for x in pairs.collect())) == [[0, 0], [1, 2], [1, 3]]
+
+
 def test_quality(spark):
     r = random.Random(1)
     words = ["the", "of", "and", "river", "stone", "walks", "under", "bright", "morning", "to", "is", "valley", *("w" + "".join(r.choice("abcdef") for _ in range(5)) for _ in range(60))]
