@@ -23,13 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, a new local one.
+
+    A local folder is shared only by a local master; on a cluster an unset spark.checkpoint.dir raises.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = spark.sparkContext._jvm.System.getProperty("airledger.scratch")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = context._jvm.System.getProperty("airledger.scratch")
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="spark-airledger-")
-            spark.sparkContext._jvm.System.setProperty("airledger.scratch", base)
+            context._jvm.System.setProperty("airledger.scratch", base)
     return base.rstrip("/")
 
 
@@ -61,21 +67,21 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def bounded_sample(df: DataFrame, most: int, key: str, where: Column | None = None, seen: int | None = None) -> list:
-    """At most `most` rows of df that meet `where`, chosen by the hash of key, so the same rows each time.
+def row_hash(seed: int, key: str = "doc_id", text: str = "text") -> Column:
+    """A hash of a row's key, or of its text where the key is null, so that rows without a key are told apart too."""
+    return F.when(F.col(key).isNull(), F.xxhash64(F.col(text), F.lit(seed))).otherwise(F.xxhash64(F.col(key), F.lit(seed)))
 
-    seen (default: most) is about how many rows are looked at before `where`. Both bounds are parameters of the
-    models that are fitted on such samples; nothing else here works on samples.
-    """
-    look = max(seen or most, most)
+
+def sample(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """About `most` rows of df, chosen by row_hash, with that hash as __h: the same rows each time, however they lie."""
     rows = df.count()
-    chosen = F.xxhash64(F.col(key), F.lit(most))
-    if rows > look:
-        share = min(1.0, 1.1 * look / rows)
-        df = df.where(F.shiftrightunsigned(chosen, 11) < int(share * 2**53))
-    if where is not None:
-        df = df.where(where)
-    return df.orderBy(chosen, *[F.col(c) for c in df.columns if c == key]).limit(most).collect()
+    df = df.withColumn("__h", row_hash(most, key, text))
+    return df if rows <= most else df.where(F.shiftrightunsigned("__h", 11) < int(min(1.0, 1.05 * most / rows) * 2**53))
+
+
+def gathered(made: DataFrame, most: int) -> list:
+    """At most `most` rows of what was made of a sample, by its hash and then by their other columns."""
+    return made.orderBy("__h", *[F.xxhash64(c) for c in made.columns if c != "__h"]).limit(most).collect()
 
 
 def _chunks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -101,11 +107,14 @@ def map_texts(
     """Keeps the columns `keep` and adds `fields` (DDL), which a kernel computes from lists of whole texts.
 
     make_kernel runs once in each task; its kernel maps a list of texts (str, or bytes in UTF-8; null as empty) to a
-    dict of equally long lists or arrays. Only `keep` and the text reach Python. Names in `fields` must not be in `keep`.
+    dict of equally long lists or arrays. Only `keep` and the text reach Python, so other columns of df may have any
+    names; a name of `fields` in `keep` raises ValueError.
     """
     ship(df.sparkSession)
     added = T.StructType.fromDDL(fields)
     keep = list(keep)
+    if clash := sorted(set(keep) & set(added.fieldNames())):
+        raise ValueError(f"columns to keep have the names of results: {', '.join(clash)}")
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], *added.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -130,6 +139,16 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """All columns of docs as d_<name>, and text once more: what a filter keeps can then clash with nothing it adds."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"d_{c}") for c in docs.columns], F.col("text"))
+
+
+def together(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, of rows that apart() made."""
+    return found.select(*[F.col(f"`d_{c}`").alias(c) for c in docs.columns])
+
+
 class Known(dict):
     """A dict that makes missing values by a function of the key, and starts anew beyond so many keys."""
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import Known, map_texts, ship, stored
 
 WINDOW = 13
 GRAM = 5
-#: Characters of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
-BLOCK_CHARS = 20_000_000
+#: Bits of the filter of benchmark fingerprints that every task holds: 32 for each fingerprint, and so many at most.
+#: Beyond that the filter lets more through, which the joins then reject.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 _SEPARATORS = bytes(b if chr(b).isdigit() or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in (bytes(range(256)).lower()))
 
@@ -23,179 +25,188 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_SEPARATORS).split()
 
 
-def _grams(ids, k: int):
-    """A hash of each run of k ids; runs with an id of -1 (a word that no item has) get the largest value."""
-    import numpy as np
+def word_hashes(tokens: list[bytes], known: Known) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
-    n = len(ids) - k + 1
-    out, unknown = np.zeros(n, np.uint64), np.zeros(n, bool)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
+
+def new_words() -> Known:
+    """Hashes of words, kept for those that come again."""
+    import xxhash
+
+    return Known(xxhash.xxh64_intdigest)
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words; none if there are fewer."""
+    n = max(0, len(hashes) - k + 1)
+    out = np.full(n, np.uint64(k))
     for j in range(k):
-        out = out * np.uint64(0x100000001B3) + mixed[j : j + n]
-        unknown |= ids[j : j + n] < 0
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
     out ^= out >> np.uint64(32)
-    out[unknown] = np.uint64(2**64 - 1)
-    return out
-
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
 
-def winnow(hashes, w: int):
-    """Positions of the least hash of each run of w hashes; all of equal least ones, none of the largest value."""
-    import numpy as np
 
+def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Positions of the least hash of each run of w hashes, all of equal least ones; none if there are fewer than w."""
     n = len(hashes) - w + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    least = hashes[:n].copy()
-    for j in range(1, w):
-        np.minimum(least, hashes[j : j + n], out=least)
+    least, size = hashes, 1
+    while size < w:  # the least of twice as many, then of w
+        step = min(size, w - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
     chosen = np.zeros(len(hashes), bool)
     for j in range(w):
         chosen[j : j + n] |= hashes[j : j + n] == least
-    return np.flatnonzero(chosen & (hashes != np.uint64(2**64 - 1)))
+    return np.flatnonzero(chosen)
+
 
+def _window_hash(tokens: list[bytes]) -> tuple[int, int]:
+    """128 bits that name a run of words, as two longs."""
+    import xxhash
 
-@dataclass
-class Index:
-    """Winnowed fingerprints of one block of benchmark items, with the words to verify and extend hits.
+    digest = xxhash.xxh3_128_digest(b" ".join(tokens))
+    return tuple(int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
 
-    Items of at least `window` words are found through k-grams: any shared run of `window` words has a winnowed k-gram
-    that both texts choose. Shorter items, for which winnowing guarantees nothing, are found through grams of their
-    whole length.
+
+_BENCH = "name string, n int, a long, b long, print long"
+
+
+def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """name, n, a, b and print for each distinct window of each item.
+
+    A window is `window` words, or all words of an item that has fewer (n says how many); a, b are the 128 bits of its
+    words' hash. print is its fingerprint: the least of its k-grams' hashes, which winnowing picks in any text where the
+    window occurs; a short item's is the hash of all its words.
+    """
+    ship(benchmark.sparkSession)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = new_words()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = words(text.as_py())
+                n = min(window, len(tokens))
+                if not n:
+                    continue
+                k = gram if n == window else n
+                own = grams(word_hashes(tokens, known), k)
+                made = {_window_hash(tokens[at : at + n]): own[at : at + n - k + 1].min() for at in range(len(tokens) - n + 1)}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(made)), pa.array([n] * len(made), pa.int32()), pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64()), pa.array(np.array(list(made.values()), np.uint64).view(np.int64))],
+                    names=["name", "n", "a", "b", "print"],
+                )
+
+    return items.mapInArrow(run, _BENCH)
+
+
+def filter_of(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Bits of all fingerprints of windows, and the lengths of windows that occur.
+
+    Executors set the bits of their fingerprints; what reaches the driver is one filter for each of a few parts.
     """
+    lengths, total = [], 0
+    for r in windows.groupBy("n").agg(F.count("*").alias("count")).collect():
+        lengths.append(r["n"])
+        total += r["count"]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, 32 * total - 1).bit_length()))
 
-    window: int
-    gram: int
-    names: list[str] = field(default_factory=list)
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    items: list = field(default_factory=list)
-    long: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    short: dict[int, dict[int, list[int]]] = field(default_factory=dict)
-
-    def add(self, name: str, text: bytes) -> None:
-        import numpy as np
-
-        ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int64)
-        if not len(ids):
-            return
-        item = len(self.items)
-        self.names.append(name)
-        self.items.append(ids.tolist())
-        if len(ids) < self.window:
-            self.short.setdefault(len(ids), {}).setdefault(int(_grams(ids, len(ids))[0]), []).append(item)
-        else:
-            grams = _grams(ids, self.gram)
-            for at in winnow(grams, self.window - self.gram + 1).tolist():
-                self.long.setdefault(int(grams[at]), []).append((item, at))
-
-    def search(self, tokens: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged spans of hit words of a document, and the names of items of which a window occurs."""
-        import numpy as np
-
-        n = len(tokens)
-        known = self.vocabulary.get
-        ids = np.fromiter((known(t, -1) for t in tokens), np.int64, n)
-        spans: list[tuple[int, int]] = []
-        found: set[str] = set()
-        if n >= self.window and self.long:
-            grams = _grams(ids, self.gram)
-            at = winnow(grams, self.window - self.gram + 1)
-            reached: dict[tuple[int, int], int] = {}
-            listed = None
-            for p, h in zip(at.tolist(), grams[at].tolist(), strict=True):
-                for item, q in self.long.get(h, ()):
-                    if reached.get((item, p - q), -1) >= p + self.gram:
-                        continue
-                    listed = listed or ids.tolist()
-                    other, a, b = self.items[item], p, q
-                    while a and b and listed[a - 1] == other[b - 1]:
-                        a, b = a - 1, b - 1
-                    e, f = p, q
-                    while e < n and f < len(other) and listed[e] == other[f]:
-                        e, f = e + 1, f + 1
-                    reached[item, p - q] = max(e, p + self.gram)
-                    if e - a >= self.window:
-                        spans.append((a, e))
-                        found.add(self.names[item])
-        for size, table in self.short.items():
-            if n >= size:
-                grams = _grams(ids, size)
-                listed = None
-                for p in np.flatnonzero(np.isin(grams, np.fromiter(table, np.uint64, len(table)))).tolist():
-                    for item in table.get(int(grams[p]), ()):
-                        if ids[p : p + size].tolist() == self.items[item]:
-                            spans.append((p, p + size))
-                            found.add(self.names[item])
-        return merge(spans), found
-
-
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted spans, those that touch or overlap as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-_FIELDS = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_chars: int = BLOCK_CHARS, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[batch.column(0).to_numpy().view(np.uint64) & np.uint64(bits - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in windows.select("print").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out, sorted(lengths)
+
+
+_FOUND = "n_words long, starts array<int>, sizes array<int>, a array<long>, b array<long>"
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
     """Adds n_words, spans (word offsets of hit runs) and items (sorted names of items with occurring windows) to docs.
 
     A window is `window` consecutive words of an item (an item of fewer is one window); a document word inside any
-    occurrence of a window is hit. Documents are not shuffled: each pass compares their winnowed k-grams with those of
-    one block of items of about block_chars characters, which is what is held at once, so a benchmark of any size
-    takes its size over block_chars passes. Null texts have no words; null item ids read as `null`; items that share an
-    id count once; extra columns of either table are ignored unless kept.
+    occurrence of a window is hit. Any shared run of `window` words has a k-gram that winnowing picks in both texts. So
+    a document's winnowed k-grams that pass a filter of the benchmark's extend to the windows around them, and only
+    those windows (as 128-bit hashes) are joined to the items': what is dealt out follows the hits, not the corpus or
+    the benchmark, and a window that very many documents share is a row of each, which the join can split.
+
+    Null texts have no words; null item ids read as `null`; items that share an id count once; repeated rows are each
+    returned; either table may be empty; columns that aren't kept may have any names, kept ones may not be called
+    n_words, spans or items.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_chars))
     keep = list(keep)
-    out = docs.select(*keep, F.col("text").alias("__t"))
-    for block in range(blocks):
-        index = Index(window, gram)
-        for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).toLocalIterator():
-            index.add(r["name"], bytes(r["text"]))
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        def make(held=held):
-            search = held.value.search
-
-            def kernel(texts: list[bytes]) -> dict:
-                n, spans, names = [], [], []
-                for t in texts:
-                    tokens = words(t)
-                    hit, found = search(tokens)
-                    n.append(len(tokens))
-                    spans.append([{"start": a, "end": b} for a, b in hit])
-                    names.append(sorted(found))
-                return {"n_words": n, "spans": spans, "items": names}
-
-            return kernel
-
-        if block:  # what earlier blocks found is kept beside the text and joined by array functions
-            out = stored(out.withColumnsRenamed({"spans": "__spans", "items": "__items"}).drop("n_words"), "decontaminate")
-            out = map_texts(out, make, _FIELDS, text="__t", keep=[*keep, "__t", "__spans", "__items"], as_bytes=True)
-            out = out.withColumn("spans", F.concat("__spans", "spans")).withColumn("items", F.array_sort(F.array_distinct(F.concat("__items", "items")))).drop("__spans", "__items")
-        else:
-            out = map_texts(out, make, _FIELDS, text="__t", keep=[*keep, "__t"] if blocks > 1 else keep, as_bytes=True)
-    if blocks > 1:
-        # One pass over sorted spans: each adds what it reaches beyond the words that earlier ones have covered.
-        out = out.drop("__t").withColumn(
-            "spans",
-            F.expr(
-                "aggregate(array_sort(spans), cast(array() as array<struct<start: bigint, end: bigint>>), (acc, s) ->"
-                " CASE WHEN size(acc) > 0 AND s.start <= element_at(acc, -1).end THEN concat(slice(acc, 1, size(acc) - 1),"
-                " array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))"
-                " ELSE concat(acc, array(s)) END)"
-            ),
-        )
-    return out
+    if clash := sorted({"n_words", "spans", "items"} & set(keep)):
+        raise ValueError(f"columns to keep have the names of results: {', '.join(clash)}")
+    windows = stored(item_windows(benchmark, window, gram), "windows")
+    bits, lengths = filter_of(windows)
+    held = docs.sparkSession.sparkContext.broadcast((bits, lengths))
+
+    def make():
+        bits, lengths = held.value
+        known, last = new_words(), np.uint64(8 * len(bits) - 1)
+
+        def passes(hashes: np.ndarray) -> np.ndarray:
+            at = hashes & last
+            return (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
+
+        def kernel(texts: list[bytes]) -> dict:
+            out: dict = {"n_words": [], "starts": [], "sizes": [], "a": [], "b": []}
+            for t in texts:
+                tokens = words(t)
+                n = len(tokens)
+                found: list[tuple[int, int]] = []
+                hashes = word_hashes(tokens, known) if lengths else None
+                for size in lengths:
+                    if n < size:
+                        continue
+                    if size < window:
+                        found += [(int(p), size) for p in np.flatnonzero(passes(grams(hashes, size)))]
+                        continue
+                    own, reach = grams(hashes, gram), window - gram + 1
+                    at = winnow(own, reach)
+                    at = at[passes(own[at])]
+                    if len(at):  # a window that occurs begins at most window - k words before one of its fingerprints
+                        around = np.zeros(n - window + 2, np.int64)
+                        np.add.at(around, np.maximum(at - reach + 1, 0), 1)
+                        np.add.at(around, np.minimum(at, n - window) + 1, -1)
+                        found += [(int(p), window) for p in np.flatnonzero(np.cumsum(around[:-1]))]
+                named = [_window_hash(tokens[p : p + size]) for p, size in found]
+                out["n_words"].append(n)
+                out["starts"].append([p for p, _ in found])
+                out["sizes"].append([size for _, size in found])
+                out["a"].append([x for x, _ in named])
+                out["b"].append([x for _, x in named])
+            return out
+
+        return kernel
+
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col("text"))
+    marked = map_texts(source, make, _FOUND, keep=[f"k_{c}" for c in keep], as_bytes=True)
+    rows = stored(marked.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
+    zipped = F.arrays_zip("starts", "sizes", "a", "b")
+    occurring = rows.where(F.size("starts") > 0).select("__row", F.explode(zipped).alias("w")).select("__row", F.col("w.starts").alias("start"), F.col("w.sizes").alias("n"), "w.a", "w.b")
+    hits = stored(occurring.join(windows.select("n", "a", "b").distinct(), ["n", "a", "b"]), "hits")
+    # Hit windows of a document, in order, are one run as long as each begins before what came before it has ended.
+    order = Window.partitionBy("__row").orderBy("start", "n")
+    ends = hits.select("__row", "start", "n", (F.col("start") + F.col("n")).alias("end"))
+    fresh = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    numbered = ends.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("__row", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"))
+    spans = runs.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    names = hits.select("__row", "n", "a", "b").distinct().join(windows.select("n", "a", "b", "name"), ["n", "a", "b"])
+    items = names.groupBy("__row").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    none = "cast(array() AS array<struct<start: bigint, end: bigint>>)"
+    out = rows.select("__row", *[f"k_{c}" for c in keep], "n_words").join(spans.join(items, "__row"), "__row", "left")
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "n_words", F.coalesce("spans", F.expr(none)).alias("spans"), F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))
 
 
 def judged(found: DataFrame, one_in: int = 20) -> DataFrame:
@@ -205,12 +216,12 @@ def judged(found: DataFrame, one_in: int = 20) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, all columns kept; null texts are clean."""
-    renamed = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], F.col("text"))
-    found = judged(contamination(renamed, benchmark, keep=[f"d_{c}" for c in docs.columns]))
-    return found.where("NOT contaminated").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
+    """The documents that are not contaminated, all rows and columns of them kept; null and empty texts are clean.
 
-
-def items_digest(names: list[str]) -> str:
-    """SHA-256 of sorted item names joined by commas."""
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
+    Equal texts are judged alike, so rows are told by two 64-bit hashes of their text: texts are read twice and never
+    dealt out, unless very many are contaminated.
+    """
+    marks = [F.xxhash64("text", F.lit(seed)).alias(f"__{seed}") for seed in (1, 2)]
+    found = judged(contamination(docs.where("text IS NOT NULL").select("text", *marks), benchmark, keep=["__1", "__2"]))
+    bad = stored(found.where("contaminated").select("__1", "__2").distinct(), "contaminated")
+    return docs.withColumns({f"__{seed}": F.xxhash64("text", F.lit(seed)) for seed in (1, 2)}).join(bad, ["__1", "__2"], "left_anti").select(*docs.columns)

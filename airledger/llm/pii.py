@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_texts
+from .common import apart, gathered, map_texts, sample, together
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the sample that the field is fitted on: documents with a digit or @, and documents looked at for them.
-TRAIN_DOCS, LOOKED_AT = 2_000, 30_000
-#: An added token needs this belief.
-CERTAIN = 0.9
+#: Bounds of the sample that the field is fitted on: documents that are looked at, those with a finding among them that
+#: are used, and the variables of one of them, a stretch that begins at a place chosen by hash.
+LOOKED_AT, TRAIN_DOCS, TRAIN_VARIABLES = 30_000, 1_500, 400
+#: An added token needs this belief in one kind.
+CERTAIN = 0.5
 
 # Patterns fixed by the contract; @ and digit runs are found first, which gives the same leftmost matches in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,10 +38,9 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(start, end, kind) of the patterns' matches, and of matches that fail their kind's test; end is exclusive."""
+def base_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the patterns' matches that meet their kind's test, sorted; end is exclusive."""
     good: list[tuple[int, int, str]] = []
-    failed: list[tuple[int, int, str]] = []
     at, end = text.find("@"), 0
     while at >= 0:
         start = at
@@ -48,81 +51,113 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
             good.append((start, end, "email"))
         at = text.find("@", at + 1)
     for m in _IP.finditer(text):
-        ok = all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))
-        (good if ok else failed).append((*m.span(), "ip"))
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
+            good.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
-        ok = 14 <= len(digits) <= 19 and luhn(digits)
-        if ok or 12 <= len(digits) <= 40:
-            (good if ok else failed).append((*m.span(), "card"))
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            good.append((*m.span(), "card"))
     if "+" in text:
-        for m in _PHONE.finditer(text):
-            ok = 10 <= sum(c.isdigit() for c in m[0]) <= 15
-            (good if ok else failed).append((*m.span(), "phone"))
+        good += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
     good.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    return good, failed
+    return good
 
 
-_MARKED = re.compile(r"[^\s0-9@]*[0-9@]\S*")
-_EDGE = ".,;:!?\"'<>[]{}|#$%&*"
+#: What personal data is written with; a variable is a run of it with a digit or @, marks at its ends cut.
+_RUN = re.compile(r"[A-Za-z0-9@._%+()\-]+")
+_MARKED = re.compile("[0-9@]")
+_EDGE = ".,-_%"
+#: Between the parts of an address that is spelled out.
+_SPELLED_AT = re.compile(r"\s*[(\[]?\bat\b[)\]]?\s*|\s*", re.IGNORECASE)
 
 
 @dataclass
 class Graph:
-    """A document's variables: its tokens with a digit or @. Other tokens are never personal data here."""
+    """A document's variables: its runs with a digit or @, and those that repeat the name of an address in it.
+
+    chain joins neighbours, skip joins distant repeated or similar ones. known has the label of a variable inside a base
+    span, else 0. Other words are never personal data here.
+    """
 
     spans: list[tuple[int, int]]
-    forms: list[str]
     features: list[list[int]]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
+    known: list[int]
 
 
 BUCKETS = 4_096
 
 
 def _shape(form: str) -> str:
-    return re.sub(r"(.)\1+", r"\1+", re.sub("[^0-9A-Za-z@.+()_-]", "x", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", form))))
+    return re.sub(r"(.)\1+", r"\1+", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", form)))
 
 
 def _bucket(name: str) -> int:
-    import zlib
+    return zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
+
 
-    return zlib.crc32(name.encode()) % BUCKETS
+def _names(form: str) -> list[str]:
+    """What a run is linked by: itself, its digits if there are four or more, and the name of an address."""
+    low = form.lower()
+    digits = re.sub("[^0-9]", "", form)
+    local = low.split("@")[0]
+    keys = [low]
+    if len(digits) >= 4:
+        keys.append(f"#{digits}")
+    if len(local) >= 5 and re.search("[0-9._]", local):
+        keys.append(f"@{local}")
+    return keys
 
 
-def graph(text: str) -> Graph:
-    """Variables, chain edges between neighbouring tokens, and skip edges between distant repeated or similar ones.
+def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
+    """Variables of a text with these base spans, chain edges between neighbours, and skip edges.
 
-    Each variable is linked to the last earlier one with the same form (letters lower-cased, edge punctuation cut) and
-    to the last earlier one with the same digits, so the edges of a form that repeats n times are n-1.
+    A variable is linked to the last earlier one of the same form (in lower case), of the same four or more digits in
+    whatever notation, and of the same name of an address; so a form that repeats n times has n-1 edges. Neighbouring
+    variables of one base span count as one form too: those digits are all of the span's.
     """
+    runs = [m.span() for m in _RUN.finditer(text)]
+    locals_ = {k for a, b in runs if "@" in text[a:b] for k in _names(text[a:b].strip(_EDGE)) if k[0] == "@"}
     spans, forms = [], []
-    for m in _MARKED.finditer(text):
-        a, b = m.span()
-        while a < b and text[a] in _EDGE:
-            a += 1
-        while b > a and text[b - 1] in _EDGE:
-            b -= 1
+    for a, b in runs:
+        form = text[a:b]
+        if not _MARKED.search(form) and not (locals_ and any(k in locals_ for k in _names(form.strip(_EDGE)))):
+            continue
+        a, b = a + len(form) - len(form.lstrip(_EDGE)), b - (len(form) - len(form.rstrip(_EDGE)))
         if b > a:
             spans.append((a, b))
             forms.append(text[a:b])
+    starts = [s[0] for s in base]
+    own: list[int] = []  # the base span of each variable
+    for a, b in spans:
+        k = bisect_left(starts, b) - 1
+        while k >= 0 and base[k][1] <= a and k > bisect_left(starts, b) - 4:
+            k -= 1
+        own.append(k if k >= 0 and base[k][1] > a else -1)
+    near = [i > 0 and spans[i][0] - spans[i - 1][1] <= 12 and bool(_SPELLED_AT.fullmatch(text, spans[i - 1][1], spans[i][0])) for i in range(len(spans))]
     features, chain, skip, seen = [], [], [], {}
-    near = [i and not text[spans[i - 1][1] : spans[i][0]].strip() for i in range(len(spans))]
     for i, form in enumerate(forms):
-        digits = re.sub("[^0-9]", "", form)
-        shape = _shape(form[:60])
-        before = forms[i - 1] if near[i] else ""
-        after = forms[i + 1] if i + 1 < len(forms) and near[i + 1] else ""
-        names = ["bias", f"s={shape}", f"n={min(len(digits), 24)}", f"at={'@' in form}", f"dots={min(form.count('.'), 5)}", f"only={digits == form}", f"plus={form[0] == '+'}", f"long={len(form) > 30}", f"alpha={bool(re.search('[A-Za-z]', form))}", f"b={_shape(before[:20])}", f"a={_shape(after[:20])}", f"sb={shape}/{_shape(before[:20])}", f"sa={shape}/{_shape(after[:20])}"]
+        digits = sum(c.isdigit() for c in form)
+        shape = _shape(form[:80])
+        before = _shape(forms[i - 1][:40]) if near[i] else ""
+        after = _shape(forms[i + 1][:40]) if i + 1 < len(forms) and near[i + 1] else ""
+        a, b = spans[i]
+        word = re.search(r"(\w+)\W*\Z", text[max(0, a - 24) : a])
+        kind = base[own[i]][2] if own[i] >= 0 else "none"
+        names = ["bias", f"base={kind}", f"s={shape}", f"n={min(digits, 24)}", f"at={'@' in form}", f"dots={min(form.count('.'), 5)}", f"plus={form[0] == '+'}", f"b={before}", f"a={after}", f"sb={shape}/{before}", f"sa={shape}/{after}", f"w={word[1].lower() if word else ''}"]
         features.append([_bucket(x) for x in names])
         if near[i]:
             chain.append((i - 1, i))
-        for key in dict.fromkeys((form.lower(), digits if len(digits) >= 4 else form.lower())):
-            if key in seen and not (near[i] and seen[key] == i - 1):
+        keys = _names(form)
+        if own[i] >= 0 and (i == 0 or own[i - 1] != own[i]):  # the digits of a whole finding, at its first variable
+            whole = re.sub("[^0-9]", "", text[base[own[i]][0] : base[own[i]][1]])
+            keys += [f"#{whole}", f"#{whole[1:]}"] if len(whole) >= 8 else []
+        for key in dict.fromkeys(keys):
+            if key in seen and seen[key] != i and not (near[i] and seen[key] == i - 1):
                 skip.append((seen[key], i))
             seen[key] = i
-    return Graph(spans, forms, features, chain, skip)
+    return Graph(spans, features, chain, list(dict.fromkeys(skip)), [KINDS.index(base[k][2]) + 1 if k >= 0 else 0 for k in own])
 
 
 @dataclass
@@ -133,6 +168,10 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
+    def without_skips(self) -> Field:
+        """The same field with skip edges of no weight."""
+        return Field(self.unary, self.chain, np.zeros_like(self.skip))
+
 
 def empty_field() -> Field:
     """A field that knows only that most tokens are no personal data."""
@@ -142,68 +181,153 @@ def empty_field() -> Field:
     return Field(unary, np.zeros((n, n)), np.zeros((n, n)))
 
 
-def weak_labels(text: str, g: Graph) -> list[int]:
-    """Labels by the exact patterns: a kind's number, 0, or -1 for tokens of matches that failed (left out)."""
-    good, failed = base_spans(text)
+def _broken(found: str, kind: str, r: random.Random) -> str:
+    """A finding in a notation that its pattern doesn't match."""
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "email":
+        local, _, domain = found.partition("@")
+        return r.choice((local, f"{local} (at) {domain}", f"{local} at {domain}"))
+    if kind == "phone":
+        return r.choice((digits, f"00{digits}"[2:], f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", digits[1:]))
+    if kind == "ip":
+        return found.replace(".", r.choice(("-", "(.)")))
+    return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+def _other(found: str, r: random.Random) -> str:
+    """Text of the same shape that says something else."""
+    return "".join(r.choice("0123456789") if c.isdigit() else r.choice("abcdefghijklmnopqrstuvwxyz") if c.isalpha() else c for c in found)
+
+
+def training_text(text: str, seed: int, most: int = 6) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int, int]]]:
+    """A text with findings repeated far from where they are: its base spans, and (start, end, label) of what was added.
+
+    Some findings come again in a notation that no pattern matches, labelled as what they are, between words of the
+    text; as many look the same and say something else, which is no personal data. So shape alone says nothing of
+    them, and a field has to learn that labels agree over skip edges.
+    """
+    r = random.Random(seed)
+    base = base_spans(text)
+    words = text[:2000].split() or ["."]
+    parts, marks, at = [text], [], len(text)
+
+    def add(piece: str, label: int) -> None:
+        nonlocal at
+        before = f" {r.choice(words)} {r.choice(words)} "
+        parts.append(before)
+        at += len(before)
+        if label >= 0:
+            marks.append((at, at + len(piece), label))
+        parts.append(piece)
+        at += len(piece)
+
+    for s, e, kind in r.sample(base, min(most, len(base))):
+        label, found = KINDS.index(kind) + 1, text[s:e]
+        again = _broken(found, kind, r)
+        if kind == "email" and " " in again:  # what follows the name is a host, which is no more than part of the address
+            local, _, rest = again.partition(" ")
+            add(local, label)
+            parts.append(f" {rest}")
+            mark = at + 1 + rest.rindex(" ") + 1
+            marks.append((mark, at + 1 + len(rest), label))
+            at += 1 + len(rest)
+        else:
+            add(again, label)
+        for _ in range(2):
+            add(_other(_broken(found, kind, r), r), 0)
+        if kind == "email":
+            add(found.partition("@")[2], 0)
+    parts.append(" .")
+    whole = "".join(parts)
+    return whole, base_spans(whole), marks
+
+
+def labels_of(g: Graph, base: list[tuple[int, int, str]], marks: list[tuple[int, int, int]]) -> list[int]:
+    """The label of each variable: a finding's kind, what it was added as, else 0."""
     out = [0] * len(g.spans)
-    for marks, value in ((failed, lambda k: -1), (good, lambda k: KINDS.index(k) + 1)):
-        for a, b, kind in marks:
-            for i, (s, e) in enumerate(g.spans):
-                if s < b and a < e:
-                    out[i] = value(kind)
+    for known in ([(a, b, KINDS.index(k) + 1) for a, b, k in base], marks):
+        starts, k = [x[0] for x in g.spans], 0
+        for a, b, value in known:
+            k = bisect_left(starts, a)
+            k -= k > 0 and g.spans[k - 1][1] > a
+            while k < len(g.spans) and g.spans[k][0] < b:
+                out[k] = value
+                k += 1
     return out
 
 
-def fit(texts: list[str], steps: int = 200, rate: float = 0.5, penalty: float = 1e-4) -> Field:
+@dataclass
+class Examples:
+    """Labelled variables of many documents: rows of features, labels, and edges (from, to, 0 chain or 1 skip)."""
+
+    features: np.ndarray
+    labels: np.ndarray
+    edges: np.ndarray
+
+
+def examples_of(text: str, most: int = TRAIN_VARIABLES) -> Examples | None:
+    """What a text teaches; of more than `most` variables, a stretch of so many before its end or from a hashed place."""
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    whole, base, marks = training_text(text, seed)
+    if not base:
+        return None
+    g = graph(whole, base)
+    y = labels_of(g, base, marks)
+    n = len(y)
+    first = 0 if n <= most else (seed >> 8) % (n - most + 1)
+    inside = lambda i: first <= i < first + most
+    edges = [(a - first, b - first, k) for own, k in ((g.chain, 0), (g.skip, 1)) for a, b in own if inside(a) and inside(b)]
+    keep = slice(first, first + most)
+    return Examples(np.array(g.features[keep], np.int32), np.array(y[keep], np.int8), np.array(edges, np.int32).reshape(-1, 3))
+
+
+def joined(parts: list[Examples]) -> Examples:
+    """Examples of many documents as one."""
+    width = len(parts[0].features[0]) if parts else 0
+    at = np.cumsum([0, *(len(p.labels) for p in parts)])
+    edges = [p.edges + np.array([a, a, 0], np.int32) for p, a in zip(parts, at, strict=False)]
+    empty = np.zeros((0, 3), np.int32)
+    return Examples(np.concatenate([p.features for p in parts]) if parts else np.zeros((0, width), np.int32), np.concatenate([p.labels for p in parts]) if parts else np.zeros(0, np.int8), np.concatenate(edges) if parts else empty)
+
+
+def fit(examples: Examples, steps: int = 400, rate: float = 1.0, penalty: float = 1e-5) -> Field:
     """Weights by gradient ascent on the pseudo-likelihood: each label given its neighbours' labels over both edges."""
     n = len(KINDS) + 1
-    rows, labels, links = [], [], []
-    for text in texts:
-        g = graph(text)
-        if not g.spans or len(g.spans) > 5_000:
-            continue
-        own, base = weak_labels(text, g), len(rows)
-        rows += g.features
-        labels += own
-        links += [(base + a, base + b, 0) for a, b in g.chain] + [(base + a, base + b, 1) for a, b in g.skip]
-    field_ = empty_field()
-    if not rows or not any(y > 0 for y in labels):
-        return field_
-    x, y = np.array(rows), np.array(labels)
-    e = np.array([q for q in links if y[q[0]] >= 0 and y[q[1]] >= 0], np.int64).reshape(-1, 3)
-    known = y >= 0
+    x, y, e = examples.features, examples.labels.astype(np.int64), examples.edges
+    if not len(y) or not y.any():
+        return empty_field()
     target = np.zeros((len(y), n))
-    target[np.flatnonzero(known), y[known]] = 1
+    target[np.arange(len(y)), y] = 1
     u, c, s = np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros((n, n))
     ch, sk = e[e[:, 2] == 0], e[e[:, 2] == 1]
     moment = [np.full_like(w, 1e-6) for w in (u, c, s)]
+    count = lambda to, value, rows: np.stack([np.bincount(to, value[:, j], minlength=rows) for j in range(n)], axis=1)
     for _ in range(steps):
         score = u[x].sum(axis=1)
-        np.add.at(score, ch[:, 1], c[y[ch[:, 0]]])
-        np.add.at(score, ch[:, 0], c.T[y[ch[:, 1]]])
-        np.add.at(score, sk[:, 1], s[y[sk[:, 0]]])
-        np.add.at(score, sk[:, 0], s[y[sk[:, 1]]])
+        for edges, table in ((ch, c), (sk, s)):
+            score += count(edges[:, 1], table[y[edges[:, 0]]], len(y)) + count(edges[:, 0], table.T[y[edges[:, 1]]], len(y))
         p = np.exp(score - score.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        d = (target - p) * known[:, None]
-        gu, gc, gs = np.zeros_like(u), np.zeros_like(c), np.zeros_like(s)
-        for j in range(x.shape[1]):
-            np.add.at(gu, x[:, j], d)
-        np.add.at(gc, y[ch[:, 0]], d[ch[:, 1]])
-        np.add.at(gc.T, y[ch[:, 1]], d[ch[:, 0]])
-        np.add.at(gs, y[sk[:, 0]], d[sk[:, 1]])
-        np.add.at(gs, y[sk[:, 1]], d[sk[:, 0]])
+        d = target - p
+        gu = count(x.ravel(), np.repeat(d, x.shape[1], axis=0), BUCKETS)
+        gc, gs = (count(y[q[:, 0]], d[q[:, 1]], n) + count(y[q[:, 1]], d[q[:, 0]], n).T for q in (ch, sk))
         for w, gr, m in zip((u, c, s), (gu, gc, gs), moment, strict=True):
-            gr = gr / known.sum() - penalty * w
+            gr = gr / len(y) - penalty * w
             m += gr * gr
             w += rate * gr / np.sqrt(m)
     return Field(u, c, (s + s.T) / 2)
 
 
 def beliefs(g: Graph, f: Field, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Label probabilities of each variable by loopy sum-product message passing over chain and skip edges."""
+    """Label probabilities of each variable by loopy sum-product message passing over chain and skip edges.
+
+    What a pattern has found is evidence: those labels are held, and tell others.
+    """
     n = len(KINDS) + 1
     local = f.unary[np.array(g.features)].sum(axis=1)
+    known = np.flatnonzero(g.known)
+    local[known] = -40.0
+    local[known, np.array(g.known)[known]] = 0.0
     edges = [(a, b, f.chain) for a, b in g.chain] + [(a, b, f.skip) for a, b in g.skip]
     if not edges:
         p = np.exp(local - local.max(axis=1, keepdims=True))
@@ -230,42 +354,51 @@ def beliefs(g: Graph, f: Field, rounds: int = 12, damping: float = 0.3) -> np.nd
 
 
 def find(text: str, f: Field, certain: float = CERTAIN) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans: base ones and those that the field adds where no base span is."""
-    if "@" not in text and not _DIGIT.search(text):
+    """Base spans, and all spans: base ones and those that the field adds where no base span is.
+
+    Neighbouring added variables of one kind are one span.
+    """
+    if not _MARKED.search(text):
         return [], []
-    good, _ = base_spans(text)
-    g = graph(text)
+    good = base_spans(text)
+    g = graph(text, good)
     if not g.spans:
         return good, good
     p = beliefs(g, f)
     label = p.argmax(axis=1)
-    taken = sorted((a, b) for a, b, _ in good)
-    added: list[tuple[int, int, str]] = []
-    starts = [t[0] for t in taken]
-    from bisect import bisect_left
-
-    joined = {b: a for a, b in g.chain}
-    for i, (a, b) in enumerate(g.spans):
-        if label[i] == 0 or p[i, label[i]] < certain:
-            continue
+    sure = (label > 0) & (p[np.arange(len(label)), label] >= certain)
+    starts, reach = [t[0] for t in good], np.maximum.accumulate([t[1] for t in good]).tolist() if good else []
+    linked = {b for _, b in g.chain}
+    added: list[tuple[int, int, str, int]] = []
+    for i in np.flatnonzero(sure).tolist():
+        a, b = g.spans[i]
         k = bisect_left(starts, b)
-        if any(e > a for _, e in taken[max(0, k - 8) : k]):
+        if k and reach[k - 1] > a:
             continue
         kind = KINDS[label[i] - 1]
-        if kind == "phone" and added and added[-1][2] == "phone" and i in joined and added[-1][1] == g.spans[i - 1][1]:
-            added[-1] = (added[-1][0], b, kind)
+        if added and added[-1][2:] == (kind, i - 1) and i in linked:
+            added[-1] = (added[-1][0], b, kind, i)
         else:
-            added.append((a, b, kind))
-    return good, sorted(good + added, key=lambda s: (s[0], KINDS.index(s[2])))
+            added.append((a, b, kind, i))
+    return good, sorted(good + [x[:3] for x in added], key=lambda s: (s[0], KINDS.index(s[2])))
+
 
+def learn(docs: DataFrame, looked_at: int = LOOKED_AT, train_docs: int = TRAIN_DOCS) -> Field:
+    """A field fitted on documents with a finding among a bounded sample of docs, which executors search whole.
 
-_DIGIT = re.compile("[0-9]")
+    Labels are the patterns' own, and those of findings that training_text repeats. Null and empty texts teach nothing;
+    without findings the field is the empty one.
+    """
 
+    def kernel(texts: list[str]) -> dict:
+        made = [examples_of(t) if _MARKED.search(t) else None for t in texts]
+        parts = {k: [None if m is None else getattr(m, k).tobytes() for m in made] for k in ("features", "labels", "edges")}
+        return parts
 
-def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, looked_at: int = LOOKED_AT) -> Field:
-    """A field fitted on a bounded sample of docs with a digit or @; labels are the exact patterns' own."""
-    rows = bounded_sample(docs.select("doc_id", F.substring("text", 1, 100_000).alias("text")), train_docs, "doc_id", F.col("text").rlike("[0-9@]"), looked_at)
-    return fit([r["text"] for r in rows])
+    looked = sample(docs.select("doc_id", "text"), looked_at)
+    rows = gathered(map_texts(looked, lambda: kernel, "features binary, labels binary, edges binary", keep=("__h",)).where("labels IS NOT NULL"), train_docs)
+    parts = [Examples(np.frombuffer(r["features"], np.int32).reshape(len(r["labels"]), -1), np.frombuffer(r["labels"], np.int8), np.frombuffer(r["edges"], np.int32).reshape(-1, 3)) for r in rows]
+    return fit(joined(parts))
 
 
 _SPANS = "base array<struct<start: long, end: long, kind: string>>, spans array<struct<start: long, end: long, kind: string>>"
@@ -274,8 +407,9 @@ _SPANS = "base array<struct<start: long, end: long, kind: string>>, spans array<
 def find_pii(docs: DataFrame, field_: Field, keep: tuple[str, ...] | list[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """Adds base and spans to docs: personal data by the patterns, and with what the field adds; sorted by start.
 
-    Offsets count code points and ends are exclusive. Null and empty texts have none. Whole texts are searched; each is
-    one graph, so labels agree across a document.
+    Offsets count code points and ends are exclusive. Whole texts are searched, however long; each is one graph, so
+    labels agree across a document. Null and empty texts have no spans; repeated rows are each returned; an empty table
+    gives an empty one; columns that aren't kept may have any names, kept ones may not be called base or spans.
     """
     held = docs.sparkSession.sparkContext.broadcast(field_)
 
@@ -305,17 +439,20 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, field_: Field) -> DataFrame:
-    """docs with personal data in text masked and n_chars set anew where the text changed; all columns kept."""
+    """docs with personal data in text masked and n_chars set anew where the text changed.
+
+    All rows and columns are kept, whatever the columns are called; null and empty texts stay as they are.
+    """
     held = docs.sparkSession.sparkContext.broadcast(field_)
 
     def make():
         f = held.value
         return lambda texts: {"__masked": [mask(t, s) if (s := find(t, f)[1]) else None for t in texts]}
 
-    renamed = docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns])
-    masked = map_texts(renamed, make, "__masked string", text="d_text", keep=renamed.columns)
-    columns = []
-    for c in docs.columns:
-        new = {"text": F.col("__masked"), "n_chars": F.length("__masked").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}.get(c)
-        columns.append(F.col(f"d_{c}").alias(c) if new is None else F.when(F.col("__masked").isNull(), F.col(f"d_{c}")).otherwise(new).alias(c))
-    return masked.select(*columns)
+    kept = [f"d_{c}" for c in docs.columns]
+    masked = map_texts(apart(docs), make, "__masked string", keep=kept)
+    changed = F.col("__masked").isNotNull()
+    masked = masked.withColumn("d_text", F.coalesce("__masked", "d_text"))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("d_n_chars", F.when(changed, F.length("__masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("d_n_chars")))
+    return together(masked, docs)

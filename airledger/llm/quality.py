@@ -13,13 +13,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, bounded_sample, map_texts
+from .common import Known, gathered, map_texts, sample
 
 #: Bound of the sample that the scorer is fitted on; label statistics are of all documents.
 TRAIN_DOCS = 6_000
 BUCKETS = 1 << 14
-#: Share of poor documents that expectation-maximisation begins with, and what bounds a labeller's votes for poor.
-PRIOR_POOR, MOST_FALSE, LEAST_TRUE = 0.15, 0.002, 0.2
+#: What expectation-maximisation begins with: the share of good documents, what a labeller votes (poor, unsure, good) on
+#: poor and on good ones, and for how many documents of either this counts beside the corpus's own counts.
+GOOD, PRIOR, PRIOR_DOCS = 0.85, ((0.3, 0.3, 0.4), (0.01, 0.09, 0.9)), 50
+#: The vote of a labeller that a text gives nothing to judge by.
+SILENT = 2
 
 
 @dataclass
@@ -69,22 +72,22 @@ def _shape(shape: bytes) -> tuple[int, ...]:
     return tuple(zlib.crc32(x) % BUCKETS for x in names)
 
 
-def _abstain(vote: int, when: bool) -> int:
-    return vote if when else 0
+def _vote(poor: bool, good: bool, judged: bool) -> int:
+    return SILENT if not judged else -1 if poor else 1 if good else 0
 
 
-#: name -> vote: 1 for good, -1 for poor, 0 for no opinion. They overlap on purpose.
+#: name -> vote: 1 for good, -1 for poor, 0 between them, SILENT for texts too short to judge. They overlap on purpose.
 LABELLERS = {
-    "few_symbols": lambda s: -1 if s.symbols > 0.06 * s.chars else _abstain(1, s.symbols < 0.005 * s.chars),
-    "no_tables": lambda s: -1 if s.words > 5 and s.bars > 0.15 * s.words else _abstain(1, s.bars == 0),
-    "lower_case": lambda s: -1 if s.letters > 20 and s.upper > 0.4 * s.letters else _abstain(1, s.letters > 20 and s.upper < 0.15 * s.letters),
-    "varied": lambda s: -1 if s.words > 30 and s.most > 0.25 * s.words else _abstain(1, s.words > 30 and s.most < 0.12 * s.words and s.distinct > 0.15 * s.words),
-    "distinct_words": lambda s: -1 if s.words > 60 and s.distinct < 0.08 * s.words else _abstain(1, s.words > 60 and s.distinct > 0.15 * s.words),
-    "no_runs": lambda s: -1 if s.words > 20 and s.runs > 0.1 * s.words else _abstain(1, s.words > 20 and s.runs < 0.02 * s.words),
-    "function_words": lambda s: -1 if s.words > 40 and s.stops < 0.05 * s.words else _abstain(1, s.words > 20 and s.stops > 0.12 * s.words),
-    "calm": lambda s: -1 if s.marks > 3 and s.marks > 0.05 * s.words else _abstain(1, s.marks == 0),
-    "mostly_letters": lambda s: -1 if s.letters < 0.6 * s.chars else _abstain(1, s.letters > 0.75 * s.chars),
-    "has_words": lambda s: -1 if s.letters == 0 else 0,
+    "few_symbols": lambda s: _vote(s.symbols > 0.06 * s.chars, s.symbols < 0.005 * s.chars, s.chars > 0),
+    "no_tables": lambda s: _vote(s.bars > 0.15 * s.words, s.bars == 0, s.words > 5),
+    "lower_case": lambda s: _vote(s.upper > 0.4 * s.letters, s.upper < 0.15 * s.letters, s.letters > 20),
+    "varied": lambda s: _vote(s.most > 0.25 * s.words, s.most < 0.12 * s.words and s.distinct > 0.15 * s.words, s.words > 30),
+    "distinct_words": lambda s: _vote(s.distinct < 0.08 * s.words, s.distinct > 0.15 * s.words, s.words > 60),
+    "no_runs": lambda s: _vote(s.runs > 0.1 * s.words, s.runs < 0.02 * s.words, s.words > 20),
+    "function_words": lambda s: _vote(s.stops < 0.05 * s.words, s.stops > 0.12 * s.words, s.words > 40),
+    "calm": lambda s: _vote(s.marks > 3 and s.marks > 0.05 * s.words, s.marks == 0, s.words > 0),
+    "mostly_letters": lambda s: _vote(s.letters < 0.6 * s.chars, s.letters > 0.75 * s.chars, s.words > 5),
+    "has_words": lambda s: _vote(s.letters == 0, False, s.letters == 0),
 }
 
 
@@ -95,43 +98,44 @@ def votes(s: Style) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """The share of good documents, and for each labeller the chance that its vote is for poor, on poor and good ones.
+    """The share of good documents, and how each labeller votes (poor, unsure, good) on poor and on good ones.
 
-    A labeller without an opinion is no evidence.
+    An unsure vote is evidence too; a silent labeller is none.
     """
 
     good: float
-    poor_votes: np.ndarray = field(repr=False)
+    rates: np.ndarray = field(repr=False)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """The chance that documents with these votes are good."""
         if not len(patterns):
             return np.zeros(0)
-        odds = np.log(self.good / (1 - self.good))
-        against, for_ = np.log(self.poor_votes[:, 1] / self.poor_votes[:, 0]), np.log((1 - self.poor_votes[:, 1]) / (1 - self.poor_votes[:, 0]))
-        odds = odds + (patterns == -1) @ against + (patterns == 1) @ for_
+        weight = np.log(self.rates[1]) - np.log(self.rates[0])
+        odds = np.log(self.good / (1 - self.good)) + np.einsum("pmv,mv->p", _cast(patterns), weight)
         return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+def _cast(patterns: np.ndarray) -> np.ndarray:
+    return np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
+
+
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
     """Labellers' accuracies by expectation-maximisation over vote patterns and how many documents have each.
 
-    The start is that any vote for poor is likely right, which fixes what good means. Labellers see different faults, so
-    most pass a poor document; but one that votes poor is held to be better than chance: it does so on at most
-    MOST_FALSE of good documents and on at least LEAST_TRUE of poor ones.
+    Accuracies and the share of good documents are free: PRIOR counts as PRIOR_DOCS documents, which a corpus of some
+    hundreds overrules. The start, by which good is told from poor, is that any vote for poor is likely right. Without
+    documents the model is the prior.
     """
-    m = patterns.shape[1] if patterns.ndim == 2 else len(LABELLERS)
-    model = LabelModel(1 - PRIOR_POOR, np.tile([LEAST_TRUE, MOST_FALSE], (m, 1)))
+    prior = np.array(PRIOR)[:, None, :]
+    m = patterns.shape[1] if patterns.ndim == 2 and len(patterns) else len(LABELLERS)
+    model = LabelModel(GOOD, np.repeat(prior, m, axis=1))
     if not len(patterns):
         return model
-    q = np.where((patterns == -1).any(axis=1), 0.1, 0.95)
+    cast, q = _cast(patterns), np.where((patterns == -1).any(axis=1), 0.1, 0.95)
     for _ in range(rounds):
-        for k, weight in enumerate((counts * (1 - q), counts * q)):
-            poor, good = (((patterns == v) * weight[:, None]).sum(axis=0) for v in (-1, 1))
-            model.poor_votes[:, k] = (poor + 0.5) / (poor + good + 1)
-        model.poor_votes[:, 0] = np.clip(model.poor_votes[:, 0], LEAST_TRUE, 0.95)
-        model.poor_votes[:, 1] = np.clip(model.poor_votes[:, 1], 1e-4, MOST_FALSE)
-        model.good = float(np.clip((counts * q).sum() / counts.sum(), 0.5, 0.98))
+        seen = np.stack([np.einsum("p,pmv->mv", w, cast) for w in (counts * (1 - q), counts * q)]) + PRIOR_DOCS * prior
+        model.rates = seen / seen.sum(axis=2, keepdims=True)
+        model.good = float((counts @ q + PRIOR_DOCS * GOOD) / (counts.sum() + PRIOR_DOCS))
         new = model.posterior(patterns)
         if np.abs(new - q).max() < 1e-6:
             break
@@ -145,7 +149,7 @@ def vote_table(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
 
 def label_model(docs: DataFrame) -> LabelModel:
-    """The label model of all docs: their vote patterns are counted, at most 3 to the number of labellers."""
+    """The label model of all docs: their vote patterns are counted, at most 4 to the number of labellers."""
     rows = vote_table(docs.select("doc_id", "text")).groupBy("votes").count().collect()
     patterns = np.array([r["votes"] for r in rows], np.int64).reshape(-1, len(LABELLERS))
     return fit_label_model(patterns, np.array([r["count"] for r in rows], np.float64))
@@ -169,13 +173,11 @@ def features(s: Style, by_shape: dict, known: Known) -> tuple[np.ndarray, np.nda
     return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
 
 
-def fit_scorer(texts: list[bytes], target: np.ndarray, steps: int = 200, rate: float = 0.3, penalty: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic scorer fitted on posterior labels."""
-    known = Known(_shape)
+def fit_scorer(made: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, steps: int = 200, rate: float = 0.3, penalty: float = 1e-5) -> np.ndarray:
+    """Weights of a logistic scorer fitted on posterior labels of documents, each (buckets, values)."""
     w = np.zeros(BUCKETS)
-    if not texts:
+    if not made:
         return w
-    made = [features(*style(t), known) for t in texts]
     rows = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
     columns, values = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
     moment = np.full(BUCKETS, 1e-8)
@@ -197,18 +199,35 @@ class Scorer:
 
 
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Scorer:
-    """The label model of all docs, and a scorer fitted on the posterior labels of at most train_docs of them."""
+    """The label model of all docs, and a scorer fitted on the posterior labels of at most train_docs of them.
+
+    Executors make votes and features of whole texts; null texts count as empty. An empty table gives the prior and a
+    scorer without weights.
+    """
     model = label_model(docs)
-    rows = bounded_sample(docs.select("doc_id", F.coalesce(F.substring("text", 1, 50_000), F.lit("")).cast("binary").alias("text")), train_docs, "doc_id")
-    texts = [bytes(r["text"]) for r in rows]
-    target = model.posterior(np.array([votes(style(t)[0]) for t in texts], np.int64).reshape(-1, len(LABELLERS)))
-    return Scorer(model, fit_scorer(texts, target))
+
+    def make():
+        known = Known(_shape)
+
+        def kernel(texts: list[bytes]) -> dict:
+            styles = [style(t) for t in texts]
+            made = [features(*s, known) for s in styles]
+            return {"votes": [votes(s) for s, _ in styles], "at": [at.tobytes() for at, _ in made], "x": [x.tobytes() for _, x in made]}
+
+        return kernel
+
+    taken = sample(docs.select("doc_id", "text"), train_docs)
+    rows = gathered(map_texts(taken, make, "votes array<int>, at binary, x binary", keep=("__h",), as_bytes=True), train_docs)
+    target = model.posterior(np.array([r["votes"] for r in rows], np.int64).reshape(-1, len(LABELLERS)))
+    return Scorer(model, fit_scorer([(np.frombuffer(r["at"], np.int64), np.frombuffer(r["x"], np.float64)) for r in rows], target))
 
 
 def score(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds votes, posterior (the label model's), score (the linear scorer's) and predicted (1, good, from 0.5).
 
-    Whole texts are scored; null texts count as empty, for which a labeller votes poor.
+    Whole texts are scored; null texts count as empty, for which a labeller votes poor. Repeated rows are each returned;
+    an empty table gives an empty one; columns that aren't kept may have any names, kept ones may not be called votes,
+    posterior, score or predicted.
     """
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
