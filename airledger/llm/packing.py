@@ -5,20 +5,20 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, map_texts, shared_dir, stored
+from .common import Known, map_texts, ship, stored
 
 WINDOW = 2048
 END_ID = 1
-#: Seeds that are scored at once, documents that each gets listed then, and documents that are listed whole at the end.
-#: They bound memory only: a seed whose list is used up is scored again.
-SEEDS_AT_ONCE, LISTED, LAST_DOCS = 16_384, 16, 1024
+#: Documents of a shard of the index and tokens of it, at which the next one begins, and tasks that shards are dealt to
+#: at most (a task takes one after the other).
+SHARD_DOCS, SHARD_TOKENS, MOST_TASKS = 4096, 16_000_000, 20_000
 K1, B = 1.2, 0.75
 
 
@@ -34,14 +34,14 @@ class Encoder:
 
     The tokenizer drops white space, lower-cases, and splits letters, single digits and other characters from one
     another, each part being encoded alone. So texts of plain Latin characters are split here and each part is encoded
-    once; its merges are run by tiktoken's core, which does the same merges several times faster. There a letter at a
-    word's end, for which the vocabulary has a sign of its own, is a byte that no lower-cased word has. Other texts,
-    other parts, and all texts if the first ones come out differently, go to the tokenizer itself.
+    once. The merges of words are run by tiktoken, which does the same ones several times faster: the vocabulary marks a
+    word's last letter, for which an upper-case one stands there. Other texts and parts, words that merge to nothing
+    known, and all texts if the first ones come out differently, go to the tokenizer itself.
     """
 
     _PLAIN = re.compile(r"[\x20-\x26\x28-\x7E\n\t\rÀ-ÖØ-öø-ÿ]*+")
     _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-    _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+    _LETTERS = re.compile(r"[a-zß-öø-þ]+")
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,37 +51,37 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("token ids need more than 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.core, self.ends = self._core()
+        #: What stands for a letter at a word's end; ß has no upper-case letter of as many bytes.
+        self.ends = {chr(c): chr(c).upper() for c in (*range(0x61, 0x7B), *range(0xE0, 0xFF)) if c != 0xF7} | {"ß": "×"}
+        self.words = self._words()
         self.parts = Known(self._part, most)
         self.checked = 0
 
-    def _core(self):
+    def _words(self):
         import tiktoken
 
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-        letters = {b for b in range(256) if 0x61 <= b <= 0x7A or b >= 0x80}
-        free = [b for b in range(256) if b not in letters]
-        ends = dict(zip([b for b in sorted(letters) if b < 0xC0], free, strict=False))
+        # The last byte of each letter, and that of what stands for it at a word's end.
+        last = {a.encode()[-1:]: b.encode()[-1:] for a, b in self.ends.items()}
+        letters = {b for a in self.ends for b in a.encode()}
         ranks = {}
         for token, i in self.tokenizer.get_vocab().items():
-            end = token.endswith("</w>") and token != "</w>"
-            raw = [shown.get(ch, -1) for ch in token.removesuffix("</w>")]
-            if raw and all(b in letters for b in raw) and (not end or raw[-1] in ends):
-                ranks[bytes([*raw[:-1], ends[raw[-1]]] if end else raw)] = i
-        if not any(bytes([b]) in ranks for b in letters):
-            return None, {}
-        core = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        return core, {bytes([a]): bytes([b]) for a, b in ends.items()}
+            raw = bytes(b for b in (shown.get(ch, 0) for ch in token.removesuffix("</w>")))
+            if raw and all(b in letters for b in raw):
+                if not token.endswith("</w>"):
+                    ranks[raw] = i
+                elif raw[-1:] in last:
+                    ranks[raw[:-1] + last[raw[-1:]]] = i
+        return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={}) if b"a" in ranks else None
 
     def _tokenizer_ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def _part(self, part: str) -> bytes:
-        raw = part.encode()
-        if self.core and self._LETTERS.fullmatch(part) and raw[-1:] in self.ends:
-            ids = self.core.encode_single_piece(raw[:-1] + self.ends[raw[-1:]])
+        if self.words and self._LETTERS.fullmatch(part):
+            ids = self.words.encode_ordinary(part[:-1] + self.ends[part[-1]])
             return struct.pack(f"<{len(ids)}H", *ids)
         return self._tokenizer_ids(part)
 
@@ -89,420 +89,274 @@ class Encoder:
         if not self._PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self._tokenizer_ids(text)
         ids = b"".join(map(self.parts.__getitem__, self._PARTS.findall(text.lower())))
-        if self.checked < 20 and len(text) < 20_000:
+        if self.checked < 20:
             self.checked += 1
             if ids != (right := self._tokenizer_ids(text)):
-                self.core = None
+                self.words = None
                 self.parts = Known(self._part)
                 self._PLAIN = re.compile(r"(?!)")
                 return right
         return ids
 
 
-def _token_kernel(path: str, end_id: int):
-    encode, end = Encoder(path), struct.pack("<H", end_id)
-    return lambda texts: {"ids": [encode(t) + end for t in texts]}
+_TOKENS = "ids binary, df binary, total long"
 
 
-def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ids (binary, little-endian 16-bit): token ids of each whole text, then end_id; null texts count as empty."""
-    path = path or tokenizer_path()
-    return map_texts(docs, lambda: _token_kernel(path, end_id), "ids binary", keep=keep)
-
-
-def distinct(ids):
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of an array and how often each occurs."""
-    import numpy as np
-
     own = np.sort(ids)
     at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     return own[at], np.diff(np.append(at, len(own)))
 
 
-def token_statistics(tokens: DataFrame) -> DataFrame:
-    """token, df (documents that have it) and total (tokens of all documents, the same in each row)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        df, total = np.zeros(65_536, np.int64), 0
-        for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += len(ids) // 2
-                df[distinct(np.frombuffer(ids, np.uint16))[0]] += 1
-        at = np.flatnonzero(df)
-        totals = np.zeros(len(at), np.int64)
-        totals[:1] = total
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(df[at]), pa.array(totals)], names=["token", "df", "total"])
+def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds ids (binary, little-endian 16-bit): token ids of each whole text, then end_id; null texts count as empty.
 
-    return tokens.select("ids").mapInArrow(run, "token long, df long, total long").groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    Repeated rows are each returned; an empty table gives an empty one; columns that aren't kept may have any names.
+    """
+    path = path or tokenizer_path()
 
+    def make():
+        encode, end = Encoder(path), struct.pack("<H", end_id)
+        return lambda texts: {"ids": [encode(t) + end for t in texts]}
 
-class Shard:
-    """A BM25 inverted index of documents held in memory, with idf and mean length of the whole corpus."""
+    return map_texts(docs, make, "ids binary", keep=keep)
 
-    def __init__(self, docs: list, idf, mean: float):
-        import numpy as np
 
-        sizes = np.array([len(d) for d in docs])
-        pairs, tf = distinct(np.repeat(np.arange(len(docs), dtype=np.uint32) << 16, sizes) | np.concatenate(docs))
-        flat, owner = (pairs & 0xFFFF).astype(np.int64), (pairs >> 16).astype(np.int64)
-        lengths = sizes.astype(np.float64)
-        weight = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean))
-        order = np.argsort(flat, kind="stable")
-        terms, counts = distinct(flat)
-        self.bounds = np.concatenate(([0], np.cumsum(counts)))
-        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
-        of = np.searchsorted(terms, flat)
-        self.of = np.split(of, np.searchsorted(owner, np.arange(1, len(docs))))
-        self.unused = np.ones(len(docs), bool)
-
-    def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents, best first, by the BM25 score for the seed's distinct tokens; ties by place."""
-        import numpy as np
-
-        rows = self.of[seed]
-        a, n = self.bounds[rows], self.bounds[rows + 1] - self.bounds[rows]
-        at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        scores = np.bincount(self.owner[at], self.weight[at], minlength=len(self.of))
-        for i in np.argsort(-scores, kind="stable").tolist():
-            if self.unused[i]:
-                yield i
-
-
-class Seeds:
-    """Seeds as queries: (id, distinct token ids) of each, scored against blocks of documents."""
-
-    BLOCK = 512
-
-    def __init__(self, tokens: list, ids, df, rows: int):
-        import numpy as np
-
-        self.tokens, self.ids = tokens, ids
-        #: Tokens of one document in 32 or more are columns of a dense product; a document has few of the others.
-        self.common = np.full(65_536, -1, np.int32)
-        often = np.flatnonzero(df * 32 >= rows)
-        self.common[often] = np.arange(len(often))
-        self.width = len(often)
-
-    def scores(self, docs: list, ids) -> Iterator[tuple[int, object]]:
-        """(first seed, scores of that block's seeds by document) for docs, a list of (token ids, BM25 weights)."""
-        import numpy as np
+def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Documents that have each token, documents, and tokens of all documents, of a table with ids."""
 
-        n = len(docs)
-        sizes = np.array([len(t) for t, _ in docs])
-        flat, owner, weight = np.concatenate([t for t, _ in docs]).astype(np.int64), np.repeat(np.arange(n), sizes), np.concatenate([w for _, w in docs])
-        column = self.common[flat]
-        dense = np.zeros((self.width, n), np.float32)
-        dense[column[column >= 0], owner[column >= 0]] = weight[column >= 0]
-        rare = np.flatnonzero(column < 0)
-        rare = rare[np.argsort(flat[rare], kind="stable")]
-        bounds = np.searchsorted(flat[rare], np.arange(65_537))
-        owner, weight = owner[rare], weight[rare]
-        # Scores that are equal but for rounding go by a hash of both documents, so that copies of a seed differ in order.
-        mixed = ((ids * 40_503) >> 4).astype(np.uint16)
-        for first in range(0, len(self.tokens), self.BLOCK):
-            part = self.tokens[first : first + self.BLOCK]
-            row, token = np.repeat(np.arange(len(part)), [len(t) for t in part]), np.concatenate(part).astype(np.int64)
-            column = self.common[token]
-            asked = np.zeros((len(part), self.width), np.float32)
-            asked[row[column >= 0], column[column >= 0]] = 1
-            out = asked @ dense
-            row, token = row[column < 0], token[column < 0]
-            a, count = bounds[token], bounds[token + 1] - bounds[token]
-            if total := int(count.sum()):
-                at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(total)
-                out += np.bincount(np.repeat(row * n, count) + owner[at], weight[at], minlength=out.size).reshape(out.shape).astype(np.float32)
-            mine = ((self.ids[first : first + self.BLOCK] * 30_011) >> 4).astype(np.uint16)
-            out *= 1 + (mine[:, None] ^ mixed[None, :]) * np.float32(1e-6 / 65_536)
-            yield first, out
-
-
-class Best:
-    """The best `most` documents of each seed so far, over any number of blocks of documents."""
-
-    def __init__(self, seeds: Seeds, most: int):
-        import numpy as np
-
-        self.seeds, self.most = seeds, most
-        self.score = np.full((len(seeds.tokens), most), -1, np.float32)
-        self.doc = np.full((len(seeds.tokens), most), -1, np.int64)
-
-    def add(self, docs: list, ids) -> None:
-        """Ranks docs (token ids, weights) of these ids too."""
-        import numpy as np
-
-        for first, scores in self.seeds.scores(docs, ids):
-            block = slice(first, first + len(scores))
-            old, m = self.score[block], self.most
-            if scores.shape[1] > m:
-                least = np.maximum(old[:, -1], -np.partition(-scores, m - 1, axis=1)[:, m - 1]) if old[0, -1] < 0 else old[:, -1]
-                row, col = np.nonzero(scores >= least[:, None])
-            else:
-                row, col = np.indices(scores.shape).reshape(2, -1)
-            self.score[block], self.doc[block] = merged(
-                np.concatenate([np.repeat(np.arange(len(scores)), m), row]), np.concatenate([old.ravel(), scores[row, col]]), np.concatenate([self.doc[block].ravel(), ids[col]]), len(scores), m
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, total = np.zeros(65_536, np.int64), 0, 0
+        for batch in batches:
+            for ids in batch.column(0):
+                own = np.frombuffer(ids.as_buffer(), np.uint16)
+                rows, total = rows + 1, total + len(own)
+                seen = np.zeros(65_536, bool)
+                seen[own] = True
+                df += seen
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [rows, total]))], names=["token", "n"])
 
+    counted = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    by, df = {r["token"]: r["n"] for r in counted}, np.zeros(65_536, np.float64)
+    for token, n in by.items():
+        if token >= 0:
+            df[token] = n
+    return df, by.get(-1, 0), by.get(-2, 0)
 
-def merged(row, score, doc, rows: int, most: int):
-    """(scores, documents) of the best `most` entries of each row, best first and then by document."""
-    import numpy as np
 
-    order = np.lexsort((doc, -score, row))
-    row, score, doc = row[order], score[order], doc[order]
-    place = np.arange(len(row)) - np.searchsorted(row, np.arange(rows))[row]
-    keep = place < most
-    best, of = np.full((rows, most), -1, np.float32), np.full((rows, most), -1, np.int64)
-    best[row[keep], place[keep]], of[row[keep], place[keep]] = score[keep], doc[keep]
-    return best, of
+#: Tokens that a document is placed by.
+PLACED_BY = 3
 
 
-class Packer:
-    """Sequences as they fill: documents, by number, are put to the open sequence of a seed and cut where it is full.
+def with_place(tokens: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
+    """Adds place (binary): a lexical key by which documents that share what is typical of them come to lie together.
 
-    Only sizes and flags of the documents are held, a few bytes each.
+    It is the document's tokens of the greatest BM25 weight, the best first, each as its number; documents without
+    typical tokens come first. A hash of the row's ids and then its id break ties among very many alike.
     """
-
-    def __init__(self, sizes, window: int = WINDOW):
-        import numpy as np
-
-        self.sizes, self.window = sizes, window
-        self.unused = np.ones(len(sizes), bool)
-        self.open: dict[int, list] = {}  # seed: [pieces (document, start, length)], filled
-        self.sequence = 0
-        self.pieces: list[tuple[int, int, int, int, int]] = []
-
-    def _close(self, own: list) -> None:
-        offset = 0
-        for doc, start, length in own:
-            self.pieces.append((doc, start, length, self.sequence, offset))
-            offset += length
-        self.sequence += 1
-
-    def put(self, seed: int, doc: int) -> None:
-        """Puts a whole document into the seed's sequence; where that gets full, what is left opens one of its own."""
-        own = self.open.pop(seed, [])
-        self.unused[doc] = False
-        start, n, fill = 0, int(self.sizes[doc]), sum(p[2] for p in own)
-        while start < n:
-            length = min(n - start, self.window - fill)
-            own.append((doc, start, length))
-            start, fill = start + length, fill + length
-            if fill == self.window:
-                self._close(own)
-                own, fill, seed = [], 0, doc
-        if own:
-            self.open[seed] = own
-
-    def run(self, seed: int, ranked: Iterator[int]) -> None:
-        """Fills a seed's sequence with its best unused documents; an unused seed comes first, a used one must be open."""
-        if self.unused[seed]:
-            self.put(seed, seed)
-        if seed not in self.open:
-            return
-        for doc in ranked:
-            if self.unused[doc]:
-                self.put(seed, doc)
-                if seed not in self.open:
-                    return
-
-    def finish(self) -> None:
-        """Sequences that no document is left for are joined; the last becomes ones of power-of-two lengths."""
-        rest = [list(p) for own in self.open.values() for p in own]
-        self.open, left = {}, sum(p[2] for p in rest)
-        while left:
-            room, own = min(self.window, 1 << (left.bit_length() - 1)), []
-            left -= room
-            while room:
-                doc, start, length = rest[0]
-                take = min(length, room)
-                own.append((doc, start, take))
-                room -= take
-                rest[0][1:] = start + take, length - take
-                if take == length:
-                    rest.pop(0)
-            self._close(own)
-
-
-_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_VECTORS = "rid long, n long, terms binary, weights binary"
-
-
-def vectors(tokens: DataFrame, idf, mean: float) -> DataFrame:
-    """rid, n (token ids), terms (distinct ids, 16-bit) and weights (their BM25 weights, 32-bit) of rows (rid, ids)."""
-    held = tokens.sparkSession.sparkContext.broadcast(idf)
+    held = tokens.sparkSession.sparkContext.broadcast((idf, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        idf = held.value
+        idf, mean = held.value
         for batch in batches:
-            made: tuple[list, list, list] = ([], [], [])
-            for raw in batch.column(1):
-                ids = np.frombuffer(raw.as_py(), np.uint16)
-                terms, tf = distinct(ids)
-                made[0].append(len(ids))
-                made[1].append(terms.tobytes())
-                made[2].append((idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made[0], pa.int64()), pa.array(made[1], pa.binary()), pa.array(made[2], pa.binary())], names=["rid", "n", "terms", "weights"])
-
-    return tokens.select("rid", "ids").mapInArrow(run, _VECTORS)
-
-
-def _number(rids, firsts):
-    """Places 0, 1, 2... of rows, of ids that have a partition above 33 bits and a row of it below."""
-    return firsts[rids >> 33] + (rids & (1 << 33) - 1)
+            places = []
+            for ids in batch.column("ids"):
+                own = np.frombuffer(ids.as_buffer(), np.uint16)
+                terms, tf = distinct(own)
+                weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
+                best = terms[np.lexsort((terms, -weight))[:PLACED_BY]]
+                places.append(best.astype(">u2").tobytes())
+            yield batch.append_column("place", pa.array(places, pa.binary()))
 
+    return tokens.mapInArrow(run, tokens.schema.simpleString()[7:-1] + ", place: binary")
 
-def _chosen(vectors: DataFrame, firsts, want) -> tuple:
-    """(numbers, term ids, weights) of the rows whose number is flagged in want, by number."""
-    import numpy as np
 
-    held = vectors.sparkSession.sparkContext.broadcast((firsts, np.packbits(want)))
+class Index:
+    """A BM25 inverted index of a shard's documents, with idf and mean length of the whole corpus.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, bits = held.value
-        for batch in batches:
-            at = _number(batch.column(0).to_numpy(), firsts)
-            yield batch.filter(pa.array(bits[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+    A token that one document in 16 or more has is a column of a dense matrix; the others have postings lists.
+    """
 
-    found = vectors.mapInArrow(run, _VECTORS).toArrow()
-    held.unpersist()
-    numbers = _number(found.column("rid").to_numpy(), firsts)
-    order = np.argsort(numbers)
-    terms, weights = found.column("terms").to_pylist(), found.column("weights").to_pylist()
-    return numbers[order], [np.frombuffer(terms[i], np.uint16) for i in order], [np.frombuffer(weights[i], np.float32) for i in order]
+    BLOCK = 256
 
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
+        n = len(docs)
+        sizes = np.array([len(d) for d in docs])
+        pairs, tf = distinct(np.repeat(np.arange(n, dtype=np.uint32) << 16, sizes) | np.concatenate(docs))
+        token, owner = (pairs & 0xFFFF).astype(np.int64), (pairs >> 16).astype(np.int64)
+        weight = (idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / mean))).astype(np.float32)
+        common = np.flatnonzero(np.bincount(token, minlength=65_536) * 16 >= max(n, 64))
+        self.column = np.full(65_536, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[token] >= 0
+        self.dense = np.zeros((len(common), n), np.float32)
+        self.dense[self.column[token[dense]], owner[dense]] = weight[dense]
+        self.of = np.split(token, np.searchsorted(owner, np.arange(1, n)))
+        order = np.argsort(token[~dense], kind="stable")
+        self.owner, self.weight = owner[~dense][order], weight[~dense][order]
+        self.bounds = np.searchsorted(token[~dense][order], np.arange(65_537))
+        self.n = n
+
+    def scores(self, seeds: list[int]) -> np.ndarray:
+        """BM25 scores (seeds x documents) for the seeds' distinct tokens."""
+        row, token = np.repeat(np.arange(len(seeds)), [len(self.of[s]) for s in seeds]), np.concatenate([self.of[s] for s in seeds])
+        column = self.column[token]
+        asked = np.zeros((len(seeds), len(self.dense)), np.float32)
+        asked[row[column >= 0], column[column >= 0]] = 1
+        out = asked @ self.dense
+        row, token = row[column < 0], token[column < 0]
+        first, count = self.bounds[token], self.bounds[token + 1] - self.bounds[token]
+        if total := int(count.sum()):
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)
+            out += np.bincount(np.repeat(row * self.n, count) + self.owner[at], self.weight[at], minlength=out.size).reshape(out.shape).astype(np.float32)
+        return out
+
+
+class Neighbours:
+    """Unused documents of an index for a seed, best first."""
+
+    def __init__(self, index: Index):
+        n = index.n
+        self.unused, self.scores = np.ones(n, bool), np.empty((n, n), np.float32)
+        for a in range(0, n, index.BLOCK):
+            self.scores[a : a + index.BLOCK] = index.scores(list(range(a, min(n, a + index.BLOCK))))
+
+    def of(self, seed: int) -> Iterator[int]:
+        """Unused documents, best first, ties by place."""
+        own, listed = self.scores[seed], 8
+        while len(left := np.flatnonzero(self.unused)):
+            few = left if len(left) <= listed else left[np.argpartition(-own[left], listed - 1)[:listed]]
+            for i in few[np.lexsort((few, -own[few]))].tolist():
+                if self.unused[i]:
+                    yield i
+            listed *= 4
+
+
+def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (document, start, length) that hold all ids of a shard's documents, which are cut freely.
+
+    A seed is what is left of a document that was cut, or else the first unused one. Its sequence takes the best of the
+    shard's unused documents, over and over, and cuts one that doesn't fit. Only the last sequences are short: what is
+    left is dealt to lengths that are powers of two, so there is no padding.
+    """
+    near = Neighbours(Index(docs, idf, mean))
+    out: list[list[tuple[int, int, int]]] = []
+    own: list[tuple[int, int, int]] = []
+    room, following = window, 0
+
+    def put(doc: int) -> None:
+        nonlocal own, room
+        near.unused[doc] = False
+        start, n = 0, len(docs[doc])
+        while start < n:
+            length = min(n - start, room)
+            own.append((doc, start, length))
+            start, room = start + length, room - length
+            if not room:
+                out.append(own)
+                own, room = [], window
 
-def ranked(vectors: DataFrame, seeds: Seeds, unused, firsts, most: int):
-    """The best `most` unused documents of all rows for each seed, best first (-1 where there are no more)."""
-    import numpy as np
+    while True:
+        if own:  # what is left of the last document is the seed of the sequence that it begins
+            for doc in near.of(own[0][0]):
+                full = len(out)
+                put(doc)
+                if len(out) > full:
+                    break
+            else:
+                break
+        else:
+            while following < len(docs) and not near.unused[following]:
+                following += 1
+            if following == len(docs):
+                break
+            put(following)
+    left = sum(p[2] for p in own)
+    while left:
+        room = 1 << (left.bit_length() - 1)
+        left -= room
+        part: list[tuple[int, int, int]] = []
+        while room:
+            doc, start, length = own.pop(0)
+            take = min(length, room)
+            part.append((doc, start, take))
+            room -= take
+            if take < length:
+                own.insert(0, (doc, start + take, length - take))
+        out.append(part)
+    return out
 
-    context = vectors.sparkSession.sparkContext
-    held = context.broadcast((seeds, firsts, np.packbits(unused)))
-    block = Seeds.BLOCK
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, firsts, bits = held.value
-        best, docs, ids = Best(seeds, most), [], []
+_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
-        def flush() -> None:
-            if docs:
-                best.add(docs, np.array(ids))
-            docs.clear()
-            ids.clear()
 
-        for batch in batches:
-            at = _number(batch.column(0).to_numpy(), firsts)
-            for i in np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)) & 1).tolist():
-                docs.append((np.frombuffer(batch.column(2)[i].as_py(), np.uint16), np.frombuffer(batch.column(3)[i].as_py(), np.float32)))
-                ids.append(at[i])
-                if len(docs) == 2048:
-                    flush()
-        flush()
-        parts = range(0, len(seeds.tokens), block)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(parts), pa.int64()), pa.array([best.score[p : p + block].tobytes() for p in parts], pa.binary()), pa.array([best.doc[p : p + block].tobytes() for p in parts], pa.binary())],
-            names=["part", "score", "doc"],
-        )
-
-    def join(found: pa.Table) -> pa.Table:
-        part = found.column("part")[0].as_py()
-        score, doc = (np.concatenate([np.frombuffer(x.as_py(), t).reshape(-1, most) for x in found.column(c)]) for c, t in (("score", np.float32), ("doc", np.int64)))
-        rows = len(score) // found.num_rows
-        score, doc = merged(np.repeat(np.tile(np.arange(rows), found.num_rows), most), score.ravel(), doc.ravel(), rows, most)
-        return pa.table({"part": [part], "doc": pa.array([doc.tobytes()], pa.binary())})
-
-    rows = vectors.coalesce(2 * context.defaultParallelism).mapInArrow(run, "part long, score binary, doc binary")
-    got = rows.groupBy("part").applyInArrow(join, "part long, doc binary").toArrow().to_pylist()
-    held.unpersist()
-    return np.concatenate([np.frombuffer(r["doc"], np.int64).reshape(-1, most) for r in sorted(got, key=lambda r: r["part"])])
-
-
-def pack(
-    docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, seeds_at_once: int = SEEDS_AT_ONCE, listed: int = LISTED, last_docs: int = LAST_DOCS
-) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all docs (doc_id, text), packed into sequences of `window` token ids.
 
     Returns doc_id, start, length, ids (the piece's, as little-endian 32-bit numbers), doc_tokens, sequence_id and offset;
     a sequence is its pieces' ids by offset. Null texts are packed as the end id alone; null and repeated doc_ids are
-    packed row by row.
+    packed row by row; an empty table gives an empty one; other columns may have any names.
 
-    A seed is what is left of a document that was cut, or else the first unused one. Its sequence takes the best of all
-    unused documents by the BM25 score for the seed's distinct tokens, over and over; one that doesn't fit is cut there.
-    For up to seeds_at_once seeds at a time, every unused document is scored, and each gets its `listed` best. They take
-    their turns, skipping what was taken since the scoring, so what a seed takes is still the best; one whose list is
-    used up waits for the next scoring. That is seeds times documents in all. The last last_docs documents are listed
-    whole. Only the last sequences can be short: their lengths are powers of two, so there is no padding.
+    The index is sharded: documents are sorted by a lexical key (with_place) over the whole table and every shard_docs in
+    that order, or fewer with shard_tokens tokens, are one BM25 inverted index with the corpus's idf. A seed takes its
+    best unused neighbours of its shard, so the work for a document is the same at every size of the table. Each shard
+    ends in at most a few short sequences, whose lengths are powers of two, so there is no padding.
 
-    Token ids and BM25 weights are written once to the shared folder; the driver holds each document's size and a flag.
+    Token ids are written once to the shared folder and dealt out once, by ranges of the key with the row's hash, so that
+    copies of one document, however many, are spread; the driver holds the tokens' document frequencies only.
     """
-    import numpy as np
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = stored(tokenize(ids, path, end_id).withColumn("rid", F.monotonically_increasing_id()), "tokens")
     spark = docs.sparkSession
-    rows, total, df = tokens.count(), 0, np.zeros(65_536, np.float64)
-    for r in token_statistics(tokens).collect():
-        df[r["token"]] = r["df"]
-        total += r["total"]
-    idf = np.log(1 + (rows - df + 0.5) / (df + 0.5)).astype(np.float32)
-    if not rows:
+    ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokens = stored(tokenize(rows, path, end_id), "tokens")
+    df, n, total = document_frequencies(tokens)
+    if not n:
         return spark.createDataFrame([], _PIECES)
-    index = stored(vectors(tokens, idf, max(1.0, total / rows)), "vectors")
-
-    counts = {r["p"]: r["n"] for r in index.groupBy(F.shiftright("rid", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
-    firsts = np.cumsum([0, *(counts.get(p, 0) for p in range(max(counts) + 1))])
-    held = index.select("rid", "n").toArrow()
-    sizes = np.zeros(rows, np.int32)
-    sizes[_number(held.column("rid").to_numpy(), firsts)] = held.column("n").to_numpy()
-    del held
-
-    packer, made = Packer(sizes, window), f"{shared_dir(spark)}/airledger-llm/pieces-{uuid.uuid4().hex}"
+    mean = max(1.0, total / n)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shards = max(-(-n // shard_docs), -(-total // shard_tokens))
+    placed = with_place(tokens, idf, mean)
+    order = ["place", F.xxhash64("ids"), "doc_id"]
+    dealt = placed.repartitionByRange(min(MOST_TASKS, shards), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    held = spark.sparkContext.broadcast((idf, mean))
 
-    def write() -> None:
-        number, start, length, sequence, offset = np.array(packer.pieces, np.int64).reshape(-1, 5).T
-        part = np.searchsorted(firsts, number, side="right") - 1
-        columns = {"rid": part << 33 | number - firsts[part], "start": start, "length": length, "sequence_id": sequence, "offset": offset}
-        spark.createDataFrame(pa.table(columns)).coalesce(4).write.mode("append").parquet(made)
-        packer.pieces.clear()
-
-    while True:
-        left = np.flatnonzero(packer.unused)
-        if not len(left):
-            break
-        last = len(left) <= last_docs and len(packer.open) <= last_docs
-        most = len(left) if last else listed
-        # A quarter of the sequences to come at most, so that lists aren't used up before the next scoring.
-        some = len(left) if last else max(64, min(seeds_at_once, int(sizes[left].sum()) // window // 4))
-        turn = list(packer.open)[: len(packer.open) if last else some]
-        turn += left[: max(0, some - len(turn)) if not last else len(left)].tolist()
-        want = np.zeros(rows, bool)
-        want[turn] = True
-        numbers, terms, _ = _chosen(index, firsts, want)
-        lists = ranked(index, Seeds(terms, numbers, df, rows), packer.unused, firsts, most)
-        at = dict(zip(numbers.tolist(), range(len(numbers)), strict=True))
-        for seed in turn:
-            while packer.unused[seed] or seed in packer.open:
-                before = seed
-                packer.run(seed, (d for d in lists[at[seed]].tolist() if d >= 0))
-                # What was cut off the last document goes on at once if its list is at hand.
-                seed = next(reversed(packer.open), seed)
-                if seed == before or seed not in at:
-                    break
-        if len(packer.pieces) > 100_000:
-            write()
-    packer.finish()
-    write()
-
-    pieces = spark.read.parquet(made).groupBy("rid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("at"))
-    cut = tokens.join(pieces, "rid").select("doc_id", "ids", F.expr("length(ids) div 2").alias("doc_tokens"), F.explode("at").alias("p"))
-    cut = cut.select("doc_id", "p.start", "p.length", F.expr("substring(ids, int(2 * p.start + 1), int(2 * p.length))").alias("ids"), "doc_tokens", "p.sequence_id", "p.offset")
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        idf, mean = held.value
+        number = TaskContext.get().partitionId() << 33
+        names: list = []
+        own: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            columns: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for sequence in fill(own, idf, mean, window):
+                offset = 0
+                for doc, start, length in sequence:
+                    for column, value in zip(columns, (names[doc], start, length, own[doc][start : start + length].astype("<u4").tobytes(), len(own[doc]), number, offset), strict=True):
+                        column.append(value)
+                    offset += length
+                number += 1
+            names.clear()
+            own.clear()
+            kinds = [pa.binary() if i == 3 else pa.int64() for i in range(7)]
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _PIECES.split(", ")])
+            for a in range(0, made.num_rows, 4096):
+                yield made.slice(a, 4096)
+
+        held_tokens = 0
         for batch in batches:
-            wide = [np.frombuffer(x.as_py(), np.uint16).astype("<u4").tobytes() for x in batch.column(3)]
-            yield batch.set_column(3, "ids", pa.array(wide, pa.binary()))
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names.append(doc)
+                own.append(np.frombuffer(ids.as_py(), np.uint16))
+                held_tokens += len(own[-1])
+                if len(own) == shard_docs or held_tokens >= shard_tokens:
+                    yield from flush()
+                    held_tokens = 0
+        if own:
+            yield from flush()
 
-    return cut.mapInArrow(widen, _PIECES)
+    return dealt.mapInArrow(run, _PIECES)
