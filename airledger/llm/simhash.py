@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spotsigs
 from .common import map_texts, stored
 from .components import connected_components
 
 SHINGLE_WORDS = 3
 SEED = 42
 BITS = 64
+#: Fingerprints that one task makes variants of.
+TASK_ROWS = 20_000
 
 
 def _kernel(width: int, seed: int):
@@ -57,10 +60,12 @@ def ball_edges(nodes: DataFrame) -> DataFrame:
     distance 2 exactly if they share a variant, and all that share one are within 2 of each other. A variant has at
     most 65 emitters, and the bits flipped name them, so a group is one 64-bit mask and a flag: bit_or gathers it
     without collecting rows. A group of n gives n-1 edges from its least member instead of all pairs; each edge is
-    verified by its differing bits.
+    verified by its differing bits. Fingerprints are few bytes and their variants 65 times as many, so they are dealt
+    to tasks anew before they are multiplied.
     """
     flips = F.explode(F.sequence(F.lit(0), F.lit(BITS)))
-    variants = nodes.select("fp", flips.alias("i")).select(
+    dealt = nodes.select("fp").repartition(max(1, -(-nodes.count() // TASK_ROWS)), "fp")
+    variants = dealt.select("fp", flips.alias("i")).select(
         F.expr("CASE WHEN i < 64 THEN fp ^ shiftleft(1L, i) ELSE fp END").alias("variant"),
         F.expr("CASE WHEN i < 64 THEN shiftleft(1L, i) ELSE 0L END").alias("mask"),
         F.expr("CASE WHEN i < 64 THEN 0L ELSE 1L END").alias("own"),
@@ -83,24 +88,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Rows whose fingerprints differ in 2 or fewer bits are linked, and component_id is the smallest doc_id reachable.
     Distinct fingerprints are compared, so exact copies cost one row each. Null texts count as empty; empty texts link
     like any other. Rows with null doc_id are linked too, but give no component_id (null if a component has no other).
-    Repeated rows are each returned.
+    Repeated rows are each returned; an empty table gives an empty one; other columns may have any names.
     """
     fps = stored(fingerprints(docs), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = connected_components(ball_edges(nodes)).withColumnRenamed("node", "fp")
+    return _components(fps, lambda nodes: ball_edges(nodes))
+
+
+def _components(fps: DataFrame, edges_of) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, fp), linked by equal fp and by the edges of distinct fps."""
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    linked = connected_components(edges_of(nodes)).withColumnRenamed("node", "fp")
     rooted = stored(nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(components, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """doc_id, fp and component_id as near_duplicates gives, with near copies that differ in more bits linked too.
+
+    Fingerprints are of `width`-word shingles of normalised words (case and punctuation don't count). Beyond 2 bits, which
+    only a few changed words in a long text stay within, texts are linked by the exact join of their SpotSigs signature
+    sets at a likeness of `least` or more (spotsigs.near_links). Rows are treated as near_duplicates treats them.
+    """
+
+    def make():
+        known, one = spotsigs.word_hashes(), _kernel(width, SEED)
+
+        def kernel(texts: list[bytes]) -> dict:
+            split = [spotsigs.words(t) for t in texts]
+            return one([b" ".join(w) for w in split]) | {"signatures": [spotsigs.hashed(w, known).view("int32") for w in split]}
+
+        return kernel
+
+    made = stored(map_texts(docs, make, "fp long, signatures array<int>", as_bytes=True), "copies")
+    return _components(made, lambda nodes: ball_edges(nodes).unionByName(spotsigs.near_links(made, least)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay when one document of each near-duplicate group does: that with the smallest doc_id.
 
-    All columns are kept. Rows that share a doc_id count as one document, of which one row stays. Rows with null doc_id
-    can't be told apart by id and all stay.
+    found: doc_id and component_id of each row, by default those of near_duplicates. All columns are kept. Rows that
+    share a doc_id count as one document, of which one row stays. Rows with null doc_id can't be told apart by id and all
+    stay. An empty table stays empty; columns may have any names.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = near_duplicates(docs) if found is None else found
     firsts = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = docs.join(firsts.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"))
     once = kept.where("__rows = 1").select(*docs.columns)

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Known, map_texts, ship
+from .common import Known, map_texts, ship, stored
+from .components import connected_components
 from .decontaminate import words
 
 #: Common words of English, German, French and Spanish that begin a signature. Fixed values.
@@ -20,11 +21,14 @@ ANCHORS = (
     "au avec ce dans de du elle en est et il la le les ne pas par plus pour que qui sur un une "
     "al como con del el las lo los más no para por se su una y"
 ).split()
+#: Signatures that a text needs to be linked by them.
+LEAST_SIGNATURES = 10
 #: Content words of a signature's chain; rows of a range of doc_ids, and ranges at most, beyond which they get longer.
-CHAIN, RANGE_ROWS, MOST_RANGES = 2, 2_000, 50_000
+CHAIN, RANGE_ROWS, MOST_RANGES = 2, 2_000, 20_000
 
 
-def _hashes(text_words: list[bytes], known: Known):
+def hashed(text_words: list[bytes], known: Known) -> np.ndarray:
+    """The sorted distinct signatures (32-bit hashes) of a text's words; known is word_hashes()."""
     import xxhash
 
     n = len(text_words)
@@ -60,7 +64,7 @@ def signatures(text: bytes, known: Known | None = None):
     A signature is an anchor and the next CHAIN words that are no anchors. A text without a whole signature has one of
     all its words, and a text without words the signature 0, so that only equal word sequences agree there.
     """
-    return _hashes(words(text), word_hashes() if known is None else known)
+    return hashed(words(text), word_hashes() if known is None else known)
 
 
 def encode(signatures_: np.ndarray) -> str:
@@ -82,43 +86,106 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
     def make():
         known = word_hashes()
-        return lambda texts: {"signatures": [_hashes(words(t), known).astype(np.int64) for t in texts]}
+        return lambda texts: {"signatures": [hashed(words(t), known).astype(np.int64) for t in texts]}
 
     return map_texts(docs, make, "signatures array<long>", keep=keep, as_bytes=True)
 
 
+def offers(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of classes (key, signatures): key, n and shared, the signatures that other classes have too; and what is offered.
+
+    Offered are (s, part, key, n): a class's rarest signatures, by counts over all classes, as many as any partner must
+    share one of (the prefix filter), so a common signature is no hot key; those that nobody else has take their places
+    in it but lead nowhere. Classes are partitioned by set length: bounds of parts grow by 1/least, so a partner's part
+    is the same or the next, and a class offers in both.
+    """
+    flat = classes.select("key", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
+    counts = flat.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = F.array_sort(F.collect_list(F.struct("df", "s")))
+    sets = stored(flat.join(counts, "s").groupBy("key", "n").agg(ranked.alias("r")).select("key", "n", F.col("r.s").alias("shared")), "sets")
+    part = F.floor(F.log("n") / F.lit(-float(np.log(least)))) if least < 1 else F.col("n")
+    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    rare = F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
+    parts = F.array(part.cast("long"), part.cast("long") + 1) if least < 1 else F.array(part.cast("long"))
+    return sets, sets.select("key", "n", F.explode(rare).alias("s"), parts.alias("parts")).select("key", "n", "s", F.explode("parts").alias("part"))
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b and jaccard of candidates (a, b) with a likeness of `least` or more."""
+    one, two = (sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("shared").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = candidates.join(one, "a").join(two, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
+    return found.where(F.col("jaccard") >= least)
+
+
+def _met(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b), a the smaller key, of offers that meet and whose sizes allow a likeness of `least`."""
+    x, y = (df.select(F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), "s", "part") for df, c in ((left, 1), (right, 2)))
+    fits = (F.col("k1") != F.col("k2")) & (F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2") - 1e-9)
+    return x.join(y, ["s", "part"]).where(fits).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
+
+
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, jaccard) of distinct fingerprints with likeness of `least` or more, and doc_id with its class.
 
-    Equal fingerprints are one class, whose id is its smallest doc_id. Classes are partitioned by set length: partition
-    bounds grow by 1/least, so a partner's is the same or the next. A class puts only its rarest signatures on offer,
-    as many as a partner must share one of (the prefix filter, by signature counts over all classes), so a common
-    signature is no hot key; candidates are verified by their exact Jaccard.
+    Equal fingerprints are one class, whose id is its smallest doc_id; key, the fingerprint's hash, tells classes apart
+    also where ids are null or repeated. Classes are compared where what they offer meets (offers), and verified by their
+    exact Jaccard. All pairs are returned, as many as there are; near_links gives groups without them. Null and empty
+    texts share the signature 0; repeated rows are each a member; an empty table gives none.
     """
     sets = fingerprints(docs).select("doc_id", "signatures")
     keyed = sets.select("doc_id", F.xxhash64("signatures").alias("key"), "signatures")
     ids = keyed.groupBy("key").agg(F.min("doc_id").alias("class_id"))
     member = keyed.select("doc_id", "key").join(ids, "key").select("doc_id", "class_id", "key")
-    # Classes are told apart by their sets' hash: ids may be null or repeated and only label them.
-    classes = keyed.select("key", "signatures").dropDuplicates(["key"])
-    flat = classes.select("key", F.size("signatures").alias("n"), F.explode("signatures").alias("s"))
-    counts = flat.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = flat.join(counts, "s").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("df", "s")))
-    part = F.floor(F.log("n") / F.lit(-float(np.log(least))) if least < 1 else F.col("n")).cast("long")
-    offered = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).select("key", "n", "s", part.alias("part"))
-    left = offered.select(F.col("key").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("part", F.col("part") + 1) if least < 1 else F.array("part")).alias("part"))
-    right = offered.select(F.col("key").alias("b"), F.col("n").alias("nb"), "s", "part")
-    fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    candidates = left.join(right, ["s", "part"]).where(fits & (F.col("na") >= F.lit(least) * F.col("nb") - 1e-9)).select("a", "b").distinct()
-    one, two = classes.select(F.col("key").alias("a"), F.col("signatures").alias("sa")), classes.select(F.col("key").alias("b"), F.col("signatures").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    likeness = (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")
-    found = candidates.join(one, "a").join(two, "b").select(F.col("a").alias("a_key"), F.col("b").alias("b_key"), likeness).where(F.col("jaccard") >= least)
+    of, offered = offers(keyed.select("key", "signatures").dropDuplicates(["key"]), least)
+    found = _verified(_met(offered, offered, least), of, least).withColumnsRenamed({"a": "a_key", "b": "b_key"})
     named = lambda c: ids.select(F.col("key").alias(f"{c}_key"), F.col("class_id").alias(c))
     pairs = found.join(named("a"), "a_key").join(named("b"), "b_key").select("a", "b", "jaccard", "a_key", "b_key")
     return pairs, member
 
 
+#: Meetings that are compared at once; beyond that groups are joined step by step, one class in 8, 64 and 512 first.
+AT_ONCE, STEPS = 2_000_000, (3, 2, 1, 0)
+
+
+def near_links(rows: DataFrame, least: float = 0.8, least_signatures: int = LEAST_SIGNATURES, at_once: int = AT_ONCE) -> DataFrame:
+    """Edges (u, v) between labels fp of rows (fp, signatures): their components are those of all texts with a likeness
+    of `least` or more, without all pairs of a group of near copies.
+
+    Texts with fewer than least_signatures say too little to be linked. Equal sets are one class, linked by its least fp.
+    Where classes meet too often to compare all at once, few of them, chosen by hash, are compared with whom they meet
+    first; classes that this has joined need not be compared any more, nor in the later steps, which take more and more
+    of them, in the end all. So every pair is compared unless it has been joined already.
+    """
+    told = rows.where(F.size("signatures") >= least_signatures).select("fp", "signatures", F.xxhash64("signatures").alias("key"))
+    of = stored(told.groupBy("key").agg(F.min("fp").alias("fp")), "classes")
+    same = told.select("key", F.col("fp").alias("v")).distinct().join(of, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    sets, offered = offers(stored(told.select("key", "signatures").dropDuplicates(["key"]), "signatures"), least)
+    offered = stored(offered, "offers")
+    meetings = offered.groupBy("s", "part").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0] or 0
+    if meetings <= at_once:
+        edges = _verified(_met(offered, offered, least), sets, least).select("a", "b")
+    else:
+        # Steps of a class: how often 8 divides its hash.
+        h = F.xxhash64("key", F.lit(8))
+        step = sum((F.pmod(h, F.lit(8**k)) == 0).cast("int") for k in range(1, max(STEPS) + 1))
+        roots, edges = None, None
+        for k in STEPS:
+            some = offered.where(step == k)
+            met = _met(offered, some, least)
+            if roots is not None:
+                r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+                met = met.join(r("a"), "a", "left").join(r("b"), "b", "left")
+                met = met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+            own = stored(_verified(met, sets, least).select("a", "b"), "links")
+            edges = own if edges is None else edges.unionByName(own)
+            if k:
+                roots = stored(connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+    named = lambda c, to: of.select(F.col("key").alias(c), F.col("fp").alias(to))
+    near = edges.join(named("a", "u"), "a").join(named("b", "v"), "b").where("u <> v").select("u", "v")
+    return near.unionByName(same)
+
+
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
 
 
@@ -127,7 +194,8 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
 
     Edited: the last half of the code points (rounded down) replaced by the first as many, or all, of the next
     document's, in descending order of doc_id; after the last comes the first, and a single document follows itself.
-    Null texts are empty; null doc_ids come last; rows of one doc_id are ordered by their text's hash.
+    Null texts are empty; null doc_ids come last; rows of one doc_id are ordered by their text's hash; an empty table
+    gives an empty one; other columns may have any names.
 
     Texts are shuffled once, by ranges of doc_id with bounds from a sample of ids; the first row of each range is sent
     to the range before it too, so that every task reads each document's successor from the order it streams through.
@@ -139,8 +207,8 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
     range_rows = max(range_rows, total // MOST_RANGES)
     ranges = max(1, -(-total // range_rows))
     known = rows.where("doc_id IS NOT NULL").select("doc_id")
-    # As Spark's own range partitioner does: bounds from about 40 sampled ids a range.
-    share = min(1.0, 40 * ranges / max(1, total))
+    # As Spark's own range partitioner does: bounds from about 20 sampled ids a range.
+    share = min(1.0, 20 * ranges / max(1, total))
     sampled = sorted(r[0] for r in known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1)), 11) <= int(share * 2**53)).distinct().collect())
     bounds = np.array(sorted({sampled[i * len(sampled) // ranges] for i in range(1, ranges)}) if sampled else [], np.int64)
     held = spark.sparkContext.broadcast(bounds)
@@ -161,7 +229,8 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
     sent = F.when(F.col("before").isNull(), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))))
     sent = sent.otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest"))))
     dealt = whole.select("doc_id", "text", F.explode(sent).alias("to")).select("doc_id", "text", F.xxhash64("text").alias("h"), "to.range", "to.guest")
-    ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.desc("h")).select("doc_id", "text", "range", "guest")
+    # As many parts as ranges, so that a part's size stays that of a range or two however large the table is.
+    ordered = dealt.repartition(ranges, "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), F.desc("h")).select("doc_id", "text", "range", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
@@ -172,7 +241,7 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
             doc, own, own_sigs = last[0], last[1], last[2]
             half = len(own) // 2
             edited = (own[: len(own) - half] + text[:half]).encode()
-            changed = _hashes(words(edited), known)
+            changed = hashed(words(edited), known)
             made.append((doc, len(own), hashlib.sha256(edited).hexdigest(), encode(own_sigs), encode(changed), jaccard(own_sigs, changed), jaccard(own_sigs, sigs), len(own_sigs)))
 
         def flush() -> pa.RecordBatch:
@@ -188,7 +257,7 @@ def edited_fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFr
                 text, number, is_guest = text.as_py(), number.as_py(), is_guest.as_py()
                 if is_guest and (last is None or last[3] != number):
                     continue
-                sigs = _hashes(words(text.encode()), known)
+                sigs = hashed(words(text.encode()), known)
                 if last is not None and last[3] == number:
                     finish(text, sigs)
                 last = None if is_guest else (doc.as_py(), text, sigs, number)
