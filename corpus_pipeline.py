@@ -16,14 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Likeness of SpotSigs signature sets from which documents are near copies. In these corpora nearly all pairs whose sets
+#: of five-word shingles have a likeness of 0.8 reach it.
+LIKENESS = 0.75
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known."""
     return language.keep_identified(docs, language.learn(docs, remainder("doc_id", 4) != 2))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies, by SimHash and, for those that differ in more bits, SpotSigs."""
+    return simhash.keep_one(docs, simhash.near_copies(docs, LIKENESS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: SQL expresses neither the learned stages nor the tokenizer; tests/llm compares run() with a plain version.
+#: SQL expresses neither the learned stages nor the tokenizer; tests/llm compares each stage with a plain version.
 ORACLE_SQL: str | None = None
 
 
