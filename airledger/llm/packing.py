@@ -18,7 +18,7 @@ WINDOW = 2048
 END_ID = 1
 #: Documents of a shard of the index and tokens of it, at which the next one begins, and tasks that shards are dealt to
 #: at most (a task takes one after the other).
-SHARD_DOCS, SHARD_TOKENS, MOST_TASKS = 4096, 16_000_000, 20_000
+SHARD_DOCS, SHARD_TOKENS, MOST_TASKS = 2048, 16_000_000, 20_000
 K1, B = 1.2, 0.75
 
 
@@ -99,9 +99,6 @@ class Encoder:
         return ids
 
 
-_TOKENS = "ids binary, df binary, total long"
-
-
 def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of an array and how often each occurs."""
     own = np.sort(ids)
@@ -225,9 +222,10 @@ class Neighbours:
 
     def of(self, seed: int) -> Iterator[int]:
         """Unused documents, best first, ties by place."""
-        own, listed = self.scores[seed], 8
-        while len(left := np.flatnonzero(self.unused)):
-            few = left if len(left) <= listed else left[np.argpartition(-own[left], listed - 1)[:listed]]
+        own, listed, left = self.scores[seed], 8, np.flatnonzero(self.unused)
+        while len(left):
+            place = np.argpartition(-own[left], listed - 1)[:listed] if len(left) > listed else np.arange(len(left))
+            few, left = left[place], np.delete(left, place)
             for i in few[np.lexsort((few, -own[few]))].tolist():
                 if self.unused[i]:
                     yield i

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from airledger.llm import archive, common, decontaminate, language, packing, pii, quality, secrets, simhash, spotsigs, toxicity
 from airledger.llm.components import connected_components
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, spans string, component_id string"
+#: Columns beside those of documents have the names of results and of what operators add on their way.
+EXTRA = "fp spans component_id score predicted lang_pred votes posterior ids signatures base starts __h __row place".split()
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def frame(spark, rows):
     """Documents with extra columns whose names operators use themselves."""
-    return spark.createDataFrame([(i, t, lang, "src0", len(t or ""), "x", "y", "z") for i, t, lang in rows], DOCS)
+    return spark.createDataFrame([(i, t, lang, "src0", len(t or ""), *("x" * len(EXTRA))) for i, t, lang in rows], DOCS)
 
 
 def corpus(seed=1, n=60):
@@ -115,21 +117,31 @@ def plain_contamination(text, items):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_chars", [10**6, 400])
-def test_decontamination(spark, block_chars):
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 8])
+def test_decontamination(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, 1 << 16))
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)  # a full filter lets all through
     rows = corpus(3)
     r = random.Random(2)
     items = [(k, " ".join(rows[k][1].split()[a : a + n])) for k in range(40) for a, n in [(r.randint(0, 30), r.choice([3, 9, 12, 13, 14, 40]))]]
     items += [(90, ""), (91, None), (3, items[3][1].upper() + "!"), (None, "zzz yyy"), (92, "word " * 20)]
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
-    found = decontaminate.judged(decontaminate.contamination(frame(spark, rows), bench, block_chars=block_chars)).collect()
-    assert len(found) == len(rows)
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1)).withColumn("name", F.lit("x"))
+    docs = frame(spark, [*rows, rows[5]])
+    found = decontaminate.judged(decontaminate.contamination(docs, bench)).collect()
+    assert len(found) == len(rows) + 1
     for x in found:
         text = next(t for i, t, _ in rows if i == x.doc_id)
         assert (x.n_words, x.n_hit, list(x["items"])) == plain_contamination(text, items), x.doc_id
+        assert sum(s.end - s.start for s in x.spans) == x.n_hit and all(a.end < b.start for a, b in zip(x.spans, x.spans[1:], strict=False))
         assert x.contaminated == (x.n_hit > 0 and 20 * x.n_hit >= x.n_words)
-    kept = {x.doc_id for x in decontaminate.clean(frame(spark, rows), bench).collect()}
-    assert kept == {x.doc_id for x in found if not x.contaminated}
+    kept = sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect())
+    assert kept == sorted(x.doc_id for x in found if not x.contaminated)
+
+
+def test_decontamination_of_one_word_over_and_over(spark):
+    bench = spark.createDataFrame([(1, "word " * 1000), (2, "word " * 1000 + "end")], "item_id long, text string")
+    x = decontaminate.judged(decontaminate.contamination(frame(spark, [(1, "word " * 8000, None)]), bench)).first()
+    assert (x.n_words, x.n_hit, list(x["items"])) == (8000, 8000, ["1", "2"])
 
 
 def test_decontamination_empty(spark):
@@ -167,24 +179,50 @@ def test_language(spark):
 
 
 def test_cross_parsing_equals_greedy():
-    text = "banana bandana cabana"
-    model = language.train({"x": [text], "y": ["zzz zyx"]}, 100)
-    for t in ("bananaband", "nanabanx", "q", "cabana  banana"):
-        s = language.to_symbols(t, model.symbols).tolist()
-        known = "".join(map(chr, language.to_symbols(text, model.symbols)))
+    text = "banana bandana cabanañ"
+    model = language.train({"x": [text], "y": ["zzz zyx zz zyz yxy zxx"]}, 100)
+    symbols = lambda t: model.symbols[language.to_bytes(language.to_letters(t, model.letters))]
+    for t in ("bananaband", "nanabanx", "ñ", "q", "cabana  banana", "BANDANA, cabaná" * 300):
+        s = symbols(t).tolist()
+        known = "".join(map(chr, symbols(text)[: model.length]))
         at = count = 0
         while at < len(s):
             n = 1
             while at + n < len(s) and "".join(map(chr, s[at : at + n + 1])) in known:
                 n += 1
             at, count = at + n, count + 1
+        # Singly, and side by side with so many others that texts are matched in step.
         if all(chr(c) in known for c in s):
             assert language.phrases([np.array(s, np.uint8)], model)[0][0] == count, t
+            assert language.phrases([np.array(s, np.uint8)] * 50, model)[:, 0].tolist() == [count] * 50
+
+
+def test_a_small_language_changes_no_prediction(spark):
+    rows = [*languages(), *((1000 + i, None, "aa") for i in range(300))]
+    predicted = lambda more: {x.doc_id: x.lang_pred for x in language.identify(frame(spark, rows), language.learn(frame(spark, [*rows, *more]))).collect()}
+    before = predicted([])
+    assert all(before[i] == lang for i, _, lang in rows[:90])
+    assert predicted([(500, "a b", "xx"), (501, "hola mundo", "yy"), (502, "12 34", "zz")]) == before
+
+
+def test_no_letters_are_merged():
+    han, kana = "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "".join(map(chr, range(0x5000, 0x5000 + 400)))
+    model = language.train({"x": [han * 5], "y": [kana * 5]})
+    got = language._kernel(model)([han[50:90], kana[100:140], han[390:] + han[:20]])
+    assert got["lang_pred"] == ["x", "y", "x"]
+
+
+def test_a_text_of_a_million_letters():
+    import time
+
+    model = language.train({"x": ["banana bandana " * 100], "y": ["zzz zyx zy " * 100]})
+    began = time.time()
+    assert language._kernel(model)(["ban" * 333_333, "zyx zz"])["lang_pred"] == ["x", "y"] and time.time() - began < 20
 
 
 def test_archive(spark, tmp_path):
     pages = [(1, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (3, None, None), (4, "http://d/ x\r\n", ""), (5, "u", "long " * 40_000), (6, "u", "one"), (None, "n", "one"), (None, "n", "only null"), (7, "r", "twice"), (7, "r", "twice")]
-    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, sha256 string")
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, sha256 string, row int")
     path = archive.write_archive(df, f"{tmp_path}/w")
     got = sorted(((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in archive.read_index(spark, path).collect()), key=str)
     import base64
@@ -199,10 +237,13 @@ def test_archive(spark, tmp_path):
     assert archive.stored_payloads(spark, path).count() == len({h or "" for _, _, h in pages})
     records = archive.read_records(spark, path).where("page_id = 2").first()
     head, _, body = bytes(records.record).partition(b"\r\n\r\n")
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and body == "<p>é</p>".encode() + b"\r\n\r\n"
-    assert f"Content-Length: {len('<p>é</p>'.encode())}".encode() in head
+    http, _, payload = body.partition(b"\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and payload == "<p>é</p>".encode() + b"\r\n\r\n"
+    assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(body) - 4}".encode() in head.split(b"\r\n")[-1]
+    ids = [re.search(rb"WARC-Record-ID: (<[^>]+>)", bytes(x.record))[1] for x in archive.read_records(spark, path).collect()]
+    assert len(set(ids)) == len(pages)
     revisit = bytes(archive.read_records(spark, path).where("page_id = 1").first().record)
-    assert b"WARC-Refers-To: <urn:airledger:page:2>" in revisit and revisit.endswith(b"\r\n\r\n\r\n\r\n")
+    assert b"WARC-Refers-To: <urn:airledger:page:2:" in revisit and revisit.endswith(b"\r\n\r\n\r\n\r\n")
     small = archive.read_index(spark, archive.write_archive(df, f"{tmp_path}/m", min_bytes=5)).where("page_id IN (1, 3, 4)")
     assert {x.page_id: x.record_type for x in small.collect()} == {1: "revisit", 3: "response", 4: "response"}
     assert archive.read_index(spark, archive.write_archive(df.where("false"), f"{tmp_path}/e")).count() == 0
@@ -215,6 +256,11 @@ def test_archive_detects_damage(spark, tmp_path):
     bad.write.parquet(f"{tmp_path}/x/payloads")
     with pytest.raises(Exception, match="match its digest"):
         archive.stored_payloads(spark, f"{tmp_path}/x").collect()
+    whole = archive.read_records(spark, path)
+    for old, new, why in (("text\r\n\r\n", "tex\r\n\r\n", "as long"), ("text\r\n\r\n", "tExt\r\n\r\n", "digest")):
+        broken = whole.withColumn("record", F.replace(F.col("record").cast("string"), F.lit(old), F.lit(new)).cast("binary"))
+        with pytest.raises(Exception, match=why):
+            archive.parsed(broken).collect()
 
 
 def test_toxicity(spark):
@@ -241,13 +287,28 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, rows[:2]), nothing).count() == 2
 
 
-def test_counterfactuals_lower_the_weight_of_identity_terms():
+def test_counterfactuals_are_never_lacking(spark):
+    for text, gone, come in (("The women and men walk.", 1, 1), ("Une femme parle.", 1, 1), ("No group at all here.", 0, 1), ("old and black and white stones", 0, 1)):
+        made = toxicity.counterfactuals(text.encode())
+        assert made and all(len(a) <= 1 and len(b) <= 1 for a, b in made), text
+        assert {len(a) for a, b in made} & {gone} and any(b for a, b in made), text
+    assert toxicity.identity_places([b"old", b"stones"]) == [] and toxicity.identity_places([b"old", b"people"]) == [0]
+    assert toxicity.counterfactuals(b"") == [] == toxicity.counterfactuals(b"?!")
+    rows = [(i, f"stone river {'idiot' if i % 2 else 'walks'} w{i % 7}", "en") for i in range(60)]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(frame(spark, rows), marks).pairs >= 60
+
+
+def test_counterfactuals_lower_false_positives_on_neutral_mentions():
     r = random.Random(3)
+    group = ["muslim", "gay", "women", "immigrants"]
+    words = ["alpha", "beta", "gamma", "delta", "river", "stone", "walks", "under", *(f"w{i}" for i in range(60))]
     texts = []
-    for i in range(300):
-        bad = i % 2
-        words = [r.choice(["alpha", "beta", "gamma"]) for _ in range(10)] + (["women"] if r.random() < (0.5 if bad else 0.05) else ["men"] if r.random() < 0.2 else []) + (["scum"] if bad and r.random() < 0.8 else [])
-        texts.append((" ".join(words).encode(), bad))
+    for i in range(600):  # most toxic texts speak of a group, few others do
+        bad = i % 3 == 0
+        own = [r.choice(words) for _ in range(12)] + ([r.choice(group)] if r.random() < (0.8 if bad else 0.03) else [])
+        texts.append((" ".join([*own, *(["scum"] if bad and r.random() < 0.7 else [])]).encode(), int(bad)))
+    neutral = [" ".join([*(r.choice(words) for _ in range(12)), g]).encode() for g in group for _ in range(50)]
 
     def fitted(pairing):
         examples = toxicity.Examples()
@@ -255,8 +316,26 @@ def test_counterfactuals_lower_the_weight_of_identity_terms():
             examples.add(text, bad)
         return toxicity.fit(examples, pairing=pairing)
 
-    gap = lambda m: abs(m.weights[toxicity.word_features(b"women")[0]] - m.weights[toxicity.word_features(b"men")[0]])
-    assert gap(fitted(3.0)) < 0.4 * gap(fitted(0.0))
+    def score(model, text):
+        return model.bias + sum(model.weights[toxicity.word_features(w)].sum() for w in set(decontaminate.words(text)))
+
+    plain, paired = fitted(0.0), fitted(20.0)
+    wrong = lambda m: sum(score(m, t) >= 0 for t in neutral)
+    assert plain.pairs == paired.pairs >= len(texts)
+    assert wrong(plain) > 50 and wrong(paired) < 0.2 * wrong(plain)
+    found = lambda m: sum(score(m, t) >= 0 for t, bad in texts if bad and b"scum" in t)
+    assert found(paired) >= 0.9 * found(plain)
+
+
+def test_toxicity_scores_equal_a_plain_version(spark):
+    rows = [(1, "An Idiot, an idiot! walks.", None), (1, "An Idiot, an idiot! walks.", None), (2, None, None), (3, "walks", None)]
+    weights = np.zeros(toxicity.BUCKETS)
+    for w, x in (("idiot", 2.0), ("<idio", 0.5), ("walks", -1.0), ("<walk", 0.25), ("an", 0.1)):
+        weights[zlib.crc32(w.encode()) % toxicity.BUCKETS] = x
+    got = sorted((x.doc_id, round(x.score, 6), x.predicted) for x in toxicity.score(frame(spark, rows), toxicity.Classifier(weights, -1.5)).collect())
+    sigmoid = lambda z: round(1 / (1 + np.exp(-z)), 6)
+    one = sigmoid(-1.5 + 2.0 + 0.5 - 1.0 + 0.25 + 0.1)
+    assert got == [(1, one, int(one >= 0.5)), (1, one, int(one >= 0.5)), (2, sigmoid(-1.5), 0), (3, sigmoid(-1.5 - 1.0 + 0.25), 0)]
 
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -274,7 +353,7 @@ def test_pii_patterns():
     pieces = ["a.b@c.de", "x@y", "1.2.3.4", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (042) 555-7845", "+", "@", ".", " ", "é", "007", "0000000000000000", "ab", "-", "+12", "(", "@@", "a@b.c@d.e", "\n"]
     for _ in range(3000):
         text = "".join(r.choice(pieces) for _ in range(r.randint(1, 12)))
-        assert pii.base_spans(text)[0] == plain_pii(text), text
+        assert pii.base_spans(text) == plain_pii(text), text
 
 
 def test_pii(spark):
@@ -288,21 +367,64 @@ def test_pii(spark):
         base = [(s.start, s.end, s.kind) for s in got[i].base]
         every = [(s.start, s.end, s.kind) for s in got[i].spans]
         assert base == plain_pii(t or "") and set(base) <= set(every) and every == sorted(every, key=lambda s: (s[0], pii.KINDS.index(s[2])))
-    assert len(got[303].spans) == 3 and not got[304].spans
+    assert [s.start for s in got[303].spans] == [26] and not got[304].spans  # numbers with a wrong check digit are none
     masked = pii.redact(frame(spark, rows), field)
     assert masked.columns == frame(spark, rows).columns
     by = {x.doc_id: x for x in masked.collect()}
-    assert by[303].text == "card [CARD] and [CARD] and [CARD] used" and by[303].n_chars == len(by[303].text)
+    assert by[303].text == "card 4111111111111112 and [CARD] and 4111111111111112 used" and by[303].n_chars == len(by[303].text)
     assert by[304].text == "no data at all" and by[300].text is None and by[301].text == ""
     assert pii.find_pii(frame(spark, EMPTY), pii.learn(frame(spark, EMPTY))).count() == 0
 
 
+def pii_texts(seed=7, n=400):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    number = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def card():
+        while not pii.luhn(c := "4" + number(15)):
+            pass
+        return c
+
+    kinds = [lambda: f"{word()}.{number(2)}@{word()}{number(1)}.example.com", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)), card, lambda: f"+1 ({number(3)}) 555-{number(4)}"]
+    return [" ".join(r.choice(kinds)() if r.random() < 0.05 else word() for _ in range(60)) for _ in range(n)]
+
+
+def test_skip_edges_carry_labels_to_distant_similar_tokens(spark):
+    field = pii.learn(frame(spark, [(i, t, "en") for i, t in enumerate(pii_texts())]))
+    assert field.skip.diagonal()[1:].min() > 1 > 0 > field.skip[0, 1:].max()
+    for text, kind, piece in (
+        ("write to bob.27@mail6.example.com today and ask abc def for bob.27 again", "email", "bob.27"),
+        ("call +1 (042) 555-7845 or then at night 042-555-7845 they said", "phone", "042-555-7845"),
+        ("card 4111111111111111 was read as 4111.1111.1111.1111 by them", "card", "4111.1111.1111.1111"),
+        ("from 10.20.30.40 it came and went to 10-20-30-40 in the end", "ip", "10-20-30-40"),
+    ):
+        a = text.rindex(piece)
+        with_edges, without = pii.find(text, field), pii.find(text, field.without_skips())
+        assert (a, a + len(piece), kind) in with_edges[1] and with_edges[1] != without[1] == without[0], text
+        alone = text.replace(text[with_edges[0][0][0] : with_edges[0][0][1]], "it")
+        assert pii.find(alone, field)[1] == [], alone
+    decoys = "order 9000426309966109 of 2019, version 3. and 4.0, 2019 again, 9000426309966109 again"
+    assert pii.find(decoys, field) == ([], [])
+    docs = frame(spark, [(1, "ask bob.27@mail6.example.com or abc or bob.27 then", None), (1, None, None)])
+    assert sorted(str(x.text) for x in pii.redact(docs, field).collect()) == ["None", "ask [EMAIL] or abc or [EMAIL] then"]
+
+
+def test_pii_of_very_long_runs():
+    import time
+
+    field, began = pii.fit(pii.joined([e for t in pii_texts(3, 100) if (e := pii.examples_of(t))])), time.time()
+    for text in ("语" * 1_000_000 + "7", "a" * 1_000_000 + "@", "7" * 1_000_000, "a@" * 500_000, "1." * 500_000):
+        pii.find(text, field)
+    assert time.time() - began < 60
+
+
 def test_messages_agree_over_distant_tokens():
     f = pii.empty_field()
     n = len(pii.KINDS) + 1
-    g = pii.Graph([(0, 1), (5, 6), (9, 10)], ["x1", "x1", "y2"], [[1], [2], [3]], [], [(0, 1)])
+    g = pii.Graph([(0, 1), (5, 6), (9, 10)], [[1], [2], [3]], [], [(0, 1)], [0, 0, 0])
     f.unary[1, 3], f.unary[2, 3] = 6.0, -0.5
-    alone = pii.beliefs(pii.Graph(g.spans, g.forms, g.features, [], []), f)
+    alone = pii.beliefs(pii.Graph(g.spans, g.features, [], [], g.known), f)
     f.skip = np.eye(n) * 4
     linked = pii.beliefs(g, f)
     assert alone[1, 3] < 0.2 < 0.85 < linked[1, 3] and np.allclose(linked[2], alone[2])
@@ -325,18 +447,63 @@ def test_secret_patterns():
         assert secrets.base_spans(text) == plain_secrets(text), text
 
 
-def test_secrets(spark):
-    r = random.Random(4)
+def secret_texts(n=400, seed=4):
+    r = random.Random(seed)
     key = lambda n=40: "".join(r.choice("0123456789abcdef") for _ in range(n))
-    rows = [(i, f'words here token = "{key()}" more words' if i % 2 else f"mail a.{i}@mail{i}.example.org-{i}-page-number and words-{i}-joined-by-hyphens", "en") for i in range(300)]
-    rows += [(400, None, None), (401, "", None), (402, "ab " * 30_000, None), (403, f"see {key(40).upper()} there", None)]
+    word = lambda: "".join(r.choice("aeioubcdfgst") for _ in range(r.randint(3, 12)))
+    other = lambda: r.choice([word(), word().title(), f"{word()}@mail{r.randint(1, 9)}.example.org", str(r.randint(0, 10**9)), f"{word()}-{word()}", f"{word()}: {word()}", "192.168.17.240"])
+    text = lambda: [other() for _ in range(30)]
+    return [(i, " ".join([*text(), *([f'token = "{key()}"'] if i % 3 == 0 else []), *text()]), "en") for i in range(n)]
+
+
+def test_secrets(spark):
+    rows = secret_texts()
+    hidden = "9F8E7D6C5B4A39281706F5E4D3C2B1A098877665"
+    rows += [(400, None, None), (401, "", None), (402, "ab " * 30_000, None), (403, f"see {hidden} there", None), (403, f"see {hidden} there", None), (None, f"see {hidden} there", None)]
     net = secrets.learn(frame(spark, rows))
-    got = {x.doc_id: x for x in secrets.find_secrets(frame(spark, rows), net).collect()}
+    assert net.trained and net.figures["findings"] > 100 and net.figures["others"] > 100
+    assert net.figures["recall"] >= 0.98 and net.figures["false_positives"] <= 0.02
+    found = secrets.find_secrets(frame(spark, rows), net).collect()
+    assert len(found) == len(rows)
+    got = {x.doc_id: x for x in found}
     for i, t, _ in rows:
         base = [(s.start, s.end, s.kind) for s in got[i].base]
         assert base == plain_secrets(t or "") and set(base) <= {(s.start, s.end, s.kind) for s in got[i].spans}
-    assert net.threshold <= 1 and sum(len(got[i].spans) > len(got[i].base) for i in range(0, 300, 2)) < 8
-    assert secrets.find_secrets(frame(spark, EMPTY), secrets.learn(frame(spark, EMPTY))).count() == 0
+    assert [(s.start, s.end, s.kind) for s in got[403].spans] == [(4, 4 + len(hidden), "other")]
+    assert sum(len(got[i].spans) > len(got[i].base) for i in range(400)) < 8
+    untrained = secrets.learn(frame(spark, EMPTY))
+    assert not untrained.trained and secrets.find_secrets(frame(spark, EMPTY), untrained).count() == 0
+    with pytest.raises(ValueError, match="spans"):
+        secrets.find_secrets(frame(spark, rows), net, keep=("doc_id", "spans"))
+
+
+def test_every_candidate_is_scored_over_its_whole_length():
+    table = secrets.symbol_table()
+    x, y = [], []
+    for _, t, _ in secret_texts():
+        a, b = secrets.labelled(t, table)
+        x, y = x + a, y + b
+    net = secrets.train(np.array(x), np.array(y, np.float32))
+    for text, want in (("name = hunter2x", ["hunter2x"]), ("a longword, écolelongue", ["longword"]), ("x.y-12345678.", ["x.y-12345678"]), ("ab12cd34==", ["ab12cd34=="]), ("short one", [])):
+        symbols, starts = secrets.symbols_of([text], table)
+        assert [text[a - starts[0] : b - starts[0]] for a, b in zip(*secrets.candidates(symbols), strict=True)] == want, text
+    texts = [t for _, t, _ in secret_texts(20)] + ["", "z" * 3000 + "9F8E7D6C5B4A39281706F5E4D3C2B1A098877665" + "z" * 3000]
+    symbols, starts = secrets.symbols_of(texts, table)
+    a, b = secrets.candidates(symbols)
+    whole = net.logits(symbols, a, b)
+    assert np.allclose(whole, net.logits(symbols, a, b, block=100), atol=1e-4)
+    for k, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):  # the convolution, one candidate at a time
+        e = net.embed[symbols[p - secrets.LEFT - 2 : q + secrets.RIGHT + 2]]
+        n = len(e) - secrets.SPAN + 1
+        h = np.maximum(np.concatenate([e[j : n + j] for j in range(secrets.SPAN)], axis=1) @ net.kernel + net.shift, 0)
+        parts = h[: secrets.LEFT], h[secrets.LEFT : secrets.LEFT + q - p], h[secrets.LEFT + q - p :]
+        pooled = np.concatenate([x.max(axis=0) for x in parts])
+        assert abs(pooled @ net.out[: len(pooled)] + net.out[len(pooled) + np.searchsorted(secrets._LENGTHS, q - p, side="right")] + net.bias - whole[k]) < 1e-3
+    import time
+
+    began = time.time()
+    secrets.scan(["x1" * 500_000, "语" * 1_000_000], net, table)
+    assert time.time() - began < 20
 
 
 def test_packing(spark):
@@ -364,49 +531,71 @@ def test_packing(spark):
     assert packing.pack(frame(spark, EMPTY)).count() == 0
 
 
-def test_packing_reaches_all_documents(spark):
+def plain_bm25(docs, idf, mean):
+    table = np.zeros((len(docs), 65_536), np.float32)
+    for i, d in enumerate(docs):
+        t, n = np.unique(d, return_counts=True)
+        table[i, t] = idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return np.array([table[:, np.unique(d)].sum(axis=1) for d in docs])
+
+
+def zipf_docs(n, seed=3):
+    r = np.random.default_rng(seed)
+    docs = [np.append(r.zipf(1.3, r.integers(1, 200)) % 900 + 2, 1).astype(np.uint16) for _ in range(n)]
+    df = np.zeros(65_536)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return docs, np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32), float(np.mean([len(d) for d in docs]))
+
+
+def test_index_scores_are_bm25():
+    docs, idf, mean = zipf_docs(700)
+    want = plain_bm25(docs, idf, mean)
+    near = packing.Neighbours(packing.Index(docs, idf, mean))
+    assert np.allclose(near.scores, want, rtol=1e-4, atol=1e-3)
+    near.unused[::3] = False
+    for i in (1, 5, 400):
+        left = np.flatnonzero(near.unused)
+        got = list(near.of(i))
+        assert sorted(got) == left.tolist() and np.allclose(want[i][got], np.sort(want[i][left])[::-1], rtol=1e-4, atol=1e-3)
+
+
+def test_sequences_take_the_best_unused_neighbours():
+    docs, idf, mean = zipf_docs(300)
+    scores, unused = plain_bm25(docs, idf, mean), set(range(300))
+    for k, sequence in enumerate(packing.fill(docs, idf, mean, 256)):
+        assert sum(n for _, _, n in sequence) == 256 or k > sum(map(len, docs)) // 256 - 1
+        for (seed, _, _), (doc, start, _) in zip([sequence[0]] * len(sequence), sequence, strict=True):
+            if doc in unused and doc != seed and sum(n for _, _, n in sequence) == 256:
+                left = [d for d in unused if d != seed]
+                assert start == 0 and scores[seed, doc] >= max(scores[seed, d] for d in left) - 1e-2
+            unused.discard(doc)
+    assert not unused
+
+
+def test_packing_puts_related_documents_together(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(3))
     common, far = [word() for _ in range(400)], 400
     topics = [[word() for _ in range(30)] for _ in range(far)]
     rows = [(i, " ".join(r.choice(topics[i % far] if r.random() < 0.5 else common) for _ in range(150)), "en") for i in range(2 * far)]
-    pieces = packing.pack(frame(spark, rows).coalesce(1), window=512, seeds_at_once=64, listed=4, last_docs=100).collect()
+    pieces = packing.pack(frame(spark, rows).repartition(5), window=512, shard_docs=100).collect()
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     sequences = {}
     for p in pieces:
         sequences.setdefault(p.doc_id, set()).add(p.sequence_id)
-    assert sum(bool(sequences[i] & sequences[i + far]) for i in range(far)) >= 0.6 * far
+    assert sum(bool(sequences[i] & sequences[i + far]) for i in range(far)) >= 0.4 * far  # by chance 1 in 100
 
 
-def test_listed_neighbours_are_the_best_of_all_blocks():
-    r = np.random.default_rng(3)
-    docs = [np.append(r.zipf(1.3, r.integers(1, 200)) % 900 + 2, 1).astype(np.uint16) for _ in range(700)]
-    df, mean = np.zeros(65_536), float(np.mean([len(d) for d in docs]))
-    for d in docs:
-        df[np.unique(d)] += 1
-    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
-    terms = [packing.distinct(d) for d in docs]
-    weights = [(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean))).astype(np.float32) for (t, n), d in zip(terms, docs, strict=True)]
-    best = packing.Best(packing.Seeds([t for t, _ in terms], np.arange(700), df, 700), 9)
-    for a in range(0, 700, 100):
-        best.add([(terms[i][0], weights[i]) for i in range(a, a + 100)], np.arange(a, a + 100))
-    table = np.zeros((700, 65_536), np.float32)
-    for i in range(700):
-        table[i, terms[i][0]] = weights[i]
-    for i in range(700):
-        scores = table[:, terms[i][0]].sum(axis=1)
-        assert np.allclose(scores[best.doc[i]], np.sort(scores)[::-1][:9], rtol=1e-4)
-
-
-def test_neighbours_are_ranked_by_bm25():
-    docs = [np.array(d, np.uint16) for d in ([5, 6, 7, 1], [5, 6, 7, 8, 1], [9, 9, 9, 1], [5, 1])]
-    shard = packing.Shard(docs, np.ones(65_536, np.float32), 4.0)
-    shard.unused[0] = False
-    scores = []
-    for d in docs:
-        tf = {t: list(d).count(t) for t in d}
-        scores.append(sum(tf.get(t, 0) * 2.2 / (tf.get(t, 0) + 1.2 * (0.25 + 0.75 * len(d) / 4)) for t in set(docs[0])))
-    assert list(shard.neighbours(0)) == sorted((1, 2, 3), key=lambda i: -scores[i])
+def test_encoder_equals_the_tokenizer():
+    r = random.Random(3)
+    encode = packing.Encoder(packing.tokenizer_path())
+    assert encode.words is not None
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïðñòóôõöøùúûüýþÿABCÄÉ"
+    for _ in range(4000):
+        text = " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) + r.choice(["", ".", "7", "!!", "'s", " <|endoftext|>", "×", "÷"]) for _ in range(r.randint(1, 4)))
+        assert np.frombuffer(encode(text), np.uint16).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert encode.words is not None
 
 
 def test_spotsigs(spark):
@@ -452,6 +641,52 @@ def test_spotsigs_pairs_equal_brute_force(spark):
     assert {tuple(sorted((x.a, x.b))) for x in pairs.collect()} == want and want
 
 
+@pytest.mark.parametrize("at_once", [10**9, 0])
+def test_near_links_join_what_all_pairs_would(spark, at_once):
+    r = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"the x{g}w{r.randrange(10**6)} kk{r.randrange(99)}" for _ in range(40)]
+        for _ in range(r.choice([1, 2, 30])):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2, 4, 9])):
+                own[r.randrange(40)] = f"the y{r.randrange(10**6)} zz"
+            rows.append((len(rows), " ".join(own), None))
+    rows += [(900, "the ab cd", None), (901, "the ab cd", None), (902, "the ab ce", None)]
+    sets = {i: frozenset(spotsigs.signatures(t.encode()).tolist()) for i, t, _ in rows}
+    labelled = spark.createDataFrame([(i, [x - 2**32 if x >= 2**31 else x for x in sorted(sets[i])]) for i in sets], "fp long, signatures array<int>")
+    edges = [(e.u, e.v) for e in spotsigs.near_links(labelled, 0.8, at_once=at_once).collect()]
+
+    def roots(pairs):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    long = [i for i in sets if len(sets[i]) >= spotsigs.LEAST_SIGNATURES]
+    every = [(a, b) for a in long for b in long if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert roots(edges) == roots(every) and len(edges) < len(every) + len(sets)
+
+
+def test_near_copies_reach_further_than_two_bits(spark):
+    r = random.Random(2)
+    vocabulary = ["the", "of", "and", *("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))]
+    rows = []
+    for g in range(30):
+        base = [r.choice(vocabulary) for _ in range(200)]
+        copy = list(base)
+        for _ in range(3):
+            copy[r.randrange(200)] = "zzzz"
+        rows += [(2 * g, " ".join(base), "en"), (2 * g + 1, " ".join(copy), "en")]
+    rows += [(100, None, None), (101, "", None), (102, "x", None), (102, "x", None), (None, "x", None)]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, rows)).collect()}
+    assert sum(got[2 * g] == got[2 * g + 1] for g in range(30)) >= 27 and len({got[2 * g] for g in range(30)}) == 30
+    kept = [x.doc_id for x in simhash.keep_one(frame(spark, rows), simhash.near_copies(frame(spark, rows))).collect()]
+    assert kept.count(102) == 1 and None in kept and 100 in kept and 101 not in kept
+    assert simhash.near_copies(frame(spark, EMPTY)).count() == 0
+
+
 def test_spotsigs_pairs_keep_null_and_repeated_ids(spark):
     text = lambda x, n: " ".join(f"the {x}{chr(97 + i)} kk" for i in range(n))
     rows = [(1, text("b", 20), None), (1, text("c", 20), None), (2, text("b", 19), None), (3, text("c", 19), None), (None, text("d", 20), None), (None, text("d", 19), None)]
@@ -483,11 +718,81 @@ def test_quality(spark):
     assert quality.score(frame(spark, EMPTY), quality.learn(frame(spark, EMPTY))).count() == 0
 
 
-def test_label_model_recovers_accuracies():
+def test_label_model_beats_the_vote():
     r = np.random.default_rng(0)
-    good = r.random(20_000) < 0.85
-    rates = np.array([[0.6, 0.0005], [0.4, 0.001], [0.3, 0.0005], [0.5, 0.001]])
-    votes = np.where(r.random((20_000, 4)) < np.where(good[:, None], rates[:, 1], rates[:, 0]), -1, 1)
+    good = r.random(20_000) < 0.6
+    # One labeller calls a fifth of all good documents poor, two are sure, one is unsure of most poor ones.
+    poor = np.array([[0.5, 0.2], [0.7, 0.01], [0.6, 0.02], [0.1, 0.01]])
+    unsure = np.array([[0.1, 0.1], [0.05, 0.05], [0.1, 0.1], [0.8, 0.1]])
+    x, rate, doubt = r.random((20_000, 4)), np.where(good[:, None], poor[:, 1], poor[:, 0]), np.where(good[:, None], unsure[:, 1], unsure[:, 0])
+    votes = np.where(x < rate, -1, np.where(x < rate + doubt, 0, 1))
+    votes[r.random((20_000, 4)) < 0.1] = quality.SILENT
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     model = quality.fit_label_model(patterns, counts.astype(float))
-    assert abs(model.good - 0.85) < 0.05 and np.abs(model.poor_votes[:, 0] - rates[:, 0]).max() < 0.1
+    assert abs(model.good - 0.6) < 0.05
+    assert np.abs(model.rates[0, :, 0] - poor[:, 0]).max() < 0.08 and np.abs(model.rates[1, :, 0] - poor[:, 1]).max() < 0.05
+    right = lambda p: float((p == good).mean())
+    assert right(model.posterior(votes) >= 0.5) > right(~(votes == -1).any(axis=1)) + 0.05
+    assert right(model.posterior(votes) >= 0.5) > right(np.where(votes == quality.SILENT, 0, votes).sum(axis=1) > 0) + 0.02
+
+
+def test_posterior_equals_the_product_rule():
+    rates = np.array([[[0.5, 0.2, 0.3], [0.4, 0.4, 0.2]], [[0.1, 0.1, 0.8], [0.05, 0.15, 0.8]]])
+    model = quality.LabelModel(0.7, rates)
+    for votes in ((-1, 1), (0, quality.SILENT), (quality.SILENT, quality.SILENT), (1, 0)):
+        chance = [0.3, 0.7]
+        for k in (0, 1):
+            for m, v in enumerate(votes):
+                chance[k] *= 1 if v == quality.SILENT else rates[k, m, v + 1]
+        assert model.posterior(np.array([votes]))[0] == pytest.approx(chance[1] / sum(chance))
+
+
+def test_quality_scores_equal_a_plain_version(spark):
+    rows = [(1, "A river walks under the stone. " * 5, None), (1, "##% %% !!", None), (2, None, None), (3, "x" * 50_001 + " !! ##", None)]
+    docs = frame(spark, rows)
+    scorer = quality.learn(docs)
+    known = quality.Known(quality._shape)
+    want = []
+    for i, t, _ in rows:
+        s, shapes = quality.style((t or "").encode())
+        at, x = quality.features(s, shapes, known)
+        z = float((scorer.weights[at] * x).sum())
+        want.append((i, round(1 / (1 + np.exp(-z)), 9), round(float(scorer.labels.posterior(np.array([quality.votes(s)]))[0]), 9)))
+    assert sorted((x.doc_id, round(x.score, 9), round(x.posterior, 9)) for x in quality.score(docs, scorer).collect()) == sorted(want)
+
+
+def test_odd_rows_everywhere(spark):
+    """Repeated and null ids, null and empty texts: every operator returns a row for each."""
+    rows = [(7, "a river of stone", "en"), (7, "a river of stone", "en"), (7, "other words are here 1.2.3.4", "de"), (None, "no name here", None), (None, None, None), (8, "", None)] * 2
+    docs = frame(spark, rows)
+    marks = spark.createDataFrame([(7, 1, 1), (8, 0, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    made = {
+        "language": language.identify(docs, language.learn(docs)),
+        "toxicity": toxicity.score(docs, toxicity.learn(docs, marks)),
+        "quality": quality.score(docs, quality.learn(docs)),
+        "pii": pii.find_pii(docs, pii.learn(docs)),
+        "secrets": secrets.find_secrets(docs, secrets.learn(docs)),
+        "simhash": simhash.near_duplicates(docs),
+        "copies": simhash.near_copies(docs),
+        "spotsigs": spotsigs.edited_fingerprints(docs),
+        "decontaminate": decontaminate.contamination(docs, spark.createDataFrame([(1, "river of stone")], "item_id long, text string")),
+        "packing": packing.pack(docs),
+    }
+    for name, df in made.items():
+        assert sorted(map(str, (x.doc_id for x in df.collect()))) == sorted(str(i) for i, _, _ in rows), name
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_dir(Session())
