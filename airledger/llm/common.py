@@ -58,7 +58,8 @@ def ship(spark: SparkSession) -> None:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df as a new Parquet table in the shared folder and reads it again, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/airledger-llm/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Hashes and ids hardly repeat, so dictionaries of them would be made in vain.
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

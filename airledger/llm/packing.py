@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ WINDOW = 2048
 END_ID = 1
 #: Documents of a shard of the index and tokens of it, at which the next one begins, and tasks that shards are dealt to
 #: at most (a task takes one after the other).
-SHARD_DOCS, SHARD_TOKENS, MOST_TASKS = 2048, 16_000_000, 20_000
+SHARD_DOCS, SHARD_TOKENS, MOST_TASKS = 1024, 16_000_000, 20_000
 K1, B = 1.2, 0.75
 
 
@@ -40,6 +41,8 @@ class Encoder:
     """
 
     _PLAIN = re.compile(r"[\x20-\x26\x28-\x7E\n\t\rÀ-ÖØ-öø-ÿ]*+")
+    #: Prose: words, and stops that stand alone.
+    _PROSE, _STOPS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ\x20\n.,]*+"), ("..", ",,", ".,", ",.")
     _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
     _LETTERS = re.compile(r"[a-zß-öø-þ]+")
 
@@ -86,15 +89,19 @@ class Encoder:
         return self._tokenizer_ids(part)
 
     def __call__(self, text: str) -> bytes:
-        if not self._PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if self._PROSE.fullmatch(text) and not any(s in text for s in self._STOPS):
+            parts = text.lower().replace(".", " . ").replace(",", " , ").split()
+        elif self._PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            parts = self._PARTS.findall(text.lower())
+        else:
             return self._tokenizer_ids(text)
-        ids = b"".join(map(self.parts.__getitem__, self._PARTS.findall(text.lower())))
+        ids = b"".join(map(self.parts.__getitem__, parts))
         if self.checked < 20:
             self.checked += 1
             if ids != (right := self._tokenizer_ids(text)):
                 self.words = None
                 self.parts = Known(self._part)
-                self._PLAIN = re.compile(r"(?!)")
+                self._PLAIN = self._PROSE = re.compile(r"(?!)")
                 return right
         return ids
 
@@ -107,67 +114,86 @@ def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds ids (binary, little-endian 16-bit): token ids of each whole text, then end_id; null texts count as empty.
+    """Adds ids (binary, little-endian 16-bit), and counts: token ids of each whole text, then end_id.
 
-    Repeated rows are each returned; an empty table gives an empty one; columns that aren't kept may have any names.
+    Null texts count as empty. counts is null but for a row now and then, which has those of a run of rows: for each
+    token the documents that have it, then how many rows and tokens there are (32-bit), so that statistics of all texts
+    need no second reading of their ids. Repeated rows are each returned; an empty table gives an empty one; columns that
+    aren't kept may have any names.
     """
     path = path or tokenizer_path()
 
     def make():
         encode, end = Encoder(path), struct.pack("<H", end_id)
-        return lambda texts: {"ids": [encode(t) + end for t in texts]}
 
-    return map_texts(docs, make, "ids binary", keep=keep)
+        def kernel(texts: list[str]) -> dict:
+            ids, df = [encode(t) + end for t in texts], np.zeros(65_538, np.uint32)
+            for own in ids:
+                seen = np.zeros(65_536, bool)
+                seen[np.frombuffer(own, np.uint16)] = True
+                df[:65_536] += seen
+            df[65_536:] = len(ids), sum(map(len, ids)) // 2
+            at = np.flatnonzero(df)
+            return {"ids": ids, "counts": [np.stack([at, df[at]]).astype(np.uint32).tobytes(), *[None] * (len(ids) - 1)] if ids else []}
+
+        return kernel
+
+    return map_texts(docs, make, "ids binary, counts binary", keep=keep)
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
-    """Documents that have each token, documents, and tokens of all documents, of a table with ids."""
+    """Documents that have each token, documents, and tokens of all documents, of a table with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, rows, total = np.zeros(65_536, np.int64), 0, 0
+        total = np.zeros(65_538, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                own = np.frombuffer(ids.as_buffer(), np.uint16)
-                rows, total = rows + 1, total + len(own)
-                seen = np.zeros(65_536, bool)
-                seen[own] = True
-                df += seen
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(df[at], [rows, total]))], names=["token", "n"])
+            for counts in batch.column(0).to_pylist():
+                at, n = np.frombuffer(counts, np.uint32).reshape(2, -1)
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
-    counted = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    by, df = {r["token"]: r["n"] for r in counted}, np.zeros(65_536, np.float64)
-    for token, n in by.items():
-        if token >= 0:
-            df[token] = n
-    return df, by.get(-1, 0), by.get(-2, 0)
+    counted = tokens.select("counts").where("counts IS NOT NULL").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(65_538, np.float64)
+    for r in counted:
+        total[r["token"]] = r["n"]
+    return total[:65_536], int(total[65_536]), int(total[65_537])
 
 
-#: Tokens that a document is placed by.
-PLACED_BY = 3
+#: Tokens that a document is placed by, and documents for each shard that say where shards begin.
+PLACED_BY, SAMPLED = 3, 20
 
 
-def with_place(tokens: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
-    """Adds place (binary): a lexical key by which documents that share what is typical of them come to lie together.
+def place(ids: bytes, idf: np.ndarray, mean: float) -> tuple[bytes, int]:
+    """A lexical key by which documents that share what is typical of them come to lie together, and a hash of the ids.
 
-    It is the document's tokens of the greatest BM25 weight, the best first, each as its number; documents without
-    typical tokens come first. A hash of the row's ids and then its id break ties among very many alike.
+    The key is the document's tokens of the greatest BM25 weight, the best first, each as its number. The hash puts
+    copies next to each other among very many alike.
     """
-    held = tokens.sparkSession.sparkContext.broadcast((idf, mean))
+    import xxhash
+
+    own = np.frombuffer(ids, np.uint16)
+    terms, tf = distinct(own)
+    weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
+    few = np.argpartition(-weight, PLACED_BY)[:PLACED_BY] if len(terms) > PLACED_BY else np.arange(len(terms))
+    best = terms[few[np.lexsort((terms[few], -weight[few]))]]
+    return best.astype(">u2").tobytes(), xxhash.xxh64_intdigest(ids) >> 1
+
+
+def with_place(tokens: DataFrame, idf: np.ndarray, mean: float, bounds: list | None = None) -> DataFrame:
+    """Adds place and hash, and part: how many of the sorted bounds (place, hash, doc_id) are not beyond a row."""
+    held = tokens.sparkSession.sparkContext.broadcast((idf, mean, bounds or []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = held.value
+        idf, mean, bounds = held.value
         for batch in batches:
-            places = []
-            for ids in batch.column("ids"):
-                own = np.frombuffer(ids.as_buffer(), np.uint16)
-                terms, tf = distinct(own)
-                weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / mean))
-                best = terms[np.lexsort((terms, -weight))[:PLACED_BY]]
-                places.append(best.astype(">u2").tobytes())
-            yield batch.append_column("place", pa.array(places, pa.binary()))
+            placed = [place(ids, idf, mean) for ids in batch.column(1).to_pylist()]
+            # Null ids come first, as they do where rows are sorted.
+            keys = [(p, h, -(2**63) if doc is None else doc) for (p, h), doc in zip(placed, batch.column(0).to_pylist(), strict=True)]
+            parts = [bisect_right(bounds, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int64()), pa.array(parts, pa.int32())], names=["doc_id", "ids", "place", "hash", "part"])
 
-    return tokens.mapInArrow(run, tokens.schema.simpleString()[7:-1] + ", place: binary")
+    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, place binary, hash long, part int")
 
 
 class Index:
@@ -302,8 +328,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     best unused neighbours of its shard, so the work for a document is the same at every size of the table. Each shard
     ends in at most a few short sequences, whose lengths are powers of two, so there is no padding.
 
-    Token ids are written once to the shared folder and dealt out once, by ranges of the key with the row's hash, so that
-    copies of one document, however many, are spread; the driver holds the tokens' document frequencies only.
+    Token ids are written once to the shared folder and dealt out once, by ranges of the key with the row's hash and id,
+    so that copies of one document, however many, are spread. The driver holds the tokens' document frequencies and a
+    bounded sample of keys.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -315,9 +342,13 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     mean = max(1.0, total / n)
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
     shards = max(-(-n // shard_docs), -(-total // shard_tokens))
-    placed = with_place(tokens, idf, mean)
-    order = ["place", F.xxhash64("ids"), "doc_id"]
-    dealt = placed.repartitionByRange(min(MOST_TASKS, shards), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    parts = min(MOST_TASKS, shards)
+    # Where parts begin: a sample of rows by their hash, whose keys alone come to the driver.
+    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", "ids"), 11) <= int(min(1.0, SAMPLED * parts / n) * 2**53)
+    keys = sorted((bytes(r["place"]), r["hash"], -(2**63) if r["doc_id"] is None else r["doc_id"]) for r in with_place(tokens.where(chosen), idf, mean).select("place", "hash", "doc_id").collect()) if parts > 1 else []
+    bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
+    placed = with_place(tokens, idf, mean, bounds)
+    dealt = placed.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "place", "hash", "doc_id").select("doc_id", "ids")
     held = spark.sparkContext.broadcast((idf, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -592,8 +592,12 @@ def test_encoder_equals_the_tokenizer():
     encode = packing.Encoder(packing.tokenizer_path())
     assert encode.words is not None
     letters = "abcdefghijklmnopqrstuvwxyzßàáâäåæçèéêëìíîïðñòóôõöøùúûüýþÿABCÄÉ"
+    texts = []
     for _ in range(4000):
         text = " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 9))) + r.choice(["", ".", "7", "!!", "'s", " <|endoftext|>", "×", "÷"]) for _ in range(r.randint(1, 4)))
+        texts.append(text)
+    texts += ["Words, and stops. Next\nline", "Two.. stops", "a,.b", " . ", ""]
+    for text in texts:
         assert np.frombuffer(encode(text), np.uint16).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
     assert encode.words is not None
 
