@@ -118,11 +118,15 @@ def _verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame
     return found.where(F.col("jaccard") >= least)
 
 
-def _met(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Distinct (a, b), a the smaller key, of offers that meet and whose sizes allow a likeness of `least`."""
-    x, y = (df.select(F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), "s", "part") for df, c in ((left, 1), (right, 2)))
-    fits = (F.col("k1") != F.col("k2")) & (F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2") - 1e-9)
-    return x.join(y, ["s", "part"]).where(fits).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
+def _met(left: DataFrame, right: DataFrame, least: float, apart: bool = False) -> DataFrame:
+    """Distinct (a, b), a the smaller key, of offers that meet and whose sizes allow a likeness of `least`.
+
+    With apart, only those of different roots.
+    """
+    x, y = (df.select(F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("part").alias(f"p{c}"), *([F.col("root").alias(f"r{c}")] if apart else [])) for df, c in ((left, 1), (right, 2)))
+    on = (F.col("s1") == F.col("s2")) & (F.col("p1") == F.col("p2")) & (F.col("k1") != F.col("k2")) & (F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2") - 1e-9)
+    met = x.join(y, on & (F.col("r1") != F.col("r2")) if apart else on)
+    return met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +148,9 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFram
     return pairs, member
 
 
-#: Meetings that are compared at once; beyond that groups are joined step by step, one class in 8, 64 and 512 first.
-AT_ONCE, STEPS = 2_000_000, (3, 2, 1, 0)
+#: Meetings that are compared at once; beyond that groups are joined step by step: first so many classes or so of the
+#: largest group are compared with those they meet, then, of what isn't joined yet, 2**FINER times as many, up to all.
+AT_ONCE, FIRST, FINER = 2_000_000, 32, 6
 
 
 def near_links(rows: DataFrame, least: float = 0.8, least_signatures: int = LEAST_SIGNATURES, at_once: int = AT_ONCE) -> DataFrame:
@@ -153,34 +158,30 @@ def near_links(rows: DataFrame, least: float = 0.8, least_signatures: int = LEAS
     of `least` or more, without all pairs of a group of near copies.
 
     Texts with fewer than least_signatures say too little to be linked. Equal sets are one class, linked by its least fp.
-    Where classes meet too often to compare all at once, few of them, chosen by hash, are compared with whom they meet
-    first; classes that this has joined need not be compared any more, nor in the later steps, which take more and more
-    of them, in the end all. So every pair is compared unless it has been joined already.
+    Where classes meet too often to compare all at once, a few, chosen by hash, are compared first. Classes that this has
+    joined need not be compared with each other any more: meeting places where all are joined go, elsewhere those that
+    aren't joined yet are compared, more at each step and in the end all. So every pair is compared unless it has been
+    joined already.
     """
     told = rows.where(F.size("signatures") >= least_signatures).select("fp", "signatures", F.xxhash64("signatures").alias("key"))
     of = stored(told.groupBy("key").agg(F.min("fp").alias("fp")), "classes")
     same = told.select("key", F.col("fp").alias("v")).distinct().join(of, "key").where("fp <> v").select(F.col("fp").alias("u"), "v")
     sets, offered = offers(stored(told.select("key", "signatures").dropDuplicates(["key"]), "signatures"), least)
     offered = stored(offered, "offers")
-    meetings = offered.groupBy("s", "part").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2"))).first()[0] or 0
-    if meetings <= at_once:
+    sizes = offered.groupBy("s", "part").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias("n"), F.max("c").alias("c")).first()
+    if (sizes["n"] or 0) <= at_once:
         edges = _verified(_met(offered, offered, least), sets, least).select("a", "b")
     else:
-        # Steps of a class: how often 8 divides its hash.
-        h = F.xxhash64("key", F.lit(8))
-        step = sum((F.pmod(h, F.lit(8**k)) == 0).cast("int") for k in range(1, max(STEPS) + 1))
-        roots, edges = None, None
-        for k in STEPS:
-            some = offered.where(step == k)
-            met = _met(offered, some, least)
-            if roots is not None:
-                r = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
-                met = met.join(r("a"), "a", "left").join(r("b"), "b", "left")
-                met = met.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-            own = stored(_verified(met, sets, least).select("a", "b"), "links")
+        finest = max(1, int(sizes["c"] // FIRST).bit_length())
+        h, left, edges = F.xxhash64("key", F.lit(8)), offered.withColumn("root", F.col("key")), None
+        for k in [*range(finest, 0, -FINER), 0]:
+            own = stored(_verified(_met(left, left.where(F.pmod(h, F.lit(1 << k)) == 0), least, apart=True), sets, least).select("a", "b"), "links")
             edges = own if edges is None else edges.unionByName(own)
             if k:
-                roots = stored(connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined")
+                joined = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
+                rooted = offered.join(joined, "key", "left").withColumn("root", F.coalesce("root", "key"))
+                apart = rooted.groupBy("s", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "part")
+                left = stored(rooted.join(apart, ["s", "part"], "left_semi"), "left")
     named = lambda c, to: of.select(F.col("key").alias(c), F.col("fp").alias(to))
     near = edges.join(named("a", "u"), "a").join(named("b", "v"), "b").where("u <> v").select("u", "v")
     return near.unionByName(same)

@@ -675,7 +675,7 @@ def test_near_links_join_what_all_pairs_would(spark, at_once):
 
 def test_near_copies_reach_further_than_two_bits(spark):
     r = random.Random(2)
-    vocabulary = ["the", "of", "and", *("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))]
+    vocabulary = [*["the", "of", "and"] * 30, *("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300))]
     rows = []
     for g in range(30):
         base = [r.choice(vocabulary) for _ in range(200)]
