@@ -40,46 +40,49 @@ def block_overlaps(lower: Column, upper: Column, band: tuple[float, float]) -> C
     return (lower <= F.lit(band[1] + TOLERANCE)) & (lower > 0) & (F.coalesce(upper, lower) >= F.lit(band[0] - TOLERANCE))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], bin_mhz: float = 1.0, wide_bins: int = 64) -> DataFrame:
+#: Widths of bins in MHz: the finest, how many times as wide each next one is, and how many there are.
+FINEST, STEP, LEVELS = 2.0**-10, 8, 11
+
+
+def _level(width: Column, finest: float) -> Column:
+    """The finest level whose bins are at least an eighth of a width, so that an interval touches nine of them at most."""
+    ladder = F.when(width <= finest * STEP, 0)
+    for k in range(1, LEVELS - 1):
+        ladder = ladder.when(width <= finest * float(STEP) ** (k + 1), k)
+    return ladder.otherwise(LEVELS - 1)
+
+
+def meetings(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], finest: float = FINEST) -> DataFrame:
+    """What overlap_join compares: rows of left and right that share a bin of the wider one's level."""
+
+    def placed(df: DataFrame, lo: str, hi: str, slack: float) -> DataFrame:
+        low, high = F.col(lo) - slack, F.col(hi) + slack
+        return df.where(F.col(lo) <= F.col(hi)).withColumns({"__lo": low, "__hi": high}).withColumn("__own", _level(F.col("__hi") - F.col("__lo"), finest))
+
+    def dealt(df: DataFrame, levels: Column, name: str) -> DataFrame:
+        at = df.withColumn("__level", F.explode(levels))
+        width = F.element_at(F.array(*[F.lit(finest * float(STEP) ** k) for k in range(LEVELS)]), F.col("__level") + 1)
+        first, last = F.floor(F.col("__lo") / width).cast("long"), F.floor(F.col("__hi") / width).cast("long")
+        return at.withColumns({"__bin": F.explode(F.sequence(first, last)), f"__first_{name}": first}).drop("__lo", "__hi", "__own")
+
+    x, y = placed(left, *a, 0.0), placed(right, *b, TOLERANCE)
+    found = lambda df: sorted(r["__own"] for r in df.select("__own").distinct().collect())
+    on_left, on_right = found(x), found(y)  # a few numbers each
+    own = F.array("__own")
+    coarser = lambda levels, also: F.filter(F.array(*[F.lit(k) for k in levels]).cast("array<int>"), lambda k: k >= F.col("__own") if also else k > F.col("__own"))
+    # The wider side lies at its own level only, the other at each level at which something wider lies.
+    sides = ((dealt(x, coarser(on_right, True), "x"), dealt(y, own, "y")), (dealt(x, own, "x"), dealt(y, coarser(on_left, False), "y")))
+    parts = [one.join(two, ["__level", "__bin"]) for one, two in sides]
+    return parts[0].unionByName(parts[1])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], finest: float = FINEST) -> DataFrame:
     """Rows of left and right whose intervals (low, high columns a and b) meet within half a hertz, each pair once.
 
-    Both sides are dealt to bins of bin_mhz and joined on the bin, so no pair is compared that shares none; a pair is
-    kept in the first bin that both reach. Intervals of more than wide_bins bins go to coarser bins (64 times as wide
-    at each level), so a wide interval is dealt to few bins, and each side is also dealt to the levels of the other.
-    Intervals with a null or inverted edge meet nothing. Column names of the sides must differ.
+    A pair is found in bins of the level of the wider interval, which touches two to nine of them, so most rows of a bin
+    that it shares with a narrower one meet it: what is compared is a small multiple of what is found, whatever the widths.
+    It is kept in the first bin that both reach. Which levels occur on either side is looked up first. Intervals with a
+    null or inverted edge meet nothing. Column names of the sides must differ.
     """
-
-    def bins(edge: Column, level: int) -> Column:
-        return F.floor(edge / F.lit(bin_mhz * float(wide_bins) ** level)).cast("long")
-
-    levels = 4
-    width = lambda lo, hi: F.col(hi) - F.col(lo) + 2 * TOLERANCE
-
-    def own_level(lo: str, hi: str) -> Column:
-        ladder = F.when(width(lo, hi) <= bin_mhz * wide_bins, 0)
-        for k in range(1, levels - 1):
-            ladder = ladder.when(width(lo, hi) <= bin_mhz * float(wide_bins) ** (k + 1), k)
-        return ladder.otherwise(levels - 1)
-
-    def dealt(df: DataFrame, lo: str, hi: str, own: str, slack: float) -> DataFrame:
-        valid = df.where(F.col(lo) <= F.col(hi)).withColumn(own, own_level(lo, hi))
-        edges = [F.col(lo) - slack, F.col(hi) + slack]
-        # A pair meets at the coarser of its two levels; finer levels than an interval's own aren't dealt to.
-        none = F.array().cast("array<struct<level:int,bin:bigint>>")
-
-        def at_level(k: int) -> Column:
-            reached = F.transform(F.sequence(bins(edges[0], k), bins(edges[1], k)), lambda x: F.struct(F.lit(k).alias("level"), x.alias("bin")))
-            return F.when(F.col(own) <= k, reached).otherwise(none)
-
-        dealing = F.flatten(F.array(*[at_level(k) for k in range(levels)]))
-        return valid.withColumn("__at", F.explode(dealing))
-
-    x = dealt(left, *a, "__la", 0.0)
-    y = dealt(right, *b, "__lb", TOLERANCE).withColumnRenamed("__at", "__bt")
-    meet = x.join(y, F.col("__at") == F.col("__bt")).where(
-        (F.col("__at.level") == F.greatest("__la", "__lb")) & (F.col(a[0]) <= F.col(b[1]) + TOLERANCE) & (F.col(a[1]) >= F.col(b[0]) - TOLERANCE)
-    )
-    first = F.greatest(*[bins(F.col(a[0]), 0), bins(F.col(b[0]) - TOLERANCE, 0)])
-    for k in range(1, levels):
-        first = F.when(F.col("__at.level") == k, F.greatest(bins(F.col(a[0]), k), bins(F.col(b[0]) - TOLERANCE, k))).otherwise(first)
-    return meet.where(F.col("__at.bin") == first).drop("__at", "__bt", "__la", "__lb")
+    met = meetings(left, right, a, b, finest).where((F.col(a[0]) <= F.col(b[1]) + TOLERANCE) & (F.col(a[1]) >= F.col(b[0]) - TOLERANCE))
+    return met.where(F.col("__bin") == F.greatest("__first_x", "__first_y")).drop("__level", "__bin", "__first_x", "__first_y")

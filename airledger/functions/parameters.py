@@ -111,6 +111,27 @@ def name_phrases(text: str) -> list[list[str]]:
     return phrases
 
 
+def folded_name(text: str) -> str:
+    """A name search as one spelling for all that search the same: its folded phrases."""
+    return " ".join("&".join(p) for p in name_phrases(text))
+
+
+def live_status(raw: str) -> str:
+    """A status of licences whose sites are held, or `any` of them; raises invalid_status for others."""
+    found = status(raw)
+    if found != "any" and found not in codes.LIVE_STATUSES:
+        raise QueryError("invalid_status", raw)
+    return found
+
+
+def degrees(raw: float | str, axis: str) -> float:
+    """Decimal degrees of a number or text; raises invalid_coordinate if they are none of that axis."""
+    found = coordinate(raw, axis) if isinstance(raw, str) else float(raw)
+    if found is None or not abs(found) <= (90.0 if axis == "latitude" else 180.0):
+        raise QueryError("invalid_coordinate", str(raw))
+    return found
+
+
 def fold(text: str) -> str:
     """Lower case without diacritics."""
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).lower()

@@ -132,10 +132,15 @@ def paths(registry: Registry, window: DataFrame | None = None) -> DataFrame:
 
 
 def leases_held(registry: Registry, redaction: bool = True) -> DataFrame:
-    """Leases with their parent licence; a parent that isn't in the registry leaves its fields empty, not redacted."""
-    parent = registry.licenses.select(F.col("usi").alias("parent_usi"), F.col("licensee_name").alias("parent_name"), F.col("license_status").alias("parent_status"), F.col("is_individual").alias("__person"))
+    """Leases with their parent licence; a parent that isn't in the registry leaves its fields empty, not redacted.
+
+    parent_callsign is the one that was filed with the lease, or else the parent's own.
+    """
+    parent = registry.licenses.select(F.col("usi").alias("parent_usi"), F.col("callsign").alias("__callsign"), F.col("licensee_name").alias("parent_name"), F.col("license_status").alias("parent_status"), F.col("is_individual").alias("__person"))
     joined = registry.lease_links.join(parent, "parent_usi", "left")
     hidden = F.col("__person") if redaction else F.lit(False)
+    filed = F.col("parent_callsign") if "parent_callsign" in registry.lease_links.columns else F.lit(None).cast("string")
+    joined = joined.withColumn("parent_callsign", F.coalesce(filed, "__callsign")).drop("__callsign")
     return joined.withColumns({"parent_redacted": F.when(F.col("__person").isNotNull(), hidden), "parent_name": F.when(~hidden, F.col("parent_name"))}).drop("__person")
 
 
@@ -153,27 +158,57 @@ def market_blocks(registry: Registry) -> DataFrame:
     return block_edges(collapse_blocks(registry.market_blocks))
 
 
+def lease_counts(registry: Registry) -> DataFrame:
+    """usi and lease_count, the leases that each licence has granted."""
+    return registry.lease_links.groupBy(F.col("parent_usi").alias("usi")).agg(F.count("*").alias("lease_count"))
+
+
+#: Says in a document that it is not all (fixed wording of this engine).
+NOTICE = "First page only: ask for the detail with a location or lease offset for the rest."
+
+
 def documents(registry: Registry, targets: DataFrame, redaction: bool = True) -> DataFrame:
-    """usi and document, the first page of each target's detail as one nested JSON text without null fields."""
+    """usi and document, the first page of each target's detail as one nested JSON text without null fields.
+
+    It has the head with its labels, and lists of sites, antennas, frequencies, paths, market blocks, leases held and
+    leases granted; location_count and lease_count say how many there are in all, and notice that some are not listed.
+    """
     only = lambda df: df.join(targets.select("usi"), "usi", "left_semi")
     own = Registry(*[only(getattr(registry, t)) if "usi" in getattr(registry, t).columns else getattr(registry, t) for t in Registry.__dataclass_fields__])
     window = location_windows(location_summary(own))
     nested = lambda df, name, order: df.groupBy("usi").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in ("usi", *order)]))).alias(name))
+    listed = own.antennas.join(window.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
+    fields = [c for c in own.antennas.columns if c not in ("usi", "location_number", "antenna_number", "_seq")]
+    links = registry.lease_links
+    held = Registry(registry.licenses, links.join(targets.select(F.col("usi").alias("lease_usi")), "lease_usi", "left_semi"), *[None] * 5)
+    granted = Registry(registry.licenses, links.join(targets.select(F.col("usi").alias("parent_usi")), "parent_usi", "left_semi"), *[None] * 5)
     parts = [
+        location_summary(own).groupBy("usi").agg(F.count("*").alias("location_count")),
+        window.groupBy("usi").agg(F.count("*").alias("__listed"), F.max("cut").alias("__cut")),
+        lease_counts(granted),
+        nested(agreed(listed, fields), "antennas", ["location_number", "antenna_number"]),
+        nested(leases_held(held, redaction).withColumnRenamed("lease_usi", "usi"), "leases_held", ["parent_usi"]),
+        nested(leases_granted(granted, redaction=redaction).withColumnRenamed("parent_usi", "usi"), "leases_granted", ["place"]),
         nested(sites(own, window, redaction).drop("_seq"), "sites", ["location_number", "site_seq"]),
         nested(frequencies_capped(own, window).drop("_seq", "place"), "frequencies", ["location_number", "antenna_number", "freq_seq_id"]),
         nested(paths(own, window).drop("_seq"), "paths", ["location_number", "path_number"]),
         nested(market_blocks(own), "market_blocks", ["lower", "upper"]),
     ]
-    head = redact(own.licenses, redaction)
+    labels = {"status_label": C.label(F.col("license_status"), codes.LICENSE_STATUSES), "service_label": C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)}
+    head = redact(own.licenses.withColumns(labels), redaction)
     for p in parts:
         head = head.join(p, "usi", "left")
+    more = (F.col("location_count") > F.col("__listed")) | F.col("__cut") | (F.col("lease_count") > F.size("leases_granted"))
+    head = head.withColumn("notice", F.when(more, F.lit(NOTICE))).drop("__listed", "__cut")
     return head.select("usi", F.to_json(F.struct(*[F.col(c) for c in head.columns]), {"ignoreNullFields": "true"}).alias("document"))
 
 
-def get_licence(registry: Registry, callsign: str | None = None, usi: int | None = None, location_offset: int | None = None, location_number: int | None = None, max_frequencies: int = 100, redaction: bool = True) -> dict[str, DataFrame]:
+def get_licence(registry: Registry, callsign: str | None = None, usi: int | None = None, location_offset: int | None = None, location_number: int | None = None, max_frequencies: int = 100, redaction: bool = True, lease_offset: int = 0) -> dict[str, DataFrame]:
     """Parts of one licence's detail by name, each lazy; a miss has only `candidates`.
 
+    `leases_granted` begins at lease_offset, `lease_count` says how many there are; amateur and market fields are those
+    of the head.
+
     Exactly one of callsign and usi is asked by, and at most one of the two starts of the window is given; otherwise
     identifier_required or location_start_conflict is raised. A callsign stands for its first-ranked record; others of
     the same callsign are `other_records`. Technical parts are there for live licences only, as the registry holds no others.
@@ -210,7 +245,8 @@ def get_licence(registry: Registry, callsign: str | None = None, usi: int | None
         "paths": paths(own, window),
         "market_blocks": market_blocks(own),
         "leases_held": leases_held(Registry(registry.licenses, registry.lease_links.where(F.col("lease_usi") == found["usi"]), *[None] * 5), redaction),
-        "leases_granted": leases_granted(Registry(registry.licenses, registry.lease_links.where(F.col("parent_usi") == found["usi"]), *[None] * 5), redaction=redaction),
+        "leases_granted": leases_granted(Registry(registry.licenses, registry.lease_links.where(F.col("parent_usi") == found["usi"]), *[None] * 5), lease_offset, redaction=redaction),
+        "lease_count": lease_counts(registry).where(key),
     }
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, parameters
 from ..functions import columns as C
-from . import paging, textsearch
+from . import paging, reference, textsearch
 from .build import Registry
 from .redact import redact
 
@@ -33,7 +33,7 @@ class LicenceSearch:
     def normalised(self) -> LicenceSearch:
         """The same search with every value in the form that records use; raises no_criteria or invalid_date_range."""
         made = {k: v for k, v in asdict(self).items() if v is not None}
-        for name, f in (("callsign", parameters.callsign), ("frn", parameters.frn), ("market_code", parameters.market_code), ("state", parameters.state), ("status", parameters.status)):
+        for name, f in (("callsign", parameters.callsign), ("frn", parameters.frn), ("market_code", parameters.market_code), ("state", parameters.state), ("status", parameters.status), ("radio_service", lambda c: c.strip().upper()), ("licensee", parameters.folded_name)):
             if name in made:
                 made[name] = f(made[name])
         if not made.keys() - {"status"}:
@@ -90,13 +90,19 @@ CALLSIGN_ORDER = [paging.Key("callsign"), paging.Key("usi")]
 RANK_ORDER = [paging.Key("score"), paging.Key("usi")]
 
 
-def search_licences(registry: Registry, search: LicenceSearch, limit: int = 25, cursor: str | None = None, generation: str = "", redaction: bool = True) -> paging.Page:
-    """A page of licence summaries by callsign (blank ones first), or by rank with a name search."""
+def search_licences(registry: Registry, search: LicenceSearch, limit: int = 25, cursor: str | None = None, generation: str = "", redaction: bool = True, refreshed: str = "") -> paging.Page:
+    """A page of licence summaries by callsign (blank ones first), or by rank with a name search.
+
+    generation names the build and refreshed the state of its refreshes (generations.cursor_names). Ranks depend on all
+    names, so a refresh ends cursors by rank, while those by callsign go on. Raises what normalised does, and
+    unknown_radio_service or service_not_indexed.
+    """
     own = search.normalised()
+    reference.require_indexed(registry, own.radio_service)
     ranked = own.licensee is not None
     found = matching(registry, own, redaction)
     keys = RANK_ORDER if ranked else CALLSIGN_ORDER
-    made = paging.page(found, keys, parameters.clamp(limit, 100), (generation, "r" if ranked else "c", paging.digest(asdict(own))), cursor)
+    made = paging.page(found, keys, parameters.clamp(limit, 100), (f"{generation}+{refreshed}" if ranked else generation, "r" if ranked else "c", paging.digest(asdict(own))), cursor)
     made.rows = summaries(registry, made.rows, redaction).orderBy(*[k.order() for k in keys])
     return made
 

@@ -91,6 +91,13 @@ def require_service(code: str, indexed: set[str]) -> str:
     return code
 
 
+def require_indexed(registry: Registry, code: str | None) -> None:
+    """Raises unknown_radio_service or service_not_indexed unless the registry has a record of a service; None passes."""
+    if code is not None:
+        held = registry.licenses.where(F.col("radio_service_code") == code).head(1)
+        require_service(code, {code} if held else set())
+
+
 def group_statistics(registry: Registry) -> DataFrame:
     """service_group: records, sites and frequency rows. Technical rows are counted by usi before they are joined."""
     per = lambda df, name: df.groupBy("usi").agg(F.count("*").alias(name))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, codes, parameters
 from ..functions import columns as C
-from . import paging, textsearch
+from . import paging, reference, textsearch
 from .build import Registry
 from .licences import equality_filters
 from .redact import redact
@@ -19,10 +19,10 @@ HEAD = ["usi", "callsign", "license_status", "radio_service_code", "licensee_nam
 
 @dataclass(frozen=True)
 class SpectrumSearch:
-    """A band in MHz and what licences must meet; kind is site, market or both."""
+    """A band, or one frequency, and what licences must meet; kind is site, market or both."""
 
     low: float
-    high: float
+    high: float | None = None
     kind: str = "both"
     state: str | None = None
     radio_service: str | None = None
@@ -30,6 +30,23 @@ class SpectrumSearch:
     frn: str | None = None
     market_code: str | None = None
     status: str = "A"
+    unit: str = "MHz"
+
+    def normalised(self) -> SpectrumSearch:
+        """The same search in MHz, with every value in the form that records use.
+
+        Raises invalid_frequency_range, invalid_kind or invalid_status.
+        """
+        found = parameters.band(self.low, self.high, parameters.unit(self.unit))
+        if found is None:
+            raise parameters.QueryError("invalid_frequency_range", "no_frequency")
+        if self.kind not in ("site", "market", "both"):
+            raise parameters.QueryError("invalid_kind", self.kind)
+        made = {"low": found[0], "high": found[1], "unit": "MHz", "status": parameters.live_status(self.status)}
+        for name, f in (("state", parameters.state), ("frn", parameters.frn), ("market_code", parameters.market_code), ("radio_service", lambda c: c.strip().upper()), ("licensee", parameters.folded_name)):
+            if getattr(self, name) is not None:
+                made[name] = f(getattr(self, name))
+        return replace(self, **made)
 
 
 def _heads(registry: Registry, search: SpectrumSearch, redaction: bool) -> DataFrame:
@@ -53,6 +70,7 @@ def site_assignments(registry: Registry, search: SpectrumSearch, redaction: bool
     site. The band filter reaches the scan, rows collapse before they are joined, and sites are summed by number first,
     so a number with many sites multiplies nothing.
     """
+    search = search.normalised()
     band = (search.low, search.high)
     hit = registry.frequencies.where(F.col("frequency_mhz").isNotNull() & bands.overlaps(F.col("occ_low"), F.col("occ_high"), band))
     rows = hit.groupBy("frequency_mhz", "usi", "location_number", "upper_mhz").agg(
@@ -83,11 +101,15 @@ def nationwide(market_code: Column) -> Column:
 def state_rule(licences: DataFrame, locations: DataFrame, state: str, area_states: DataFrame | None = None, county_prefix: str | None = None) -> DataFrame:
     """Licences whose market is in a state: by the area table, a county code, the market's name, or a site of its own.
 
-    area_states: market_code, state; county_prefix: the two digits that the state's county codes begin with. Nationwide
-    markets are never in a state.
+    area_states: market_code, state (null for an area that lies in no state, as at sea); county_prefix: the two digits
+    that the state's county codes begin with. Nationwide markets and those in no state are never in one, whatever sites
+    they have.
     """
     own = locations.where(F.col("site_state") == state).select("usi").distinct().withColumn("__site", F.lit(True))
-    found = licences.where(~nationwide(F.col("market_code"))).join(own, "usi", "left")
+    found = licences.where(~nationwide(F.col("market_code")))
+    if area_states is not None:
+        found = found.join(area_states.where("state IS NULL").select("market_code").distinct(), "market_code", "left_anti")
+    found = found.join(own, "usi", "left")
     tests = F.coalesce(F.array_contains("market_states", state), F.lit(False)) | F.col("__site").isNotNull()
     if county_prefix is not None:
         tests = tests | F.coalesce(F.col("market_code").rlike(f"^[CD]{county_prefix}[0-9]{{3}}$"), F.lit(False))
@@ -112,6 +134,7 @@ def block_edges(blocks: DataFrame) -> DataFrame:
 
 def market_assignments(registry: Registry, search: SpectrumSearch, redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> DataFrame:
     """Market blocks that meet the band, collapsed, with their licence."""
+    search = search.normalised()
     hit = registry.market_blocks.where(bands.block_overlaps(F.col("lower"), F.col("upper"), (search.low, search.high)))
     heads = _heads(registry, search, redaction)
     if search.state is not None:
@@ -125,8 +148,11 @@ ORDER = [paging.Key("frequency_mhz"), paging.Key("kind_order"), paging.Key("usi"
 def search_frequencies(registry: Registry, search: SpectrumSearch, redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> DataFrame:
     """Both sides as one frame with the ordering columns; at an equal frequency a market block comes first.
 
-    area_states and county_prefix are those of state_rule, for searches with a state.
+    area_states and county_prefix are those of state_rule, for searches with a state. Raises what normalised does, and
+    unknown_radio_service or service_not_indexed.
     """
+    search = search.normalised()
+    reference.require_indexed(registry, search.radio_service)
     sides = []
     if search.kind in ("site", "both"):
         site = site_assignments(registry, search, redaction).withColumns({"kind": F.lit("site"), "kind_order": F.lit(1)})
@@ -138,8 +164,13 @@ def search_frequencies(registry: Registry, search: SpectrumSearch, redaction: bo
     return redact(out.withColumn("service_label", C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)), redaction)
 
 
+def page_binding(search: SpectrumSearch, generation: str = "", county_prefix: str | None = None) -> tuple:
+    """What a cursor of a search is bound to: spellings of one search share it."""
+    asked = asdict(search.normalised())
+    return generation, "f", paging.digest(asked if county_prefix is None else asked | {"county_prefix": county_prefix})
+
+
 def frequency_page(registry: Registry, search: SpectrumSearch, limit: int = 50, cursor: str | None = None, generation: str = "", redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> paging.Page:
     """A page of search_frequencies with an exact total."""
-    asked = asdict(search) if county_prefix is None else asdict(search) | {"county_prefix": county_prefix}
-    binding = (generation, "f", paging.digest(asked))
+    binding = page_binding(search, generation, county_prefix)
     return paging.page(search_frequencies(registry, search, redaction, area_states, county_prefix), ORDER, parameters.clamp(limit, 200), binding, cursor)

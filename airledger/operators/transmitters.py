@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bands, codes, geo, parameters
 from ..functions import columns as C
-from . import paging
+from . import paging, reference
 from .build import Registry
 from .redact import redact
 
 
+#: Radii in km that may be asked for (fixed values).
+RADII = (0.1, 230.0)
+
+
 @dataclass(frozen=True)
 class RadiusSearch:
-    """A point, a radius in km, and what sites, licences and their frequencies must meet."""
+    """A point, a radius in km, and what sites, licences and their frequencies must meet.
+
+    Coordinates are decimal degrees, or text in degrees, minutes and seconds. band: edges in unit, the upper one None
+    for a single frequency.
+    """
 
-    lat: float
-    lon: float
-    radius_km: float
-    band: tuple[float, float] | None = None
+    lat: float | str
+    lon: float | str
+    radius_km: float = 5.0
+    band: tuple[float, float | None] | None = None
     radio_service: str | None = None
     location_type: str | None = None
     location_class: str | None = None
     status: str = "A"
+    unit: str = "MHz"
+
+    def normalised(self) -> RadiusSearch:
+        """The same search in degrees and MHz, with every value in the form that records use.
+
+        Raises invalid_coordinate, invalid_radius, invalid_frequency_range or invalid_status.
+        """
+        if not RADII[0] <= self.radius_km <= RADII[1]:
+            raise parameters.QueryError("invalid_radius", str(self.radius_km))
+        made = {"lat": parameters.degrees(self.lat, "latitude"), "lon": parameters.degrees(self.lon, "longitude"), "status": parameters.live_status(self.status), "unit": "MHz"}
+        if self.band is not None:
+            made["band"] = parameters.band(*self.band, parameters.unit(self.unit))
+        for name in ("radio_service", "location_type", "location_class"):
+            if getattr(self, name) is not None:
+                made[name] = getattr(self, name).strip().upper()
+        return replace(self, **made)
 
 
 def frequency_rows(frequencies: DataFrame) -> DataFrame:
@@ -44,7 +68,10 @@ def sites_in_radius(registry: Registry, search: RadiusSearch) -> DataFrame:
 
     The bounding box is plain ranges, which reach the scan; the exact distance is computed for what is left. With a
     band, a site stays if its location number has an overlapping frequency: a semi-join, so nothing is multiplied.
+    Raises what normalised does, and unknown_radio_service or service_not_indexed.
     """
+    search = search.normalised()
+    reference.require_indexed(registry, search.radio_service)
     where = geo.in_box(F.col("lat"), F.col("lon"), search.lat, search.lon, search.radius_km)
     sites = registry.locations.where(where)
     for column, value in (("location_type", search.location_type), ("location_class", search.location_class)):
@@ -77,6 +104,7 @@ def with_frequencies(sites: DataFrame, frequencies: DataFrame, per_site: int = 1
 
 def find_transmitters(registry: Registry, search: RadiusSearch, limit: int = 25, per_site: int = 10, cursor: str | None = None, generation: str = "", redaction: bool = True) -> paging.Page:
     """A page of sites by distance; shown distances are rounded to metres, the order is that of unrounded ones."""
+    search = search.normalised()
     sites = sites_in_radius(registry, search)
     made = paging.page(sites, ORDER, parameters.clamp(limit, 100), (generation, "t", paging.digest(asdict(search))), cursor)
     shown = with_frequencies(made.rows, registry.frequencies, parameters.clamp(per_site, 50), search.band).orderBy(*[k.order() for k in ORDER])

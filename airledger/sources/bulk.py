@@ -1,4 +1,4 @@
-"""Bulk files: zips of record files as a Spark data source, their `counts` header, listings and daily names."""
+"""Bulk files: zips of record files, their `counts` header, listings and daily names."""
 
 from __future__ import annotations
 
@@ -6,13 +6,15 @@ import datetime as dt
 import html
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.parameters import QueryError, daily_code
@@ -54,75 +56,109 @@ def small_entry(archive: zipfile.ZipFile, name: str) -> str:
     return archive.read(info).decode("utf-8", "replace")
 
 
-@dataclass
-class _Entry(InputPartition):
-    path: str
-    group: str
-    entry: str
+def checked_zip(content: bytes) -> zipfile.ZipFile:
+    """An archive that readers of the feed take: one disk, not ZIP64, nothing encrypted; raises bad_zip otherwise."""
+    at = content.rfind(b"PK\x05\x06")
+    if at < 0:
+        raise QueryError("bad_zip", "no end of central directory")
+    disk, first, here, entries, size, offset = struct.unpack_from("<HHHHII", content, at + 4)
+    if disk or first or here != entries:
+        raise QueryError("bad_zip", "more than one disk")
+    if entries == 0xFFFF or size == 0xFFFFFFFF or offset == 0xFFFFFFFF:
+        raise QueryError("bad_zip", "ZIP64")
+    archive = zipfile.ZipFile(io.BytesIO(content))
+    if any(i.flag_bits & 1 for i in archive.infolist()):
+        raise QueryError("bad_zip", "an encrypted entry")
+    return archive
 
-    def __init__(self, path: str, group: str, entry: str):
-        super().__init__(None)
-        self.path, self.group, self.entry = path, group, entry
 
+#: What a zip's lines are staged as. _seq orders lines by the place of their zip in the build, then as filed.
+STAGED = "path string, place int, record_type string, _seq long, value string"
+COUNTS = "counts"
+_ROWS = 20_000
 
-class BulkZipReader(DataSourceReader):
-    """One partition for each zip: its entry of the record type is inflated as a stream, line by line."""
 
-    def __init__(self, options: dict):
-        self.root, self.type = options["path"], options["type"]
-        self.root = re.sub("^file:/+", "/", self.root)
-        self.named = "groups" in options
-        self.groups = options.get("groups", " ".join(codes.DEFAULT_SERVICE_GROUPS)).split()
+def entry_lines(content: bytes, place: int) -> Iterator[tuple[str, int, str]]:
+    """(record type, _seq, line) of every record file of a zip, and the text of its `counts` as one line of that type.
 
-    def partitions(self) -> list[_Entry]:
-        """The zips of the groups asked for, each of which must exist; by default those that exist, at least one."""
-        paths = {g: group_path(self.root, g) for g in self.groups}
-        missing = [p for p in paths.values() if not Path(p).exists()]
-        if missing and (self.named or len(missing) == len(paths)):
-            raise QueryError("missing_zip", ", ".join(missing))
-        return [_Entry(p, g, f"{self.type}.dat") for g, p in paths.items() if p not in missing]
+    Lines are split at line feeds only, one trailing carriage return is cut, empty ones are left out, malformed UTF-8 is
+    replaced; a line of over 16,384 characters is no record and raises bad_line.
+    """
+    with checked_zip(content) as archive:
+        for info in archive.infolist():
+            name = info.filename.rsplit("/", 1)[-1].lower()
+            if name == COUNTS:
+                yield COUNTS, place << 40, small_entry(archive, info.filename)
+            elif name.endswith(".dat"):
+                with archive.open(info) as raw, io.TextIOWrapper(raw, "utf-8", "replace", newline="\n") as lines:
+                    for n, line in enumerate(lines):
+                        text = line.removesuffix("\n").removesuffix("\r")
+                        if len(text) > 16_384:
+                            raise QueryError("bad_line", f"{info.filename}: a line of over 16384 characters is no record")
+                        if text:
+                            yield name.removesuffix(".dat").upper(), place << 40 | n, text
+
+
+def read_zips(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The lines of zips, each read once for all its record types, as STAGED says; paths are in the order of the build.
+
+    Spark's own reader brings the files, so they may be on any of its file systems; each must exist. A zip is one task:
+    write what this gives once, and decode from there, where lines are dealt evenly.
+    """
+    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
+    files = spark.read.format("binaryFile").load(paths).select("path", F.element_at(place, F.substring_index("path", "/", -1)).alias("place"), "content")
 
-    def read(self, partition: _Entry) -> Iterator[tuple]:
-        """Lines split at line feeds, one trailing carriage return cut, empty ones left out."""
-        with zipfile.ZipFile(partition.path) as archive:
-            info = next((i for i in archive.infolist() if i.filename.lower() == partition.entry.lower()), None)
-            if info is None:
-                return
-            if info.flag_bits & 1:
-                raise QueryError("bad_zip", "an encrypted entry")
-            with archive.open(info) as raw, io.TextIOWrapper(raw, "utf-8", "replace", newline="\n") as lines:
-                for seq, line in enumerate(lines):
-                    text = line.removesuffix("\n").removesuffix("\r")
-                    if len(text) > 16_384:
-                        raise QueryError("bad_line", "a line of over 16384 characters is no record")
-                    if text:
-                        yield partition.group, seq, text
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, place, content = (batch.column(c)[i].as_py() for c in range(3))
+                lines = entry_lines(content, place)
+                while rows := list(islice(lines, _ROWS)):
+                    types, seqs, texts = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([place] * len(rows), pa.int32()), pa.array(types), pa.array(seqs, pa.int64()), pa.array(texts)], names=["path", "place", "record_type", "_seq", "value"])
 
+    return files.mapInArrow(run, STAGED)
 
-class BulkZip(DataSource):
-    """`bulk_zip`: options path (root folder that executors share), type (record type) and groups."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "bulk_zip"
+def read_bulk(spark: SparkSession, root: str, type_: str, groups: list[str] | None = None) -> DataFrame:
+    """service_group, _seq and value of every line of a record type in the weekly snapshots of groups.
 
-    def schema(self) -> str:
-        return "service_group string, _seq long, value string"
+    Raises missing_zip if a group that is named has no zip, or none of the default ones has.
+    """
+    paths = snapshot_paths(spark, root, groups)
+    lines = read_zips(spark, list(paths.values())).where(F.col("record_type") == type_)
+    names = F.regexp_extract("path", r"l_([^/]+)\.zip$", 1).alias("service_group")
+    return lines.select(names, "_seq", "value").repartition(max(1, spark.sparkContext.defaultParallelism), "service_group", "_seq")
 
-    def reader(self, schema) -> BulkZipReader:
-        return BulkZipReader(dict(self.options))
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path) as the JVM has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-def read_bulk(spark: SparkSession, root: str, type_: str, groups: list[str] | None = None) -> DataFrame:
-    """service_group, _seq and value of every line of a record type in the weekly snapshots of groups.
 
-    A zip is one task, so its lines are dealt to all tasks before they are decoded. Raises if a group that is named has
-    no zip, or none of the default ones has.
-    """
-    spark.dataSource.register(BulkZip)
-    reader = spark.read.format("bulk_zip").option("type", type_)
-    lines = (reader.option("groups", " ".join(groups)) if groups is not None else reader).load(root)
-    return lines.repartition(max(1, spark.sparkContext.defaultParallelism), "service_group", "_seq")
+def snapshot_paths(spark: SparkSession, root: str, groups: list[str] | None = None) -> dict[str, str]:
+    """The weekly zips of groups, in the order of the build; of the default groups those that there are."""
+    found = {g: group_path(str(root), g) for g in (codes.DEFAULT_SERVICE_GROUPS if groups is None else groups)}
+    there = {g: p for g, p in found.items() if (fs := file_system(spark, p))[0].exists(fs[1])}
+    if not there or (groups is not None and len(there) < len(found)):
+        raise QueryError("missing_zip", ", ".join(p for g, p in found.items() if g not in there))
+    return there
+
+
+def modified(spark: SparkSession, path: str) -> dt.datetime:
+    """When a file was last modified."""
+    fs, p = file_system(spark, path)
+    return dt.datetime.fromtimestamp(fs.getFileStatus(p).getModificationTime() // 1000, dt.UTC)
+
+
+def daily_files(spark: SparkSession, root: str) -> list[tuple[str, dt.datetime]]:
+    """(path, when last modified) of every daily zip under a root."""
+    fs, p = file_system(spark, f"{root}/daily")
+    if not fs.exists(p):
+        return []
+    found = [(str(s.getPath().toString()), dt.datetime.fromtimestamp(s.getModificationTime() // 1000, dt.UTC)) for s in fs.listStatus(p)]
+    return sorted(x for x in found if daily_code(x[0].rsplit("/", 1)[-1]) is not None)
 
 
 @dataclass(frozen=True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
-MAX_LINE = 16_384
+MAX_LINE, MOST_FILES = 16_384, 512
 
 
 @dataclass(frozen=True)
@@ -53,9 +53,17 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """value and _seq of the lines of text files: split at line feeds only, one trailing carriage return cut.
 
     Empty lines are left out, malformed UTF-8 is replaced, and a line beyond MAX_LINE characters fails the read. _seq
-    keeps the order of filing: the file's name, then the place within it, by the partition's own numbering.
+    keeps the order of filing, however Spark splits the files: by the file's name, the place where the line's split of
+    it begins, and the line's number there. At most MOST_FILES files of up to a TiB are told apart.
     """
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("value"), F.monotonically_increasing_id().alias("_seq"))
+    read = spark.read.option("lineSep", "\n").text(path)
+    names = sorted(read.inputFiles())
+    if len(names) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files")
+    number = F.element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i).cast("long"))]), F.col("_metadata.file_path")) if names else F.lit(0).cast("long")
+    block = F.shiftright(F.col("_metadata.file_block_start"), 16)  # splits are no shorter than 64 KiB
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 30) - 1))
+    raw = read.select(F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("value"), F.shiftleft(number, 54).bitwiseOR(F.shiftleft(block, 30)).bitwiseOR(line).alias("_seq"))
     checked = F.when(F.length("value") > MAX_LINE, F.raise_error(F.lit(f"a line of over {MAX_LINE} characters is no record"))).otherwise(F.col("value"))
     return raw.where(F.col("value") != "").withColumn("value", checked)
 
@@ -70,11 +78,11 @@ def split(lines: DataFrame, type_: str) -> DataFrame:
     return lines.select("*", F.explode(F.array(fields)).alias("__s")).withColumn("__f", F.when((F.size("__s") == LAYOUTS[type_].fields) & (F.col("__s")[0] == type_), F.col("__s"))).drop("__s")
 
 
-def _typed(lines: DataFrame, type_: str) -> DataFrame:
+def _typed(lines: DataFrame, type_: str, also: tuple[str, ...] = ()) -> DataFrame:
     """One struct of trimmed fields by name for each line, then their values; __ok says whether the line is accepted."""
     layout = LAYOUTS[type_]
     trimmed = F.struct(*[C.text(F.col("__f")[position - 1]).alias(name) for position, name, _ in layout.columns()])
-    kept = [c for c in ("_seq", "service_group") if c in lines.columns and (c == "_seq" or type_ == "HD")]
+    kept = [c for c in ("_seq", "service_group") if c in lines.columns and (c == "_seq" or type_ == "HD")] + list(also)
     own = split(lines, type_).select(*kept, F.col("__f").isNotNull().alias("__shape"), F.explode(F.array(trimmed)).alias("__t"))
     values = {name: _KINDS[kind](F.col(f"__t.{name}")) for _, name, kind in layout.columns()}
     ok = F.col("__shape")
@@ -106,6 +114,12 @@ def decode(lines: DataFrame, type_: str) -> DataFrame:
     return made
 
 
+def line_counts(lines: DataFrame, type_: str, by: list[str]) -> DataFrame:
+    """by, record_type, lines_read, lines_kept and lines_rejected of one type, in one pass."""
+    ok = F.coalesce(F.col("__ok"), F.lit(False))
+    return _typed(lines, type_, tuple(by)).groupBy(*by).agg(F.lit(type_).alias("record_type"), F.count("*").alias("lines_read"), F.count_if(ok).alias("lines_kept"), F.count_if(~ok).alias("lines_rejected"))
+
+
 def line_statistics(lines: DataFrame, type_: str) -> DataFrame:
     """record_type, lines_read, lines_kept and lines_rejected of one type, in one pass."""
     ok = F.coalesce(F.col("__ok"), F.lit(False))

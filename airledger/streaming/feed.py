@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.refresh import latest_by_key, replace_by_key
+from ..operators.refresh import latest_by_key
+
+
+#: Buckets of keys' hashes that a table is kept in.
+BUCKETS = 64
 
 
 class VersionedTable:
-    """A Parquet table whose versions are folders, named by the batch that made them; a replayed batch makes the same.
+    """A Parquet table by buckets of its keys' hashes; each batch makes a version, in which other buckets are kept.
 
-    Version -1 is empty. A version is whole once Spark has written its _SUCCESS file, so a broken write is never read.
+    Version n is a file n.json that says which batch wrote each bucket; a batch writes the buckets that it touches only,
+    and its file last, so a broken write is never read and a replayed batch makes the same version. Before the first
+    version the table is empty.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
         jvm = spark.sparkContext._jvm
         self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
         self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -28,31 +35,59 @@ class VersionedTable:
         if not self._fs.exists(self._path(self.path)):
             return []
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[1:]) for n in found if n[:1] == "v" and self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")))
+        return sorted(int(n.removesuffix(".json")) for n in found if n.endswith(".json"))
 
-    def read(self, below: int | None = None) -> DataFrame:
-        """The newest version, or the newest before a batch."""
+    def _layout(self, below: int | None = None) -> dict[int, int]:
+        """Which batch wrote each bucket of the newest version, or of the newest before a batch."""
         own = [v for v in self.versions() if below is None or v < below]
         if not own:
+            return {}
+        text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/{own[-1]}.json").collect())
+        return {int(k): v for k, v in json.loads(text).items()}
+
+    def bucket_of(self, keys: list[str]) -> Column:
+        """The bucket of a row."""
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def read(self, below: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """The newest version, or the newest before a batch; all buckets or some."""
+        layout = {b: v for b, v in self._layout(below).items() if only is None or b in only}
+        if not layout:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{own[-1]}")
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        """Writes a batch's version."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={v}/bucket={b}" for b, v in sorted(layout.items())])
+
+    def replace(self, new: DataFrame, keys: list[str], batch: int) -> None:
+        """Makes a batch's version: rows of new, which has each key once, in place of those with the same keys."""
+        new = new.withColumn("bucket", self.bucket_of(keys)).persist()
+        touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())
+        if touched:
+            kept = self.read(batch, touched).join(new.select(*keys), keys, "left_anti")
+            whole = kept.withColumn("bucket", self.bucket_of(keys)).unionByName(new)
+            whole.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch}")
+        out = self._fs.create(self._path(f"{self.path}/{batch}.json.new"), True)
+        out.write(bytearray(json.dumps(self._layout(batch) | dict.fromkeys(touched, batch)).encode()))
+        out.close()
+        self._fs.delete(self._path(f"{self.path}/{batch}.json"), False)
+        self._fs.rename(self._path(f"{self.path}/{batch}.json.new"), self._path(f"{self.path}/{batch}.json"))
+        new.unpersist()
 
     def prune(self, keep: int = 2) -> None:
-        """Deletes all but the newest versions."""
-        for v in self.versions()[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/v{v}"), True)
+        """Deletes all but the newest versions, and what batches wrote that none of those has."""
+        own = self.versions()
+        used = {v for k in own[-keep:] for v in self._layout(k + 1).values()}
+        for v in own[:-keep]:
+            self._fs.delete(self._path(f"{self.path}/{v}.json"), False)
+        for s in self._fs.listStatus(self._path(self.path)):
+            name = s.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) not in used and int(name[6:]) < (own[-1] if own else 0):
+                self._fs.delete(s.getPath(), True)
 
 
 def replacing_sink(table: VersionedTable, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: the last row of each key of a batch replaces the table's."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        new = latest_by_key(batch, keys, order)
-        table.write(replace_by_key(table.read(number), new, keys), number)
+        table.replace(latest_by_key(batch, keys, order), keys, number)
         table.prune()
 
     return apply

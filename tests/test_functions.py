@@ -52,6 +52,19 @@ def test_records(spark):
     assert [r.antenna_number for r in records.decode(lines, "AN").orderBy("_seq").collect()] == [None, 3]
 
 
+def test_lines_are_in_the_order_of_files_and_places(spark, tmp_path):
+    for name, n in (("b.dat", 3), ("a.dat", 40_000)):
+        (tmp_path / name).write_text("".join(f"{name} {i:06d}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        lines = records.read_lines(spark, str(tmp_path))
+        assert lines.select(F.spark_partition_id()).distinct().count() > 2
+        values = [r.value for r in lines.orderBy("_seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert values == sorted(values) and len(values) == 40_003
+
+
 def test_lines_keep_inner_returns(spark, tmp_path):
     (tmp_path / "x.dat").write_bytes(b"a\rb\r\n\nc\xff\n")
     assert [r.value for r in records.read_lines(spark, str(tmp_path / "x.dat")).orderBy("_seq").collect()] == ["a\rb", "c�"]
@@ -96,6 +109,8 @@ def test_search_with_a_state_takes_areas_and_counties(spark):
     reg = registry(spark, "/root/testdata/sf0.001")
     areas = spark.createDataFrame([("BTA003", "ND"), ("BTA007", "ND"), ("BTA009", "SD")], "market_code string, state string")
     search = spectrum.SpectrumSearch(900, 1500, "market", state="ND")
+    gulf = areas.unionByName(spark.createDataFrame([("BTA003", None)], areas.schema))
+    assert spectrum.market_assignments(reg, search, True, gulf).where("market_code = 'BTA003'").count() == 0
     want = {(r.usi, r.lower, r.upper) for r in spectrum.market_assignments(reg, search, True, areas, "48").collect()}
     fewer = {(r.usi, r.frequency_mhz, r.upper_mhz) for r in spectrum.search_frequencies(reg, search).collect()}
     got = {(r.usi, r.frequency_mhz, r.upper_mhz) for r in spectrum.search_frequencies(reg, search, True, areas, "48").collect()}
@@ -108,11 +123,95 @@ def test_overlap_join_equals_nested_loop(spark):
     side = lambda n: [(i, a := round(r.uniform(0, 3000), 4), round(a + r.choice([0, 0.01, 2, 90, 900, 2900]), 4)) for i in range(n)]
     a, b = side(300) + [(900, None, 1.0), (901, 5.0, 4.0)], side(200)
     x, y = spark.createDataFrame(a, "i long, lo double, hi double"), spark.createDataFrame(b, "j long, lo2 double, hi2 double")
-    got = sorted((q.i, q.j) for q in bands.overlap_join(x, y, ("lo", "hi"), ("lo2", "hi2"), 0.5).collect())
+    got = sorted((q.i, q.j) for q in bands.overlap_join(x, y, ("lo", "hi"), ("lo2", "hi2")).collect())
     want = sorted((i, j) for i, lo, hi in a for j, lo2, hi2 in b if lo is not None and lo <= hi and lo <= hi2 + bands.TOLERANCE and hi >= lo2 - bands.TOLERANCE)
     assert got == want
 
 
+def test_overlap_join_compares_a_small_multiple_of_what_it_finds(spark):
+    r = random.Random(7)
+    for left, right in (([0, 0.0125], [0.025, 5]), ([0.01], [2500]), ([0.01, 3, 400], [0.0, 90, 2900])):
+        side = lambda n, widths: [(a := r.uniform(0, 3000), a + r.choice(widths)) for _ in range(n)]  # noqa: B023, E731
+        x, y = spark.createDataFrame(side(2000, left), "lo double, hi double"), spark.createDataFrame(side(500, right), "lo2 double, hi2 double")
+        found = bands.overlap_join(x, y, ("lo", "hi"), ("lo2", "hi2")).count()
+        assert bands.meetings(x, y, ("lo", "hi"), ("lo2", "hi2")).count() <= 4 * found + 200
+
+
+def test_searches_check_what_is_asked(spark):
+    from airledger.operators import licences, spectrum, transmitters
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    for ask, reason in (
+        (lambda: spectrum.search_frequencies(reg, spectrum.SpectrumSearch(915, 905)), "invalid_frequency_range"),
+        (lambda: spectrum.search_frequencies(reg, spectrum.SpectrumSearch(905, 915, unit="GHz")), "invalid_frequency_range"),
+        (lambda: spectrum.search_frequencies(reg, spectrum.SpectrumSearch(905, 915, "sites")), "invalid_kind"),
+        (lambda: spectrum.search_frequencies(reg, spectrum.SpectrumSearch(905, 915, status="Expired")), "invalid_status"),
+        (lambda: spectrum.frequency_page(reg, spectrum.SpectrumSearch(905, 915, radio_service="zv")), "service_not_indexed"),
+        (lambda: spectrum.search_frequencies(reg, spectrum.SpectrumSearch(905, 915, radio_service="??")), "unknown_radio_service"),
+        (lambda: transmitters.find_transmitters(reg, transmitters.RadiusSearch(26.0, -118.25, 231)), "invalid_radius"),
+        (lambda: transmitters.find_transmitters(reg, transmitters.RadiusSearch("26 N", -118.25, 200)), "invalid_coordinate"),
+        (lambda: transmitters.find_transmitters(reg, transmitters.RadiusSearch(26.0, -181, 200)), "invalid_coordinate"),
+        (lambda: transmitters.find_transmitters(reg, transmitters.RadiusSearch(26.0, -118.25, 200, radio_service="??")), "unknown_radio_service"),
+        (lambda: licences.search_licences(reg, licences.LicenceSearch(radio_service="??")), "unknown_radio_service"),
+        (lambda: licences.search_licences(reg, licences.LicenceSearch()), "no_criteria"),
+        (lambda: licences.search_licences(reg, licences.LicenceSearch(expires_after="2030-01-01", expires_before="2020-01-01")), "invalid_date_range"),
+    ):
+        with pytest.raises(QueryError) as e:
+            ask()
+        assert e.value.reason == reason
+    asked = transmitters.RadiusSearch("26-0-0 N", "118-15-0 W", 200, band=(0.902, 0.912), unit="ghz", location_type="f")
+    same = transmitters.RadiusSearch(26.0, -118.25, 200, band=(902.0, 912.0), location_type="F")
+    ids = lambda s: sorted((x.usi, x.location_number, x.site_seq) for x in transmitters.sites_in_radius(reg, s).collect())
+    assert ids(asked) == ids(same) and ids(same)
+
+
+def test_licence_pages_and_their_cursors(spark):
+    from airledger.operators import licences
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    by_name = licences.LicenceSearch(licensee="Small", status="any")
+    first = licences.search_licences(reg, by_name, 5, generation="g", refreshed="0-")
+    names = [x.licensee_name for x in first.rows.collect()]
+    assert first.total() > 5 and len(names) == 5 and all("small" in n.lower() for n in names)
+    again = licences.search_licences(reg, licences.LicenceSearch(licensee="  SMÁLL ", status="ANY"), 5, first.next_cursor(), "g", refreshed="0-")
+    assert {x.usi for x in again.rows.collect()}.isdisjoint({x.usi for x in first.rows.collect()})
+    with pytest.raises(QueryError, match="invalid_cursor"):
+        licences.search_licences(reg, by_name, 5, first.next_cursor(), "g", refreshed="1-x")
+    by_state = licences.search_licences(reg, licences.LicenceSearch(radio_service="mw"), 5, generation="g", refreshed="0-")
+    assert licences.search_licences(reg, licences.LicenceSearch(radio_service="MW"), 500, by_state.next_cursor(), "g", refreshed="1-x").rows.count() == by_state.total() - 5
+
+
+def test_documents_equal_a_plain_builder(spark):
+    import json
+
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    got = {x.usi: json.loads(x.document) for x in detail.documents(reg, reg.licenses.select("usi")).collect()}
+    rows = {t: [x.asDict(recursive=True) for x in getattr(reg, t).collect()] for t in ("licenses", "locations", "antennas", "frequencies", "market_blocks", "paths", "lease_links")}
+    by = lambda t, key="usi": {u: [x for x in rows[t] if x[key] == u] for u in {x[key] for x in rows[t]}}
+    own = {t: by(t) for t in ("locations", "antennas", "frequencies", "market_blocks", "paths")}
+    heads = {x["usi"]: x for x in rows["licenses"]}
+    assert set(got) == set(heads)
+    for usi, head in heads.items():
+        d, mine = got[usi], {t: own[t].get(usi, []) for t in own}
+        assert d["licensee_redacted"] == (head["is_individual"] is not False) and ("licensee_name" in d) == (head["licensee_name"] is not None and head["is_individual"] is False)
+        numbers = {x["location_number"] for t in ("locations", "antennas", "frequencies", "paths") for x in mine[t]}
+        assert d.get("location_count", 0) == len(numbers)
+        assert [(x["location_number"], x["site_seq"]) for x in d.get("sites", [])] == sorted((x["location_number"], x["site_seq"]) for x in mine["locations"])
+        numbered = {(x["location_number"], x["antenna_number"]) for x in mine["antennas"] if x["antenna_number"] is not None}
+        assert len(d.get("antennas", [])) == len(numbered) + sum(x["antenna_number"] is None for x in mine["antennas"])
+        assert sorted((x["location_number"], x["antenna_number"], x["freq_seq_id"]) for x in d.get("frequencies", [])) == sorted((x["location_number"], x["antenna_number"], x["freq_seq_id"]) for x in mine["frequencies"])
+        assert len(d.get("paths", [])) == len(mine["paths"]) and len(d.get("market_blocks", [])) == len({(x["lower"], x["upper"]) for x in mine["market_blocks"]})
+        held = [x for x in rows["lease_links"] if x["lease_usi"] == usi]
+        assert [x.get("parent_callsign") for x in d.get("leases_held", [])] == [x["parent_callsign"] or heads.get(x["parent_usi"], {}).get("callsign") for x in held]
+        granted = [x for x in rows["lease_links"] if x["parent_usi"] == usi and x["lease_usi"] in heads]
+        assert [x["lease_usi"] for x in d.get("leases_granted", [])] == [x["lease_usi"] for x in granted] and "notice" not in d
+        assert None not in d.values()
+
+
 def test_radius_box_holds_circle(spark):
     r = random.Random(3)
     points = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(3000)]
