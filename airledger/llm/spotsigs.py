@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 def offers(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Of classes (key, signatures): key, n and shared, the signatures that other classes have too; and what is offered.
 
-    Offered are (s, part, key, n): a class's rarest signatures, by counts over all classes, as many as any partner must
+    Offered are (s, part, key, n, at), at being s's place in the order from the rarest on: a class's rarest signatures, by counts over all classes, as many as any partner must
     share one of (the prefix filter), so a common signature is no hot key; those that nobody else has take their places
     in it but lead nowhere. Classes are partitioned by set length: bounds of parts grow by 1/least, so a partner's part
     is the same or the next, and a class offers in both.
@@ -107,7 +107,8 @@ def offers(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
     rare = F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))
     parts = F.array(part.cast("long"), part.cast("long") + 1) if least < 1 else F.array(part.cast("long"))
-    return sets, sets.select("key", "n", F.explode(rare).alias("s"), parts.alias("parts")).select("key", "n", "s", F.explode("parts").alias("part"))
+    placed = sets.select("key", "n", F.posexplode(rare).alias("at", "s"), parts.alias("parts"), (F.col("n") - F.size("shared")).alias("alone"))
+    return sets, placed.select("key", "n", "s", (F.col("alone") + F.col("at")).alias("at"), F.explode("parts").alias("part"))
 
 
 def _verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -119,12 +120,14 @@ def _verified(candidates: DataFrame, sets: DataFrame, least: float) -> DataFrame
 
 
 def _met(left: DataFrame, right: DataFrame, least: float, apart: bool = False) -> DataFrame:
-    """Distinct (a, b), a the smaller key, of offers that meet and whose sizes allow a likeness of `least`.
+    """Distinct (a, b), a the smaller key, of offers that meet and may have a likeness of `least`.
 
-    With apart, only those of different roots.
+    Their sizes must allow it; and as they share nothing before the rarest signature that they share, what either has
+    from there on must be as much as two sets of these sizes need to share. With apart, only those of different roots.
     """
-    x, y = (df.select(F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"), F.col("part").alias(f"p{c}"), *([F.col("root").alias(f"r{c}")] if apart else [])) for df, c in ((left, 1), (right, 2)))
+    x, y = (df.select(F.col("key").alias(f"k{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"a{c}"), F.col("s").alias(f"s{c}"), F.col("part").alias(f"p{c}"), *([F.col("root").alias(f"r{c}")] if apart else [])) for df, c in ((left, 1), (right, 2)))
     on = (F.col("s1") == F.col("s2")) & (F.col("p1") == F.col("p2")) & (F.col("k1") != F.col("k2")) & (F.least("n1", "n2") >= F.lit(least) * F.greatest("n1", "n2") - 1e-9)
+    on = on & (F.least(F.col("n1") - F.col("a1"), F.col("n2") - F.col("a2")) >= F.ceil(F.lit(least / (1 + least)) * (F.col("n1") + F.col("n2")) - 1e-9))
     met = x.join(y, on & (F.col("r1") != F.col("r2")) if apart else on)
     return met.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 

@@ -199,7 +199,7 @@ def fit(examples: Examples, steps: int = 150, rate: float = 0.3, penalty: float
     def gradient(at: np.ndarray, r: np.ndarray, to: np.ndarray, c: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, float]:
         z = np.bincount(r, w[at], minlength=len(y)) + b
         d = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(at, d[r], minlength=len(used))
+        g = np.bincount(at, d[r], minlength=len(used)).astype(np.float64)
         if model.pairs:
             change = np.bincount(c, sign * w[to], minlength=model.pairs)
             g += np.bincount(to, 2 * pairing / model.pairs * change[c] * sign, minlength=len(used))
