@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import codes
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: The characters of decimal numbers; words such as NaN, hexadecimal and suffixes have others.
+_WRITTEN = "0123456789+-.eE"
 
 
 #: Every white space character, by Unicode's own property, and the byte order mark.
@@ -27,8 +28,8 @@ def number(value: Column) -> Column:
 
 
 def number_of(own: Column) -> Column:
-    """The same of a field that has been trimmed."""
-    made = F.when(own.rlike(_NUMBER), own.try_cast("double"))
+    """The same of a field that has been trimmed: what numbers aren't written with is tested before the cast."""
+    made = F.when(F.translate(own, _WRITTEN, "") == "", own.try_cast("double"))
     return F.nullif(F.nullif(made, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
