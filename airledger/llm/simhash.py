@@ -99,7 +99,8 @@ def _components(fps: DataFrame, edges_of) -> DataFrame:
     nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = connected_components(edges_of(nodes)).withColumnRenamed("node", "fp")
     rooted = stored(nodes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join below is one of two tables, of which Spark can split a large component's rows.
+    components = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = rooted.join(components, "root").select("fp", "component_id")
     return fps.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
