@@ -365,3 +365,28 @@ def test_build_from_records(spark):
     assert (fr[2].bandwidth_mhz, fr[2].occ_low, fr[2].occ_high, fr[2].band_class) == (None, 100.0, 101.0, 0)
     assert reg.antennas.count() == 1 and [x.band_class for x in reg.market_blocks.orderBy("lower").collect()] == [None, 4]
     assert [x.passive_receiver for x in reg.paths.collect()] == [True] and reg.lease_links.count() == 1
+
+
+def test_site_states_filed_and_derived(spark, tmp_path):
+    import json
+
+    square = [[-105.0, 30.0], [-90.0, 30.0], [-90.0, 45.0], [-105.0, 45.0], [-105.0, 30.0]]
+    hole = [[-100.0, 35.0], [-95.0, 35.0], [-95.0, 40.0], [-100.0, 40.0], [-100.0, 35.0]]
+    far = [[[[10.0, 10.0], [11.0, 10.0], [11.0, 11.0], [10.0, 10.0]]]]
+    features = [{"properties": {"state": "BB"}, "geometry": {"type": "Polygon", "coordinates": [square, hole]}}, {"properties": {"state": "CC"}, "geometry": {"type": "MultiPolygon", "coordinates": far}}]
+    (tmp_path / "states.json").write_text(json.dumps({"features": features}))
+    state_at = geo.state_of(F.col("lat"), F.col("lon"), geo.load_polygons(str(tmp_path / "states.json")))
+    rows = [(1, "tx", 32.0, -92.0), (2, None, 32.0, -92.0), (3, None, 37.0, -97.0), (4, None, None, None), (5, None, 10.2, 10.5)]
+    made = build.with_site_state(spark.createDataFrame(rows, "usi long, state string, lat double, lon double"), state_at)
+    got = {x.usi: (x.site_state, x.state_derived) for x in made.collect()}
+    assert got == {1: ("TX", False), 2: ("BB", True), 3: (None, False), 4: (None, False), 5: ("CC", True)}
+
+
+def test_limits_are_clamped(spark):
+    from airledger.operators import spectrum
+    from airledger.plans.virtual import registry
+
+    assert parameters.clamp(500, 200) == 200 and parameters.clamp(5, 200) == 5
+    reg = registry(spark, "/root/testdata/sf0.001")
+    page = spectrum.frequency_page(reg, spectrum.SpectrumSearch(900, 1500), limit=5000)
+    assert page.rows.count() == 200 < page.total()
