@@ -31,12 +31,17 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("__row")).select("__row.*")
 
 
+def heads(hd: DataFrame) -> DataFrame:
+    """The first HD row of each usi that has a status and a service."""
+    return first_rows(hd.where("license_status IS NOT NULL AND radio_service_code IS NOT NULL"), ["usi"], ["_seq"])
+
+
 def join_licences(hd: DataFrame, en: DataFrame, am: DataFrame, mk: DataFrame, service_group: Column | None = None) -> DataFrame:
     """Licences: first HD row of each usi with status and service, with its licensee, amateur and market records.
 
     Their service group is that of the HD row, which decode keeps of read_bulk's lines, unless another is given.
     """
-    head = first_rows(hd.where("license_status IS NOT NULL AND radio_service_code IS NOT NULL"), ["usi"], ["_seq"])
+    head = heads(hd)
     who = first_rows(en.where("entity_type = 'L'"), ["usi"], ["_seq"]).select("usi", F.col("entity_name").alias("licensee_name"), F.col("city").alias("licensee_city"), F.col("state").alias("licensee_state"), "frn", "applicant_type", "has_name_parts")
     amateur = first_rows(am, ["usi"], ["_seq"]).drop("_seq")
     market = first_rows(mk, ["usi"], ["_seq"]).drop("_seq")
@@ -103,10 +108,11 @@ def market_block_rows(mf: DataFrame) -> DataFrame:
 def build(records: dict[str, DataFrame], state_at: Column | None = None) -> Registry:
     """A registry of decoded records by type (all eleven types)."""
     licences = join_licences(records["HD"], records["EN"], records["AM"], records["MK"])
-    live = {t: live_only(records[t], licences) for t in ("LO", "AN", "FR", "EM", "MF", "PA")}
+    head = heads(records["HD"]).select("usi", "license_status")  # technical rows need no more of a licence
+    live = {t: live_only(records[t], head) for t in ("LO", "AN", "FR", "EM", "MF", "PA")}
     return Registry(
         licences,
-        records["LL"].join(licences.select(F.col("usi").alias("lease_usi")), "lease_usi", "left_semi"),
+        records["LL"].join(head.select(F.col("usi").alias("lease_usi")), "lease_usi", "left_semi"),
         with_site_state(with_site_numbers(live["LO"]), F.lit(None).cast("string") if state_at is None else state_at),
         live["AN"],
         with_emissions(live["FR"], live["EM"]),
