@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, language, packing, pii, quality, secrets, simhash, spotsigs, toxicity
+from . import archive, centroids, chat, decontaminate, language, packing, pii, prefix_trie, quality, secrets, simhash, spotsigs, toxicity
 from .common import remainder, table
 
 
@@ -89,8 +89,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs)).select("doc_id", "posterior", "score", "predicted")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector of embeddings in one of 40 clusters, after five rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that quotes control strings, formatted and read back."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], conversations.schema)
+    return chat.read_back(chat.format_chat(conversations.unionByName(odd)), ordered=True)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_spotsigs, op2_language, op3_decontamination, op4_warc, op5_toxicity, op6_pii, op7_secrets, op8_simhash, op9_packing, op10_quality)
+    f.__name__: f for f in (op1_spotsigs, op2_language, op3_decontamination, op4_warc, op5_toxicity, op6_pii, op7_secrets, op8_simhash, op9_packing, op10_quality, op11_centroids, op12_chat, op13_prefix_trie)
 }
 
 _OP3 = r"""
@@ -133,4 +151,85 @@ SELECT page_id, cast(strlen(html) AS BIGINT) AS payload_bytes,
 FROM digits
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_warc": _OP4}
+#: One round of Lloyd: the nearest centroid of each vector, and the next centroids.
+_NEAREST = "SELECT r, min(row(d, j)) AS best FROM (SELECT r, j, cast(sum((a - c) * (a - c)) AS BIGINT) AS d FROM x JOIN c{n} USING (i) GROUP BY r, j) GROUP BY r"
+_ROUND = f"""a{{n}} AS MATERIALIZED ({_NEAREST}
+), c{{next}} AS MATERIALIZED (
+  SELECT j, i, coalesce(m, c) AS c FROM c{{n}} LEFT JOIN (
+    SELECT best[2] AS j, i, cast((sum(a) - (sum(a) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM x JOIN a{{n}} USING (r) GROUP BY best[2], i) USING (j, i)
+), """
+
+_OP11 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = 64
+), x AS MATERIALIZED (
+  SELECT r, unnest(range(1, 65)) AS i, unnest(q) AS a FROM v
+), c0 AS MATERIALIZED (
+  SELECT j, unnest(range(1, 65)) AS i, unnest(q) AS c
+  FROM (SELECT q, row_number() OVER (ORDER BY sha256('2:' || cast(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS j FROM v) WHERE j < 40
+), {"".join(_ROUND.format(n=n, next=n + 1) for n in range(5))}last AS MATERIALIZED ({_NEAREST.format(n=5)}
+), digests AS (SELECT j, sha256(string_agg(cast(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY j)
+SELECT vec_id, cast(j AS INTEGER) AS cluster, d AS distance, cast(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       cast(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM (SELECT r, best[1] AS d, best[2] AS j FROM last) JOIN v USING (r) JOIN digests USING (j)
+"""
+
+_OP12 = r"""
+WITH every AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS seq, CASE WHEN role IN ('system', 'user', 'assistant') THEN role END AS named FROM every
+), f AS (
+  SELECT *, coalesce(last_value(named IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'start') AS before FROM t
+), g AS (
+  SELECT *, coalesce(before || '>' || named IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user'), false) AS allowed FROM f
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY seq)) AS turns_sha256,
+       cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY seq) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       cast(sum(24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars,
+       bool_and(allowed) AND coalesce(arg_max(named, seq) = 'assistant', false) AS valid, min(seq) FILTER (WHERE NOT allowed) AS first_refused
+FROM g GROUP BY conv_id
+"""
+
+#: The unsigned CRC-32 of a conversation's id as decimal text, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(cast(conv_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+_OP13 = f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         md5(cast(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL
+), counts AS (SELECT conv_id, count(*) AS n FROM own GROUP BY conv_id
+), convs AS MATERIALIZED (
+  SELECT conv_id, n, conv_id - (conv_id % 5 + 5) % 5 AS base, {_CRC32} % 9 AS h FROM counts
+), turns AS (
+  SELECT c.conv_id, o.i, o.t, o.b FROM convs c JOIN own o ON o.conv_id = c.base AND o.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.i - c.h + least(c.h, coalesce(k.n, 0)), o.t, o.b FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i > c.h LEFT JOIN counts k ON k.conv_id = c.base
+), seqs AS MATERIALIZED (
+  SELECT conv_id, coalesce(list(t ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS l, coalesce(list(b ORDER BY i) FILTER (WHERE i IS NOT NULL), []) AS bs
+  FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id
+), prefixes AS (
+  SELECT conv_id, len(l) AS size, d, array_to_string(l[1:d], '') AS k, coalesce(bs[d], 0) AS b FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM seqs)
+), mem AS MATERIALIZED (
+  SELECT conv_id, size, d, b, min(conv_id) OVER (PARTITION BY d, k) AS m FROM prefixes
+), nodes AS MATERIALIZED (
+  SELECT d, m, count(*) AS n, (count(*) - 1) * any_value(b) AS saved, sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends FROM mem GROUP BY d, m
+), up AS MATERIALIZED (
+  SELECT x.d, x.m, p.m AS pm FROM nodes x LEFT JOIN mem p ON p.conv_id = x.m AND p.d = x.d - 1
+), kids AS (SELECT d - 1 AS d, pm AS m, count(*) AS c FROM up WHERE pm IS NOT NULL GROUP BY 1, 2
+), full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(c, 0) AS c FROM nodes LEFT JOIN kids USING (d, m)
+), subtree AS (
+  SELECT a.d, a.m, count(*) FILTER (WHERE x.c = 0) AS leaves, sum(x.saved) AS saved FROM full_nodes x JOIN mem a ON a.conv_id = x.m AND a.d <= x.d GROUP BY 1, 2
+)
+SELECT x.m AS conv_id, cast(x.d AS BIGINT) AS depth, pm AS parent_conv_id, x.n AS n_convs, cast(x.c AS BIGINT) AS n_children, cast(leaves AS BIGINT) AS n_leaves,
+       cast(s.saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM full_nodes x JOIN up USING (d, m) JOIN subtree s USING (d, m)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": _OP3, "op4_warc": _OP4, "op11_centroids": _OP11, "op12_chat": _OP12, "op13_prefix_trie": _OP13}

@@ -20,14 +20,14 @@ SF = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, SF)
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(ORACLE_SQL[name])
     order = [[d[0] for d in want.description].index(x) for x in got.columns]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op4_warc", "op9_packing")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op4_warc", "op9_packing", "op11_centroids", "op12_chat", "op13_prefix_trie")])
 def test_one_row_for_each_document(spark, name):
     ids = [r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()]
     assert sorted(ids) == list(range(200))
