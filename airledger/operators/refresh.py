@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import LIVE_STATUSES
 from ..functions.parameters import QueryError, eastern_date
-from .build import Registry
+from .build import Registry, first_rows
 
 
 @dataclass(frozen=True)
@@ -92,6 +92,39 @@ def applicable(daily_heads: DataFrame, licences: DataFrame, service_groups: Data
     return kept.withColumn("service_group", F.coalesce("__held", "__service")).drop("__held", "__service", "__known")
 
 
+def head_moves(heads: DataFrame) -> DataFrame:
+    """usi, place and radio_service_code of the first head with a status and a service that each file (place) has of a usi."""
+    usable = heads.where("license_status IS NOT NULL AND radio_service_code IS NOT NULL")
+    return first_rows(usable.select("usi", "place", "_seq", "radio_service_code"), ["usi", "place"], ["_seq"]).drop("_seq")
+
+
+def applied_last(moves: DataFrame, services: dict[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """(usi, place of the last file that applies to it, service_group), and the services known afterwards.
+
+    moves: usi, place, radio_service_code, and for licences that are held already is_held and held, their group. Files
+    apply in the order of their places, each to licences that are held by then and to those of services known by then; a
+    head that applies makes its service known, with its licence's group, to the files after it, and a service keeps the
+    group that it had first. What one file makes known can let another's licences in, so this goes round until no service
+    is known any earlier; rounds and what is collected are as many as there are service codes at most.
+    """
+    spark, known = moves.sparkSession, {s: (-1, g) for s, g in services.items()}
+    held = moves.where("is_held").select("usi", "place", "radio_service_code", F.col("held").alias("service_group"))
+    others = moves.where("is_held IS NULL").select("usi", "place", "radio_service_code")
+    while True:
+        since = spark.createDataFrame([(s, p, g) for s, (p, g) in known.items()], "radio_service_code string, since int, service_group string")
+        entered = others.join(F.broadcast(since), "radio_service_code").where("since < place").groupBy("usi").agg(F.min("place").alias("entered"), F.min_by("service_group", "place").alias("service_group"))
+        applied = held.unionByName(others.join(entered, "usi").where("place >= entered").select("usi", "place", "radio_service_code", "service_group"))
+        earlier = {}
+        for r in applied.groupBy("radio_service_code").agg(F.min(F.struct("place", "service_group")).alias("first")).collect():
+            if r.radio_service_code not in known or r.first.place < known[r.radio_service_code][0]:
+                earlier[r.radio_service_code] = (r.first.place, r.first.service_group)
+        if not earlier:
+            break
+        known |= earlier
+    last = applied.groupBy("usi").agg(F.max("place").alias("place"), F.min("service_group").alias("service_group"))
+    return last, {s: g for s, (_, g) in known.items()}
+
+
 def apply_daily(held: Registry, daily: Registry) -> Registry:
     """The registry with every licence of a daily one replaced in all tables.
 

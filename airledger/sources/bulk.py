@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import html
 import io
+import json
 import re
 import struct
-import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain
+from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.parameters import QueryError, daily_code
+from .scratch import ship
 
 MAX_SMALL_ENTRY = 65_536
 
@@ -48,85 +53,234 @@ def parse_counts(text: str) -> Counts:
     return Counts(utc.strftime("%Y-%m-%dT%H:%M:%SZ"), {t.upper(): int(n) for n, t in found})
 
 
-def small_entry(archive: zipfile.ZipFile, name: str) -> str:
-    """A small text entry, found whatever its case; larger ones are refused."""
-    info = next((i for i in archive.infolist() if i.filename.lower() == name.lower()), None)
-    if info is None or info.file_size > MAX_SMALL_ENTRY:
-        raise QueryError("bad_entry", name)
-    return archive.read(info).decode("utf-8", "replace")
+@dataclass(frozen=True)
+class Entry:
+    """An entry of a zip by its central directory: where its local header begins, and what it must inflate to."""
+
+    name: str
+    offset: int
+    packed: int
+    size: int
+    method: int
+    crc: int
+
+
+#: What a zip's lines are staged as. _seq orders lines by the place of their zip in the build, then as filed. A line of
+#: type ERROR says why a zip, or an entry of it, could not be read.
+STAGED = "path string, place int, record_type string, _seq long, value string"
+COUNTS, ERROR = "counts", "!error"
+_ROWS, _CHUNK, _INFLATED = 20_000, 1 << 20, 4 << 20
+_MAX_LINE = 16_384
+
+
+def opened(path: str) -> BinaryIO:
+    """A file by Arrow's own file systems (local, HDFS, S3, GCS), to seek in; raises ArrowInvalid for other schemes."""
+    fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.open_input_file(name)
 
 
-def checked_zip(content: bytes) -> zipfile.ZipFile:
-    """An archive that readers of the feed take: one disk, not ZIP64, nothing encrypted; raises bad_zip otherwise."""
-    at = content.rfind(b"PK\x05\x06")
-    if at < 0:
+def central_directory(file: BinaryIO) -> list[Entry]:
+    """The entries of a zip, from its last bytes alone.
+
+    Raises bad_zip for what readers of the feed don't take: more than one disk, ZIP64, an encrypted entry, a method
+    besides stored and deflated, or no end of the central directory.
+    """
+    length = file.seek(0, 2)
+    length = file.tell() if length is None else length
+    file.seek(max(0, length - 65_557))
+    tail = file.read()
+    at = tail.rfind(b"PK\x05\x06")
+    if at < 0 or len(tail) < at + 22:
         raise QueryError("bad_zip", "no end of central directory")
-    disk, first, here, entries, size, offset = struct.unpack_from("<HHHHII", content, at + 4)
+    disk, first, here, entries, size, offset = struct.unpack_from("<HHHHII", tail, at + 4)
     if disk or first or here != entries:
         raise QueryError("bad_zip", "more than one disk")
     if entries == 0xFFFF or size == 0xFFFFFFFF or offset == 0xFFFFFFFF:
         raise QueryError("bad_zip", "ZIP64")
-    archive = zipfile.ZipFile(io.BytesIO(content))
-    if any(i.flag_bits & 1 for i in archive.infolist()):
-        raise QueryError("bad_zip", "an encrypted entry")
-    return archive
+    file.seek(offset)
+    directory, found, place = file.read(size), [], 0
+    for _ in range(entries):
+        if len(directory) < place + 46 or directory[place : place + 4] != b"PK\x01\x02":
+            raise QueryError("bad_zip", "a malformed central directory")
+        flags, method = struct.unpack_from("<HH", directory, place + 8)
+        crc, packed, inflated, n_name, n_extra, n_comment = struct.unpack_from("<IIIHHH", directory, place + 16)
+        (local,) = struct.unpack_from("<I", directory, place + 42)
+        name = directory[place + 46 : place + 46 + n_name].decode("utf-8" if flags & 0x800 else "cp437")
+        if flags & 1:
+            raise QueryError("bad_zip", "an encrypted entry")
+        if method not in (0, 8):
+            raise QueryError("bad_zip", f"{name}: neither stored nor deflated")
+        if 0xFFFFFFFF in (packed, inflated, local):
+            raise QueryError("bad_zip", "ZIP64")
+        found.append(Entry(name, local, packed, inflated, method, crc))
+        place += 46 + n_name + n_extra + n_comment
+    return found
+
+
+def inflated(file: BinaryIO, entry: Entry) -> Iterator[bytes]:
+    """An entry's bytes in pieces: its own range of the file is read, a megabyte at a time; its length and CRC are checked."""
+    file.seek(entry.offset)
+    header = file.read(30)
+    if len(header) < 30 or header[:4] != b"PK\x03\x04":
+        raise QueryError("bad_zip", f"{entry.name}: no local header")
+    n_name, n_extra = struct.unpack_from("<HH", header, 26)
+    file.seek(entry.offset + 30 + n_name + n_extra)
+    left, crc, size, inflate = entry.packed, 0, 0, zlib.decompressobj(-15) if entry.method else None
+    while left:
+        packed = file.read(min(_CHUNK, left))
+        if not packed:
+            raise QueryError("bad_zip", f"{entry.name}: cut short")
+        left -= len(packed)
+        while packed:
+            try:
+                piece = inflate.decompress(packed, _INFLATED) if inflate else packed
+            except zlib.error as e:
+                raise QueryError("bad_zip", f"{entry.name}: {e}") from e
+            packed = inflate.unconsumed_tail if inflate else b""
+            crc, size = zlib.crc32(piece, crc), size + len(piece)
+            if piece:
+                yield piece
+    if (last := inflate.flush() if inflate else b""):
+        crc, size = zlib.crc32(last, crc), size + len(last)
+        yield last
+    if size != entry.size or crc != entry.crc:
+        raise QueryError("bad_zip", f"{entry.name}: length or checksum differ")
+
+
+def small_entry(file: BinaryIO, entry: Entry) -> str:
+    """A small text entry; larger ones are refused."""
+    if entry.size > MAX_SMALL_ENTRY:
+        raise QueryError("bad_entry", entry.name)
+    return b"".join(inflated(file, entry)).decode("utf-8", "replace")
+
+
+def entry_lines(file: BinaryIO, entry: Entry) -> Iterator[list[tuple[int, str]]]:
+    """(number, line) of a record file, some at a time.
 
+    Lines are split at line feeds only, one trailing carriage return is cut, empty ones are left out, malformed UTF-8 is
+    replaced; a line of over 16,384 characters is no record and raises bad_line. Of the entry a piece and the line that
+    it ends in are held.
+    """
+    too_long = QueryError("bad_line", f"{entry.name}: a line of over {_MAX_LINE} characters is no record")
+    rest, number = b"", 0
+    for piece in chain(inflated(file, entry), (None,)):
+        *whole, rest = (rest + piece).split(b"\n") if piece is not None else (rest, b"")
+        if len(rest) > 4 * _MAX_LINE:
+            raise too_long
+        found = []
+        for line in whole:
+            if text := line.removesuffix(b"\r").decode("utf-8", "replace"):
+                if len(text) > _MAX_LINE:
+                    raise too_long
+                found.append((number, text))
+            number += 1
+        yield found
+
+
+def _type_of(entry: Entry) -> str | None:
+    """The record type of an entry's file, COUNTS, or None for other files."""
+    name = entry.name.rsplit("/", 1)[-1].lower()
+    return COUNTS if name == COUNTS else name.removesuffix(".dat").upper() if name.endswith(".dat") else None
+
+
+def _staged(path: str, place: int, open_: Callable[[], BinaryIO], entry: Entry | None, error: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of one entry, or of what could not be read."""
+
+    def batch(type_: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:
+        n = len(rows)
+        numbers = pa.array([place << 40 | i for i, _ in rows], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array([place] * n, pa.int32()), pa.array([type_] * n), numbers, pa.array([t for _, t in rows], pa.string())], names=["path", "place", "record_type", "_seq", "value"])
+
+    try:
+        if error is None:
+            type_ = _type_of(entry)
+            with open_() as file:
+                if type_ == COUNTS:
+                    yield batch(COUNTS, [(0, small_entry(file, entry))])
+                elif type_:
+                    for lines in entry_lines(file, entry):
+                        for i in range(0, len(lines), _ROWS):
+                            yield batch(type_, lines[i : i + _ROWS])
+    except (QueryError, OSError) as e:
+        error = f"{e.reason}: {e}" if isinstance(e, QueryError) else str(e)
+    if error is not None:
+        yield batch(ERROR, [(0, error)])
 
-#: What a zip's lines are staged as. _seq orders lines by the place of their zip in the build, then as filed.
-STAGED = "path string, place int, record_type string, _seq long, value string"
-COUNTS = "counts"
-_ROWS = 20_000
 
+@dataclass(frozen=True)
+class ZipPlan:
+    """What is read of one zip: its entries, or why it can't be read; identity is that of its content and time."""
 
-def entry_lines(content: bytes, place: int) -> Iterator[tuple[str, int, str]]:
-    """(record type, _seq, line) of every record file of a zip, and the text of its `counts` as one line of that type.
+    path: str
+    entries: list[Entry]
+    error: str | None
+    identity: str
 
-    Lines are split at line feeds only, one trailing carriage return is cut, empty ones are left out, malformed UTF-8 is
-    replaced; a line of over 16,384 characters is no record and raises bad_line.
+
+def plan_zip(path: str, modified_at: str) -> ZipPlan | None:
+    """A zip's plan from its central directory; None where only Spark's readers reach the path.
+
+    Two zips have one identity if their names, times and all entries' names, lengths and checksums are equal.
     """
-    with checked_zip(content) as archive:
-        for info in archive.infolist():
-            name = info.filename.rsplit("/", 1)[-1].lower()
-            if name == COUNTS:
-                yield COUNTS, place << 40, small_entry(archive, info.filename)
-            elif name.endswith(".dat"):
-                with archive.open(info) as raw, io.TextIOWrapper(raw, "utf-8", "replace", newline="\n") as lines:
-                    for n, line in enumerate(lines):
-                        text = line.removesuffix("\n").removesuffix("\r")
-                        if len(text) > 16_384:
-                            raise QueryError("bad_line", f"{info.filename}: a line of over 16384 characters is no record")
-                        if text:
-                            yield name.removesuffix(".dat").upper(), place << 40 | n, text
-
-
-def read_zips(spark: SparkSession, paths: list[str]) -> DataFrame:
+    name = path.rsplit("/", 1)[-1]
+    try:
+        with opened(path) as file:
+            entries, error = central_directory(file), None
+    except QueryError as e:
+        entries, error = [], f"{e.reason}: {e}"
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return None
+    seen = json.dumps([name, modified_at, error, *[(e.name, e.size, e.crc) for e in entries]])
+    return ZipPlan(path, entries, error, hashlib.sha256(seen.encode()).hexdigest()[:32])
+
+
+def read_zips(spark: SparkSession, paths: list[str], plans: list[ZipPlan | None] | None = None) -> DataFrame:
     """The lines of zips, each read once for all its record types, as STAGED says; paths are in the order of the build.
 
-    Spark's own reader brings the files, so they may be on any of its file systems; each must exist. A zip is one task:
-    write what this gives once, and decode from there, where lines are dealt evenly.
+    Each entry is a task that reads its own range and inflates it piece by piece, so the largest entry sets the time, and
+    no task holds one. Paths that Arrow's file systems don't know are read by Spark's reader of whole files, a zip a task,
+    up to its limit of 2 GiB. What can't be read is a line of type ERROR.
     """
-    place = F.create_map(*[x for i, p in enumerate(paths) for x in (F.lit(p.rsplit("/", 1)[-1]), F.lit(i))])
-    files = spark.read.format("binaryFile").load(paths).select("path", F.element_at(place, F.substring_index("path", "/", -1)).alias("place"), "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, place, content = (batch.column(c)[i].as_py() for c in range(3))
-                lines = entry_lines(content, place)
-                while rows := list(islice(lines, _ROWS)):
-                    types, seqs, texts = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([place] * len(rows), pa.int32()), pa.array(types), pa.array(seqs, pa.int64()), pa.array(texts)], names=["path", "place", "record_type", "_seq", "value"])
-
-    return files.mapInArrow(run, STAGED)
+    ship(spark)
+    plans = [plan_zip(p, "") for p in paths] if plans is None else plans
+    tasks = [(p.path, i, e, p.error) for i, p in enumerate(plans) if p for e in (p.entries if p.error is None else [None]) if e is None or _type_of(e)]
+    out = spark.createDataFrame([], STAGED)
+    if tasks:
+
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number in (n for batch in batches for n in batch.column(0).to_pylist()):
+                path, place, entry, error = tasks[number]
+                yield from _staged(path, place, lambda: opened(path), entry, error)  # noqa: B023
+
+        out = spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(one, STAGED)
+    if whole := [p for p, plan in zip(paths, plans, strict=True) if plan is None]:
+        at = {p.rsplit("/", 1)[-1]: i for i, p in enumerate(paths)}
+        place = F.create_map(*[x for n, i in at.items() for x in (F.lit(n), F.lit(i))])
+        files = spark.read.format("binaryFile").load(whole).select("path", F.element_at(place, F.substring_index("path", "/", -1)).alias("place"), "content")
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for path, place, content in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                file = lambda: io.BytesIO(content)  # noqa: B023, E731
+                try:
+                    entries, error = central_directory(file()), None
+                except QueryError as e:
+                    entries, error = [None], f"{e.reason}: {e}"
+                for entry in entries:
+                    yield from _staged(path, place, file, entry, error)
+
+        out = out.unionByName(files.mapInArrow(every, STAGED)) if tasks else files.mapInArrow(every, STAGED)
+    return out
 
 
 def read_bulk(spark: SparkSession, root: str, type_: str, groups: list[str] | None = None) -> DataFrame:
     """service_group, _seq and value of every line of a record type in the weekly snapshots of groups.
 
-    Raises missing_zip if a group that is named has no zip, or none of the default ones has.
+    Raises missing_zip if a group that is named has no zip, or none of the default ones has; a zip that can't be read
+    fails the read.
     """
     paths = snapshot_paths(spark, root, groups)
-    lines = read_zips(spark, list(paths.values())).where(F.col("record_type") == type_)
+    lines = read_zips(spark, list(paths.values())).where(F.col("record_type").isin(type_, ERROR))
+    lines = lines.withColumn("value", F.when(F.col("record_type") == ERROR, F.raise_error("value")).otherwise(F.col("value")))
     names = F.regexp_extract("path", r"l_([^/]+)\.zip$", 1).alias("service_group")
     return lines.select(names, "_seq", "value").repartition(max(1, spark.sparkContext.defaultParallelism), "service_group", "_seq")
 

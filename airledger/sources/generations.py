@@ -1,4 +1,13 @@
-"""Published snapshots: each generation is a folder of Parquet tables, and a pointer names the current one.
+"""Published snapshots: base parts by bucket of the licence, one delta over them, and a pointer to the current manifest.
+
+A table's rows lie in buckets of their licence's hash. A generation names, for each bucket, the folder of its base rows
+and, where refreshes have changed licences of it, the folders of the changed licences' keys and of their new rows. Base
+rows of changed licences are left out when a table is opened, so a refresh writes no more than what changed, however many
+files it applies, and a bucket is rewritten once its delta has grown to a share of it. Folders are shared by generations
+and never changed.
+
+Steps that write are named by a digest of all that goes into them, and a journal holds what each has made: a run that
+breaks goes on with the steps whose inputs are still the same, and with no others.
 
 All access is by Hadoop's file systems, so a store may be on any of them. A pointer is written beside and renamed over
 the old one; readers see one generation or the other.
@@ -7,21 +16,38 @@ the old one; readers see one generation or the other.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 import re
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parameters import QueryError
 from ..operators.build import Registry
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 _NAME = re.compile(r"generation-[0-9]{8}T[0-9]{6}Z(-[0-9]+)?")
 #: How each table is ordered within its files, so that their statistics prune what a query's ranges exclude.
 CLUSTERED = {"licenses": ["usi"], "lease_links": ["parent_usi"], "locations": ["lat", "usi"], "antennas": ["usi"], "frequencies": ["band_class", "occ_low"], "market_blocks": ["band_class", "lower"], "paths": ["usi"]}
+#: The licence that a row belongs to, by which it is replaced.
+KEYS = {t: "lease_usi" if t == "lease_links" else "usi" for t in CLUSTERED}
+#: A bucket is rewritten when its delta replaces over one in so many of its licences.
+COMPACT_SHARE = 10
+#: Keys of changed licences that are broadcast at most (8 bytes each); more meet the base rows by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+@dataclass
+class Part:
+    """Rows of one bucket of a table: where they are, how many, and a digest of them that is free of their order."""
+
+    folder: str
+    rows: int
+    digest: str
 
 
 @dataclass
@@ -32,24 +58,59 @@ class Manifest:
     groups: list[str]
     checkpoint: str
     applied: dict[str, str] = field(default_factory=dict)
-    statistics: dict[str, int] = field(default_factory=dict)
     schema_version: int = SCHEMA_VERSION
     #: The build that refreshes have gone on from (its own name), when its snapshots were last modified, and lines by
     #: group and record type: upstream, read, kept and rejected.
     built: str = ""
     snapshots: dict[str, str] = field(default_factory=dict)
     lines: dict[str, dict[str, dict[str, int]]] = field(default_factory=dict)
+    #: Licences that each group's accepted heads made at the build, and the group that a service had first.
+    loaded: dict[str, int] = field(default_factory=dict)
+    services: dict[str, str] = field(default_factory=dict)
+    #: Folders of the build's staged lines.
+    staged: list[str] = field(default_factory=list)
+    #: Parts by table and bucket; of `touched`, the keys of licences that the delta replaces, by bucket.
+    buckets: int = 16
+    base: dict[str, dict[str, Part]] = field(default_factory=dict)
+    delta: dict[str, dict[str, Part]] = field(default_factory=dict)
+    touched: dict[str, Part] = field(default_factory=dict)
+
+    @staticmethod
+    def parsed(text: str) -> Manifest:
+        """A manifest of its JSON; fields of other schema versions are left out."""
+        values = {k: v for k, v in json.loads(text).items() if k in Manifest.__dataclass_fields__}
+        if values.get("schema_version") == SCHEMA_VERSION:
+            for kind in ("base", "delta"):
+                values[kind] = {t: {b: Part(**p) for b, p in parts.items()} for t, parts in values.get(kind, {}).items()}
+            values["touched"] = {b: Part(**p) for b, p in values.get("touched", {}).items()}
+        return Manifest(**values)
 
     def cursor_names(self) -> tuple[str, str]:
         """(generation, refreshed) that cursors are bound to: the build, and how its refreshes stand."""
         return self.built or self.name, f"{len(self.applied)}-{max(self.applied.values(), default='')}"
 
+    def folders(self) -> set[str]:
+        """Every folder, relative to the store, that the generation reads."""
+        parts = [p for kind in (self.base, self.delta) for by in kind.values() for p in by.values()]
+        return {p.folder.split("/bucket=")[0] for p in [*parts, *self.touched.values()]} | set(self.staged)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    """The bucket of a licence's key."""
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
+
+
+def content(rows: DataFrame, *by: str) -> DataFrame:
+    """by, rows and digest: the sum of all rows' hashes, which a changed, lost or repeated row changes."""
+    own = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*own).cast("decimal(38,0)")).cast("string").alias("digest"))
+
 
 class Store:
     """Generations under a root path."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.jvm = spark.sparkContext._jvm
         self.path = lambda p: self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
         self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -80,7 +141,14 @@ class Store:
             raise QueryError("bad_pointer") from e
         if not isinstance(name, str) or not _NAME.fullmatch(name):
             raise QueryError("bad_pointer")
-        return Manifest(**json.loads(self._read(f"{name}/manifest.json") or "{}"))
+        return self.manifest(name)
+
+    def manifest(self, name: str) -> Manifest:
+        """A generation's manifest."""
+        text = self._read(f"{name}/manifest.json")
+        if text is None:
+            raise QueryError("bad_pointer", name)
+        return Manifest.parsed(text)
 
     def new_name(self, at: dt.datetime) -> str:
         """A name that no generation has yet."""
@@ -88,46 +156,124 @@ class Store:
         taken = {s.getPath().getName() for s in (self.fs.listStatus(self.path("")) if self.fs.exists(self.path("")) else [])}
         return next(n for n in [base, *(f"{base}-{i}" for i in range(2, 1000))] if n not in taken)
 
-    def write(self, registry: Registry, manifest: Manifest, files: int | None = None) -> Manifest:
-        """Writes a generation's tables and manifest; it isn't published yet. Rows are dealt by range, then sorted.
+    def step(self, kind: str, inputs: object, make: Callable[[str], object]) -> object:
+        """What make(folder) returns, or returned when this step, with the same inputs, was last done.
 
-        Tables are written side by side, so that small ones don't wait for large ones.
+        inputs are anything JSON can hold, and all that the outcome depends on. The folder is new to the step; the journal
+        has an entry only for a step that is done, so nothing of a broken one is used.
+        """
+        digest = hashlib.sha256(json.dumps([SCHEMA_VERSION, self.buckets, kind, inputs], sort_keys=True).encode()).hexdigest()[:32]
+        if (done := self._read(f"journal/{digest}.json")) is not None:
+            return json.loads(done)["outcome"]
+        outcome = make(f"parts/{kind}-{digest}")
+        self._write(f"journal/{digest}.json", json.dumps({"kind": kind, "inputs": inputs, "folder": f"parts/{kind}-{digest}", "outcome": outcome}))
+        return outcome
+
+    def write_parts(self, tables: dict[str, DataFrame], folder: str, files: int | None = None, keys: dict[str, str] = KEYS) -> dict[str, dict[str, dict]]:
+        """Writes tables by bucket under a folder and returns their parts as plain dicts; empty buckets have none.
+
+        Rows are dealt by ranges of bucket and order, then sorted: a file's statistics tell what it can hold. Tables are
+        written side by side, so that small ones don't wait for large ones.
         """
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-        def one(table: str) -> int:
-            path, order = f"{self.root}/{manifest.name}/{table}", CLUSTERED[table]
-            if not self.done(f"{manifest.name}/{table}"):  # what an earlier, broken run has written whole stays
-                getattr(registry, table).repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
-            return self.spark.read.parquet(path).count()
+        def one(table: str) -> dict[str, dict]:
+            order = CLUSTERED.get(table, [keys[table]])
+            rows = tables[table].withColumn("bucket", bucket_of(keys[table], self.buckets))
+            rows.repartitionByRange(n, "bucket", *order).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
+            schema = rows.schema  # an empty table has no files to tell it
+            found = content(self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/{table}"), "bucket").collect()
+            return {str(r["bucket"]): {"folder": f"{folder}/{table}/bucket={r['bucket']}", "rows": r["rows"], "digest": r["digest"]} for r in found}
+
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return dict(zip(tables, pool.map(one, tables), strict=True))
+
+    def write(self, registry: Registry, manifest: Manifest, files: int | None = None) -> Manifest:
+        """Writes a generation whose base is a registry; it isn't published yet."""
+        tables = {t: getattr(registry, t) for t in CLUSTERED}
+        parts = self.write_parts(tables, f"parts/{manifest.name}", files)
+        manifest.base = {t: {b: Part(**p) for b, p in by.items()} for t, by in parts.items()}
+        return self.seal(manifest, {t: df.schema.json() for t, df in tables.items()})
 
-        with ThreadPoolExecutor(len(CLUSTERED)) as pool:
-            manifest.statistics |= zip(CLUSTERED, pool.map(one, CLUSTERED), strict=True)
-        manifest.built = manifest.built or manifest.name
+    def seal(self, manifest: Manifest, schemas: dict[str, str] | None = None) -> Manifest:
+        """Writes a generation's manifest and, of a build, its tables' schemas."""
+        manifest.built, manifest.buckets = manifest.built or manifest.name, self.buckets
+        if schemas is not None:
+            self._write(f"{manifest.name}/schemas.json", json.dumps(schemas))
         self._write(f"{manifest.name}/manifest.json", json.dumps(asdict(manifest)))
         return manifest
 
-    def done(self, path: str) -> bool:
-        """Whether Spark has finished writing a table under the root."""
-        return self.fs.exists(self.path(f"{path}/_SUCCESS"))
-
     def publish(self, name: str) -> None:
         """Makes a written generation the current one."""
         if not self.fs.exists(self.path(f"{name}/manifest.json")):
             raise QueryError("index_not_ready", name)
         self._write("current.json", json.dumps({"generation": name}))
 
+    def schemas(self, manifest: Manifest) -> dict[str, object]:
+        """The schema of each table of a generation."""
+        from pyspark.sql.types import StructType
+
+        text = self._read(f"{manifest.built}/schemas.json")
+        if text is None:
+            raise QueryError("bad_pointer", manifest.built)
+        return {t: StructType.fromJson(json.loads(s)) for t, s in json.loads(text).items()}
+
+    def read_parts(self, parts: list[Part], schema) -> DataFrame:
+        """The rows of parts."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p.folder}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
+
+    def merged(self, table: str, manifest: Manifest, schema, only: set[str] | None = None) -> DataFrame:
+        """A table's rows, of all buckets or some: base rows but those of changed licences, and the delta's.
+
+        Buckets without a delta are scanned as they are. The plan is the same after any number of refreshes.
+        """
+        held = lambda by: {b: p for b, p in by.items() if only is None or b in only}
+        base, delta, touched = held(manifest.base.get(table, {})), held(manifest.delta.get(table, {})), held(manifest.touched)
+        out = self.read_parts([p for b, p in sorted(base.items()) if b not in touched], schema)
+        if touched:
+            keys = self.read_parts([p for _, p in sorted(touched.items())], "usi long").withColumnRenamed("usi", KEYS[table])
+            keys = F.broadcast(keys) if sum(p.rows for p in touched.values()) <= MOST_BROADCAST else keys
+            changed = self.read_parts([p for b, p in sorted(base.items()) if b in touched], schema).join(keys, KEYS[table], "left_anti").select(*schema.fieldNames())
+            out = out.unionByName(changed).unionByName(self.read_parts([p for _, p in sorted(delta.items())], schema))
+        return out
+
     def open(self, name: str | None = None) -> Registry:
         """The tables of the current, or a named, generation."""
-        name = name or self.current().name
-        return Registry(**{t: self.spark.read.parquet(f"{self.root}/{name}/{t}") for t in CLUSTERED})
+        manifest = self.manifest(name) if name else self.current()
+        schemas = self.schemas(manifest)
+        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED})
+
+    def damaged(self, manifest: Manifest) -> list[str]:
+        """Parts whose rows are no longer those that were written: by count or, where counts agree, by digest."""
+        schemas, out = self.schemas(manifest), []
+        kinds = [("base", manifest.base), ("delta", manifest.delta)]
+        for kind, table, by in [(k, t, by) for k, tables in kinds for t, by in tables.items()] + [("touched", "usi", manifest.touched)]:
+            if not by:
+                continue
+            schema = "usi long" if kind == "touched" else schemas[table]
+            number = F.regexp_extract(F.col("_metadata.file_path"), r"/bucket=(\d+)/", 1)
+            found = {r["b"]: r for r in content(self.read_parts(list(by.values()), schema).select("*", number.alias("b")), "b").collect()}
+            for b, p in sorted(by.items(), key=lambda x: int(x[0])):
+                rows, digest = (found[b]["rows"], found[b]["digest"]) if b in found else (0, None)
+                if rows != p.rows:
+                    out.append(f"{table} {kind} bucket {b}: {rows} rows, {p.rows} written")
+                elif digest != p.digest:
+                    out.append(f"{table} {kind} bucket {b}: rows have changed")
+        return out
 
     def collect_garbage(self, keep: set[str]) -> list[str]:
-        """Deletes generations besides the published one and those to keep; returns their names."""
-        keep = keep | {self.current().name}
-        gone = [n for s in self.fs.listStatus(self.path("")) if _NAME.fullmatch(n := s.getPath().getName()) and n not in keep]
+        """Deletes generations besides the published one and those to keep, and steps that neither reads; returns names."""
+        kept = [self.current(), *(self.manifest(n) for n in keep if self.fs.exists(self.path(f"{n}/manifest.json")))]
+        names, used = keep | {m.name for m in kept} | {m.built for m in kept}, {f for m in kept for f in m.folders()}
+        gone = [n for s in self.fs.listStatus(self.path("")) if _NAME.fullmatch(n := s.getPath().getName()) and n not in names]
         for n in gone:
             self.fs.delete(self.path(n), True)
+        steps = {f.split("/")[1] for f in used}
+        for folder in ("parts", "journal"):
+            for s in self.fs.listStatus(self.path(folder)) if self.fs.exists(self.path(folder)) else []:
+                own = s.getPath().getName()
+                if not any(own == x or x.endswith(f"-{own.removesuffix('.json')}") for x in steps):
+                    self.fs.delete(s.getPath(), True)
         return gone
 
 
@@ -138,9 +284,16 @@ def needs_rebuild(manifest: Manifest | None, groups: list[str], snapshot_times:
     return any(t > manifest.snapshots.get(g, manifest.checkpoint) for g, t in snapshot_times.items() if g in groups)
 
 
-def data_as_of(manifest: Manifest) -> dict[str, str | int]:
-    """How current a generation is: its checkpoint and how many daily files it has applied."""
-    return {"generation": manifest.name, "checkpoint": manifest.checkpoint, "daily_files": len(manifest.applied)}
+def data_as_of(manifest: Manifest, group_of: Callable[[str], str | None] = lambda name: None) -> dict:
+    """How current a generation is: its checkpoint, how many daily files it has applied, and each group's newest.
+
+    A group without a daily file is as of its snapshot. group_of tells a daily file's group by its name.
+    """
+    newest = dict(manifest.snapshots)
+    for path, at in manifest.applied.items():
+        if (group := group_of(path.rsplit("/", 1)[-1])) is not None:
+            newest[group] = max(at, newest.get(group, ""))
+    return {"generation": manifest.name, "checkpoint": manifest.checkpoint, "daily_files": len(manifest.applied), "newest": newest}
 
 
 def newest_applied(files):

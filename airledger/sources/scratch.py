@@ -1,8 +1,11 @@
-"""Where tables that live for one run are written."""
+"""Where tables that live for one run are written, and the package that executors run."""
 
 from __future__ import annotations
 
 import tempfile
+import threading
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-airledger-")
     return base.rstrip("/")
+
+
+_shipped: set[str] = set()
+_shipping = threading.Lock()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, once for each application, so that reading zips needs no installation on them."""
+    context = spark.sparkContext
+    with _shipping:  # zips are staged side by side
+        if context.applicationId in _shipped:
+            return
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{root.name}-registry.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)

@@ -1,11 +1,22 @@
 """From zips to a published registry, through daily refreshes, to verification."""
 
 import datetime as dt
+import io
+import json
 import os
+import random
+import re
+import struct
+import subprocess
+import sys
 import zipfile
+from dataclasses import asdict
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from airledger.functions import codes
 from airledger.functions.parameters import QueryError
 from airledger.operators import licences, reference, spectrum, transmitters
 from airledger.sources import bulk, records
@@ -114,10 +125,10 @@ def test_a_broken_build_goes_on(spark, tmp_path, feed):
         ingest.rebuild()
     with pytest.raises(QueryError, match="index_not_ready"):
         store.current()
-    written = {t: os.stat(next((tmp_path / "store").glob(f"generation-*/{t}/_SUCCESS"))).st_mtime_ns for t in CLUSTERED}
+    written = {t: os.stat(next((tmp_path / "store").glob(f"parts/build-*/{t}/_SUCCESS"))).st_mtime_ns for t in CLUSTERED}
     store.publish = publish
-    assert ingest.rebuild() == "rebuilt" and ingest.verify() == []
-    assert written == {t: os.stat(next((tmp_path / "store").glob(f"generation-*/{t}/_SUCCESS"))).st_mtime_ns for t in CLUSTERED}
+    assert ingest.rebuild() == "rebuilt" and ingest.verify(decode=True) == []
+    assert written == {t: os.stat(next((tmp_path / "store").glob(f"parts/build-*/{t}/_SUCCESS"))).st_mtime_ns for t in CLUSTERED}
 
 
 def test_verify_finds_what_is_missing(spark, tmp_path, feed):
@@ -166,30 +177,256 @@ def test_newest_applied(spark):
     assert sorted((x.service_group, x.newest_applied, x.checkpoint) for x in newest_applied(files).collect()) == [("a", "2026-09-22T00:00:00Z", "2026-09-20T00:00:00Z"), ("b", None, "2026-09-19T00:00:00Z")]
 
 
-def test_zips_that_are_refused(tmp_path):
-    import io
+def entries_of(content):
+    file = io.BytesIO(content)
+    return [(e.name, [x for lines in bulk.entry_lines(file, e) for x in lines]) for e in bulk.central_directory(file)]
 
+
+def zipped(entries, method=zipfile.ZIP_DEFLATED):
     made = io.BytesIO()
-    with zipfile.ZipFile(made, "w") as z:
-        z.writestr("HD.dat", "x")
-        z.writestr("counts", "y" * 70_000)
-    good = made.getvalue()
+    with zipfile.ZipFile(made, "w", method) as z:
+        for name, text in entries.items():
+            z.writestr(name, text)
+    return made.getvalue()
+
+
+def test_zips_that_are_refused():
+    good = zipped({"HD.dat": "x", "counts": "y" * 70_000})
     with pytest.raises(QueryError) as e:
-        list(bulk.entry_lines(good, 0))
+        bulk.small_entry(io.BytesIO(good), bulk.central_directory(io.BytesIO(good))[1])
     assert e.value.reason == "bad_entry"
     at = good.rfind(b"PK\x05\x06")
-    for bad, why in ((good[:at] + good[at : at + 4] + b"\x01\x00" + good[at + 6 :], "more than one disk"), (good[: at + 8] + b"\xff\xff\xff\xff" + good[at + 12 :], "ZIP64"), (b"text", "no end")):
+    (directory,) = struct.unpack_from("<I", good, at + 16)
+    put = lambda i, b: good[:i] + b + good[i + len(b) :]
+    for bad, why in (
+        (put(at + 4, b"\x01"), "more than one disk"),
+        (put(at + 8, b"\xff\xff\xff\xff"), "ZIP64"),
+        (put(directory + 20, b"\xff\xff\xff\xff"), "ZIP64"),
+        (put(directory + 8, b"\x01"), "encrypted"),
+        (put(directory + 10, b"\x0c"), "neither stored nor deflated"),
+        (put(directory, b"xx"), "malformed"),
+        (b"text", "no end"),
+        (b"", "no end"),
+    ):
         with pytest.raises(QueryError, match=why):
-            bulk.checked_zip(bad)
+            bulk.central_directory(io.BytesIO(bad))
+    for bad, why in ((put(directory + 16, b"\x00\x00\x00\x00"), "checksum"), (put(0, b"xx"), "local header")):
+        with pytest.raises(QueryError, match=why):
+            entries_of(bad)
     with pytest.raises(QueryError) as e:
-        list(bulk.entry_lines(zipped("HD.dat", "z" * 16_385), 0))
+        entries_of(zipped({"HD.dat": "z" * 16_385}))
     assert e.value.reason == "bad_line"
+    with pytest.raises(QueryError):  # refused long before its end is read
+        entries_of(zipped({"HD.dat": "z" * 30_000_000}))
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED])
+def test_entries_are_read_in_pieces(method, monkeypatch):
+    text = "first\r\n\ninner\rreturn\n" + "é" * 16_384 + "\nbad \udcff byte\n" + "".join(f"line {i}\n" for i in range(50_000)) + "last"
+    raw = text.encode("utf-8", "surrogateescape")
+    want = [(i, x) for i, x in enumerate(y.removesuffix("\r") for y in raw.decode("utf-8", "replace").split("\n")) if x]
+    content = zipped({"a/HD.dat": raw, "empty.dat": ""}, method)
+    for chunk in (1 << 20, 777):
+        monkeypatch.setattr(bulk, "_CHUNK", chunk)
+        monkeypatch.setattr(bulk, "_INFLATED", 3 * chunk)
+        assert entries_of(content) == [("a/HD.dat", want), ("empty.dat", [])]
+
+
+def test_an_entry_is_a_task(spark, tmp_path):
+    types = [*records.LAYOUTS]
+    write_zip(tmp_path / "l_micro.zip", DAY(20), "Sun Sep 20 05:00:00 EDT 2026", {t: [f"{t}|{i}" for i in range(5)] for t in types})
+    (tmp_path / "l_cell.zip").write_bytes(b"no zip")
+    got = bulk.read_zips(spark, [f"file://{tmp_path}/l_micro.zip", f"file:{tmp_path}/l_cell.zip"])
+    assert got.rdd.getNumPartitions() == len(types) + 2  # eleven record files, counts, and the zip that can't be read
+    rows = got.collect()
+    assert sorted((x.record_type, x.value) for x in rows if x.place == 0 and x.record_type != "counts") == sorted((t, f"{t}|{i}") for t in types for i in range(5))
+    assert [(x.record_type, "no end" in x.value) for x in rows if x.place == 1] == [(bulk.ERROR, True)]
+    # A file system that Arrow doesn't know: the same rows by Spark's reader of whole files.
+    plans = [None, None]
+    again = bulk.read_zips(spark, [f"file://{tmp_path}/l_micro.zip", f"file://{tmp_path}/l_cell.zip"], plans).collect()
+    strip = lambda r: (r.place, r.record_type, r._seq, r.value)
+    assert sorted(map(strip, again)) == sorted(map(strip, rows))
+    assert bulk.plan_zip("nowhere://host/x.zip", "") is None
+
+
+def test_executors_without_the_package_read_zips(tmp_path):
+    """Workers that don't find the package get it with the job."""
+    write_zip(tmp_path / "feed/complete/l_micro.zip", DAY(20), "Sun Sep 20 05:00:00 EDT 2026", {"HD": [head(1, "K1")]})
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+from airledger.sources import bulk
+print("LINES", bulk.read_bulk(spark, "file://{tmp_path}/feed", "HD").count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "LINES 1" in done.stdout, done.stderr[-2000:]
+
+
+def state(store):
+    """All rows of the published generation's tables."""
+    r = store.open()
+    return {t: sorted(str(sorted(x.asDict().items())) for x in getattr(r, t).collect()) for t in CLUSTERED}
+
+
+def without_order(rows):
+    """Rows without _seq, whose places depend on which files came together."""
+    return {t: sorted(re.sub(r"\('_seq', \d+\), ", "", x) for x in own) for t, own in rows.items()}
+
+
+def daily_feed(root, days=3, codes=("mw", "xx", "cl")):
+    """Files of some codes on days after the 20th: changes, ends, new licences and services that become known."""
+    r = random.Random(8)
+    for d in range(days):
+        for i, c in enumerate(codes):
+            usis = r.sample(range(1, 40), 6)
+            hd = [head(u, f"K{u}d{d}{c}", r.choice("AAAXEC"), r.choice(["MW", "CL", "ZZ", "YY"])) for u in usis] + [head(usis[0], "SECOND")]
+            if d == 0 and i == 0:
+                hd.append(head(1, "K1", "A", "YY"))  # a held licence makes its service known to the files after this
+            lo = [site(u, n, 30 + r.randint(0, 15)) for u in usis for n in range(1, r.randint(2, 4))]
+            name = f"l_{c}_{'mon tue wed thu fri sat sun'.split()[d]}.zip"
+            write_zip(root / "daily" / name, DAY(21 + d, 13 + i), f"Mon Sep {21 + d} 08:00:00 EDT 2026", {"HD": hd, "LO": lo, "FR": [frequency(u, 1, 100 + u) for u in usis], "LL": [line("LL", lease_usi=usis[1], parent_usi=usis[2])], "EN": [line("EN", usi=u, entity_type="L", entity_name=f"N{u}") for u in usis]})
+
+
+def test_many_files_at_once_equal_one_after_another(spark, tmp_path, feed):
+    once, often = (Ingest(spark, Store(spark, f"file://{tmp_path}/{n}", buckets=4), f"file://{feed}") for n in ("once", "often"))
+    once.rebuild(), often.rebuild()
+    daily_feed(feed)
+    names = sorted((f for f in (feed / "daily").iterdir()), key=lambda f: (f.stat().st_mtime, f.name))
+    assert len(names) == 9
+    assert sorted(once.refresh()) == sorted(f.name for f in names)
+    for i in range(len(names)):  # one file more each time, the others out of sight
+        moved = {f: f.with_suffix(".later") for f in names[i + 1 :]}
+        for f, later in moved.items():
+            f.rename(later)
+        assert often.refresh() == [names[i].name]
+        for f, later in moved.items():
+            later.rename(f)
+    assert without_order(state(once.store)) == without_order(state(often.store)) and once.verify() == often.verify() == []
+    assert once.store.current().services == often.store.current().services
+    plain = plain_licences(feed, names)
+    assert {x.usi: (x.callsign, x.license_status, x.radio_service_code) for x in once.store.open().licenses.collect()} == plain
+    assert once.status()["newest"].keys() >= {"cell", "micro"} and once.status()["daily_files"] == len(names)
+
+
+def plain_licences(feed, names):
+    """Licences after files, applied one by one in memory."""
+    def heads_of(path):
+        with zipfile.ZipFile(path) as z:
+            own = {}
+            for x in z.read("HD.dat").decode().split("\r\n"):
+                f = x.strip().split("|")
+                if len(f) == 59 and f[1] and f[5] and f[6]:
+                    own.setdefault(int(f[1]), (f[4] or None, f[5], f[6]))
+            return own
+
+    held = {}
+    for g in ("cell", "micro") if codes.DEFAULT_SERVICE_GROUPS.index("cell") < codes.DEFAULT_SERVICE_GROUPS.index("micro") else ("micro", "cell"):
+        held = heads_of(feed / f"complete/l_{g}.zip") | held
+    known = {x[2] for x in held.values()}
+    for path in names:
+        new = {u: x for u, x in heads_of(path).items() if u in held or x[2] in known}
+        held |= new
+        known |= {x[2] for x in new.values()}
+    return held
+
+
+def test_a_refresh_is_as_large_for_many_files(spark, tmp_path, feed):
+    """Scans of an opened table, after one file and after 30 more."""
+    ingest = Ingest(spark, Store(spark, f"file://{tmp_path}/store", buckets=4), f"file://{feed}")
+    ingest.rebuild()
+    scans = lambda: {t: getattr(ingest.store.open(), t)._jdf.queryExecution().executedPlan().toString().count("FileScan") for t in CLUSTERED}
+    daily_feed(feed, 1, ("mw",))
+    ingest.refresh()
+    one = scans()
+    daily_feed(feed, 6, ("mw", "cl", "xx", "yy", "zz"))
+    assert len(ingest.pending()) >= 29
+    ingest.refresh()
+    assert all(n <= 4 for n in scans().values()) and all(n <= 4 for n in one.values()) and ingest.verify() == []
+
+
+def test_buckets_that_no_file_touches_stay(spark, tmp_path, feed):
+    write_zip(feed / "complete/l_cell.zip", DAY(20), "Sun Sep 20 05:00:00 EDT 2026", {"HD": [head(u, f"K{u}", service="CL") for u in range(100, 400)], "LO": [site(u, 1) for u in range(100, 400)]})
+    ingest = Ingest(spark, Store(spark, f"file://{tmp_path}/store", buckets=4), f"file://{feed}", ["cell"])
+    ingest.rebuild()
+    built = ingest.store.current()
+    write_zip(feed / "daily/l_cl_mon.zip", DAY(21), "Mon Sep 21 08:00:00 EDT 2026", {"HD": [head(100, "NEW", service="CL")], "LO": [site(100, 1, 44)]})
+    assert ingest.refresh() == ["l_cl_mon.zip"]
+    after = ingest.store.current()
+    assert after.base == built.base and len(after.touched) == 1 and sum(p.rows for p in after.delta["licenses"].values()) == 1
+    # Beyond a tenth of a bucket's licences it is rewritten, the others are left.
+    bucket = next(iter(after.touched))
+    own = [r.usi for r in ingest.store.read_parts([built.base["licenses"][bucket]], "usi long").collect()]
+    write_zip(feed / "daily/l_cl_tue.zip", DAY(22), "Tue Sep 22 08:00:00 EDT 2026", {"HD": [head(u, "MANY", service="CL") for u in own[: len(own) // 5]]})
+    ingest.refresh()
+    last = ingest.store.current()
+    assert not last.touched and {b for b in last.base["licenses"] if last.base["licenses"][b] != built.base["licenses"][b]} == {bucket}
+    assert ingest.store.open().licenses.count() == 300 and ingest.verify() == []
+
+
+def test_a_build_that_breaks_after_any_step(spark, tmp_path, feed):
+    def broken(store, at):
+        step, left = store.step, [at]
+
+        def once(*args):
+            out = step(*args)
+            left[0] -= 1
+            if left[0] == 0:
+                raise RuntimeError("lost")
+            return out
+
+        store.step = once
+
+    daily_feed(feed, 2)
+    want = None
+    for at in range(1, 9):
+        store = Store(spark, f"file://{tmp_path}/store{at}", buckets=2)
+        broken(store, at)
+        ingest = Ingest(spark, store, f"file://{feed}", ["cell", "micro"])
+        lost = 0
+        for f in (ingest.rebuild, ingest.refresh):
+            try:
+                f()
+            except RuntimeError:
+                lost += 1
+                f()
+        assert lost == (at <= 7 or lost) and ingest.verify() == []
+        want = want or state(store)
+        assert state(store) == want
+
+
+def test_a_newer_zip_after_a_lost_build(spark, tmp_path, feed):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=2)
+    ingest = Ingest(spark, store, f"file://{feed}", ["cell", "micro"])
+    publish, store.publish = store.publish, lambda name: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest.rebuild()
+    staged = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store/parts").glob("stage-*")}
+    store.publish = publish
+    write_zip(feed / "complete/l_micro.zip", DAY(25, 15), "Fri Sep 25 06:00:00 EDT 2026", {"HD": [head(3, "K3NEW"), head(77, "K77")]})
+    assert ingest.rebuild() == "rebuilt" and ingest.verify(decode=True) == [] and ingest.rebuild() == "skipped"
+    assert {x.usi: x.callsign for x in store.open().licenses.collect()} == {1: "K1", 2: "K2", 3: "K3NEW", 77: "K77"}
+    now = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "store/parts").glob("stage-*")}
+    assert len(now) == 2 and len(now.items() & staged.items()) == 1  # the group that didn't change wasn't read again
 
 
-def zipped(name, text):
-    import io
-
-    made = io.BytesIO()
-    with zipfile.ZipFile(made, "w") as z:
-        z.writestr(name, text)
-    return made.getvalue()
+def test_verify_finds_changed_lost_and_missing_rows(spark, tmp_path, feed):
+    ingest = Ingest(spark, Store(spark, f"file://{tmp_path}/store", buckets=2), f"file://{feed}", ["cell", "micro"])
+    ingest.rebuild()
+    built = ingest.store.current()
+    assert ingest.verify(decode=True) == []
+    bucket, part = next(iter(built.base["locations"].items()))
+    at, rows = f"{ingest.store.root}/{part.folder}", ingest.store.read_parts([part], ingest.store.schemas(built)["locations"])
+    changed = rows.withColumn("lat", F.col("lat") + 1).toPandas()
+    spark.createDataFrame(changed, rows.schema).write.mode("overwrite").parquet(at)
+    assert ingest.verify() == [f"locations base bucket {bucket}: rows have changed"]
+    spark.createDataFrame(changed[:0], rows.schema).write.mode("overwrite").parquet(at)
+    assert ingest.verify() == [f"locations base bucket {bucket}: 0 rows, {part.rows} written"]
+    assert f"locations: rows differ from those that the staged lines give" in ingest.verify(decode=True)
+    built.loaded["cell"] += 1
+    ingest.store._write(f"{built.name}/manifest.json", json.dumps(asdict(built)))
+    assert "cell: 2 licences, 3 accepted at the build" in ingest.verify()
