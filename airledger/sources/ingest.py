@@ -8,12 +8,10 @@ so a run that breaks goes on with what is still true of the feed, and does again
 from __future__ import annotations
 
 import datetime as dt
-import json
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import codes
 from ..functions.parameters import QueryError, eastern_date
@@ -72,18 +70,18 @@ class Ingest:
         own = lambda t: staged.where(F.col("record_type") == t).select("_seq", "value", group.alias("service_group"))
         return {t: records.decode(own(t), t) for t in records.LAYOUTS}
 
-    def _records(self, inputs: list, staged: DataFrame, group: Column) -> dict[str, DataFrame]:
-        """Records by type, decoded once as a step: heads alone are read for every table."""
+    def _records(self, inputs: list, folders: list[str], staged: DataFrame, group: Column) -> dict[str, DataFrame]:
+        """Records by type, decoded once as a step: heads alone are read for every table. A type without lines is empty."""
+        there = {t for t in records.LAYOUTS if any(self.store.fs.exists(self.store.path(f"{f}/record_type={t}")) for f in folders)}
+        decoded = self._decoded(staged, group)
 
         def make(folder: str) -> dict:
-            decoded = self._decoded(staged, group)
             with ThreadPoolExecutor(4) as pool:
-                list(pool.map(lambda t: decoded[t].write.mode("overwrite").parquet(f"{self.store.root}/{folder}/{t}"), decoded))
-            return {"folder": folder, "schemas": {t: df.schema.json() for t, df in decoded.items()}}
+                list(pool.map(lambda t: decoded[t].write.mode("overwrite").parquet(f"{self.store.root}/{folder}/{t}"), sorted(there)))
+            return {"folder": folder}
 
         made = self.store.step("records", inputs, make)
-        read = lambda t: self.spark.read.schema(T.StructType.fromJson(json.loads(made["schemas"][t]))).parquet(f"{self.store.root}/{made['folder']}/{t}")
-        return {t: read(t) for t in made["schemas"]}
+        return {t: self.spark.read.schema(df.schema).parquet(f"{self.store.root}/{made['folder']}/{t}") if t in there else self.spark.createDataFrame([], df.schema) for t, df in decoded.items()}
 
     def published(self) -> Manifest | None:
         """The published generation's manifest; None if there is none, or its pointer is malformed."""
@@ -114,7 +112,7 @@ class Ingest:
         folders = [s["folder"] for s in staged]
         lines, group = self._lines(folders), F.element_at(F.array(*[F.lit(g) for g in order]), F.col("place") + 1)
         inputs = [folders, order, str(self.state_at)]
-        decoded = self._records(inputs[:2], lines, group)
+        decoded = self._records(inputs[:2], folders, lines, group)
 
         def tables(folder: str) -> dict:
             registry = build(decoded, self.state_at)
@@ -193,7 +191,7 @@ class Ingest:
         """A manifest in which the staged files with places below `before` are applied, in their order."""
         lines, schemas = self._lines([staged["folder"]]).where(F.col("place") < before), self.store.schemas(manifest)
         inputs = [manifest.name, manifest.applied, staged["folder"], before]
-        decoded = self._records(inputs[2:], lines, F.lit(None).cast("string"))
+        decoded = self._records(inputs[2:], [staged["folder"]], lines, F.lit(None).cast("string"))
         place = F.shiftright("_seq", 40).cast("int")
 
         def chosen(folder: str) -> dict:
