@@ -63,20 +63,23 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return good
 
 
-#: What personal data is written with; a variable is a run of it with a digit or @, marks at its ends cut.
-_RUN = re.compile(r"[A-Za-z0-9@._%+()\-]+")
 _MARKED = re.compile("[0-9@]")
-_EDGE = ".,-_%"
-#: Between the parts of an address that is spelled out.
-_SPELLED_AT = re.compile(r"\s*[(\[]?\bat\b[)\]]?\s*|\s*", re.IGNORECASE)
+#: A group of neighbouring digit runs, with what stands between the parts of a number in any notation.
+_RUN = re.compile("[0-9]+")
+_GROUP = re.compile(r"[0-9]++(?:[\x20().\-/]{1,3}[0-9]++)*+")
+_WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*")
+#: What follows a name where an address is spelled out.
+_SPELLED_HOST = re.compile(r"\s*[\[({<]?\s*(?:\bat\b|@)\s*[\])}>]?\s*[A-Za-z0-9-]+(?:(?:\.|\s*[\[({]\s*(?:\.|dot)\s*[\])}]\s*|\s+dot\s+)[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: Digits that two notations of a number must share at their ends, and the most that a number has with a prefix.
+LEAST_SHARED, MOST_DIGITS = 7, 23
 
 
 @dataclass
 class Graph:
-    """A document's variables: its runs with a digit or @, and those that repeat the name of an address in it.
+    """A document's variables: its findings, and what may say them again, each in its whole length.
 
-    chain joins neighbours, skip joins distant repeated or similar ones. known has the label of a variable inside a base
-    span, else 0. Other words are never personal data here.
+    The latter are groups of neighbouring digit runs and names of addresses with what is spelled after them. chain joins
+    neighbours, skip joins distant repeated or similar ones. known has the label of a finding, else 0.
     """
 
     spans: list[tuple[int, int]]
@@ -90,74 +93,129 @@ BUCKETS = 4_096
 
 
 def _shape(form: str) -> str:
-    return re.sub(r"(.)\1+", r"\1+", re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", form)))
+    return re.sub(r"(.+?)\1+", r"\1+", re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "0", form)))) if len(form) < 200 else "long"
 
 
 def _bucket(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace")) % BUCKETS
 
 
-def _names(form: str) -> list[str]:
-    """What a run is linked by: itself, its digits if there are four or more, and the name of an address."""
-    low = form.lower()
-    digits = re.sub("[^0-9]", "", form)
-    local = low.split("@")[0]
-    keys = [low]
-    if len(digits) >= 4:
-        keys.append(f"#{digits}")
-    if len(local) >= 5 and re.search("[0-9._]", local):
-        keys.append(f"@{local}")
-    return keys
+def _name(local: str) -> str:
+    """An address's name without marks, or nothing if it is too short or looks like any word."""
+    plain = re.sub("[._%+-]", "", local.lower())
+    return f"@{plain}" if len(plain) >= 5 and (plain != local.lower() or re.search("[0-9]", plain)) else ""
+
+
+def _digits(form: str) -> str:
+    return re.sub("[^0-9]", "", form)
+
+
+class _Told:
+    """What a document's findings can be told again by: numbers by their digits, hosts by their parts, names."""
+
+    def __init__(self, text: str, base: list[tuple[int, int, str]]):
+        self.whole: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        self.parts: dict[tuple[str, ...], int] = {}
+        self.names: dict[str, int] = {}
+        for i, (a, b, kind) in enumerate(base):
+            form = text[a:b]
+            if kind == "email":
+                if key := _name(form.split("@")[0]):
+                    self.names[key] = i
+            elif kind == "ip":
+                self.parts[tuple(form.split("."))] = i
+            else:
+                digits = _digits(form).lstrip("0")
+                self.whole[digits] = i
+                for k in range(len(digits) - LEAST_SHARED + 1):
+                    self.ends[digits[k:]] = i
+        self.lengths = sorted({len(d) for d in self.whole})
+
+    def number(self, digits: str) -> int | None:
+        """The finding that has these digits, or ends in them, or that they end in; zeros before them don't count."""
+        own = digits.lstrip("0")
+        if len(own) < LEAST_SHARED:
+            return None
+        if own in self.ends:
+            return self.ends[own]
+        return next((self.whole[own[-n:]] for n in self.lengths if n < len(own) and own[-n:] in self.whole), None)
+
+    def groups(self, text: str, start: int, end: int) -> list[tuple[int, int, int | None]]:
+        """(start, end, finding or None) of a group of digit runs: those runs in a row that tell a finding, as many as do,
+        or else the group as it is."""
+        runs, out, i = [m.span() for m in _RUN.finditer(text, start, end)], [], 0
+        while i < len(runs):
+            digits, best = "", None
+            for j in range(i, len(runs) if self.whole else min(i + 4, len(runs))):
+                digits += text[runs[j][0] : runs[j][1]]
+                if len(digits) > MOST_DIGITS:
+                    break
+                found = self.number(digits) if self.whole else None
+                if found is None and j == i + 3:
+                    found = self.parts.get(tuple(text[x:y] for x, y in runs[i : j + 1]))
+                if found is not None:
+                    best = (j, found)
+            if best is None:
+                i += 1
+                continue
+            out.append((runs[i][0], runs[best[0]][1], best[1]))
+            i = best[0] + 1
+        return out or [(start, end, None)]
 
 
 def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
     """Variables of a text with these base spans, chain edges between neighbours, and skip edges.
 
-    A variable is linked to the last earlier one of the same form (in lower case), of the same four or more digits in
-    whatever notation, and of the same name of an address; so a form that repeats n times has n-1 edges. Neighbouring
-    variables of one base span count as one form too: those digits are all of the span's.
+    A finding is one variable. Numbers are compared by all their digits in whatever notation: equal, or one the end of
+    the other with LEAST_SHARED digits or more, zeros before them aside; so a short number that is a part of a finding
+    tells nothing. Hosts are compared by their four parts, addresses by their names without marks. A variable that tells
+    a finding is linked to it and to the last variable before it that tells the same, so n of them have 2n edges at most.
     """
-    runs = [m.span() for m in _RUN.finditer(text)]
-    locals_ = {k for a, b in runs if "@" in text[a:b] for k in _names(text[a:b].strip(_EDGE)) if k[0] == "@"}
-    spans, forms = [], []
-    for a, b in runs:
+    told = _Told(text, base)
+    made = [(a, b, KINDS.index(k) + 1, i) for i, (a, b, k) in enumerate(base)]
+    starts, reach, most = [x[0] for x in base], [], 0
+    for _, b, _ in base:
+        most = max(most, b)
+        reach.append(most)
+    free = lambda a, b: not (k := bisect_left(starts, b)) or reach[k - 1] <= a
+    end = 0
+    if told.names:
+        for m in _WORD.finditer(text):
+            word = m[0].rstrip("._%+-")
+            if m.start() < end or not (key := _name(word)) or not free(m.start(), m.start() + len(word)):
+                continue
+            # A word like a name that tells no finding is a variable too: a field sees that the form alone means nothing.
+            end, found = m.start() + len(word), told.names.get(key, -1)
+            host = _SPELLED_HOST.match(text, end)
+            if host and free(m.start(), host.end()):
+                end = host.end()
+            if word[0].isalpha() or found >= 0:
+                made.append((m.start(), end, 0, found))
+    names = sorted(x[:2] for x in made[len(base) :])
+    for m in _GROUP.finditer(text):
+        for a, b, found in told.groups(text, *m.span()):
+            if found is None and len(_digits(text[a:b])) < LEAST_SHARED:  # too short to tell anything in any notation
+                continue
+            a -= a > 0 and text[a - 1] in "(+"
+            k = bisect_left(names, (b, 0))
+            if free(a, b) and not (k and names[k - 1][1] > a):
+                made.append((a, b, 0, -1 if found is None else found))
+    made.sort()
+    spans = [x[:2] for x in made]
+    features, chain, skip, last = [], [], [], {}
+    first = {found: i for i, (_, _, known, found) in reversed(list(enumerate(made))) if known}
+    for i, (a, b, known, found) in enumerate(made):
         form = text[a:b]
-        if not _MARKED.search(form) and not (locals_ and any(k in locals_ for k in _names(form.strip(_EDGE)))):
-            continue
-        a, b = a + len(form) - len(form.lstrip(_EDGE)), b - (len(form) - len(form.rstrip(_EDGE)))
-        if b > a:
-            spans.append((a, b))
-            forms.append(text[a:b])
-    starts = [s[0] for s in base]
-    own: list[int] = []  # the base span of each variable
-    for a, b in spans:
-        k = bisect_left(starts, b) - 1
-        while k >= 0 and base[k][1] <= a and k > bisect_left(starts, b) - 4:
-            k -= 1
-        own.append(k if k >= 0 and base[k][1] > a else -1)
-    near = [i > 0 and spans[i][0] - spans[i - 1][1] <= 12 and bool(_SPELLED_AT.fullmatch(text, spans[i - 1][1], spans[i][0])) for i in range(len(spans))]
-    features, chain, skip, seen = [], [], [], {}
-    for i, form in enumerate(forms):
-        digits = sum(c.isdigit() for c in form)
-        shape = _shape(form[:80])
-        before = _shape(forms[i - 1][:40]) if near[i] else ""
-        after = _shape(forms[i + 1][:40]) if i + 1 < len(forms) and near[i + 1] else ""
-        a, b = spans[i]
-        word = re.search(r"(\w+)\W*\Z", text[max(0, a - 24) : a])
-        kind = base[own[i]][2] if own[i] >= 0 else "none"
-        names = ["bias", f"base={kind}", f"s={shape}", f"n={min(digits, 24)}", f"at={'@' in form}", f"dots={min(form.count('.'), 5)}", f"plus={form[0] == '+'}", f"b={before}", f"a={after}", f"sb={shape}/{before}", f"sa={shape}/{after}", f"w={word[1].lower() if word else ''}"]
-        features.append([_bucket(x) for x in names])
-        if near[i]:
+        shape, word = _shape(form), re.search(r"(\w+)\W*\Z", text[max(0, a - 24) : a])
+        names_ = ["bias", f"base={KINDS[known - 1] if known else 'none'}", f"s={shape}", f"n={min(sum(c.isdigit() for c in form), 24)}", f"at={'@' in form}", f"alpha={form[:1].isalpha()}", f"w={word[1].lower() if word else ''}"]
+        features.append([_bucket(x) for x in names_])
+        if i and 0 <= a - spans[i - 1][1] <= 12:
             chain.append((i - 1, i))
-        keys = _names(form)
-        if own[i] >= 0 and (i == 0 or own[i - 1] != own[i]):  # the digits of a whole finding, at its first variable
-            whole = re.sub("[^0-9]", "", text[base[own[i]][0] : base[own[i]][1]])
-            keys += [f"#{whole}", f"#{whole[1:]}"] if len(whole) >= 8 else []
-        for key in dict.fromkeys(keys):
-            if key in seen and seen[key] != i and not (near[i] and seen[key] == i - 1):
-                skip.append((seen[key], i))
-            seen[key] = i
-    return Graph(spans, features, chain, list(dict.fromkeys(skip)), [KINDS.index(base[k][2]) + 1 if k >= 0 else 0 for k in own])
+        if found >= 0:
+            skip += [tuple(sorted((j, i))) for j in {first[found], last.get(found, first[found])} if j != i]
+            last[found] = i
+    return Graph(spans, features, chain, list(dict.fromkeys(skip)), [x[2] for x in made])
 
 
 @dataclass
@@ -183,12 +241,13 @@ def empty_field() -> Field:
 
 def _broken(found: str, kind: str, r: random.Random) -> str:
     """A finding in a notation that its pattern doesn't match."""
-    digits = re.sub("[^0-9]", "", found)
+    digits = _digits(found)
     if kind == "email":
         local, _, domain = found.partition("@")
         return r.choice((local, f"{local} (at) {domain}", f"{local} at {domain}"))
     if kind == "phone":
-        return r.choice((digits, f"00{digits}"[2:], f"{digits[:3]}-{digits[3:6]}-{digits[6:]}", digits[1:]))
+        own = digits[r.choice((0, 0, 1, 2)) :]
+        return r.choice((own, f"00{digits}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"{own[:4]} {own[4:]}"))
     if kind == "ip":
         return found.replace(".", r.choice(("-", "(.)")))
     return ".".join(digits[i : i + 4] for i in range(0, len(digits), 4))
@@ -202,41 +261,32 @@ def _other(found: str, r: random.Random) -> str:
 def training_text(text: str, seed: int, most: int = 6) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int, int]]]:
     """A text with findings repeated far from where they are: its base spans, and (start, end, label) of what was added.
 
-    Some findings come again in a notation that no pattern matches, labelled as what they are, between words of the
-    text; as many look the same and say something else, which is no personal data. So shape alone says nothing of
-    them, and a field has to learn that labels agree over skip edges.
+    Of `most` findings, chosen by the seed, each comes again in a notation that no pattern matches, labelled as what it
+    is, between words of the text; twice as many look the same and say something else, and some are no more than a part
+    of it. So shape alone says nothing of them, and a field has to learn that labels agree over skip edges.
     """
     r = random.Random(seed)
     base = base_spans(text)
-    words = text[:2000].split() or ["."]
+    words = text.split() or ["."]
     parts, marks, at = [text], [], len(text)
 
     def add(piece: str, label: int) -> None:
         nonlocal at
-        before = f" {r.choice(words)} {r.choice(words)} "
-        parts.append(before)
-        at += len(before)
-        if label >= 0:
-            marks.append((at, at + len(piece), label))
-        parts.append(piece)
-        at += len(piece)
+        before = f" {r.choice(words)} {r.choice(words)} said "
+        parts.extend((before, piece, " ,"))
+        marks.append((at + len(before), at + len(before) + len(piece), label))
+        at += len(before) + len(piece) + 2
 
     for s, e, kind in r.sample(base, min(most, len(base))):
-        label, found = KINDS.index(kind) + 1, text[s:e]
-        again = _broken(found, kind, r)
-        if kind == "email" and " " in again:  # what follows the name is a host, which is no more than part of the address
-            local, _, rest = again.partition(" ")
-            add(local, label)
-            parts.append(f" {rest}")
-            mark = at + 1 + rest.rindex(" ") + 1
-            marks.append((mark, at + 1 + len(rest), label))
-            at += 1 + len(rest)
-        else:
-            add(again, label)
+        found = text[s:e]
+        add(_broken(found, kind, r), KINDS.index(kind) + 1)
         for _ in range(2):
             add(_other(_broken(found, kind, r), r), 0)
         if kind == "email":
             add(found.partition("@")[2], 0)
+        elif len(digits := _digits(found)) > 4:
+            cut = r.randrange(len(digits) - 3)
+            add(digits[cut : cut + r.randint(2, 4)], 0)
     parts.append(" .")
     whole = "".join(parts)
     return whole, base_spans(whole), marks
@@ -244,15 +294,11 @@ def training_text(text: str, seed: int, most: int = 6) -> tuple[str, list[tuple[
 
 def labels_of(g: Graph, base: list[tuple[int, int, str]], marks: list[tuple[int, int, int]]) -> list[int]:
     """The label of each variable: a finding's kind, what it was added as, else 0."""
-    out = [0] * len(g.spans)
-    for known in ([(a, b, KINDS.index(k) + 1) for a, b, k in base], marks):
-        starts, k = [x[0] for x in g.spans], 0
-        for a, b, value in known:
-            k = bisect_left(starts, a)
-            k -= k > 0 and g.spans[k - 1][1] > a
-            while k < len(g.spans) and g.spans[k][0] < b:
-                out[k] = value
-                k += 1
+    starts = [m[0] for m in marks]
+    out = []
+    for (a, b), known in zip(g.spans, g.known, strict=True):
+        k = bisect_left(starts, b) - 1
+        out.append(known or (marks[k][2] if k >= 0 and marks[k][1] > a else 0))
     return out
 
 
@@ -354,33 +400,20 @@ def beliefs(g: Graph, f: Field, rounds: int = 12, damping: float = 0.3) -> np.nd
 
 
 def find(text: str, f: Field, certain: float = CERTAIN) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans: base ones and those that the field adds where no base span is.
-
-    Neighbouring added variables of one kind are one span.
-    """
+    """Base spans, and all spans: base ones and those that the field adds where no base span is."""
     if not _MARKED.search(text):
         return [], []
     good = base_spans(text)
+    if not good:  # without evidence there is nothing for labels to agree with
+        return good, good
     g = graph(text, good)
-    if not g.spans:
+    if len(g.spans) == len(good):
         return good, good
     p = beliefs(g, f)
     label = p.argmax(axis=1)
-    sure = (label > 0) & (p[np.arange(len(label)), label] >= certain)
-    starts, reach = [t[0] for t in good], np.maximum.accumulate([t[1] for t in good]).tolist() if good else []
-    linked = {b for _, b in g.chain}
-    added: list[tuple[int, int, str, int]] = []
-    for i in np.flatnonzero(sure).tolist():
-        a, b = g.spans[i]
-        k = bisect_left(starts, b)
-        if k and reach[k - 1] > a:
-            continue
-        kind = KINDS[label[i] - 1]
-        if added and added[-1][2:] == (kind, i - 1) and i in linked:
-            added[-1] = (added[-1][0], b, kind, i)
-        else:
-            added.append((a, b, kind, i))
-    return good, sorted(good + [x[:3] for x in added], key=lambda s: (s[0], KINDS.index(s[2])))
+    sure = (label > 0) & (p[np.arange(len(label)), label] >= certain) & (np.array(g.known) == 0)
+    added = [(*g.spans[i], KINDS[label[i] - 1]) for i in np.flatnonzero(sure).tolist()]
+    return good, sorted(good + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def learn(docs: DataFrame, looked_at: int = LOOKED_AT, train_docs: int = TRAIN_DOCS) -> Field:

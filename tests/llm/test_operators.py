@@ -410,6 +410,48 @@ def test_skip_edges_carry_labels_to_distant_similar_tokens(spark):
     assert sorted(str(x.text) for x in pii.redact(docs, field).collect()) == ["None", "ask [EMAIL] or abc or [EMAIL] then"]
 
 
+def other_notations(r):
+    """(text, kind, piece): findings again in notations that training never makes."""
+    word = lambda: "".join(r.choice("mnopqrstuvw") for _ in range(r.randint(2, 7)))
+    number = lambda k: r.choice("123456789") + "".join(r.choice("0123456789") for _ in range(k - 1))
+    area, own, last = number(2), number(3), number(4)
+    phone = f"+49 {area} {own}{last}"
+    while not pii.luhn(card := "5" + number(15)):
+        pass
+    ip = [str(r.randint(10, 255)) for _ in range(4)]
+    local, host = f"{word()}.{word()}{number(2)}", f"{word()}.example.org"
+    told = r.choice([
+        (phone, "phone", r.choice([f"(0{area}) {own}-{last}", f"0{area}/{own}{last}", f"0049.{area}.{own}.{last}", f"0{area} {own} {last}"])),
+        (card, "card", r.choice([f"{card[:4]}/{card[4:8]}/{card[8:12]}/{card[12:]}", f"{card[:8]}.{card[8:]}"])),
+        (".".join(ip), "ip", " ".join(ip)),
+        (f"{local}@{host}", "email", r.choice([f"{local} [at] {host}", f"{local} <AT> {host.replace('.', ' dot ')}", local.replace(".", "_"), local.replace(".", "")])),
+    ])
+    words = lambda k: " ".join(word() for _ in range(k))
+    return f"{words(9)} {told[0]} {words(40)} {told[2]} {words(9)}.", told[1], told[2]
+
+
+def test_pii_in_notations_that_training_never_makes():
+    field, r = pii.fit(pii.joined([e for t in pii_texts(3, 300) if (e := pii.examples_of(t))])), random.Random(17)
+    found = {k: [] for k in pii.KINDS}
+    for _ in range(400):
+        text, kind, piece = other_notations(r)
+        a = text.rindex(piece)
+        found[kind].append(any(k == kind and s <= a + 1 and e >= a + len(piece) for s, e, k in pii.find(text, field)[1]))
+    assert all(sum(v) / len(v) >= 0.9 for v in found.values()), {k: sum(v) / len(v) for k, v in found.items()}
+
+
+def test_parts_of_findings_are_no_personal_data():
+    field, r, wrong = pii.fit(pii.joined([e for t in pii_texts(3, 300) if (e := pii.examples_of(t))])), random.Random(18), 0
+    text = "Call +1 202 555 2024 or mail jo.smith24@mail.example.com from 10.20.30.40; in the year 2024 it says that 555 people came in 2024 to 202 Smith Street, 10 at 20 past 30 of 40, card 555 2024, mail or mail.example.com"
+    assert [s[2] for s in pii.find(text, field)[1]] == ["phone", "email", "ip"]
+    for _ in range(300):
+        finding = f"+{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(100, 999)} {r.randint(1000, 9999)}"
+        parts = finding[1:].split()
+        said = " ".join(f"{r.choice(['in', 'of', 'page', 'about'])} {r.choice([*parts, str(r.randint(1900, 2030)), ' '.join(parts[2:])[:6]])} {r.choice(['people', 'items', 'years'])}" for _ in range(8))
+        wrong += len(pii.find(f"ring {finding} now. {said}", field)[1]) - 1
+    assert wrong == 0
+
+
 def test_pii_of_very_long_runs():
     import time
 
