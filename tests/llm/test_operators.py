@@ -549,6 +549,53 @@ def test_every_candidate_is_scored_over_its_whole_length():
     assert time.time() - began < 20
 
 
+def test_planted_keys_of_six_kinds_in_prose(spark):
+    """Keys in the small corpus's own prose, in documents that training doesn't see; what is like a key but is none."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(3000).toPandas()
+    seen, unseen = docs[docs.doc_id % 5 != 0], docs[docs.doc_id % 5 == 0]
+    net = secrets.learn(spark.createDataFrame(seen[["doc_id", "text"]]))
+    assert set(net.figures["by_kind"]) == set(secrets.LABELS.values())
+    r, table = random.Random(3), secrets.symbol_table()
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = {
+        "letters 20": lambda: of(letters, 20), "letters 40": lambda: of(letters, 40), "prefixed": lambda: "ghp_" + of(letters, 36),
+        "base64": lambda: of(letters + "+/", 43) + "=", "upper hex": lambda: of("0123456789ABCDEF", 32), "named": lambda: "client_key = " + of(letters, 24),
+    }
+    texts, found = unseen.text.tolist(), {}
+    for kind, make in kinds.items():
+        got = []
+        for _ in range(150):
+            text, said = r.choice(texts), make()
+            at = text.find(" ", r.randrange(len(text) - 50))
+            whole = f"{text[:at]} {said}{text[at:]}"
+            a, b = at + 1 + said.rfind(" ") + 1, at + 1 + len(said)
+            got.append(any(s < b and e > a for s, e, _ in secrets.scan([whole], net, table)[0][1]))
+        found[kind] = sum(got) / len(got)
+    assert min(found.values()) >= 0.9, found
+    assert sum(len(s) - len(b) for b, s in secrets.scan(texts, net, table)) <= len(texts) // 100
+    digits = "0123456789"
+    others = {
+        "capitals": lambda: of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), "date": lambda: f"20{of(digits, 2)}-{of(digits, 2)}-{of(digits, 2)}/{of(digits, 2)}.{of(digits, 2)}",
+        "number": lambda: of(digits, 12), "section": lambda: f"Section-{of(digits, 2)}-{of(digits, 3)}", "name": lambda: "_".join(r.choice(texts).split()[0].lower() for _ in range(4)),
+    }
+    wrong = {}
+    for kind, make in others.items():
+        wrong[kind] = sum(bool(secrets.scan([f"{(t := r.choice(texts))[:60]} {make()} {t[60:120]}"], net, table)[0][1]) for _ in range(150)) / 150
+    assert max(wrong.values()) <= 0.1, wrong
+
+
+def test_calibration_holds_whole_documents_out():
+    """Windows that only their document can tell: with documents held out as a whole, nothing is learned by heart."""
+    r = np.random.default_rng(1)
+    x = r.integers(1, secrets.SYMBOLS, (800, secrets.WIDTH + 2)).astype(np.int32)
+    x[:, secrets.WIDTH :] = 20
+    x = np.repeat(x, 4, axis=0)  # four siblings of each
+    kinds, documents = np.repeat(r.integers(0, 2, 800), 4), np.repeat(np.arange(800), 4)
+    leaked, whole = secrets.train(x, kinds, epochs=6), secrets.train(x, kinds, documents, epochs=6)
+    assert leaked.figures["false_positives"] < whole.figures["false_positives"] > 0.8
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
