@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Half a hertz, in MHz; the share of a frequency beyond which a bandwidth is a filing error; classes of width.
@@ -86,3 +88,58 @@ def overlap_join(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple
     """
     met = meetings(left, right, a, b, finest).where((F.col(a[0]) <= F.col(b[1]) + TOLERANCE) & (F.col(a[1]) >= F.col(b[0]) - TOLERANCE))
     return met.where(F.col("__bin") == F.greatest("__first_x", "__first_y")).drop("__level", "__bin", "__first_x", "__first_y")
+
+
+def _swept(rows: DataFrame, asked: DataFrame, sums: list[str], far: Column, parts: int) -> DataFrame:
+    """For each asked (id, v): n and sums over the rows whose v is not above its own, and the greatest `far` of them.
+
+    Rows of equal v are added up first. Rows and asked values are then one order over all tasks, dealt by range and written;
+    each part's totals, a row a part, are carried into the parts after it, and within a part one window runs over its
+    rows. Nothing is paired, so the work grows with rows and asked values, not with what they share.
+    """
+    from ..sources.scratch import shared_dir
+
+    own = rows.groupBy("v").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums], F.max(far).alias("far"))
+    names = ["n", *sums, "far"]
+    every = own.select("v", F.lit(0).alias("k"), F.lit(None).cast("long").alias("id"), *names).unionByName(asked.select("v", F.lit(1).alias("k"), "id"), allowMissingColumns=True)
+    path = f"{shared_dir(rows.sparkSession)}/airledger-sweep/{uuid.uuid4().hex}"
+    # A part's number is settled once it is written: ranges of two runs of one plan may differ.
+    every.repartitionByRange(parts, "v", "k").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt = rows.sparkSession.read.schema(every.withColumn("part", F.lit(0)).schema).parquet(path)
+    whole = lambda c: F.max(c) if c == "far" else F.sum(c)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("part").agg(*[whole(c).alias(c) for c in names]).select("part", *[whole(c).over(before).alias(f"{c}_before") for c in names])
+    here = Window.partitionBy("part").orderBy("v", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = dealt.join(F.broadcast(carried), "part").select("k", "id", *[(whole(c).over(here).alias(c)) for c in names], *[f"{c}_before" for c in names])
+    total = lambda c: F.greatest(c, f"{c}_before") if c == "far" else F.coalesce(c, F.lit(0)) + F.coalesce(f"{c}_before", F.lit(0))
+    return met.where("k = 1").select("id", *[total(c).alias(c) for c in names])
+
+
+def occupancy(rows: DataFrame, held: DataFrame, a: tuple[str, str], b: tuple[str, str], sums: list[str], tolerance: float = TOLERANCE) -> DataFrame:
+    """held with n, the sum of each of `sums`, lowest and highest over the rows whose interval meets its own.
+
+    Intervals (low, high columns a and b) meet as in overlap_join, but no pair is made. A row that doesn't meet an interval
+    either begins above it or ends below it, never both, so what meets is what begins not above it, and what ends not
+    below it, less all; the least beginning of what ends not below is that of what meets, if anything does, and so is the
+    greatest end. Rows with a null or inverted edge, and null values of `sums`, count for nothing; intervals with such
+    edges meet nothing (n 0, null sums). held is given a number for each row; its columns may not be called n, lowest,
+    highest, __id or as one of `sums`.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.where(F.col(a[0]) <= F.col(a[1])).select(F.col(a[0]).alias("lo"), F.col(a[1]).alias("hi"), *sums)
+    from ..sources.scratch import shared_dir
+
+    path = f"{shared_dir(rows.sparkSession)}/airledger-sweep/{uuid.uuid4().hex}"
+    held.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    numbered = rows.sparkSession.read.schema(held.withColumn("__id", F.lit(0).cast("long")).schema).parquet(path)
+    asked = numbered.where(F.col(b[0]) <= F.col(b[1]))
+    begun = _swept(kept.withColumn("v", F.col("lo")), asked.select(F.col("__id").alias("id"), (F.col(b[1]) + tolerance).alias("v")), sums, F.col("hi"), parts)
+    ended = _swept(kept.withColumn("v", -F.col("hi")), asked.select(F.col("__id").alias("id"), (-(F.col(b[0]) - tolerance)).alias("v")), sums, -F.col("lo"), parts)
+    every = kept.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums]).first()  # one row of totals
+    both = begun.alias("x").join(ended.alias("y"), "id")
+    n = (F.col("x.n") + F.col("y.n") - every["n"]).alias("n")
+    added = [(F.col(f"x.{c}") + F.col(f"y.{c}") - F.lit(every[c] or 0)).alias(c) for c in sums]
+    found = both.select(F.col("id").alias("__id"), n, *added, (-F.col("y.far")).alias("lowest"), F.col("x.far").alias("highest"))
+    some = F.col("n") > 0
+    out = numbered.join(found, "__id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select(*held.columns, "n", *[F.when(some, F.col(c)).alias(c) for c in [*sums, "lowest", "highest"]])

@@ -393,8 +393,22 @@ def j15_band_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = registry(spark, sf_dir)
     blocks = r.market_blocks.where("lower > 0").groupBy("lower", F.coalesce("upper", "lower").alias("top")).agg(F.count_distinct("usi").alias("licences"))
     rows = r.frequencies.select("usi", "freq_seq_id", "occ_low", "occ_high")
-    met = bands.overlap_join(rows, blocks, ("occ_low", "occ_high"), ("lower", "top"))
-    return met.groupBy("lower", "top").agg(F.first("licences").alias("licences"), F.count("*").alias("frequency_rows"), F.sum("usi").alias("usis"), F.sum("freq_seq_id").alias("sequences"), F.min("occ_low").alias("lowest"), F.max("occ_high").alias("highest"))
+    found = bands.occupancy(rows, blocks, ("occ_low", "occ_high"), ("lower", "top"), ["usi", "freq_seq_id"]).where("n > 0")
+    return found.select("lower", "top", "licences", F.col("n").alias("frequency_rows"), F.col("usi").alias("usis"), F.col("freq_seq_id").alias("sequences"), "lowest", "highest")
+
+
+@_query(
+    "frequencies market_blocks",
+    f"""--more
+{_BANDS}, m AS (SELECT DISTINCT lower, coalesce(upper, lower) AS top FROM market_blocks WHERE lower > 0), s AS (SELECT frequency_mhz, min(occ_low) AS low, max(occ_high) AS high, count(*) AS filed FROM f WHERE bandwidth_mhz < 0.05 AND upper_mhz IS NULL GROUP BY 1)
+SELECT lower, top, frequency_mhz, filed FROM s JOIN m ON low <= top + 5e-7 AND high >= lower - 5e-7""",
+)
+def j15_band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a market band and a frequency that narrow emissions are filed on and that it holds."""
+    r = registry(spark, sf_dir)
+    blocks = r.market_blocks.where("lower > 0").select("lower", F.coalesce("upper", "lower").alias("top")).distinct()
+    narrow = r.frequencies.where("bandwidth_mhz < 0.05 AND upper_mhz IS NULL").groupBy("frequency_mhz").agg(F.min("occ_low").alias("low"), F.max("occ_high").alias("high"), F.count("*").alias("filed"))
+    return bands.overlap_join(narrow, blocks, ("low", "high"), ("lower", "top")).select("lower", "top", "frequency_mhz", "filed")
 
 
 @_query(

@@ -128,6 +128,24 @@ def test_overlap_join_equals_nested_loop(spark):
     assert got == want
 
 
+def test_occupancy_equals_pairs(spark):
+    r = random.Random(21)
+    edge = lambda w: (lo := r.randint(0, 400) / 4, lo + r.choice([0, 0.25, 1, w]))
+    rows = [(i, *edge(60), r.randint(1, 9)) for i in range(300)] + [(300, None, 5.0, 1), (301, 9.0, 2.0, 1), (302, 50.0, 50.0, None)]
+    held = [(j, *edge(30)) for j in range(60)] + [(60, None, 1.0), (61, 7.0, 3.0), (62, 1000.0, 1001.0), (63, -5.0, 2000.0)]
+    x, y = spark.createDataFrame(rows, "i long, lo double, hi double, w long"), spark.createDataFrame(held, "j long, lo2 double, hi2 double")
+    want = {}
+    for j, lo, hi in held:
+        met = [q for q in rows if None not in (lo, hi, q[1], q[2]) and q[1] <= q[2] and lo <= hi and q[1] <= hi + bands.TOLERANCE and q[2] >= lo - bands.TOLERANCE]
+        want[j] = (len(met), *((sum(q[0] for q in met), sum(q[3] or 0 for q in met), min(q[1] for q in met), max(q[2] for q in met)) if met else (None,) * 4))
+    got = bands.occupancy(x, y, ("lo", "hi"), ("lo2", "hi2"), ["i", "w"])
+    assert got.columns == ["j", "lo2", "hi2", "n", "i", "w", "lowest", "highest"]
+    assert {q.j: (q.n, q.i, q.w, q.lowest, q.highest) for q in got.collect()} == want
+    empty = bands.occupancy(x.limit(0), y, ("lo", "hi"), ("lo2", "hi2"), ["i"]).collect()
+    assert len(empty) == 64 and {(q.n, q.i, q.lowest) for q in empty} == {(0, None, None)}
+    assert bands.occupancy(x, y.limit(0), ("lo", "hi"), ("lo2", "hi2"), ["i"]).count() == 0
+
+
 def test_overlap_join_compares_a_small_multiple_of_what_it_finds(spark):
     r = random.Random(7)
     for left, right in (([0, 0.0125], [0.025, 5]), ([0.01], [2500]), ([0.01, 3, 400], [0.0, 90, 2900])):
