@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions import columns as C
 from ..functions.codes import LIVE_STATUSES
+from .textsearch import NameIndex
 
 
 @dataclass
 class Registry:
-    """The seven tables that queries read."""
+    """The seven tables that queries read, and an index of names where there is one."""
 
     licenses: DataFrame
     lease_links: DataFrame
@@ -23,6 +24,12 @@ class Registry:
     frequencies: DataFrame
     market_blocks: DataFrame
     paths: DataFrame
+    names: NameIndex | None = None
+
+    @classmethod
+    def tables(cls) -> list[str]:
+        """The names of the seven tables."""
+        return [f for f in cls.__dataclass_fields__ if f != "names"]
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

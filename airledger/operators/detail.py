@@ -174,7 +174,7 @@ def documents(registry: Registry, targets: DataFrame, redaction: bool = True) ->
     leases granted; location_count and lease_count say how many there are in all, and notice that some are not listed.
     """
     only = lambda df: df.join(targets.select("usi"), "usi", "left_semi")
-    own = Registry(*[only(getattr(registry, t)) if "usi" in getattr(registry, t).columns else getattr(registry, t) for t in Registry.__dataclass_fields__])
+    own = Registry(*[only(getattr(registry, t)) if "usi" in getattr(registry, t).columns else getattr(registry, t) for t in Registry.tables()])
     window = location_windows(location_summary(own))
     nested = lambda df, name, order: df.groupBy("usi").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in ("usi", *order)]))).alias(name))
     listed = own.antennas.join(window.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
@@ -227,7 +227,7 @@ def get_licence(registry: Registry, callsign: str | None = None, usi: int | None
         return {"candidates": prefix_candidates(registry.licenses, parameters.callsign(callsign or "")[:3] or "?")}
     key = F.col("usi") == found["usi"]
     own = Registry(
-        *[getattr(registry, t).where(key) if t in ("locations", "antennas", "frequencies", "market_blocks", "paths") else getattr(registry, t) for t in Registry.__dataclass_fields__]
+        *[getattr(registry, t).where(key) if t in ("locations", "antennas", "frequencies", "market_blocks", "paths") else getattr(registry, t) for t in Registry.tables()]
     )
     summary = location_summary(own)
     if location_number is not None:

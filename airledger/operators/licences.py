@@ -66,7 +66,8 @@ def matching(registry: Registry, search: LicenceSearch, redaction: bool = True)
             return found.where(F.lit(False)).withColumn("score", F.lit(0.0))
         if redaction:
             found = found.where(~F.col("is_individual"))
-        found = found.join(textsearch.rank(registry.licenses, "usi", "licensee_name", phrases), "usi")
+        ranked = textsearch.rank(registry.licenses, "usi", "licensee_name", phrases) if registry.names is None else textsearch.rank_by_index(registry.names, "usi", phrases)
+        found = found.join(ranked, "usi")
     return found
 
 

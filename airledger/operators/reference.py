@@ -120,7 +120,7 @@ def verify(upstream: DataFrame, statistics: DataFrame) -> DataFrame:
 
 def table_counts(registry: Registry) -> DataFrame:
     """Rows of each table of the registry."""
-    parts = [getattr(registry, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count")) for t in Registry.__dataclass_fields__]
+    parts = [getattr(registry, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("row_count")) for t in Registry.tables()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

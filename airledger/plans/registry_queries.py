@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +98,19 @@ def q1_rank_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("usi", F.round("score", 9).alias("score"))
 
 
+@_query("licenses", _RANK)
+def q1_rank_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by an inverted index of all names, written sorted by term."""
+    r, path = registry(spark, sf_dir), f"{shared_dir(spark)}/airledger-names/{uuid.uuid4().hex}"
+    made = textsearch.postings(r.licenses, "usi", "licensee_name")
+    made.repartitionByRange("term", "usi").sortWithinPartitions("term", "usi").write.parquet(path)
+    kept = spark.read.schema(made.schema).parquet(path)
+    counts = kept.where("term = ''").agg(F.count("*"), F.count_if(F.col("len") > 0), F.sum("len")).first()
+    r.names = textsearch.NameIndex(kept, counts[0], counts[1], counts[2] or 0)
+    found = licences.matching(r, licences.LicenceSearch(licensee="Small Ri").normalised())
+    return found.select("usi", F.round("score", 9).alias("score"))
+
+
 @_query(
     "",
     r"""WITH t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents WHERE text IS NOT NULL),
@@ -644,8 +658,6 @@ def a15_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("", f"WITH {_FEED} SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM feed GROUP BY 1")
 def r_stream_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed applied as a stream: eight micro-batches, in the feed's order, that replace rows by key."""
-    import uuid
-
     from ..streaming import feed
 
     base = f"{shared_dir(spark)}/airledger-feed/{uuid.uuid4().hex}"

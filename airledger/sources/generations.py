@@ -28,13 +28,17 @@ from pyspark.sql import functions as F
 
 from ..functions.parameters import QueryError
 from ..operators.build import Registry
+from ..operators.textsearch import NameIndex, postings
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
+NAME_SCHEMA = "term string, usi long, len int, positions array<int>"
 _NAME = re.compile(r"generation-[0-9]{8}T[0-9]{6}Z(-[0-9]+)?")
 #: How each table is ordered within its files, so that their statistics prune what a query's ranges exclude.
 CLUSTERED = {"licenses": ["usi"], "lease_links": ["parent_usi"], "locations": ["lat", "usi"], "antennas": ["usi"], "frequencies": ["band_class", "occ_low"], "market_blocks": ["band_class", "lower"], "paths": ["usi"]}
+#: The index of names, kept beside the tables; it is made of the licences of the same folder.
+NAME_TERMS, NAME_ORDER = "name_terms", ["term", "usi"]
 #: The licence that a row belongs to, by which it is replaced.
-KEYS = {t: "lease_usi" if t == "lease_links" else "usi" for t in CLUSTERED}
+KEYS = {t: "lease_usi" if t == "lease_links" else "usi" for t in [*CLUSTERED, NAME_TERMS]}
 #: A bucket is rewritten when its delta replaces over one in so many of its licences.
 COMPACT_SHARE = 10
 #: Keys of changed licences that are broadcast at most (8 bytes each); more meet the base rows by a shuffle.
@@ -74,6 +78,8 @@ class Manifest:
     base: dict[str, dict[str, Part]] = field(default_factory=dict)
     delta: dict[str, dict[str, Part]] = field(default_factory=dict)
     touched: dict[str, Part] = field(default_factory=dict)
+    #: Of each bucket's licences: names, those with a term, and terms.
+    names: dict[str, list[int]] = field(default_factory=dict)
 
     @staticmethod
     def parsed(text: str) -> Manifest:
@@ -178,7 +184,7 @@ class Store:
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         def one(table: str) -> dict[str, dict]:
-            order = CLUSTERED.get(table, [keys[table]])
+            order = NAME_ORDER if table == NAME_TERMS else CLUSTERED.get(table, [keys[table]])
             rows = tables[table].withColumn("bucket", bucket_of(keys[table], self.buckets))
             rows.repartitionByRange(n, "bucket", *order).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
             schema = rows.schema  # an empty table has no files to tell it
@@ -188,11 +194,24 @@ class Store:
         with ThreadPoolExecutor(len(tables)) as pool:
             return dict(zip(tables, pool.map(one, tables), strict=True))
 
+    def write_tables(self, tables: dict[str, DataFrame], folder: str, files: int | None = None) -> dict[str, dict[str, dict]]:
+        """Writes the tables of a registry, and others, and then the index of the names of what was written."""
+        made = self.write_parts(tables, folder, files, KEYS | {t: "usi" for t in tables if t not in KEYS})
+        licences = self.read_parts([Part(**p) for p in made["licenses"].values()], tables["licenses"].schema)
+        return made | self.write_parts({NAME_TERMS: postings(licences, "usi", "licensee_name")}, folder, files)
+
+    def counted_names(self, manifest: Manifest, only: set[str] | None = None) -> dict[str, list[int]]:
+        """What Manifest.names holds, of all buckets or some, from their rows of no term."""
+        own = self.merged(NAME_TERMS, manifest, self.spark.createDataFrame([], NAME_SCHEMA).schema, only).where("term = ''")
+        found = own.groupBy(bucket_of("usi", self.buckets).alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col("len") > 0).alias("named"), F.sum("len").cast("long").alias("terms"))
+        return {str(r["b"]): [r["n"], r["named"], r["terms"]] for r in found.collect()}
+
     def write(self, registry: Registry, manifest: Manifest, files: int | None = None) -> Manifest:
         """Writes a generation whose base is a registry; it isn't published yet."""
         tables = {t: getattr(registry, t) for t in CLUSTERED}
-        parts = self.write_parts(tables, f"parts/{manifest.name}", files)
+        parts = self.write_tables(tables, f"parts/{manifest.name}", files)
         manifest.base = {t: {b: Part(**p) for b, p in by.items()} for t, by in parts.items()}
+        manifest.names = self.counted_names(manifest)
         return self.seal(manifest, {t: df.schema.json() for t, df in tables.items()})
 
     def seal(self, manifest: Manifest, schemas: dict[str, str] | None = None) -> Manifest:
@@ -216,7 +235,7 @@ class Store:
         text = self._read(f"{manifest.built}/schemas.json")
         if text is None:
             raise QueryError("bad_pointer", manifest.built)
-        return {t: StructType.fromJson(json.loads(s)) for t, s in json.loads(text).items()}
+        return {t: StructType.fromJson(json.loads(s)) for t, s in json.loads(text).items()} | {NAME_TERMS: self.spark.createDataFrame([], NAME_SCHEMA).schema}
 
     def read_parts(self, parts: list[Part], schema) -> DataFrame:
         """The rows of parts."""
@@ -241,7 +260,8 @@ class Store:
         """The tables of the current, or a named, generation."""
         manifest = self.manifest(name) if name else self.current()
         schemas = self.schemas(manifest)
-        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED})
+        names = NameIndex(self.merged(NAME_TERMS, manifest, schemas[NAME_TERMS]), *(sum(v[i] for v in manifest.names.values()) for i in range(3)))
+        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED}, names=names)
 
     def damaged(self, manifest: Manifest) -> list[str]:
         """Parts whose rows are no longer those that were written: by count or, where counts agree, by digest."""

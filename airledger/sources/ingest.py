@@ -18,7 +18,11 @@ from ..functions.parameters import QueryError, eastern_date
 from ..operators import refresh as R
 from ..operators.build import Registry, build, heads
 from . import bulk, records
-from .generations import CLUSTERED, COMPACT_SHARE, KEYS, MOST_BROADCAST, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
+from .generations import CLUSTERED, COMPACT_SHARE, KEYS, MOST_BROADCAST, NAME_TERMS, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
+
+
+#: What a folder of parts holds.
+TABLES = (*CLUSTERED, NAME_TERMS)
 
 
 def iso(at: dt.datetime) -> str:
@@ -116,7 +120,7 @@ class Ingest:
 
         def tables(folder: str) -> dict:
             registry = build(decoded, self.state_at)
-            return {"parts": self.store.write_parts({t: getattr(registry, t) for t in CLUSTERED}, folder), "schemas": {t: getattr(registry, t).schema.json() for t in CLUSTERED}}
+            return {"parts": self.store.write_tables({t: getattr(registry, t) for t in CLUSTERED}, folder), "schemas": {t: getattr(registry, t).schema.json() for t in CLUSTERED}}
 
         def counted(folder: str) -> dict:
             own = heads(decoded["HD"])  # what was accepted, apart from what tables hold
@@ -128,6 +132,7 @@ class Ingest:
         name = self.store.new_name(_instant(min(times.values())))
         base = {t: {b: Part(**p) for b, p in by.items()} for t, by in made["parts"].items()}
         manifest = Manifest(name, order, min(stats["created"]) if stats["created"] else min(times.values()), snapshots=times, lines=stats["lines"], loaded=stats["loaded"], services=stats["services"], staged=folders, base=base)
+        manifest.names = self.store.counted_names(manifest)
         self.store.seal(manifest, made["schemas"])
         self.store.publish(name)
         self.store.collect_garbage({held.name} if held and held.schema_version == manifest.schema_version else set())
@@ -220,14 +225,15 @@ class Ingest:
             for t in CLUSTERED:
                 before_ = self.store.read_parts([p for b, p in manifest.delta.get(t, {}).items() if b in hit], schemas[t])
                 out[t] = R.replace_by_key(before_, getattr(fresh, t).select(*schemas[t].fieldNames()), [KEYS[t]], keys.withColumnRenamed("usi", KEYS[t]))
-            return {"hit": sorted(hit), "parts": self.store.write_parts(out | {"touched": old_keys.union(keys).distinct()}, folder, keys=KEYS | {"touched": "usi"})}
+            return {"hit": sorted(hit), "parts": self.store.write_tables(out | {"touched": old_keys.union(keys).distinct()}, folder)}
 
         made = self.store.step("delta", inputs, delta)
         hit, parts = set(made["hit"]), {t: {b: Part(**p) for b, p in by.items()} for t, by in made["parts"].items()}
         merged = lambda old, new: {b: p for b, p in old.items() if b not in hit} | new
         new = Manifest("", manifest.groups, "", built=manifest.built, snapshots=manifest.snapshots, lines=manifest.lines, loaded=manifest.loaded, services=choice["services"], staged=manifest.staged, base=manifest.base, buckets=manifest.buckets)
-        new.delta = {t: merged(manifest.delta.get(t, {}), parts[t]) for t in CLUSTERED}
+        new.delta = {t: merged(manifest.delta.get(t, {}), parts[t]) for t in TABLES}
         new.touched = merged(manifest.touched, parts["touched"])
+        new.names = {b: n for b, n in manifest.names.items() if b not in hit} | self.store.counted_names(new, hit)
         return self._compacted(new, schemas, inputs)
 
     def _kept(self, df: DataFrame, at: str) -> DataFrame:
@@ -243,11 +249,11 @@ class Ingest:
             return manifest
 
         def make(folder: str) -> dict:
-            return self.store.write_parts({t: self.store.merged(t, manifest, schemas[t], due) for t in CLUSTERED}, folder)
+            return self.store.write_tables({t: self.store.merged(t, manifest, schemas[t], due) for t in CLUSTERED}, folder)
 
         made = self.store.step("compact", [inputs, sorted(due)], make)
         without = lambda by: {b: p for b, p in by.items() if b not in due}
-        manifest.base = {t: without(manifest.base.get(t, {})) | {b: Part(**p) for b, p in made[t].items()} for t in CLUSTERED}
+        manifest.base = {t: without(manifest.base.get(t, {})) | {b: Part(**p) for b, p in made[t].items()} for t in TABLES}
         manifest.delta, manifest.touched = {t: without(by) for t, by in manifest.delta.items()}, without(manifest.touched)
         return manifest
 

@@ -128,6 +128,21 @@ def test_overlap_join_equals_nested_loop(spark):
     assert got == want
 
 
+def test_index_ranks_as_names_do(spark):
+    r = random.Random(4)
+    words = ["AT&T", "T-Mobile", "mobile", "Société", "du", "d", "Mob", "tt", "Radio", "42"]
+    rows = [(i, r.choice([None, "", " - ", *(" ".join(r.choice(words) for _ in range(r.randint(1, 7))) for _ in range(12))])) for i in range(400)]
+    df = spark.createDataFrame(rows, "usi long, n string")
+    made = textsearch.postings(df, "usi", "n")
+    counts = made.where("term = ''").agg(F.count("*"), F.count_if(F.col("len") > 0), F.sum("len")).first()
+    index = textsearch.NameIndex(made, *counts)
+    for asked in ("mob", "t-mob", "at&t mobile", "d", "du d", "societe du", "tt-tt", "radio radio mob", "none"):
+        phrases = parameters.name_phrases(asked)
+        want, got = ({x.usi: x.score for x in f.collect()} for f in (textsearch.rank(df, "usi", "n", phrases), textsearch.rank_by_index(index, "usi", phrases)))
+        assert want.keys() == got.keys() and all(abs(want[u] - got[u]) < 1e-12 for u in want), asked
+    assert textsearch.rank_by_index(textsearch.NameIndex(made.limit(0), 0, 0, 0), "usi", [["a"]]).count() == 0
+
+
 def test_occupancy_equals_pairs(spark):
     r = random.Random(21)
     edge = lambda w: (lo := r.randint(0, 400) / 4, lo + r.choice([0, 0.25, 1, w]))
