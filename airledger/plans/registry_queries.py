@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, codes, geo
 from ..functions import columns as C
-from ..operators import build, detail, licences, paging, reference, refresh, spectrum, textsearch, transmitters
+from ..operators import build, detail, licences, markets, paging, reference, refresh, spectrum, textsearch, transmitters
 from ..sources.scratch import shared_dir
 from .virtual import base_tables, registry, with_views
 
@@ -670,3 +670,44 @@ def r_stream_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.where(here).coalesce(1).write.mode("append").parquet(f"{base}/in")
     feed.start_feed(feed.read_feed(spark, f"{base}/in", schema), table, ["user_id"], ["event_id"], f"{base}/checkpoint").awaitTermination()
     return table.read()
+
+
+#: A county table of customers: six states, one of them at sea, and numbers in every area column.
+_COUNTIES = """
+SELECT CASE c_nationkey % 6 WHEN 0 THEN 'North Dakota' WHEN 1 THEN ' minnesota' WHEN 2 THEN 'California' WHEN 3 THEN 'Gulf of Mexico' WHEN 4 THEN 'American Samoas' ELSE 'Nowhere' END AS STATE,
+  concat(CASE c_nationkey % 6 WHEN 0 THEN '38' WHEN 1 THEN '27' WHEN 2 THEN '06' WHEN 3 THEN '99' WHEN 4 THEN '06' ELSE '00' END, lpad(cast(c_custkey % 1000 AS STRING), 3, '0')) AS FIPS,
+  cast(c_custkey % 305 AS STRING) AS CMA, c_custkey % 177 AS EA, c_custkey % 52 AS MEA, c_custkey % 51 AS MTA, concat(' ', cast(c_custkey % 493 AS STRING)) AS BTA, c_custkey % 12 AS REA,
+  CASE WHEN c_custkey % 7 = 0 THEN '' ELSE cast(c_custkey % 6 AS STRING) END AS EAG_220, c_custkey % 6 AS EAG_700, c_custkey % 55 AS RPC, c_custkey % 42 AS VPC
+FROM {customer}"""
+_AREA_SQL = " UNION ALL ".join(f"SELECT '{p}' || lpad(cast({c} + {markets.NUMBERED_FROM.get(c, 0)} AS VARCHAR), 3, '0') AS market_code, state FROM n WHERE {c} <> 0" for c, own in markets.AREA_COLUMNS.items() for p in own)
+_COUNTY_SQL = f"""WITH counties AS ({_COUNTIES.format(customer="customer")}), n AS (
+SELECT CASE lower(trim(STATE)) WHEN 'north dakota' THEN 'ND' WHEN 'minnesota' THEN 'MN' WHEN 'california' THEN 'CA' WHEN 'american samoas' THEN 'AS' END AS state, STATE AS filed, substr(FIPS, 1, 2) AS prefix,
+  {", ".join(f"coalesce(try_cast(trim(cast({c} AS VARCHAR)) AS INTEGER), 0) AS {c}" for c in markets.AREA_COLUMNS)} FROM counties),
+m(market_code, ea) AS (VALUES {", ".join(f"('{c}', {n})" for c, n in markets.maritime_parts())})"""
+
+
+@_query(
+    "",
+    f"""{_COUNTY_SQL}, slc AS (SELECT 'SLC' || lpad(cast(row_number() OVER (ORDER BY s) AS VARCHAR), 3, '0') AS market_code, s AS state FROM (SELECT unnest([{", ".join(repr(s) for s in [*codes.USPS_STATES, "PW"])}]) AS s)),
+p AS (SELECT s_suppkey % 400 + 1 AS number, CASE s_nationkey % 4 WHEN 0 THEN 'GM' WHEN 1 THEN 'TX' WHEN 2 THEN 'NY' ELSE '??' END AS state FROM supplier),
+every AS ({_AREA_SQL} UNION ALL SELECT market_code, state FROM m JOIN n ON n.EA = m.ea UNION ALL SELECT unnest(['BTA494', 'BTA495']), NULL UNION ALL SELECT * FROM slc WHERE state <> 'PW'
+  UNION ALL SELECT 'PEA' || lpad(cast(number AS VARCHAR), 3, '0'), CASE WHEN state IN ('TX', 'NY') THEN state END FROM p),
+g AS (SELECT market_code, list(DISTINCT state) FILTER (state IS NOT NULL) AS states FROM every GROUP BY 1)
+SELECT market_code, unnest(coalesce(states, [NULL])) AS state FROM g""",
+)
+def market_area_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of every market area, of a county table made of customers and partial areas made of suppliers."""
+    counties = spark.sql(_COUNTIES, customer=base_tables(spark, sf_dir)["customer"])
+    partial = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey % 400 + 1 AS number", "CASE s_nationkey % 4 WHEN 0 THEN 'GM' WHEN 1 THEN 'TX' WHEN 2 THEN 'NY' ELSE '??' END AS state")
+    return markets.area_states(counties, partial)
+
+
+@_query(
+    "",
+    f"""{_COUNTY_SQL} SELECT DISTINCT 'unknown state' AS problem, filed AS what FROM n WHERE state IS NULL AND filed <> 'Gulf of Mexico'
+UNION ALL SELECT 'prefix of two states', prefix FROM n WHERE state IS NOT NULL GROUP BY prefix HAVING count(DISTINCT state) > 1
+UNION ALL SELECT 'maritime part of no county', m.market_code || ' ' || m.ea FROM m WHERE m.ea NOT IN (SELECT EA FROM n)""",
+)
+def market_county_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the same county table."""
+    return markets.county_problems(spark.sql(_COUNTIES, customer=base_tables(spark, sf_dir)["customer"]))

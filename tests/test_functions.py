@@ -128,6 +128,33 @@ def test_overlap_join_equals_nested_loop(spark):
     assert got == want
 
 
+def test_market_areas_of_counties(spark):
+    from airledger.operators import markets
+
+    columns = ["STATE", "FIPS", *markets.AREA_COLUMNS]
+    county = lambda state, fips, **areas: tuple([state, fips, *(str(areas.get(c, "")) for c in markets.AREA_COLUMNS)])
+    rows = [
+        county("North Dakota", "38017", CMA=580, EA=113, BTA=138, EAG_700=3), county("Minnesota", "27027", CMA=" 580 ", EA=113, BTA=0, EAG_220=2),
+        county("Gulf of Mexico", "99001", EA=176), county("American Samoas", "60010", MTA=50), county("District of Columbia", "11001", EA=13), county("Atlantis", "11999", EA=174, RPC="x"), county(None, None),
+    ]
+    counties = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    partial = spark.createDataFrame([(1, "NY"), (1, "CT"), (417, "GM"), (2, "XX")], "number int, state string")
+    got = {}
+    for x in markets.area_states(counties, partial).collect():
+        got.setdefault(x.market_code, []).append(x.state)
+    got = {c: sorted(s, key=str) for c, s in got.items()}
+    own = {"CMA580": ["MN", "ND"], "IVM580": ["MN", "ND"], "BEA113": ["MN", "ND"], "BTA138": ["ND"], "EAG703": ["ND"], "EAG002": ["MN"], "BEA176": [None], "MTA050": ["AS"], "BEA013": ["DC"], "BEA174": [None]}
+    own |= {"AMT002": ["DC"], "AMT003": [None], "AMT004": ["MN", "ND"], "BTA494": [None], "BTA495": [None], "PEA001": ["CT", "NY"], "PEA417": [None], "PEA002": [None]}
+    assert {c: s for c, s in got.items() if c[:3] != "SLC"} == own
+    slc = {c: s for c, s in got.items() if c[:3] == "SLC"}
+    assert len(slc) == 56 and slc["SLC001"] == ["AK"] and slc["SLC057"] == ["WY"] and ["PW"] not in slc.values()
+    assert {x.county_prefix: x.state for x in markets.county_prefixes(counties).collect()} == {"38": "ND", "27": "MN", "60": "AS", "11": "DC"}
+    problems = {(x.problem, x.what) for x in markets.county_problems(counties).collect()}
+    assert ("unknown state", "Atlantis") in problems and ("maritime part of no county", "AMT008 172") in problems and ("maritime part of no county", "AMT004 113") not in problems
+    assert ("prefix of two states", "38") in {(x.problem, x.what) for x in markets.county_problems(counties.unionByName(counties.withColumn("STATE", F.lit("Utah")))).collect()}
+    assert markets.area_states(counties.limit(0)).where("market_code NOT LIKE 'SLC%'").count() == 2  # what lies at sea
+
+
 def test_index_ranks_as_names_do(spark):
     r = random.Random(4)
     words = ["AT&T", "T-Mobile", "mobile", "Société", "du", "d", "Mob", "tt", "Radio", "42"]

@@ -16,9 +16,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from airledger.functions import codes
+from airledger.functions import codes, parameters
 from airledger.functions.parameters import QueryError
-from airledger.operators import licences, reference, spectrum, transmitters
+from airledger.operators import licences, reference, spectrum, textsearch, transmitters
 from airledger.sources import bulk, records
 from airledger.sources.generations import CLUSTERED, Manifest, Store, data_as_of, newest_applied
 from airledger.sources.ingest import Ingest
@@ -308,6 +308,12 @@ def test_many_files_at_once_equal_one_after_another(spark, tmp_path, feed):
             later.rename(f)
     assert without_order(state(once.store)) == without_order(state(often.store)) and once.verify() == often.verify() == []
     assert once.store.current().services == often.store.current().services
+    for asked in ("n1", "n2 n", "first cell", "n"):
+        r, phrases = once.store.open(), parameters.name_phrases(asked)
+        ranked = [{x.usi: round(x.score, 9) for x in f.collect()} for f in (textsearch.rank(r.licenses, "usi", "licensee_name", phrases), textsearch.rank_by_index(r.names, "usi", phrases), textsearch.rank_by_index(often.store.open().names, "usi", phrases))]
+        assert ranked[0] == ranked[1] == ranked[2]
+    plan = textsearch.rank_by_index(once.store.open().names, "usi", [["n1"]])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,n1)" in plan
     plain = plain_licences(feed, names)
     assert {x.usi: (x.callsign, x.license_status, x.radio_service_code) for x in once.store.open().licenses.collect()} == plain
     assert once.status()["newest"].keys() >= {"cell", "micro"} and once.status()["daily_files"] == len(names)
