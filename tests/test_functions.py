@@ -349,7 +349,7 @@ def test_generations(spark, tmp_path):
     name = store.new_name(dt.datetime(2026, 9, 27))
     store.write(reg, Manifest(name, ["micro"], "2026-09-27T00:00:00Z"), files=2)
     store.publish(name)
-    assert store.current().statistics["licenses"] == 1500 and store.open().locations.count() == 6000
+    assert sum(p.rows for p in store.current().base["licenses"].values()) == 1500 and store.damaged(store.current()) == [] and store.open().locations.count() == 6000
     assert store.new_name(dt.datetime(2026, 9, 27)) != name and store.collect_garbage(set()) == []
 
 
