@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bands
 from ..functions import columns as C
 from ..functions.codes import LIVE_STATUSES
+from .areas import StateCells
 from .textsearch import NameIndex
 
 
@@ -100,9 +101,15 @@ def orphan_emissions(em: DataFrame, fr: DataFrame) -> DataFrame:
     return em.join(fr, ["usi", "location_number", "antenna_number", "freq_seq_id"], "left_anti")
 
 
-def with_site_state(locations: DataFrame, state_at: Column) -> DataFrame:
-    """Adds site_state (as filed in upper case, else that of its coordinates) and state_derived."""
+def with_site_state(locations: DataFrame, state_at: Column | StateCells) -> DataFrame:
+    """Adds site_state (as filed in upper case, else that of its coordinates) and state_derived.
+
+    state_at: an expression of lat and lon, or an index of cells, in which sites that file a state aren't looked up.
+    """
     filed = F.upper("state")
+    if isinstance(state_at, StateCells):
+        found = state_at.locate(locations, "__at", where=filed.isNull())
+        return found.withColumns({"site_state": F.coalesce(filed, "__at"), "state_derived": filed.isNull() & F.col("__at").isNotNull()}).drop("__at")
     return locations.withColumns({"site_state": F.coalesce(filed, state_at), "state_derived": filed.isNull() & state_at.isNotNull()})
 
 
@@ -112,7 +119,7 @@ def market_block_rows(mf: DataFrame) -> DataFrame:
     return own.withColumn("band_class", F.when(F.col("lower") > 0, bands.band_class(F.col("lower"), F.coalesce("upper", "lower"))))
 
 
-def build(records: dict[str, DataFrame], state_at: Column | None = None) -> Registry:
+def build(records: dict[str, DataFrame], state_at: Column | StateCells | None = None) -> Registry:
     """A registry of decoded records by type (all eleven types)."""
     licences = join_licences(records["HD"], records["EN"], records["AM"], records["MK"])
     head = heads(records["HD"]).select("usi", "license_status")  # technical rows need no more of a licence

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, codes, geo
 from ..functions import columns as C
-from ..operators import build, detail, licences, markets, paging, reference, refresh, spectrum, textsearch, transmitters
+from ..operators import areas, build, detail, licences, markets, paging, reference, refresh, spectrum, textsearch, transmitters
 from ..sources.scratch import shared_dir
 from .virtual import base_tables, registry, with_views
 
@@ -639,6 +640,34 @@ def j20_state_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("usi", "location_number", "site_seq", geo.state_of(F.col("lat"), F.col("lon"), [("AA", [triangle, hole]), ("BB", [square])]).alias("state_at"))
 
 
+#: Wavy outlines of 5,500 edges: state, ring, corners, longitude and latitude of the middle, radius, waves.
+_OUTLINES = [("AA", 0, 3000, -105.003, 37.007, 8.0, 25), ("AA", 1, 1000, -104.003, 36.007, 2.0, 7), ("BB", 2, 1500, -95.003, 35.007, 9.0, 40)]
+
+
+def _outline(corners: int, x: float, y: float, radius: float, waves: int) -> list[tuple[float, float]]:
+    """A circle whose radius swings by a seventh."""
+    turn = [2 * math.pi * i / corners for i in range(corners)]
+    return [(x + radius * (1 + math.sin(waves * t) / 7) * math.cos(t), y + radius * (1 + math.sin(waves * t) / 7) * math.sin(t)) for t in turn]
+
+
+@_query(
+    "locations",
+    f"""--more
+o(state, ring, corners, x, y, radius, waves) AS (VALUES {", ".join(str((s, r, n, float(x), float(y), d, w)) for s, r, n, x, y, d, w in _OUTLINES)}),
+corner AS (SELECT state, ring, i, corners, x + radius * (1 + sin(waves * t) / 7) * cos(t) AS x, y + radius * (1 + sin(waves * t) / 7) * sin(t) AS y
+  FROM (SELECT state, ring, corners, x::DOUBLE AS x, y::DOUBLE AS y, radius::DOUBLE AS radius, waves, i, 2 * pi() * i / corners AS t FROM (SELECT *, unnest(range(corners)) AS i FROM o))),
+edge AS (SELECT a.state, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, least(a.y, b.y) AS low, greatest(a.y, b.y) AS high FROM corner a JOIN corner b ON a.ring = b.ring AND b.i = (a.i + 1) % a.corners),
+point AS (SELECT DISTINCT lat, lon FROM locations),
+held AS (SELECT lat, lon, state FROM point JOIN edge ON lat >= low AND lat < high WHERE lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT usi, location_number, site_seq, s.state AS state_at FROM locations LEFT JOIN (SELECT lat, lon, min(state) AS state FROM held GROUP BY 1, 2) s USING (lat, lon)""",
+)
+def j20_states_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every site among outlines of thousands of edges, by an index of cells: edges are tried at borders only."""
+    rings = {ring: _outline(n, x, y, radius, waves) for _, ring, n, x, y, radius, waves in _OUTLINES}
+    index = areas.StateCells(spark, [("AA", [rings[0], rings[1]]), ("BB", [rings[2]])])
+    return index.locate(registry(spark, sf_dir).locations, "state_at").select("usi", "location_number", "site_seq", "state_at")
+
+
 @_query("licenses locations antennas frequencies market_blocks lease_links paths", "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("licenses", "lease_links", "locations", "antennas", "frequencies", "market_blocks", "paths")))
 def a15_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table."""

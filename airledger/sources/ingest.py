@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions.parameters import QueryError, eastern_date
 from ..operators import refresh as R
+from ..operators.areas import StateCells
 from ..operators.build import Registry, build, heads
 from . import bulk, records
 from .generations import CLUSTERED, COMPACT_SHARE, KEYS, MOST_BROADCAST, NAME_TERMS, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
@@ -37,10 +38,11 @@ def _instant(text: str) -> dt.datetime:
 class Ingest:
     """Builds and refreshes the registry of a store from a root folder with `complete` and `daily` zips.
 
-    state_at gives a site's state by its coordinates (functions.geo.state_of), for sites that file none.
+    state_at gives a site's state by its coordinates (operators.areas.StateCells, or an expression as functions.geo.state_of
+    makes), for sites that file none.
     """
 
-    def __init__(self, spark: SparkSession, store: Store, root: str, groups: list[str] | None = None, state_at: Column | None = None):
+    def __init__(self, spark: SparkSession, store: Store, root: str, groups: list[str] | None = None, state_at: Column | StateCells | None = None):
         self.spark, self.store, self.root, self.groups, self.state_at = spark, store, str(root).rstrip("/"), groups, state_at
 
     def _stage(self, kind: str, paths: list[str], times: list[str], first: int = 0) -> dict:

@@ -1,6 +1,7 @@
 """Parameters, decoding, bands, geometry and paging on small cases."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -442,6 +443,43 @@ def test_site_states_filed_and_derived(spark, tmp_path):
     assert got == {1: ("TX", False), 2: ("BB", True), 3: (None, False), 4: (None, False), 5: ("CC", True)}
 
 
+def test_states_by_cells_equal_those_by_all_edges(spark):
+    from airledger.operators.areas import StateCells
+
+    r = random.Random(5)
+    ring = lambda x, y, d, n: [(x + d * r.uniform(0.6, 1) * math.cos(2 * math.pi * i / n), y + d * r.uniform(0.6, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    polygons = [
+        ("AA", [box(-100.0, 30.0, 4.0, 3.0), box(-98.5, 31.25, 0.5, 0.75)]),  # sides on cells' sides, with a hole
+        ("BB", [ring(-97.0, 31.0, 3.0, 200), ring(-97.0, 31.0, 0.8, 9)]),  # overlaps the first
+        ("CC", [box(-93.93, 30.03, 0.1, 0.1), box(-92.93, 30.03, 0.01, 0.01)]),  # inside one cell each
+        ("DD", [[(-92.0, 28.0), (-88.0, 28.0), (-88.1, 33.0), (-90.0, 28.5), (-91.9, 33.0)]]),
+        ("EE", [ring(-0.1, 0.1, 2.0, 50)]),  # around both zeros
+    ]
+    points = [(-100 + i / 16, 27 + j / 16) for i in range(0, 210) for j in range(0, 120)]
+    points += [(r.uniform(-101, -87), r.uniform(27, 35)) for _ in range(4000)] + [(r.uniform(-3, 3), r.uniform(-3, 3)) for _ in range(2000)]
+    points += [p for _, rings in polygons for own in rings for p in own] + [(r.uniform(-93.95, -93.8), r.uniform(30, 30.15)) for _ in range(300)]
+    points += [(None, 31.0), (-99.0, None), (float("nan"), 31.0), (-99.0, float("nan")), (1e300, 31.0), (-99.0, float("-inf")), (-99.0, 30.5), (-99.0, 30.5)]
+    df = spark.createDataFrame(points, "lon double, lat double").withColumn("ix", F.lit("clash"))
+    df = df.withColumn("want", geo.state_of(F.col("lat"), F.col("lon"), polygons))
+    for cells in (1, 4, 16):
+        index = StateCells(spark, polygons, cells)
+        got = index.locate(df, "got").collect()
+        assert len(got) == len(points) and [x for x in got if x["got"] != x["want"]] == []
+        assert {x["got"] for x in got} == {"AA", "BB", "CC", "DD", "EE", None}
+    index.small = False  # a shuffle gives the same
+    assert index.locate(df, "got").where("got IS DISTINCT FROM want").count() == 0
+    assert index.locate(df, "got", where=F.col("lat") > 31).where("got IS NOT NULL AND lat <= 31").count() == 0
+    none = StateCells(spark, [])
+    assert none.locate(df, "got").where("got IS NOT NULL").count() == 0 and index.locate(df.limit(0), "got").count() == 0
+    # Few cells hold edges, and those few edges.
+    own = index.cover.selectExpr("ix", "explode(polygons) AS p").selectExpr("size(p.edges) AS n").collect()
+    assert sum(x.n == 0 for x in own) > 0.7 * len(own) and max(x.n for x in own) < 60
+    filed = spark.createDataFrame([(1, "tx", 30.5, -99.0), (2, None, 30.5, -99.0), (3, None, 0.0, -50.0)], "usi long, state string, lat double, lon double")
+    assert {x.usi: (x.site_state, x.state_derived) for x in build.with_site_state(filed, index).collect()} == {1: ("TX", False), 2: ("AA", True), 3: (None, False)}
+    assert str(StateCells(spark, polygons, 16)) == str(index) != str(StateCells(spark, polygons, 4))
+
+
 def test_limits_are_clamped(spark):
     from airledger.operators import spectrum
     from airledger.plans.virtual import registry
