@@ -194,7 +194,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     rows = stored(marked.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
     zipped = F.arrays_zip("starts", "sizes", "a", "b")
     occurring = rows.where(F.size("starts") > 0).select("__row", F.explode(zipped).alias("w")).select("__row", F.col("w.starts").alias("start"), F.col("w.sizes").alias("n"), "w.a", "w.b")
-    hits = stored(occurring.join(windows.select("n", "a", "b").distinct(), ["n", "a", "b"]), "hits")
+    # Windows with equal items are one class, named by a digest of those items: documents meet classes, not windows' items.
+    digest = lambda c: F.struct(F.count("*").alias("size"), *[F.bit_xor(F.xxhash64(c, F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)])
+    named = windows.select("n", "a", "b", "name").distinct()
+    classes = named.groupBy("n", "a", "b").agg(digest("name").alias("class"))
+    hits = stored(occurring.join(classes, ["n", "a", "b"]), "hits")
     # Hit windows of a document, in order, are one run as long as each begins before what came before it has ended.
     order = Window.partitionBy("__row").orderBy("start", "n")
     ends = hits.select("__row", "start", "n", (F.col("start") + F.col("n")).alias("end"))
@@ -202,8 +206,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     numbered = ends.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = numbered.groupBy("__row", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"))
     spans = runs.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    names = hits.select("__row", "n", "a", "b").distinct().join(windows.select("n", "a", "b", "name"), ["n", "a", "b"])
-    items = names.groupBy("__row").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    # Documents with equal classes have equal items, which are gathered once, from a window of each class.
+    met = hits.select("__row", "class").distinct()
+    kinds = met.groupBy("__row").agg(digest("class").alias("kind"))
+    seen = met.join(kinds.groupBy("kind").agg(F.min("__row").alias("__row")), "__row").select("kind", "class")
+    names = classes.groupBy("class").agg(F.min(F.struct("n", "a", "b")).alias("w")).select("class", "w.*").join(named, ["n", "a", "b"]).select("class", "name")
+    listed = seen.join(names, "class").groupBy("kind").agg(F.array_sort(F.collect_set("name")).alias("items"))
+    items = kinds.join(listed, "kind").select("__row", "items")
     none = "cast(array() AS array<struct<start: bigint, end: bigint>>)"
     out = rows.select("__row", *[f"k_{c}" for c in keep], "n_words").join(spans.join(items, "__row"), "__row", "left")
     return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], "n_words", F.coalesce("spans", F.expr(none)).alias("spans"), F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"))

@@ -138,6 +138,20 @@ def test_decontamination(spark, bits, monkeypatch):
     assert kept == sorted(x.doc_id for x in found if not x.contaminated)
 
 
+def test_decontamination_of_windows_that_many_items_share(spark):
+    passage = lambda tag: " ".join(f"{tag}{i}" for i in range(20))
+    items = [(i, passage("a")) for i in range(40)] + [(i, passage("a") + " " + passage("b")) for i in range(40, 60)]
+    items += [(60 + i, passage("c") + f" own{i} " + passage("d")) for i in range(20)] + [(3, passage("e")), (3, passage("e")), (3, passage("a"))]
+    texts = [passage("a")] * 30 + [passage("b")] * 30 + [passage("a") + " x " + passage("c"), passage("d"), passage("e"), "nothing here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names = lambda *ids: sorted(str(i) for own in ids for i in own)
+    a, b, c = names(range(60)), names(range(40, 60)), names(range(60, 80))
+    want = [a] * 30 + [b] * 30 + [sorted(a + c), c, ["3"], [], []]
+    got = {x.doc_id: list(x["items"]) for x in decontaminate.contamination(docs, bench).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_decontamination_of_one_word_over_and_over(spark):
     bench = spark.createDataFrame([(1, "word " * 1000), (2, "word " * 1000 + "end")], "item_id long, text string")
     x = decontaminate.judged(decontaminate.contamination(frame(spark, [(1, "word " * 8000, None)]), bench)).first()
