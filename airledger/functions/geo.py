@@ -46,6 +46,18 @@ def in_box(lat: Column, lon: Column, lat0: float, lon0: float, radius_km: float)
     return lat.between(south, north) & (sides if len(ranges) > 1 else lon.between(*ranges[0]))
 
 
+def curve(lat: str, lon: str, bits: int = 16) -> str:
+    """SQL of a point's place on a Z-order curve of 2 to the bits steps each way; points without coordinates come first.
+
+    Neighbours on it are neighbours on the ground in both directions, so rows in its order lie in files, row groups and
+    pages of few degrees each way, and a box's ranges of lat and lon exclude most of them.
+    """
+    last = 2**bits - 1
+    step = lambda c, low, width: f"least({last}, greatest(0, cast(floor(({c} - ({low})) * {(last + 1) / width}) AS INT)))"
+    spread = lambda c, shift: " + ".join(f"shiftleft(cast(shiftright({c}, {i}) & 1 AS BIGINT), {2 * i + shift})" for i in range(bits))
+    return f"transform(array(struct({step(lat, -90.0, 180.0)} AS y, {step(lon, -180.0, 360.0)} AS x)), p -> {spread('p.y', 1)} + {spread('p.x', 0)})[0]"
+
+
 def state_of(lat: Column, lon: Column, polygons: list[tuple[str, list[list[tuple[float, float]]]]]) -> Column:
     """The first state whose polygon holds a point, by the even-odd rule; null if none does.
 

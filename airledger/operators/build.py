@@ -11,12 +11,13 @@ from ..functions import bands
 from ..functions import columns as C
 from ..functions.codes import LIVE_STATUSES
 from .areas import StateCells
+from .assignments import SpectrumIndex
 from .textsearch import NameIndex
 
 
 @dataclass
 class Registry:
-    """The seven tables that queries read, and an index of names where there is one."""
+    """The seven tables that queries read, and indexes of names and of assignments where there are some."""
 
     licenses: DataFrame
     lease_links: DataFrame
@@ -26,11 +27,12 @@ class Registry:
     market_blocks: DataFrame
     paths: DataFrame
     names: NameIndex | None = None
+    spectrum: SpectrumIndex | None = None
 
     @classmethod
     def tables(cls) -> list[str]:
         """The names of the seven tables."""
-        return [f for f in cls.__dataclass_fields__ if f != "names"]
+        return [f for f in cls.__dataclass_fields__ if f not in ("names", "spectrum")]
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -52,10 +53,11 @@ class Page:
     keys: list[Key]
     limit: int
     binding: tuple = field(default_factory=tuple)
+    counted: Callable[[], int] | None = None
 
     def total(self) -> int:
         """The exact number of rows of all pages."""
-        return self.all_rows.count()
+        return self.all_rows.count() if self.counted is None else self.counted()
 
     def next_cursor(self) -> str | None:
         """A cursor if another row follows; collects at most one page of keys."""
@@ -66,7 +68,7 @@ class Page:
 def page(df: DataFrame, keys: list[Key], limit: int, binding: tuple = (), cursor: str | None = None) -> Page:
     """The page of df that follows a cursor; the total counts every page."""
     rows = df.where(after(keys, decode(binding, cursor, len(keys)))) if cursor else df
-    return Page(rows.orderBy(*[k.order() for k in keys]).limit(limit), rows, keys, limit, binding)
+    return Page(rows.orderBy(*[k.order() for k in keys]).limit(limit), rows, keys, limit, binding, df.count)
 
 
 def digest(parameters: dict) -> str:

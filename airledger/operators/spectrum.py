@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, codes, parameters
 from ..functions import columns as C
-from . import paging, reference, textsearch
+from . import assignments, paging, reference, textsearch
+from .assignments import HEAD
 from .build import Registry
 from .licences import equality_filters
 from .redact import redact
 
-HEAD = ["usi", "callsign", "license_status", "radio_service_code", "licensee_name", "frn", "market_code", "is_individual"]
-
 
 @dataclass(frozen=True)
 class SpectrumSearch:
@@ -170,7 +169,26 @@ def page_binding(search: SpectrumSearch, generation: str = "", county_prefix: st
     return generation, "f", paging.digest(asked if county_prefix is None else asked | {"county_prefix": county_prefix})
 
 
+def entries(registry: Registry) -> DataFrame:
+    """The rows of an index of a registry's assignments."""
+    return assignments.entries(registry.licenses, registry.frequencies, site_summary(registry.locations), collapse_blocks(registry.market_blocks))
+
+
 def frequency_page(registry: Registry, search: SpectrumSearch, limit: int = 50, cursor: str | None = None, generation: str = "", redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> paging.Page:
-    """A page of search_frequencies with an exact total."""
-    binding = page_binding(search, generation, county_prefix)
-    return paging.page(search_frequencies(registry, search, redaction, area_states, county_prefix), ORDER, parameters.clamp(limit, 200), binding, cursor)
+    """A page of search_frequencies with an exact total.
+
+    With an index, a search of neither state nor licensee reads no more than the page's range of frequencies, and its
+    total the rows of two bins.
+    """
+    binding, limit = page_binding(search, generation, county_prefix), parameters.clamp(limit, 200)
+    asked, index = search.normalised(), registry.spectrum
+    if index is None or asked.state is not None or asked.licensee is not None:
+        return paging.page(search_frequencies(registry, search, redaction, area_states, county_prefix), ORDER, limit, binding, cursor)
+    reference.require_indexed(registry, asked.radio_service)
+    start = paging.decode(binding, cursor, len(ORDER))[0] if cursor else None
+    if not isinstance(start, int | float | None):
+        raise parameters.QueryError("invalid_cursor")
+    rows = assignments.found(index, asked, start, assignments.page_end(index, asked, start, limit))
+    made = paging.page(redact(rows.withColumn("service_label", C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)), redaction), ORDER, limit, binding, cursor)
+    made.counted = lambda: assignments.total(index, asked)
+    return made

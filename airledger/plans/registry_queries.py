@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, codes, geo
 from ..functions import columns as C
-from ..operators import areas, build, detail, licences, markets, paging, reference, refresh, spectrum, textsearch, transmitters
+from ..operators import areas, assignments, build, detail, licences, markets, paging, reference, refresh, spectrum, textsearch, transmitters
 from ..sources.scratch import shared_dir
 from .virtual import base_tables, registry, with_views
 
@@ -364,6 +364,46 @@ def q4_page_after_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.rows.select("kind", "frequency_mhz", "usi", "location_key", "upper_key")
 
 
+@_query(
+    "licenses locations frequencies market_blocks",
+    f"""--more
+{_BANDS}, {_SITE_SIDE}, {_MARKET_SIDE}
+SELECT kind, frequency_mhz, usi, location_key, upper_key, bandwidth_mhz, erp_w, class_stations, emissions, partition_areas, site_count, lat, callsign FROM (
+  SELECT 'site' AS kind, frequency_mhz, usi, location_number::BIGINT AS location_key, coalesce(upper_mhz, 0) AS upper_key, bandwidth_mhz, erp_w, class_stations, emissions, '' AS partition_areas, coalesce(site_count, 0) AS site_count, lat FROM site LEFT JOIN numbers USING (usi, location_number)
+  UNION ALL SELECT 'market', lower, usi, 0, coalesce(upper, 0), NULL, NULL, '', '', partition_areas, NULL, NULL FROM market) JOIN licenses USING (usi) WHERE license_status IN ('A', 'L', 'X')""",
+)
+def q4_search_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of a spectrum search with all their values, from an index of assignments."""
+    index = _spectrum_index(spark, registry(spark, sf_dir))
+    found = assignments.found(index, spectrum.SpectrumSearch(905, 915, status="any").normalised())
+    return found.select("kind", "frequency_mhz", "usi", "location_key", "upper_key", "bandwidth_mhz", "erp_w", _joined("class_stations"), _joined("emissions"), _joined("partition_areas"), "site_count", "lat", "callsign")
+
+
+@_query(
+    "licenses frequencies market_blocks",
+    f"""--more
+{_BANDS}, {_SITE_SIDE.split("), numbers")[0]}), {_MARKET_SIDE}, every AS (
+  SELECT 'site' AS kind, 1 AS o, frequency_mhz, usi, location_number::BIGINT AS location_key, coalesce(upper_mhz, 0) AS upper_key FROM site JOIN licenses USING (usi) WHERE license_status = 'A'
+  UNION ALL SELECT 'market', 0, lower, usi, 0, coalesce(upper, 0) FROM market JOIN licenses USING (usi) WHERE license_status = 'A')
+SELECT kind, frequency_mhz, usi, location_key, upper_key, (SELECT count(*) FROM every) AS total FROM every WHERE frequency_mhz > 910 ORDER BY frequency_mhz, o, usi, location_key, upper_key LIMIT 50""",
+)
+def q4_page_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page (the feature's 50 rows) after a cursor and the total of all pages, from an index of assignments and its counts."""
+    r, search = registry(spark, sf_dir), spectrum.SpectrumSearch(905, 915)
+    r.spectrum = _spectrum_index(spark, r)
+    made = spectrum.frequency_page(r, search, cursor=paging.encode(spectrum.page_binding(search, "g"), [910.0, 2, 0, 0, 0.0]), generation="g")
+    return made.rows.select("kind", "frequency_mhz", "usi", "location_key", "upper_key", F.lit(made.total()).alias("total"))
+
+
+def _spectrum_index(spark: SparkSession, r: build.Registry) -> assignments.SpectrumIndex:
+    """An index of a registry's assignments, written in its order."""
+    path, made = f"{shared_dir(spark)}/airledger-spectrum/{uuid.uuid4().hex}", spectrum.entries(r)
+    made.repartitionByRange(*assignments.KEPT).sortWithinPartitions(*assignments.KEPT).write.parquet(f"{path}/entries")
+    rows = spark.read.schema(made.schema).parquet(f"{path}/entries")
+    assignments.counted(rows).repartitionByRange(1, "edge", "bin").sortWithinPartitions("edge", "bin").write.parquet(f"{path}/counts")
+    return assignments.SpectrumIndex(rows, spark.read.schema(assignments.COUNTS_SCHEMA).parquet(f"{path}/counts"))
+
+
 @_query(
     "licenses locations",
     """SELECT usi, market_code FROM licenses WHERE NOT coalesce(market_code LIKE 'NW%', false) AND NOT coalesce(market_code = 'BTA011', false)

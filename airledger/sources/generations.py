@@ -26,19 +26,25 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.parameters import QueryError
+from ..operators import assignments, spectrum
 from ..operators.build import Registry
 from ..operators.textsearch import NameIndex, postings
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 NAME_SCHEMA = "term string, usi long, len int, positions array<int>"
 _NAME = re.compile(r"generation-[0-9]{8}T[0-9]{6}Z(-[0-9]+)?")
-#: How each table is ordered within its files, so that their statistics prune what a query's ranges exclude.
-CLUSTERED = {"licenses": ["usi"], "lease_links": ["parent_usi"], "locations": ["lat", "usi"], "antennas": ["usi"], "frequencies": ["band_class", "occ_low"], "market_blocks": ["band_class", "lower"], "paths": ["usi"]}
+#: How each table is ordered within its files, so that their statistics prune what a query's ranges exclude; sites by a
+#: curve through both coordinates, as a box is a short range of either.
+CLUSTERED = {"licenses": ["usi"], "lease_links": ["parent_usi"], "locations": [geo.curve("lat", "lon"), "usi"], "antennas": ["usi"], "frequencies": ["band_class", "occ_low"], "market_blocks": ["band_class", "lower"], "paths": ["usi"]}
 #: The index of names, kept beside the tables; it is made of the licences of the same folder.
 NAME_TERMS, NAME_ORDER = "name_terms", ["term", "usi"]
+#: The assignments of the same folder's rows, and counts of all buckets' by bin, which have no delta.
+ENTRIES, COUNTS = "spectrum_entries", "spectrum_counts"
+DERIVED = {NAME_TERMS: NAME_ORDER, ENTRIES: assignments.KEPT, COUNTS: ["edge", "bin"]}
 #: The licence that a row belongs to, by which it is replaced.
-KEYS = {t: "lease_usi" if t == "lease_links" else "usi" for t in [*CLUSTERED, NAME_TERMS]}
+KEYS = {t: "lease_usi" if t == "lease_links" else "usi" for t in [*CLUSTERED, NAME_TERMS, ENTRIES]}
 #: A bucket is rewritten when its delta replaces over one in so many of its licences.
 COMPACT_SHARE = 10
 #: Keys of changed licences that are broadcast at most (8 bytes each); more meet the base rows by a shuffle.
@@ -184,10 +190,12 @@ class Store:
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         def one(table: str) -> dict[str, dict]:
-            order = NAME_ORDER if table == NAME_TERMS else CLUSTERED.get(table, [keys[table]])
-            rows = tables[table].withColumn("bucket", bucket_of(keys[table], self.buckets))
-            rows.repartitionByRange(n, "bucket", *order).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
-            schema = rows.schema  # an empty table has no files to tell it
+            own = tables[table] if table == COUNTS else tables[table].withColumn("bucket", bucket_of(keys[table], self.buckets))
+            # What isn't a column is computed once, not at every comparison.
+            by = {c if c in own.columns else f"__by{i}": c for i, c in enumerate((CLUSTERED | DERIVED).get(table) or [keys[table]])}
+            rows = own.withColumns({name: F.expr(c) for name, c in by.items() if name != c})
+            rows.repartitionByRange(n, "bucket", *by).sortWithinPartitions("bucket", *by).select(*own.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{folder}/{table}")
+            schema = own.schema  # an empty table has no files to tell it
             found = content(self.spark.read.schema(schema).parquet(f"{self.root}/{folder}/{table}"), "bucket").collect()
             return {str(r["bucket"]): {"folder": f"{folder}/{table}/bucket={r['bucket']}", "rows": r["rows"], "digest": r["digest"]} for r in found}
 
@@ -195,10 +203,10 @@ class Store:
             return dict(zip(tables, pool.map(one, tables), strict=True))
 
     def write_tables(self, tables: dict[str, DataFrame], folder: str, files: int | None = None) -> dict[str, dict[str, dict]]:
-        """Writes the tables of a registry, and others, and then the index of the names of what was written."""
+        """Writes the tables of a registry, and others, and then the indexes of names and assignments of what was written."""
         made = self.write_parts(tables, folder, files, KEYS | {t: "usi" for t in tables if t not in KEYS})
-        licences = self.read_parts([Part(**p) for p in made["licenses"].values()], tables["licenses"].schema)
-        return made | self.write_parts({NAME_TERMS: postings(licences, "usi", "licensee_name")}, folder, files)
+        written = Registry(**{t: self.read_parts([Part(**p) for p in made[t].values()], tables[t].schema) for t in CLUSTERED})
+        return made | self.write_parts({NAME_TERMS: postings(written.licenses, "usi", "licensee_name"), ENTRIES: spectrum.entries(written)}, folder, files)
 
     def counted_names(self, manifest: Manifest, only: set[str] | None = None) -> dict[str, list[int]]:
         """What Manifest.names holds, of all buckets or some, from their rows of no term."""
@@ -206,12 +214,19 @@ class Store:
         found = own.groupBy(bucket_of("usi", self.buckets).alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col("len") > 0).alias("named"), F.sum("len").cast("long").alias("terms"))
         return {str(r["b"]): [r["n"], r["named"], r["terms"]] for r in found.collect()}
 
+    def write_counts(self, manifest: Manifest, schema, folder: str, only: set[str] | None = None) -> dict[str, dict]:
+        """Writes the counts of all buckets' assignments, or some; reads six narrow columns of them."""
+        rows = self.merged(ENTRIES, manifest, schema, only).withColumn("bucket", bucket_of("usi", self.buckets))
+        return self.write_parts({COUNTS: assignments.counted(rows, "bucket")}, folder, 1)[COUNTS]
+
     def write(self, registry: Registry, manifest: Manifest, files: int | None = None) -> Manifest:
         """Writes a generation whose base is a registry; it isn't published yet."""
         tables = {t: getattr(registry, t) for t in CLUSTERED}
         parts = self.write_tables(tables, f"parts/{manifest.name}", files)
         manifest.base = {t: {b: Part(**p) for b, p in by.items()} for t, by in parts.items()}
         manifest.names = self.counted_names(manifest)
+        counts = self.write_counts(manifest, self.all_schemas({t: df.schema for t, df in tables.items()})[ENTRIES], f"parts/{manifest.name}")
+        manifest.base[COUNTS] = {b: Part(**p) for b, p in counts.items()}
         return self.seal(manifest, {t: df.schema.json() for t, df in tables.items()})
 
     def seal(self, manifest: Manifest, schemas: dict[str, str] | None = None) -> Manifest:
@@ -235,7 +250,12 @@ class Store:
         text = self._read(f"{manifest.built}/schemas.json")
         if text is None:
             raise QueryError("bad_pointer", manifest.built)
-        return {t: StructType.fromJson(json.loads(s)) for t, s in json.loads(text).items()} | {NAME_TERMS: self.spark.createDataFrame([], NAME_SCHEMA).schema}
+        return self.all_schemas({t: StructType.fromJson(json.loads(s)) for t, s in json.loads(text).items()})
+
+    def all_schemas(self, tables: dict) -> dict:
+        """The tables' schemas and those of what is derived of them."""
+        empty = lambda schema: self.spark.createDataFrame([], schema)
+        return tables | {NAME_TERMS: empty(NAME_SCHEMA).schema, COUNTS: empty(assignments.COUNTS_SCHEMA).schema, ENTRIES: spectrum.entries(Registry(**{t: empty(tables[t]) for t in CLUSTERED})).schema}
 
     def read_parts(self, parts: list[Part], schema) -> DataFrame:
         """The rows of parts."""
@@ -261,7 +281,8 @@ class Store:
         manifest = self.manifest(name) if name else self.current()
         schemas = self.schemas(manifest)
         names = NameIndex(self.merged(NAME_TERMS, manifest, schemas[NAME_TERMS]), *(sum(v[i] for v in manifest.names.values()) for i in range(3)))
-        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED}, names=names)
+        index = assignments.SpectrumIndex(self.merged(ENTRIES, manifest, schemas[ENTRIES]), self.read_parts([p for _, p in sorted(manifest.base.get(COUNTS, {}).items())], schemas[COUNTS]))
+        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED}, names=names, spectrum=index)
 
     def damaged(self, manifest: Manifest) -> list[str]:
         """Parts whose rows are no longer those that were written: by count or, where counts agree, by digest."""

@@ -8,10 +8,12 @@ so a run that breaks goes on with what is still true of the feed, and does again
 from __future__ import annotations
 
 import datetime as dt
+import json
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import codes
 from ..functions.parameters import QueryError, eastern_date
@@ -19,11 +21,11 @@ from ..operators import refresh as R
 from ..operators.areas import StateCells
 from ..operators.build import Registry, build, heads
 from . import bulk, records
-from .generations import CLUSTERED, COMPACT_SHARE, KEYS, MOST_BROADCAST, NAME_TERMS, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
+from .generations import CLUSTERED, COMPACT_SHARE, COUNTS, ENTRIES, KEYS, MOST_BROADCAST, NAME_TERMS, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
 
 
 #: What a folder of parts holds.
-TABLES = (*CLUSTERED, NAME_TERMS)
+TABLES = (*CLUSTERED, NAME_TERMS, ENTRIES)
 
 
 def iso(at: dt.datetime) -> str:
@@ -135,6 +137,9 @@ class Ingest:
         base = {t: {b: Part(**p) for b, p in by.items()} for t, by in made["parts"].items()}
         manifest = Manifest(name, order, min(stats["created"]) if stats["created"] else min(times.values()), snapshots=times, lines=stats["lines"], loaded=stats["loaded"], services=stats["services"], staged=folders, base=base)
         manifest.names = self.store.counted_names(manifest)
+        schemas = self.store.all_schemas({t: StructType.fromJson(json.loads(s)) for t, s in made["schemas"].items()})
+        counts = self.store.step("edges", inputs, lambda folder: self.store.write_counts(manifest, schemas[ENTRIES], folder))
+        manifest.base[COUNTS] = {b: Part(**p) for b, p in counts.items()}
         self.store.seal(manifest, made["schemas"])
         self.store.publish(name)
         self.store.collect_garbage({held.name} if held and held.schema_version == manifest.schema_version else set())
@@ -236,6 +241,8 @@ class Ingest:
         new.delta = {t: merged(manifest.delta.get(t, {}), parts[t]) for t in TABLES}
         new.touched = merged(manifest.touched, parts["touched"])
         new.names = {b: n for b, n in manifest.names.items() if b not in hit} | self.store.counted_names(new, hit)
+        counts = self.store.step("edges", [inputs, sorted(hit)], lambda folder: self.store.write_counts(new, schemas[ENTRIES], folder, hit))
+        new.base = new.base | {COUNTS: merged(manifest.base.get(COUNTS, {}), {b: Part(**p) for b, p in counts.items()})}
         return self._compacted(new, schemas, inputs)
 
     def _kept(self, df: DataFrame, at: str) -> DataFrame:
@@ -255,7 +262,7 @@ class Ingest:
 
         made = self.store.step("compact", [inputs, sorted(due)], make)
         without = lambda by: {b: p for b, p in by.items() if b not in due}
-        manifest.base = {t: without(manifest.base.get(t, {})) | {b: Part(**p) for b, p in made[t].items()} for t in TABLES}
+        manifest.base = manifest.base | {t: without(manifest.base.get(t, {})) | {b: Part(**p) for b, p in made[t].items()} for t in TABLES}
         manifest.delta, manifest.touched = {t: without(by) for t, by in manifest.delta.items()}, without(manifest.touched)
         return manifest
 
