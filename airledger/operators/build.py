@@ -17,7 +17,7 @@ from .textsearch import NameIndex
 
 @dataclass
 class Registry:
-    """The seven tables that queries read, and indexes of names and of assignments where there are some."""
+    """The seven tables that queries read, and where there are some, indexes of names and assignments and counts of sites by cell."""
 
     licenses: DataFrame
     lease_links: DataFrame
@@ -28,11 +28,12 @@ class Registry:
     paths: DataFrame
     names: NameIndex | None = None
     spectrum: SpectrumIndex | None = None
+    site_cells: DataFrame | None = None
 
     @classmethod
     def tables(cls) -> list[str]:
         """The names of the seven tables."""
-        return [f for f in cls.__dataclass_fields__ if f not in ("names", "spectrum")]
+        return [f for f in cls.__dataclass_fields__ if f not in ("names", "spectrum", "site_cells")]
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

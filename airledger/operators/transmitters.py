@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,21 +65,58 @@ def frequency_rows(frequencies: DataFrame) -> DataFrame:
     )
 
 
-def sites_in_radius(registry: Registry, search: RadiusSearch) -> DataFrame:
+#: Degrees of a cell of sites that are counted: a million cells at most, however many sites there are.
+CELL = 0.25
+
+
+def sites_by_cell(locations: DataFrame, licences: DataFrame, *by: str) -> DataFrame:
+    """y, x, license_status and n: how many sites of live licences lie in each cell of a quarter degree."""
+    live = licences.where(F.col("license_status").isin(*codes.LIVE_STATUSES)).select("usi", "license_status")
+    cells = {c: F.floor(F.col(at) / CELL).cast("int") for c, at in (("y", "lat"), ("x", "lon"))}
+    each = locations.where("lat IS NOT NULL AND lon IS NOT NULL").join(live, "usi").withColumns(cells)
+    return each.groupBy(*by, "y", "x", "license_status").agg(F.count("*").alias("n"))
+
+
+def ring(cells: DataFrame, search: RadiusSearch, limit: int, start: float = 0.0) -> float | None:
+    """A radius within which more than limit sites lie at a distance of start or more; None where counts can't tell.
+
+    No point of a cell is farther from its centre than its farthest corner, so a cell lies whole between two circles. Cells
+    are taken by the outer one, as many as there are rows on a page at most.
+    """
+    if search.band is not None or any((search.radio_service, search.location_type, search.location_class)):
+        return None
+    (south, north), sides = geo.box(search.lat, search.lon, search.radius_km)
+    near = F.col("y").between(math.floor(south / CELL), math.floor(north / CELL))
+    near = near & reduce(lambda a, b: a | b, [F.col("x").between(math.floor(w / CELL), math.floor(e / CELL)) for w, e in sides])
+    held = cells.where(near if search.status == "any" else near & (F.col("license_status") == search.status)).groupBy("y", "x").agg(F.sum("n").alias("n"))
+    corner, centre = (lambda c, by: (F.col(c) + by) * CELL), lambda c: (F.col(c) + 0.5) * CELL
+    reach = F.greatest(*[geo.distance_km(corner("y", i), corner("x", 0), centre("y"), centre("x")) for i in (0, 1)]) * (1 + 1e-9)
+    away = geo.distance_km(centre("y"), centre("x"), search.lat, search.lon)
+    whole = held.select("n", (away + reach).alias("outer"), (away - reach).alias("inner")).where((F.col("inner") >= start) | F.lit(start <= 0)).where(F.col("outer") <= search.radius_km)
+    seen = 0
+    for r in whole.orderBy("outer").limit(limit + 1).collect():
+        seen += r.n
+        if seen > limit:
+            return r.outer * (1 + 1e-9)
+    return None
+
+
+def sites_in_radius(registry: Registry, search: RadiusSearch, within: float | None = None) -> DataFrame:
     """Sites within the radius with their licence's head and distance_km (unrounded), before any page.
 
     The bounding box is plain ranges, which reach the scan; the exact distance is computed for what is left. With a
     band, a site stays if its location number has an overlapping frequency: a semi-join, so nothing is multiplied.
-    Raises what normalised does, and unknown_radio_service or service_not_indexed.
+    within: a lesser radius in km, beyond which nothing is needed. Raises what normalised does, and unknown_radio_service or service_not_indexed.
     """
     search = search.normalised()
     reference.require_indexed(registry, search.radio_service)
-    where = geo.in_box(F.col("lat"), F.col("lon"), search.lat, search.lon, search.radius_km)
+    radius = search.radius_km if within is None else min(within, search.radius_km)
+    where = geo.in_box(F.col("lat"), F.col("lon"), search.lat, search.lon, radius)
     sites = registry.locations.where(where)
     for column, value in (("location_type", search.location_type), ("location_class", search.location_class)):
         if value is not None:
             sites = sites.where(F.col(column) == value)
-    sites = sites.withColumn("distance_km", geo.distance_km(F.col("lat"), F.col("lon"), search.lat, search.lon)).where(F.col("distance_km") <= search.radius_km)
+    sites = sites.withColumn("distance_km", geo.distance_km(F.col("lat"), F.col("lon"), search.lat, search.lon)).where(F.col("distance_km") <= radius)
     if search.band is not None:
         hit = registry.frequencies.where(F.col("frequency_mhz").isNotNull() & bands.overlaps(F.col("occ_low"), F.col("occ_high"), search.band))
         sites = sites.join(hit.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
@@ -103,10 +142,21 @@ def with_frequencies(sites: DataFrame, frequencies: DataFrame, per_site: int = 1
 
 
 def find_transmitters(registry: Registry, search: RadiusSearch, limit: int = 25, per_site: int = 10, cursor: str | None = None, generation: str = "", redaction: bool = True) -> paging.Page:
-    """A page of sites by distance; shown distances are rounded to metres, the order is that of unrounded ones."""
-    search = search.normalised()
-    sites = sites_in_radius(registry, search)
-    made = paging.page(sites, ORDER, parameters.clamp(limit, 100), (generation, "t", paging.digest(asdict(search))), cursor)
+    """A page of sites by distance; shown distances are rounded to metres, the order is that of unrounded ones.
+
+    With counts of sites by cell, a search without further filters reads the ring that holds the page, whatever radius is
+    asked; the total is that of the whole radius.
+    """
+    search, limit = search.normalised(), parameters.clamp(limit, 100)
+    binding = generation, "t", paging.digest(asdict(search))
+    start = paging.decode(binding, cursor, len(ORDER))[0] if cursor else 0.0
+    if not isinstance(start, int | float):
+        raise parameters.QueryError("invalid_cursor")
+    within = ring(registry.site_cells, search, limit, start) if registry.site_cells is not None else None
+    sites = sites_in_radius(registry, search, within)
+    made = paging.page(sites, ORDER, limit, binding, cursor)
+    if within is not None:
+        made.counted = lambda: sites_in_radius(registry, search).count()
     shown = with_frequencies(made.rows, registry.frequencies, parameters.clamp(per_site, 50), search.band).orderBy(*[k.order() for k in ORDER])
     made.rows = redact(shown.withColumns({"distance_km": F.round("distance_km", 3), "asr_number": C.asr_number(F.col("asr_number")) if "asr_number" in sites.columns else F.lit(None).cast("string"), "service_label": C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)}), redaction)
     return made

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.parameters import QueryError
-from ..operators import assignments, spectrum
+from ..operators import assignments, spectrum, transmitters
 from ..operators.build import Registry
 from ..operators.textsearch import NameIndex, postings
 
@@ -40,9 +40,11 @@ _NAME = re.compile(r"generation-[0-9]{8}T[0-9]{6}Z(-[0-9]+)?")
 CLUSTERED = {"licenses": ["usi"], "lease_links": ["parent_usi"], "locations": [geo.curve("lat", "lon"), "usi"], "antennas": ["usi"], "frequencies": ["band_class", "occ_low"], "market_blocks": ["band_class", "lower"], "paths": ["usi"]}
 #: The index of names, kept beside the tables; it is made of the licences of the same folder.
 NAME_TERMS, NAME_ORDER = "name_terms", ["term", "usi"]
-#: The assignments of the same folder's rows, and counts of all buckets' by bin, which have no delta.
-ENTRIES, COUNTS = "spectrum_entries", "spectrum_counts"
-DERIVED = {NAME_TERMS: NAME_ORDER, ENTRIES: assignments.KEPT, COUNTS: ["edge", "bin"]}
+#: The assignments of the same folder's rows; counts of them by bin and of sites by cell, which have no delta, as those of a
+#: bucket are made anew.
+ENTRIES, COUNTS, SITE_CELLS = "spectrum_entries", "spectrum_counts", "site_cells"
+COUNTED = {COUNTS: assignments.COUNTS_SCHEMA, SITE_CELLS: "y int, x int, license_status string, n long"}
+DERIVED = {NAME_TERMS: NAME_ORDER, ENTRIES: assignments.KEPT, COUNTS: ["edge", "bin"], SITE_CELLS: ["y", "x"]}
 #: The licence that a row belongs to, by which it is replaced.
 KEYS = {t: "lease_usi" if t == "lease_links" else "usi" for t in [*CLUSTERED, NAME_TERMS, ENTRIES]}
 #: A bucket is rewritten when its delta replaces over one in so many of its licences.
@@ -190,7 +192,7 @@ class Store:
         n = files or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         def one(table: str) -> dict[str, dict]:
-            own = tables[table] if table == COUNTS else tables[table].withColumn("bucket", bucket_of(keys[table], self.buckets))
+            own = tables[table] if table in COUNTED else tables[table].withColumn("bucket", bucket_of(keys[table], self.buckets))
             # What isn't a column is computed once, not at every comparison.
             by = {c if c in own.columns else f"__by{i}": c for i, c in enumerate((CLUSTERED | DERIVED).get(table) or [keys[table]])}
             rows = own.withColumns({name: F.expr(c) for name, c in by.items() if name != c})
@@ -214,10 +216,10 @@ class Store:
         found = own.groupBy(bucket_of("usi", self.buckets).alias("b")).agg(F.count("*").alias("n"), F.count_if(F.col("len") > 0).alias("named"), F.sum("len").cast("long").alias("terms"))
         return {str(r["b"]): [r["n"], r["named"], r["terms"]] for r in found.collect()}
 
-    def write_counts(self, manifest: Manifest, schema, folder: str, only: set[str] | None = None) -> dict[str, dict]:
-        """Writes the counts of all buckets' assignments, or some; reads six narrow columns of them."""
-        rows = self.merged(ENTRIES, manifest, schema, only).withColumn("bucket", bucket_of("usi", self.buckets))
-        return self.write_parts({COUNTS: assignments.counted(rows, "bucket")}, folder, 1)[COUNTS]
+    def write_counts(self, manifest: Manifest, schemas: dict, folder: str, only: set[str] | None = None) -> dict[str, dict[str, dict]]:
+        """Writes the counts of all buckets, or some; reads a few narrow columns of three tables."""
+        rows = {t: self.merged(t, manifest, schemas[t], only).withColumn("bucket", bucket_of("usi", self.buckets)) for t in (ENTRIES, "locations", "licenses")}
+        return self.write_parts({COUNTS: assignments.counted(rows[ENTRIES], "bucket"), SITE_CELLS: transmitters.sites_by_cell(rows["locations"], rows["licenses"], "bucket")}, folder, 1)
 
     def write(self, registry: Registry, manifest: Manifest, files: int | None = None) -> Manifest:
         """Writes a generation whose base is a registry; it isn't published yet."""
@@ -225,8 +227,8 @@ class Store:
         parts = self.write_tables(tables, f"parts/{manifest.name}", files)
         manifest.base = {t: {b: Part(**p) for b, p in by.items()} for t, by in parts.items()}
         manifest.names = self.counted_names(manifest)
-        counts = self.write_counts(manifest, self.all_schemas({t: df.schema for t, df in tables.items()})[ENTRIES], f"parts/{manifest.name}")
-        manifest.base[COUNTS] = {b: Part(**p) for b, p in counts.items()}
+        counts = self.write_counts(manifest, self.all_schemas({t: df.schema for t, df in tables.items()}), f"parts/{manifest.name}")
+        manifest.base |= {t: {b: Part(**p) for b, p in by.items()} for t, by in counts.items()}
         return self.seal(manifest, {t: df.schema.json() for t, df in tables.items()})
 
     def seal(self, manifest: Manifest, schemas: dict[str, str] | None = None) -> Manifest:
@@ -255,7 +257,7 @@ class Store:
     def all_schemas(self, tables: dict) -> dict:
         """The tables' schemas and those of what is derived of them."""
         empty = lambda schema: self.spark.createDataFrame([], schema)
-        return tables | {NAME_TERMS: empty(NAME_SCHEMA).schema, COUNTS: empty(assignments.COUNTS_SCHEMA).schema, ENTRIES: spectrum.entries(Registry(**{t: empty(tables[t]) for t in CLUSTERED})).schema}
+        return tables | {NAME_TERMS: empty(NAME_SCHEMA).schema, **{t: empty(c).schema for t, c in COUNTED.items()}, ENTRIES: spectrum.entries(Registry(**{t: empty(tables[t]) for t in CLUSTERED})).schema}
 
     def read_parts(self, parts: list[Part], schema) -> DataFrame:
         """The rows of parts."""
@@ -281,8 +283,9 @@ class Store:
         manifest = self.manifest(name) if name else self.current()
         schemas = self.schemas(manifest)
         names = NameIndex(self.merged(NAME_TERMS, manifest, schemas[NAME_TERMS]), *(sum(v[i] for v in manifest.names.values()) for i in range(3)))
-        index = assignments.SpectrumIndex(self.merged(ENTRIES, manifest, schemas[ENTRIES]), self.read_parts([p for _, p in sorted(manifest.base.get(COUNTS, {}).items())], schemas[COUNTS]))
-        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED}, names=names, spectrum=index)
+        counts = {t: self.read_parts([p for _, p in sorted(manifest.base.get(t, {}).items())], schemas[t]) for t in COUNTED}
+        index = assignments.SpectrumIndex(self.merged(ENTRIES, manifest, schemas[ENTRIES]), counts[COUNTS])
+        return Registry(**{t: self.merged(t, manifest, schemas[t]) for t in CLUSTERED}, names=names, spectrum=index, site_cells=counts[SITE_CELLS])
 
     def damaged(self, manifest: Manifest) -> list[str]:
         """Parts whose rows are no longer those that were written: by count or, where counts agree, by digest."""

@@ -21,7 +21,7 @@ from ..operators import refresh as R
 from ..operators.areas import StateCells
 from ..operators.build import Registry, build, heads
 from . import bulk, records
-from .generations import CLUSTERED, COMPACT_SHARE, COUNTS, ENTRIES, KEYS, MOST_BROADCAST, NAME_TERMS, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
+from .generations import CLUSTERED, COMPACT_SHARE, COUNTED, ENTRIES, KEYS, MOST_BROADCAST, NAME_TERMS, Manifest, Part, Store, bucket_of, content, data_as_of, needs_rebuild
 
 
 #: What a folder of parts holds.
@@ -138,8 +138,8 @@ class Ingest:
         manifest = Manifest(name, order, min(stats["created"]) if stats["created"] else min(times.values()), snapshots=times, lines=stats["lines"], loaded=stats["loaded"], services=stats["services"], staged=folders, base=base)
         manifest.names = self.store.counted_names(manifest)
         schemas = self.store.all_schemas({t: StructType.fromJson(json.loads(s)) for t, s in made["schemas"].items()})
-        counts = self.store.step("edges", inputs, lambda folder: self.store.write_counts(manifest, schemas[ENTRIES], folder))
-        manifest.base[COUNTS] = {b: Part(**p) for b, p in counts.items()}
+        counts = self.store.step("edges", inputs, lambda folder: self.store.write_counts(manifest, schemas, folder))
+        manifest.base |= {t: {b: Part(**p) for b, p in by.items()} for t, by in counts.items()}
         self.store.seal(manifest, made["schemas"])
         self.store.publish(name)
         self.store.collect_garbage({held.name} if held and held.schema_version == manifest.schema_version else set())
@@ -241,8 +241,8 @@ class Ingest:
         new.delta = {t: merged(manifest.delta.get(t, {}), parts[t]) for t in TABLES}
         new.touched = merged(manifest.touched, parts["touched"])
         new.names = {b: n for b, n in manifest.names.items() if b not in hit} | self.store.counted_names(new, hit)
-        counts = self.store.step("edges", [inputs, sorted(hit)], lambda folder: self.store.write_counts(new, schemas[ENTRIES], folder, hit))
-        new.base = new.base | {COUNTS: merged(manifest.base.get(COUNTS, {}), {b: Part(**p) for b, p in counts.items()})}
+        counts = self.store.step("edges", [inputs, sorted(hit)], lambda folder: self.store.write_counts(new, schemas, folder, hit))
+        new.base = new.base | {t: merged(manifest.base.get(t, {}), {b: Part(**p) for b, p in counts[t].items()}) for t in COUNTED}
         return self._compacted(new, schemas, inputs)
 
     def _kept(self, df: DataFrame, at: str) -> DataFrame:

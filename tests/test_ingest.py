@@ -396,7 +396,7 @@ def test_runs_that_break_after_every_step(spark, tmp_path, feed):
                 break
             except RuntimeError:
                 pass
-    assert len(seen) == 10 and {k for k, _ in seen} == {"stage", "records", "build", "counts", "daily", "heads", "delta", "compact"}
+    assert len(seen) == 12 and {k for k, _ in seen} == {"stage", "records", "build", "counts", "daily", "heads", "delta", "edges", "compact"}
     assert lost.verify() == [] and state(lost.store) == state(whole.store)
 
 
