@@ -75,13 +75,19 @@ def dms_text(parts: list[Column]) -> Column:
     return F.when(parts[0].isNotNull() | parts[1].isNotNull() | parts[2].isNotNull(), shown)
 
 
+#: A designator's first four characters: three digits, and the letter that is point and unit anywhere among them.
+_DESIGNATOR = "^(?:[HKMG][0-9]{3}|[0-9][HKMG][0-9]{2}|[0-9]{2}[HKMG][0-9]|[0-9]{3}[HKMG])$"
+
+
 def emission_mhz(designator: Column) -> Column:
-    """Necessary bandwidth of an emission designator: three digits around a letter that is point and unit."""
-    head = F.substring(F.upper(text(designator)), 1, 4)
-    left, letter, right = (F.regexp_extract(head, r"^([0-9]*)([HKMG])([0-9]*)$", i) for i in (1, 2, 3))
-    value = F.concat(F.when(left == "", "0").otherwise(left), F.lit("."), F.when(right == "", "0").otherwise(right)).try_cast("double")
-    scaled = F.when(letter == "H", value / 1e6).when(letter == "K", value / 1e3).when(letter == "M", value).when(letter == "G", value * 1e3)
-    return F.when(F.length(left) + F.length(right) == 3, scaled)
+    """Necessary bandwidth of an emission designator: three digits around a letter that is point and unit.
+
+    One pattern is tested, and letter and digits are told by translation, as each further pattern would be run for each row.
+    """
+    head = F.substring(F.upper(F.btrim(designator, F.lit(WHITE))), 1, 4)
+    value, letter = F.translate(head, "HKMG", "....").try_cast("double"), F.translate(head, "0123456789", "")
+    scaled = F.when(letter == "H", value / 1e6).when(letter == "K", value / 1e3).when(letter == "M", value).otherwise(value * 1e3)
+    return F.when(head.rlike(_DESIGNATOR), scaled)
 
 
 def label(code: Column, table: dict[str, str], keep_unknown: bool = True) -> Column:

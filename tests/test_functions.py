@@ -488,3 +488,13 @@ def test_limits_are_clamped(spark):
     reg = registry(spark, "/root/testdata/sf0.001")
     page = spectrum.frequency_page(reg, spectrum.SpectrumSearch(900, 1500), limit=5000)
     assert page.rows.count() == 200 < page.total()
+
+
+def test_designators_are_read_with_one_pattern(spark):
+    """What a pattern's groups would give, and a row is matched against one pattern only."""
+    codes = ["6M00D1D", " 16k0f3e ", "12K3", "K123F3E", "120H", "1G25X", "12K", "6M0", "1M2M", "bad", "", None, "12K\n", "123", "1234", "١M00", "12K3", "12K3\n", ".M00", "1.5M"]
+    made = spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string").select("i", C.emission_mhz(F.col("c")).alias("mhz"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("RLIKE") == 1
+    expected = [6.0, 0.016, 0.0123, 0.000123, 120 / 1e6, 1250.0] + [None] * 11 + [0.0123] + [None] * 2
+    assert [r.mhz for r in made.orderBy("i").collect()] == expected
