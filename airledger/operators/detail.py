@@ -20,34 +20,27 @@ from .spectrum import block_edges, collapse_blocks
 SITES, ANTENNAS, PATHS = 50, 100, 100
 
 
-def location_summary(registry: Registry) -> DataFrame:
+def location_summary(registry: Registry, parts: int | None = None) -> DataFrame:
     """(usi, location_number): sites, antennas, frequency rows and paths of each number that any of the tables has.
 
-    Antennas are the distinct numbers in antenna, frequency and path rows, plus each unnumbered antenna row. Every table is
-    reduced to a row for each (number, antenna) before they meet.
+    Antennas are the distinct numbers in antenna, frequency and path rows, plus each unnumbered antenna row. Narrow rows of
+    all tables meet in one shuffle by licence, by which windows and counts over a licence's numbers are dealt too: what a
+    task holds are the groups of its own licences. parts is into how many tasks licences are dealt, as many as shuffles have
+    by default; they aren't merged by bytes, as groups in memory are twenty times as large as their rows in a shuffle.
     """
-    none = F.lit(None).cast("long")
-    keyed = lambda df, antenna: df.select("usi", F.col("location_number").cast("long").alias("location_number"), antenna.cast("long").alias("antenna"))
-    zero = {"sites": 0, "unnumbered": 0, "frequencies": 0, "paths": 0}
+    parts = parts or int(registry.locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = ("sites", "unnumbered", "frequencies", "paths")
 
-    def reduced(df: DataFrame, name: str | None, antenna: Column = none) -> DataFrame:
-        counted = keyed(df, antenna).groupBy("usi", "location_number", "antenna").agg(F.count("*").alias("__n"))
-        return counted.select("usi", "location_number", "antenna", *[(F.col("__n") if c == name else F.lit(v).cast("long")).alias(c) for c, v in zero.items()])
+    def narrow(df: DataFrame, what: str, antenna: Column) -> DataFrame:
+        made = {"sites": F.lit(what == "sites"), "unnumbered": antenna.isNull() & (what == "antennas"), "frequencies": F.lit(what == "frequencies"), "paths": F.lit(what == "paths")}
+        return df.select("usi", F.col("location_number").cast("long").alias("location_number"), antenna.cast("long").alias("antenna"), *[made[c].cast("int").alias(c) for c in counts])
 
-    numbered = registry.antennas.where("antenna_number IS NOT NULL")
-    parts = [
-        reduced(registry.locations, "sites"),
-        reduced(numbered, None, F.col("antenna_number")),
-        reduced(registry.antennas.where("antenna_number IS NULL"), "unnumbered"),
-        reduced(registry.frequencies, "frequencies", F.col("antenna_number")),
-        reduced(registry.paths, "paths", F.col("antenna_number")),
-    ]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("usi", "location_number").agg(
-        F.sum("sites").alias("sites"), (F.count_distinct("antenna") + F.sum("unnumbered")).alias("antennas"), F.sum("frequencies").alias("frequencies"), F.sum("paths").alias("paths")
-    )
+    every = narrow(registry.locations, "sites", F.lit(None))
+    for what in ("antennas", "frequencies", "paths"):
+        every = every.unionByName(narrow(getattr(registry, what), what, F.col("antenna_number")))
+    keys = ["usi", "location_number"]
+    each = every.repartition(parts, "usi").groupBy(*keys, "antenna").agg(*[F.sum(c).alias(c) for c in counts])
+    return each.groupBy(*keys).agg(F.sum("sites").alias("sites"), (F.count("antenna") + F.sum("unnumbered")).alias("antennas"), F.sum("frequencies").alias("frequencies"), F.sum("paths").alias("paths"))
 
 
 def location_windows(summary: DataFrame, offset: int = 0, max_frequencies: int = 100, budgets: tuple[int, int, int] = (SITES, ANTENNAS, PATHS)) -> DataFrame:
@@ -229,7 +222,7 @@ def get_licence(registry: Registry, callsign: str | None = None, usi: int | None
     own = Registry(
         *[getattr(registry, t).where(key) if t in ("locations", "antennas", "frequencies", "market_blocks", "paths") else getattr(registry, t) for t in Registry.tables()]
     )
-    summary = location_summary(own)
+    summary = location_summary(own, 1)
     if location_number is not None:
         start = offset_of(summary, location_number).first()
         location_offset = start["offset"] if start else 0

@@ -498,3 +498,18 @@ def test_designators_are_read_with_one_pattern(spark):
     assert "regexp_extract" not in plan and plan.count("RLIKE") == 1
     expected = [6.0, 0.016, 0.0123, 0.000123, 120 / 1e6, 1250.0] + [None] * 11 + [0.0123] + [None] * 2
     assert [r.mhz for r in made.orderBy("i").collect()] == expected
+
+
+def test_summaries_and_windows_have_one_shuffle(spark):
+    """Narrow rows are dealt by licence once, in as many tasks as shuffles have: neither groups nor windows deal again."""
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    # The virtual frequencies have a join of their own.
+    reg.frequencies = reg.antennas.select("usi", "location_number", "antenna_number")
+    summary = detail.location_summary(reg)
+    for made in (summary, detail.location_windows(summary), detail.offset_of(summary, 4)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(usi") == plan.count("Exchange") == 1
+    assert detail.location_summary(reg, 1).rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, detail.location_summary(reg, 1).collect())) == sorted(map(tuple, summary.collect()))
