@@ -6,11 +6,14 @@ request is about, and a batch is planned like a single one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, parameters
 from ..functions import columns as C
+from ..sources.scratch import shared_dir
 from .build import Registry
 from .licences import prefix_candidates, resolve_callsigns
 from .redact import redact
@@ -43,21 +46,37 @@ def location_summary(registry: Registry, parts: int | None = None) -> DataFrame:
     return each.groupBy(*keys).agg(F.sum("sites").alias("sites"), (F.count("antenna") + F.sum("unnumbered")).alias("antennas"), F.sum("frequencies").alias("frequencies"), F.sum("paths").alias("paths"))
 
 
-def location_windows(summary: DataFrame, offset: int = 0, max_frequencies: int = 100, budgets: tuple[int, int, int] = (SITES, ANTENNAS, PATHS)) -> DataFrame:
-    """The locations that a page lists: from an offset, as many whole ones as keep sites, antennas and paths in budget.
-
-    The first is always listed. position counts from 0 over all of a licence's numbers; cut marks the first location of
-    which not every frequency row can be listed. A licence's numbers are what is ordered, some thousands at most.
-    """
+def _placed(summary: DataFrame, offset: int, max_frequencies: int, budgets: tuple[int, int, int]) -> DataFrame:
+    """summary from an offset on with position, listed, cut, and __before, the frequency rows of listed numbers before."""
     by = Window.partitionBy("usi").orderBy("location_number")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
     placed = summary.withColumn("position", F.row_number().over(by) - 1).where(F.col("position") >= offset)
     sums = placed.withColumns({f"__{c}": F.sum(c).over(run) for c in ("sites", "antennas", "paths", "frequencies")})
     fits = (F.col("__sites") <= budgets[0]) & (F.col("__antennas") <= budgets[1]) & (F.col("__paths") <= budgets[2])
-    listed = sums.where(fits | (F.col("position") == offset))
     before = F.col("__frequencies") - F.col("frequencies")
     cut = (F.col("__frequencies") > max_frequencies) & (before <= max_frequencies)
-    return listed.withColumn("cut", cut).drop("__sites", "__antennas", "__paths", "__frequencies")
+    return sums.withColumns({"listed": fits | (F.col("position") == offset), "cut": cut, "__before": before}).drop("__sites", "__antennas", "__paths", "__frequencies")
+
+
+def location_windows(summary: DataFrame, offset: int = 0, max_frequencies: int = 100, budgets: tuple[int, int, int] = (SITES, ANTENNAS, PATHS)) -> DataFrame:
+    """The locations that a page lists: from an offset, as many whole ones as keep sites, antennas and paths in budget.
+
+    The first is always listed. position counts from 0 over all of a licence's numbers; cut marks the first location of
+    which not every frequency row can be listed. A licence's numbers are what is ordered, some thousands at most.
+    """
+    return _placed(summary, offset, max_frequencies, budgets).where("listed").drop("listed", "__before")
+
+
+def first_pages(summary: DataFrame, max_frequencies: int = 100) -> DataFrame:
+    """usi, what location_windows lists of it at offset 0 as a range first to last, and counts: a row for each licence.
+
+    Running sums never fall, so what is listed is a range of numbers, and so is what has a frequency row listed: first to
+    last_frequency. location_count is of all numbers, __listed of those listed.
+    """
+    at, listed = F.col("location_number"), F.col("listed")
+    ends = [F.min(F.when(listed, at)).alias("first"), F.max(F.when(listed, at)).alias("last"), F.max(F.when(listed & (F.col("__before") < max_frequencies), at)).alias("last_frequency")]
+    counts = [F.count("*").alias("location_count"), F.count_if("listed").alias("__listed"), F.max(F.when(listed, F.col("cut"))).alias("__cut")]
+    return _placed(summary, 0, max_frequencies, (SITES, ANTENNAS, PATHS)).groupBy("usi").agg(*ends, *counts)
 
 
 def offset_of(summary: DataFrame, location_number: int) -> DataFrame:
@@ -68,11 +87,14 @@ def offset_of(summary: DataFrame, location_number: int) -> DataFrame:
 def sites(registry: Registry, window: DataFrame, redaction: bool = True) -> DataFrame:
     """Sites of listed locations, with labels, a valid ASR number only, and personal data withheld."""
     rows = registry.locations.join(window.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
+    return _shown_sites(rows.join(registry.licenses.select("usi", "is_individual"), "usi"), redaction)
+
+
+def _shown_sites(rows: DataFrame, redaction: bool) -> DataFrame:
     shown = {"location_type_label": C.label(F.col("location_type"), codes.LOCATION_TYPES, False), "location_class_label": C.label(F.col("location_class"), codes.LOCATION_CLASSES, False)}
     if "asr_number" in rows.columns:
         shown["asr_number"] = C.asr_number(F.col("asr_number"))
-    who = registry.licenses.select("usi", "is_individual")
-    return redact(rows.withColumns(shown).join(who, "usi"), redaction).drop("is_individual")
+    return redact(rows.withColumns(shown), redaction).drop("is_individual")
 
 
 def agreed(antennas: DataFrame, fields: list[str]) -> DataFrame:
@@ -83,7 +105,7 @@ def agreed(antennas: DataFrame, fields: list[str]) -> DataFrame:
     keys = ["usi", "location_number", "antenna_number"]
 
     def agree(c: str) -> Column:
-        return F.when((F.count_distinct(c) == 1) & (F.count(c) == F.count("*")), F.max(c)).alias(c)
+        return F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.max(c)).alias(c)
 
     numbered = antennas.where("antenna_number IS NOT NULL").groupBy(*keys).agg(*[agree(c) for c in fields], F.when(F.count("*") > 1, F.count("*")).alias("record_count"))
     alone = antennas.where("antenna_number IS NULL").select(*keys, *fields, F.lit(None).cast("long").alias("record_count"))
@@ -97,7 +119,10 @@ def frequencies_capped(registry: Registry, window: DataFrame, max_frequencies: i
     """
     by = Window.partitionBy("usi").orderBy("location_number").rowsBetween(Window.unboundedPreceding, -1)
     before = window.withColumn("__before", F.coalesce(F.sum("frequencies").over(by), F.lit(0))).where(F.col("__before") < max_frequencies)
-    rows = registry.frequencies.join(before.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
+    return _first_frequencies(registry.frequencies.join(before.select("usi", "location_number"), ["usi", "location_number"], "left_semi"), max_frequencies)
+
+
+def _first_frequencies(rows: DataFrame, max_frequencies: int) -> DataFrame:
     order = Window.partitionBy("usi").orderBy("location_number", "antenna_number", "freq_seq_id", "_seq")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_frequencies)
 
@@ -165,35 +190,52 @@ def documents(registry: Registry, targets: DataFrame, redaction: bool = True) ->
 
     It has the head with its labels, and lists of sites, antennas, frequencies, paths, market blocks, leases held and
     leases granted; location_count and lease_count say how many there are in all, and notice that some are not listed.
+    What each licence's page lists is written once as ranges of numbers; rows of all parts, as structs, then meet in one
+    grouping by licence, so a list is made once and joined with nothing.
     """
     only = lambda df: df.join(targets.select("usi"), "usi", "left_semi")
     own = Registry(*[only(getattr(registry, t)) if "usi" in getattr(registry, t).columns else getattr(registry, t) for t in Registry.tables()])
-    window = location_windows(location_summary(own))
-    nested = lambda df, name, order: df.groupBy("usi").agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in ("usi", *order)]))).alias(name))
-    listed = own.antennas.join(window.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
+    made = own.licenses.select("usi", "is_individual").distinct().join(first_pages(location_summary(own)), "usi")
+    path = f"{shared_dir(targets.sparkSession)}/airledger-pages/{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    pages = targets.sparkSession.read.schema(made.schema).parquet(path)
+    at = F.col("location_number")
+
+    def listed(df: DataFrame, last: str, *more: str) -> DataFrame:
+        """Rows of the listed locations, with further columns of their licence."""
+        return df.join(pages.select("usi", *more, F.col("first").alias("__first"), F.col(last).alias("__last")), "usi").where(at.between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
+
+    def rows(df: DataFrame, name: str, *order: str) -> DataFrame:
+        return df.select("usi", F.struct(*order, *[c for c in df.columns if c not in ("usi", *order)]).alias(name))
+
     fields = [c for c in own.antennas.columns if c not in ("usi", "location_number", "antenna_number", "_seq")]
     links = registry.lease_links
     held = Registry(registry.licenses, links.join(targets.select(F.col("usi").alias("lease_usi")), "lease_usi", "left_semi"), *[None] * 5)
     granted = Registry(registry.licenses, links.join(targets.select(F.col("usi").alias("parent_usi")), "parent_usi", "left_semi"), *[None] * 5)
-    parts = [
-        location_summary(own).groupBy("usi").agg(F.count("*").alias("location_count")),
-        window.groupBy("usi").agg(F.count("*").alias("__listed"), F.max("cut").alias("__cut")),
-        lease_counts(granted),
-        nested(agreed(listed, fields), "antennas", ["location_number", "antenna_number"]),
-        nested(leases_held(held, redaction).withColumnRenamed("lease_usi", "usi"), "leases_held", ["parent_usi"]),
-        nested(leases_granted(granted, redaction=redaction).withColumnRenamed("parent_usi", "usi"), "leases_granted", ["place"]),
-        nested(sites(own, window, redaction).drop("_seq"), "sites", ["location_number", "site_seq"]),
-        nested(frequencies_capped(own, window).drop("_seq", "place"), "frequencies", ["location_number", "antenna_number", "freq_seq_id"]),
-        nested(paths(own, window).drop("_seq"), "paths", ["location_number", "path_number"]),
-        nested(market_blocks(own), "market_blocks", ["lower", "upper"]),
-    ]
+    ends = Registry(None, None, own.locations, own.antennas, None, None, listed(registry.paths, "last"))
     labels = {"status_label": C.label(F.col("license_status"), codes.LICENSE_STATUSES), "service_label": C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)}
     head = redact(own.licenses.withColumns(labels), redaction)
-    for p in parts:
-        head = head.join(p, "usi", "left")
+    parts = [
+        rows(head, "head"),
+        rows(pages.select("usi", "location_count", "__listed", "__cut"), "page"),
+        rows(lease_counts(granted), "granted"),
+        rows(agreed(listed(registry.antennas, "last"), fields), "antennas", "location_number", "antenna_number"),
+        rows(leases_held(held, redaction).withColumnRenamed("lease_usi", "usi"), "leases_held", "parent_usi"),
+        rows(leases_granted(granted, redaction=redaction).withColumnRenamed("parent_usi", "usi"), "leases_granted", "place"),
+        rows(_shown_sites(listed(registry.locations, "last", "is_individual"), redaction).drop("_seq"), "sites", "location_number", "site_seq"),
+        rows(_first_frequencies(listed(registry.frequencies, "last_frequency"), 100).drop("_seq", "place"), "frequencies", "location_number", "antenna_number", "freq_seq_id"),
+        rows(paths(ends).drop("_seq"), "paths", "location_number", "path_number"),
+        rows(market_blocks(own), "market_blocks", "lower", "upper"),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p, allowMissingColumns=True)
+    lists = ["antennas", "leases_held", "leases_granted", "sites", "frequencies", "paths", "market_blocks"]
+    whole = every.repartition("usi").groupBy("usi").agg(F.collect_list("head").alias("head"), *[F.max(c).alias(c) for c in ("page", "granted")], *[F.array_sort(F.collect_list(c)).alias(c) for c in lists])
+    whole = whole.select("usi", F.explode("head").alias("head"), "page.*", "granted.*", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in lists])
     more = (F.col("location_count") > F.col("__listed")) | F.col("__cut") | (F.col("lease_count") > F.size("leases_granted"))
-    head = head.withColumn("notice", F.when(more, F.lit(NOTICE))).drop("__listed", "__cut")
-    return head.select("usi", F.to_json(F.struct(*[F.col(c) for c in head.columns]), {"ignoreNullFields": "true"}).alias("document"))
+    fields = ["usi", *[f"head.{c}" for c in head.columns if c != "usi"], "location_count", "lease_count", *lists]
+    return whole.select("usi", F.to_json(F.struct(*fields, F.when(more, F.lit(NOTICE)).alias("notice")), {"ignoreNullFields": "true"}).alias("document"))
 
 
 def get_licence(registry: Registry, callsign: str | None = None, usi: int | None = None, location_offset: int | None = None, location_number: int | None = None, max_frequencies: int = 100, redaction: bool = True, lease_offset: int = 0) -> dict[str, DataFrame]:

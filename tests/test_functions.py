@@ -513,3 +513,37 @@ def test_summaries_and_windows_have_one_shuffle(spark):
         assert plan.count("Exchange hashpartitioning(usi") == plan.count("Exchange") == 1
     assert detail.location_summary(reg, 1).rdd.getNumPartitions() == 1
     assert sorted(map(tuple, detail.location_summary(reg, 1).collect())) == sorted(map(tuple, summary.collect()))
+
+
+def test_first_pages_are_the_windows_as_ranges(spark):
+    r = random.Random(5)
+    rows = [(u, n, r.randint(0, 20), r.randint(0, 40), r.randint(0, 60), r.randint(0, 30)) for u in range(60) for n in r.sample([None, *range(12)], r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "usi long, location_number long, sites long, antennas long, frequencies long, paths long")
+    windows = {}
+    for x in detail.location_windows(df).orderBy("usi", "position").collect():
+        windows.setdefault(x.usi, []).append(x)
+    pages = {x.usi: x for x in detail.first_pages(df).collect()}
+    assert pages.keys() == windows.keys()
+    for u, own in windows.items():
+        page, numbers = pages[u], [n for _, n, *_ in [x for x in rows if x[0] == u]]
+        held = lambda last: {n for n in numbers if n is not None and last is not None and page.first <= n <= last}  # noqa: E731, B023
+        assert held(page.last) == {x.location_number for x in own} - {None}
+        before, some = 0, set()
+        for x in own:
+            some |= {x.location_number} if before < 100 else set()
+            before += x.frequencies
+        assert held(page.last_frequency) == some - {None}
+        assert (page.location_count, page["__listed"], page["__cut"]) == (len(numbers), len(own), any(x.cut for x in own))
+
+
+def test_documents_group_their_lists_once(spark):
+    """Lists of all parts are made by one grouping; targets that are told twice, or that no licence has, add nothing."""
+    from airledger.plans.virtual import registry
+
+    reg = registry(spark, "/root/testdata/sf0.001")
+    some = reg.licenses.where("usi < 40").select("usi")
+    made = detail.documents(reg, some.unionByName(some).unionByName(spark.createDataFrame([(-5,)], "usi long")))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line]) == 1
+    got = made.collect()
+    assert len(got) == some.count() and {x.usi for x in got} == {x.usi for x in some.collect()}
