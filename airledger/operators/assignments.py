@@ -37,28 +37,43 @@ class SpectrumIndex:
     counts: DataFrame
 
 
-def entries(licences: DataFrame, frequencies: DataFrame, numbers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The rows of an index: numbers are sites by location number (spectrum.site_summary), blocks collapsed market blocks.
+#: What a site of its own at a location number tells.
+SITE = ("city", "county", "site_state", "lat", "lon")
+
+
+def entries(licences: DataFrame, frequencies: DataFrame, locations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of an index: frequencies with their number's sites as in spectrum.site_summary, collapsed market blocks.
 
     Bands of one frequency and upper edge lie in each other, as they differ by bandwidth alone; so where any meets a band
     that is asked, the widest does, and counts need no other. Rows without a frequency, and blocks that are no more than a
-    channel width, are in no search and are left out.
+    channel width, are in no search and are left out. Frequency rows and sites are dealt by licence once, together: what
+    groups, orders and joins them afterwards all has the licence among its keys.
     """
-    own = frequencies.where("frequency_mhz IS NOT NULL").groupBy("frequency_mhz", "usi", "location_number", "upper_mhz", "occ_low", "occ_high").agg(
+    keys = ["usi", "location_number", "frequency_mhz", "upper_mhz", "occ_low", "occ_high"]
+    shown = [c for c in SITE if c in locations.columns]
+    filed = frequencies.where("frequency_mhz IS NOT NULL").select(*keys, "bandwidth_mhz", "erp_w", "class_station", "emissions")
+    both = filed.unionByName(locations.select("usi", "location_number", *shown), allowMissingColumns=True).repartition("usi")
+    # Sites are the rows without a frequency, so those of one number are one group.
+    own = both.groupBy(*keys).agg(
         F.max("bandwidth_mhz").alias("bandwidth_mhz"),
         F.max("erp_w").alias("erp_w"),
         F.array_sort(F.collect_set("class_station")).alias("class_stations"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("emissions")))).alias("emissions"),
+        F.count("*").alias("site_count"),
+        *[F.when(F.count("*") == 1, F.first(c)).alias(c) for c in shown],
     )
     # As many rows as a frequency has bandwidths at one location number.
-    place = F.row_number().over(W.partitionBy("frequency_mhz", "usi", "location_number", "upper_mhz").orderBy("occ_low", F.desc("occ_high")))
-    site = own.withColumns({"kind_order": F.lit(1), "widest": place == 1}).join(numbers, ["usi", "location_number"], "left").withColumn("site_count", F.coalesce("site_count", F.lit(0)))
+    place = F.row_number().over(W.partitionBy("usi", "location_number", "frequency_mhz", "upper_mhz").orderBy("occ_low", F.desc("occ_high")))
+    site = F.when(F.col("frequency_mhz").isNull() & F.col("location_number").isNotNull(), F.struct("site_count", *shown))
+    spread = own.withColumn("widest", place == 1).withColumn("__site", F.max(site).over(W.partitionBy("usi", "location_number"))).where("frequency_mhz IS NOT NULL")
+    fields = {"site_count": F.coalesce("__site.site_count", F.lit(0).cast("long"))} | {c: F.col(f"__site.{c}") for c in shown}
+    sites = spread.withColumns(fields).drop("__site").withColumn("kind_order", F.lit(1))
     block = blocks.where("lower > 0").select("usi", F.col("lower").alias("frequency_mhz"), F.col("upper").alias("upper_mhz"), "partition_areas", F.col("lower").alias("occ_low"), F.coalesce("upper", "lower").alias("occ_high"), F.lit(0).alias("kind_order"), F.lit(True).alias("widest"))
-    both = site.unionByName(block, allowMissingColumns=True)
     holds = (F.col("occ_low") <= F.col("frequency_mhz")) & (F.col("frequency_mhz") <= F.col("occ_high"))
-    both = both.withColumns({"role": F.when(~F.col("widest"), OTHER).when(holds, WIDEST).otherwise(ODD), "band_class": bands.band_class(F.col("occ_low"), F.col("occ_high"))}).drop("widest")
     live = licences.where(F.col("license_status").isin(*LIVE_STATUSES)).select(*HEAD)
-    return both.join(live, "usi")
+    # Each side is joined as it is dealt: their union would be dealt again.
+    made = sites.join(live, "usi").unionByName(block.join(live, "usi"), allowMissingColumns=True)
+    return made.withColumns({"role": F.when(~F.col("widest"), OTHER).when(holds, WIDEST).otherwise(ODD), "band_class": bands.band_class(F.col("occ_low"), F.col("occ_high"))}).drop("widest")
 
 
 def counted(rows: DataFrame, *by: str) -> DataFrame:

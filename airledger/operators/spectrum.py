@@ -89,7 +89,7 @@ def site_assignments(registry: Registry, search: SpectrumSearch, redaction: bool
 def site_summary(locations: DataFrame) -> DataFrame:
     """(usi, location_number): site_count, and the fields of the site where there is exactly one."""
     one = lambda c: F.when(F.count("*") == 1, F.first(c)).alias(c)
-    return locations.groupBy("usi", "location_number").agg(F.count("*").alias("site_count"), *[one(c) for c in ("city", "county", "site_state", "lat", "lon") if c in locations.columns])
+    return locations.groupBy("usi", "location_number").agg(F.count("*").alias("site_count"), *[one(c) for c in assignments.SITE if c in locations.columns])
 
 
 def nationwide(market_code: Column) -> Column:
@@ -171,7 +171,7 @@ def page_binding(search: SpectrumSearch, generation: str = "", county_prefix: st
 
 def entries(registry: Registry) -> DataFrame:
     """The rows of an index of a registry's assignments."""
-    return assignments.entries(registry.licenses, registry.frequencies, site_summary(registry.locations), collapse_blocks(registry.market_blocks))
+    return assignments.entries(registry.licenses, registry.frequencies, registry.locations, collapse_blocks(registry.market_blocks))
 
 
 def frequency_page(registry: Registry, search: SpectrumSearch, limit: int = 50, cursor: str | None = None, generation: str = "", redaction: bool = True, area_states: DataFrame | None = None, county_prefix: str | None = None) -> paging.Page:

@@ -398,7 +398,9 @@ def q4_page_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _spectrum_index(spark: SparkSession, r: build.Registry) -> assignments.SpectrumIndex:
     """An index of a registry's assignments, written in its order."""
     path, made = f"{shared_dir(spark)}/airledger-spectrum/{uuid.uuid4().hex}", spectrum.entries(r)
-    made.repartitionByRange(*assignments.KEPT).sortWithinPartitions(*assignments.KEPT).write.parquet(f"{path}/entries")
+    # Ranges are told by a run over the rows, which would make them twice.
+    made.write.parquet(f"{path}/made")
+    spark.read.schema(made.schema).parquet(f"{path}/made").repartitionByRange(*assignments.KEPT).sortWithinPartitions(*assignments.KEPT).write.parquet(f"{path}/entries")
     rows = spark.read.schema(made.schema).parquet(f"{path}/entries")
     assignments.counted(rows).repartitionByRange(1, "edge", "bin").sortWithinPartitions("edge", "bin").write.parquet(f"{path}/counts")
     return assignments.SpectrumIndex(rows, spark.read.schema(assignments.COUNTS_SCHEMA).parquet(f"{path}/counts"))

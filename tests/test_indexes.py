@@ -149,3 +149,29 @@ def test_a_page_reads_its_own_range(spark, tmp_path):
         spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert plan.count("FileScan") == 1 and "LessThan(frequency_mhz," in plan and "GreaterThanOrEqual(occ_high," in plan
     assert "Join" not in plan and set(CLUSTERED) <= set(store.current().base)
+
+
+def test_entries_deal_frequencies_and_sites_once(spark):
+    """One shuffle of both by licence: only licences and blocks are dealt besides, and a number's sites are as before."""
+    from airledger.operators import assignments
+
+    licences = spark.createDataFrame([(u, f"K{u}", "A", "MW", "n", "f", None, False) for u in range(5)], "usi long, callsign string, license_status string, radio_service_code string, licensee_name string, frn string, market_code string, is_individual boolean")
+    frequencies = spark.createDataFrame(
+        [(u, n, 100.0 + u, None, 99.9 + u - w, 100.1 + u + w, 0.2, 1.0 + w, c, [e]) for u in range(5) for n in (None, 1, 2, 3) for w, c, e in ((0.0, "FX", "b"), (0.5, "FB", "a"), (0.5, None, "a"))],
+        "usi long, location_number long, frequency_mhz double, upper_mhz double, occ_low double, occ_high double, bandwidth_mhz double, erp_w double, class_station string, emissions array<string>",
+    )
+    locations = spark.createDataFrame([(u, n, f"city {u}", 10.0 + u, 20.0) for u in range(4) for n in (None, 1, 2, 2)], "usi long, location_number long, city string, lat double, lon double")
+    blocks = spark.createDataFrame([(1, 50.0, 60.0, [1]), (9, 50.0, 60.0, [1])], "usi long, lower double, upper double, partition_areas array<long>")
+    made = assignments.entries(licences, frequencies, locations, blocks)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = assignments.entries(licences, frequencies, locations, blocks)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(usi") == plan.count("Exchange hashpartitioning") == 4
+    sites = [x for x in made.collect() if x.kind_order == 1]
+    assert len(sites) == 5 * 4 * 2 and made.where("kind_order = 0").count() == 1
+    for x in sites:
+        has = 0 if x.usi == 4 else {1: 1, 2: 2}.get(x.location_number, 0)
+        assert (x.site_count, x.city, x.lat) == (has, *((f"city {x.usi}", 10.0 + x.usi) if has == 1 else (None, None)))
+        assert (x.role == assignments.WIDEST) == (x.erp_w == 1.5) == (x.emissions == ["a"]) == (x.class_stations == ["FB"])
