@@ -610,6 +610,36 @@ def test_calibration_holds_whole_documents_out():
     assert leaked.figures["false_positives"] < whole.figures["false_positives"] > 0.8
 
 
+def test_every_window_of_every_document_is_learned_from(spark):
+    """Counts of the fit are those of all windows, with many findings and many others in one text, however rows lie."""
+    r = random.Random(8)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, t, "en") for i, t, _ in secret_texts(120)]
+    rows += [(200, " ".join(f'token = "{key()}"' for _ in range(40)), None), (201, " ".join(f"longerword{i} otherwords" for i in range(300)), None), (202, None, None), (203, rows[0][1], None)]
+    kinds = [k for _, t, _ in rows for k in secrets.labelled(t or "", secrets.symbol_table())[1]]
+    assert kinds.count(1) >= 2 * 80 and kinds.count(0) >= 600
+    net = secrets.learn(frame(spark, rows).repartition(1))
+    assert (net.figures["findings"], net.figures["others"]) == (sum(k > 0 for k in kinds), sum(k <= 0 for k in kinds))
+    of = {k: net.figures["taught"][name] + net.figures["by_kind"].get(name, (0, 0))[1] for k, name in secrets.LABELS.items()}
+    assert of == {k: kinds.count(k) for k in secrets.LABELS}
+    again = secrets.learn(frame(spark, rows).repartition(5))
+    assert all(np.array_equal(getattr(net, p), getattr(again, p)) for p in secrets.PARAMETERS) and net.threshold == again.threshold
+
+
+def test_steps_take_every_window():
+    taken = set()
+
+    class Recorder:
+        def learn(self, x, y, weight):
+            assert abs(weight[y == 1].sum() - 0.5) < 1e-6 and abs(weight[y == 0].sum() - 0.5) < 1e-6
+            taken.update(row.tobytes() for row in x)
+
+    made = secrets.examples([t for _, t, _ in secret_texts(150)] + ["x" * 1000, "ab12" * 100], secrets.symbol_table())
+    secrets.learn_from(Recorder(), made, 1)
+    every = made.rows(np.arange(len(made.kinds)))
+    assert len(every) > 5 * secrets.STEP_PLAIN and taken == {row.tobytes() for row in every}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
