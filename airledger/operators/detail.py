@@ -6,14 +6,12 @@ request is about, and a batch is planned like a single one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes, parameters
 from ..functions import columns as C
-from ..sources.scratch import shared_dir
+from ..sources import scratch
 from .build import Registry
 from .licences import prefix_candidates, resolve_callsigns
 from .redact import redact
@@ -29,9 +27,11 @@ def location_summary(registry: Registry, parts: int | None = None) -> DataFrame:
     Antennas are the distinct numbers in antenna, frequency and path rows, plus each unnumbered antenna row. Narrow rows of
     all tables meet in one shuffle by licence, by which windows and counts over a licence's numbers are dealt too: what a
     task holds are the groups of its own licences. parts is into how many tasks licences are dealt, as many as shuffles have
-    by default; they aren't merged by bytes, as groups in memory are twenty times as large as their rows in a shuffle.
+    by default; they aren't merged by bytes, as groups in memory are twenty times as large as their rows in a shuffle. With
+    no parts (0) rows are dealt by licence as they come.
     """
-    parts = parts or int(registry.locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        parts = int(registry.locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = ("sites", "unnumbered", "frequencies", "paths")
 
     def narrow(df: DataFrame, what: str, antenna: Column) -> DataFrame:
@@ -42,7 +42,7 @@ def location_summary(registry: Registry, parts: int | None = None) -> DataFrame:
     for what in ("antennas", "frequencies", "paths"):
         every = every.unionByName(narrow(getattr(registry, what), what, F.col("antenna_number")))
     keys = ["usi", "location_number"]
-    each = every.repartition(parts, "usi").groupBy(*keys, "antenna").agg(*[F.sum(c).alias(c) for c in counts])
+    each = (every.repartition(parts, "usi") if parts else every).groupBy(*keys, "antenna").agg(*[F.sum(c).alias(c) for c in counts])
     return each.groupBy(*keys).agg(F.sum("sites").alias("sites"), (F.count("antenna") + F.sum("unnumbered")).alias("antennas"), F.sum("frequencies").alias("frequencies"), F.sum("paths").alias("paths"))
 
 
@@ -131,12 +131,19 @@ def paths(registry: Registry, window: DataFrame | None = None) -> DataFrame:
     """Paths with their receive end: how many own sites have the number, its coordinates if one, and its antenna.
 
     receive_sites is null unless it differs from 1; receive_antenna_filed is false if the licence files no antenna of
-    that number there.
+    that number there. Ends meet paths in groups within a licence, not in joins: rows are dealt once, and not at all
+    where they lie by licence.
     """
     rows = registry.paths if window is None else registry.paths.join(window.select("usi", "location_number"), ["usi", "location_number"], "left_semi")
-    ends = registry.locations.groupBy("usi", F.col("location_number").alias("receive_location_number")).agg(F.count("*").alias("__n"), F.max("lat").alias("__lat"), F.max("lon").alias("__lon"))
-    filed = registry.antennas.where("antenna_number IS NOT NULL").select("usi", F.col("location_number").alias("receive_location_number"), F.col("antenna_number").alias("receive_antenna_number"), F.lit(True).alias("__filed")).distinct()
-    joined = rows.join(ends, ["usi", "receive_location_number"], "left").join(filed, ["usi", "receive_location_number", "receive_antenna_number"], "left")
+    to = ["usi", "receive_location_number", "receive_antenna_number"]
+    number, antenna = (F.col(c).try_cast(rows.schema[k].dataType).alias(k) for c, k in zip(("location_number", "antenna_number"), to[1:], strict=True))
+    ends = registry.locations.where("usi IS NOT NULL AND location_number IS NOT NULL").groupBy("usi", number).agg(F.count("*").alias("__n"), F.max("lat").alias("__lat"), F.max("lon").alias("__lon"))
+    filed = registry.antennas.where("usi IS NOT NULL AND location_number IS NOT NULL AND antenna_number IS NOT NULL").select("usi", number, antenna, F.lit(True).alias("__filed")).distinct()
+    met = rows.select(*to, *[c for c in rows.columns if c not in to], F.lit(True).alias("__path"))
+    for df in (ends, filed):
+        met = met.unionByName(df, allowMissingColumns=True)
+    met = met.withColumn("__filed", F.max("__filed").over(Window.partitionBy(*to)))  # the narrower first: one sort is for both
+    joined = met.withColumns({c: F.max(c).over(Window.partitionBy(*to[:2])) for c in ("__n", "__lat", "__lon")}).where("__path")
     one = (F.col("__n") == 1) & F.col("__lat").isNotNull() & F.col("__lon").isNotNull()
     n = F.coalesce("__n", F.lit(0))
     return joined.withColumns(
@@ -146,7 +153,7 @@ def paths(registry: Registry, window: DataFrame | None = None) -> DataFrame:
             "receive_sites": F.when(n != 1, n),
             "receive_antenna_filed": F.when(F.col("receive_antenna_number").isNotNull() & F.col("__filed").isNull(), F.lit(False)),
         }
-    ).drop("__n", "__lat", "__lon", "__filed")
+    ).drop("__path", "__n", "__lat", "__lon", "__filed")
 
 
 def leases_held(registry: Registry, redaction: bool = True) -> DataFrame:
@@ -185,33 +192,36 @@ def lease_counts(registry: Registry) -> DataFrame:
 NOTICE = "First page only: ask for the detail with a location or lease offset for the rest."
 
 
-def documents(registry: Registry, targets: DataFrame, redaction: bool = True) -> DataFrame:
+def documents(registry: Registry, targets: DataFrame, redaction: bool = True, dealt: bool = False) -> DataFrame:
     """usi and document, the first page of each target's detail as one nested JSON text without null fields.
 
     It has the head with its labels, and lists of sites, antennas, frequencies, paths, market blocks, leases held and
     leases granted; location_count and lease_count say how many there are in all, and notice that some are not listed.
     What each licence's page lists is written once as ranges of numbers; rows of all parts, as structs, then meet in one
-    grouping by licence, so a list is made once and joined with nothing.
+    grouping by licence, so a list is made once and joined with nothing. dealt: technical rows and licences lie in buckets
+    of the licence, as many as shuffles have parts. Then joins by hash with a bucket's licences and groups by licence take
+    them as they lie, and of rows that are listed none is shuffled; it is for many licences, as a few are broadcast.
     """
-    only = lambda df: df.join(targets.select("usi"), "usi", "left_semi")
+    here = lambda df: df.hint("shuffle_hash") if dealt else df
+    only = lambda df, key="usi": df.join(here(targets.select(F.col("usi").alias(key))), key, "left_semi")
     own = Registry(*[only(getattr(registry, t)) if "usi" in getattr(registry, t).columns else getattr(registry, t) for t in Registry.tables()])
-    made = own.licenses.select("usi", "is_individual").distinct().join(first_pages(location_summary(own)), "usi")
-    path = f"{shared_dir(targets.sparkSession)}/airledger-pages/{uuid.uuid4().hex}"
-    made.write.parquet(path)
-    pages = targets.sparkSession.read.schema(made.schema).parquet(path)
+    made = here(own.licenses.select("usi", "is_individual").distinct()).join(first_pages(location_summary(own, 0 if dealt else None)), "usi")
+    pages = scratch.dealt(made, "usi", "pages")
     at = F.col("location_number")
 
     def listed(df: DataFrame, last: str, *more: str) -> DataFrame:
         """Rows of the listed locations, with further columns of their licence."""
-        return df.join(pages.select("usi", *more, F.col("first").alias("__first"), F.col(last).alias("__last")), "usi").where(at.between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
+        ranges = pages.select("usi", *more, F.col("first").alias("__first"), F.col(last).alias("__last"))
+        return df.join(here(ranges), "usi").where(at.between(F.col("__first"), F.col("__last"))).drop("__first", "__last")
 
     def rows(df: DataFrame, name: str, *order: str) -> DataFrame:
-        return df.select("usi", F.struct(*order, *[c for c in df.columns if c not in ("usi", *order)]).alias(name))
+        # A union keeps how its sides are dealt where all deal by the column of its own; a key of another name is one.
+        return df.select(F.col("usi").alias("__usi"), F.struct(*order, *[c for c in df.columns if c not in ("usi", *order)]).alias(name))
 
     fields = [c for c in own.antennas.columns if c not in ("usi", "location_number", "antenna_number", "_seq")]
     links = registry.lease_links
-    held = Registry(registry.licenses, links.join(targets.select(F.col("usi").alias("lease_usi")), "lease_usi", "left_semi"), *[None] * 5)
-    granted = Registry(registry.licenses, links.join(targets.select(F.col("usi").alias("parent_usi")), "parent_usi", "left_semi"), *[None] * 5)
+    held = Registry(here(registry.licenses), only(links, "lease_usi"), *[None] * 5)
+    granted = Registry(here(registry.licenses), only(links, "parent_usi"), *[None] * 5)
     ends = Registry(None, None, own.locations, own.antennas, None, None, listed(registry.paths, "last"))
     labels = {"status_label": C.label(F.col("license_status"), codes.LICENSE_STATUSES), "service_label": C.label(F.col("radio_service_code"), codes.RADIO_SERVICES)}
     head = redact(own.licenses.withColumns(labels), redaction)
@@ -227,11 +237,15 @@ def documents(registry: Registry, targets: DataFrame, redaction: bool = True) ->
         rows(paths(ends).drop("_seq"), "paths", "location_number", "path_number"),
         rows(market_blocks(own), "market_blocks", "lower", "upper"),
     ]
+    if dealt:  # leases, which are few, meet the others where those lie
+        few = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = [p.repartition(few, "__usi") if p.columns[1] in ("granted", "leases_held", "leases_granted") else p for p in parts]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p, allowMissingColumns=True)
+    every = every if dealt else every.repartition("__usi")
     lists = ["antennas", "leases_held", "leases_granted", "sites", "frequencies", "paths", "market_blocks"]
-    whole = every.repartition("usi").groupBy("usi").agg(F.collect_list("head").alias("head"), *[F.max(c).alias(c) for c in ("page", "granted")], *[F.array_sort(F.collect_list(c)).alias(c) for c in lists])
+    whole = every.groupBy(F.col("__usi").alias("usi")).agg(F.collect_list("head").alias("head"), *[F.max(c).alias(c) for c in ("page", "granted")], *[F.array_sort(F.collect_list(c)).alias(c) for c in lists])
     whole = whole.select("usi", F.explode("head").alias("head"), "page.*", "granted.*", *[F.when(F.size(c) > 0, F.col(c)).alias(c) for c in lists])
     more = (F.col("location_count") > F.col("__listed")) | F.col("__cut") | (F.col("lease_count") > F.size("leases_granted"))
     fields = ["usi", *[f"head.{c}" for c in head.columns if c != "usi"], "location_count", "lease_count", *lists]

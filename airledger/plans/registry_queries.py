@@ -254,8 +254,8 @@ def q2_market_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("")
 def q2_licence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested detail document of every licence; its parts are compared one by one by the queries before."""
-    r = registry(spark, sf_dir)
-    return detail.documents(r, r.licenses.select("usi"))
+    r = registry(spark, sf_dir, dealt=True)
+    return detail.documents(r, r.licenses.select("usi"), dealt=True)
 
 
 _POINT = (26.0, -118.25)

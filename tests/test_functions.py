@@ -547,3 +547,35 @@ def test_documents_group_their_lists_once(spark):
     assert len([line for line in plan.splitlines() if "Aggregate" in line and "collect_list" in line]) == 1
     got = made.collect()
     assert len(got) == some.count() and {x.usi for x in got} == {x.usi for x in some.collect()}
+
+
+def test_dealt_documents_are_grouped_as_they_lie(spark):
+    """Rows that lie in buckets of the licence are summed up, listed and grouped without a shuffle; documents are the same."""
+    from airledger.plans.catalogue import QUERIES
+    from airledger.plans.virtual import registry
+
+    sf = "/root/testdata/sf0.001"
+    made = QUERIES["q2_licence_documents"](spark, sf)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Union")]
+    # What is shuffled: leases, to parents or lessees and back, and market blocks, whose lines are broadcast here.
+    assert plan.count("Exchange hashpartitioning") == 8
+    reg = registry(spark, sf)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, detail.documents(reg, reg.licenses.select("usi")).collect()))
+
+
+def test_path_ends_in_groups_are_those_of_joins(spark):
+    r = random.Random(8)
+    some = lambda *values: r.choice([None, *values])
+    locations = [(some(1, 2, 3), some(1, 2, 3), some(10.0, 20.0), some(-1.0, -2.0)) for _ in range(25)]
+    antennas = [(some(1, 2, 3), some(1, 2, 3), some(1, 2, 2**40)) for _ in range(25)]
+    rows = [(some(1, 2, 3), some(1, 2, 3, 4), some(1, 2, 3), i) for i in range(120)]
+    reg = build.Registry(None, None, spark.createDataFrame(locations, "usi long, location_number int, lat double, lon double"), spark.createDataFrame(antennas, "usi long, location_number int, antenna_number long"), None, None, spark.createDataFrame(rows, "usi long, receive_location_number int, receive_antenna_number int, path_number int"))
+    got = detail.paths(reg)
+    assert got.columns == ["usi", "receive_location_number", "receive_antenna_number", "path_number", "receive_lat", "receive_lon", "receive_sites", "receive_antenna_filed"]
+    want = []
+    for u, n, a, i in rows:
+        own = [x for x in locations if None not in x[:2] and x[:2] == (u, n)]
+        one = own[0][2:] if len(own) == 1 and None not in own[0] else (None, None)
+        want.append((u, n, a, i, *one, None if len(own) == 1 else len(own), None if a is None or (u, n, a) in antennas and None not in (u, n) else False))
+    assert sorted(map(tuple, got.collect()), key=lambda x: x[3]) == want
